@@ -68,3 +68,14 @@ def in_sample(column: str, fraction: float, salt: int):
     if fraction >= 1:
         return F.lit(True)
     return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+
+
+def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
+    """The rows whose texts ``keep`` accepts, with all their columns and no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(text).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import field_sql, materialize
+from talentloom.llm.common import field_sql, keep_rows, materialize
 
 WINDOW = 13
 BLOCK = 2
@@ -179,6 +179,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int =
     return _digest(merged).select(columns)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns."""
+    blocks = item_blocks(benchmark, most_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        held = docs.sparkSession.sparkContext.broadcast(first)
+        windows: list[Windows] = []
+
+        def keep(texts: list) -> list[bool]:
+            if not windows:
+                windows.append(Windows(held.value))
+            out = []
+            for words in map(words_of, texts):
+                hit = sum(b - a for a, b in union(windows[0].find(words)[0]))
+                out.append(hit == 0 or 20 * hit < len(words))
+            return out
+
+        return keep_rows(docs, keep)
+    row = "row__number"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = find_contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, most_bytes)
+    return numbered.join(found.filter("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
+
+
 def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object, str | None]]) -> list[tuple]:
     """The contract read literally, for tests: each window against each position."""
     windows = [(i, tuple(w[k : k + WINDOW])) for i, t in items if (w := words_of(t)) for k in range(max(1, len(w) - WINDOW + 1))]
@@ -193,6 +217,3 @@ def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object,
         names = ",".join(sorted(map(str, ids)))
         out.append((doc, len(words), len(hit), len(ids), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)))
     return out
-
-
-__all__ = ["WuManber", "Windows", "brute_force", "find_contamination", "union", "words_of"]

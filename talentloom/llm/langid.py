@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import crc_mod, field_sql, in_sample, map_arrow, sample_fraction
+from talentloom.llm.common import crc_mod, field_sql, in_sample, keep_rows, map_arrow, sample_fraction
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -114,26 +114,23 @@ def mixture(idx: np.ndarray, likelihood: np.ndarray, penalty: float = 6.0, steps
     return chosen, weights, float(sure)
 
 
+def judge(text: str | None, model: LanguageModel) -> tuple[str, float, list[str], list[float]]:
+    """Prediction, score, and the languages with their proportions, largest first."""
+    idx = grams(text)
+    if not len(idx) or not model.languages:
+        return UNKNOWN, 0.0, [], []
+    chosen, weights, sure = mixture(idx, model.likelihood)
+    order = np.argsort(-weights, kind="stable")
+    names, shares = [model.languages[chosen[k]] for k in order], [float(weights[k]) for k in order]
+    return names[0], min(1.0, shares[0] * sure), names, shares
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, languages (name and proportion, largest first)."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # languages * BUCKETS floats
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, pred, score, names, shares = held.value, [], [], [], []
-        for text in batch.column("text").to_pylist():
-            idx = grams(text)
-            if not len(idx) or not m.languages:
-                pred.append(UNKNOWN)
-                score.append(0.0)
-                names.append([])
-                shares.append([])
-                continue
-            chosen, weights, sure = mixture(idx, m.likelihood)
-            order = np.argsort(-weights, kind="stable")
-            pred.append(m.languages[chosen[order[0]]])
-            score.append(min(1.0, float(weights[order[0]]) * sure))
-            names.append([m.languages[chosen[k]] for k in order])
-            shares.append([float(weights[k]) for k in order])
+        pred, score, names, shares = zip(*(judge(t, held.value) for t in batch.column("text").to_pylist()), strict=True)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(names, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
             ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"],
@@ -141,3 +138,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     marked = docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "text")
     return map_arrow(marked, run, f"{field_sql(docs, 'doc_id')}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, least_share: float = 0.4) -> DataFrame:
+    """The documents whose main language is known and has at least ``least_share`` of the text, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list) -> list[bool]:
+        found = (judge(t, held.value) for t in texts)
+        return [pred != UNKNOWN and shares[0] >= least_share for pred, _, _, shares in found]
+
+    return keep_rows(docs, keep)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import crc_mod, field_sql, in_sample, map_arrow, sample_fraction
+from talentloom.llm.common import crc_mod, field_sql, in_sample, keep_rows, map_arrow, sample_fraction
 
 THRESHOLD = 0.3
 
@@ -182,3 +182,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     marked = docs.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text")
     out = map_arrow(marked, run, f"{field_sql(docs, 'doc_id')}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The documents at or over the threshold, with all their columns."""
+    return keep_rows(docs, lambda texts: (model.score(np.stack([features(t) for t in texts])) >= THRESHOLD).tolist())

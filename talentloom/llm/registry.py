@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, langid, packing, quality, simhash, token_files, url_filter
+from talentloom.llm import decontaminate, langid, licenses, packing, quality, simhash, token_files, unigram, url_filter
 from talentloom.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))[0]
 
@@ -41,5 +49,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op4_url_rules, op5_quality, op8_best_fit_packing, op9_token_files, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash)}
 SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL}

@@ -159,3 +159,19 @@ def near_duplicates(docs: DataFrame, long_posting: int = 5000) -> DataFrame:
     alone = least.join(linked, "fp", "left_anti").select("fp", F.col("doc_id").alias("component_id"))
     names = materialize(linked.unionByName(alone), "components")
     return marked.join(names, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """One document of each component (the smallest id), with all its columns.
+
+    If ids are missing or repeated, rows are numbered and the smallest number stays.
+    """
+    ids = docs.select("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    row = "row__number"
+    if ids["rows"] == ids["ids"]:
+        stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return numbered.join(stay, row, "left_semi").select(docs.columns)
