@@ -32,10 +32,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     def run(batches):
         task, row = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            encode = encoder(tokenizer)
             at, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode.document(text).astype("<u4")
+            for i, ids in enumerate(encoder(tokenizer).documents(batch.column("text").to_pylist())):
+                ids = ids.astype("<u4", copy=False)
                 for k, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
                     at.append(i)

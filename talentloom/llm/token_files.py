@@ -77,8 +77,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 ids, offsets = _Writer(folder, f"{shard:06d}.bin"), _Writer(folder, f"{shard:06d}.off")
                 offsets.write(np.zeros(1, "<u8"))
             counts = []
-            for text in batch.column("text").to_pylist():
-                coded = encoder(tokenizer).document(text)
+            for coded in encoder(tokenizer).documents(batch.column("text").to_pylist()):
                 ids.write(coded.astype(dtype))
                 counts.append(len(coded))
             ends = end + np.cumsum(counts)

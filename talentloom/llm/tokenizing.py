@@ -1,22 +1,29 @@
 """Whole texts to token ids, many texts at a time.
 
-The tokenizer drops white space before it looks at anything else, so the ids of a text are
-those of its white-space separated words, one after the other. Each distinct word goes to the
-tokenizers library once; a text is then a gather from the ids of its words.
+The tokenizer lower-cases, then cuts a text into runs of letters, single digits and runs of
+anything else but white space, and codes each piece on its own. The ids of a text are those of its
+pieces, one after the other. Each distinct piece goes to the tokenizers library once; a text is
+then a gather from the ids of its pieces. Texts with characters for which Python's classes might
+differ from the library's are cut at white space alone, which the library drops too.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 END_ID = 1
+PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Contractions, special tokens, digits that aren't decimal, and letters beyond Latin.
+ODD = re.compile("['\xb2\xb3\xb9\xbc-\xbe\x1c-\x1fɐ-\U0010ffff]|<\\|")
 #: str.split() takes these as white space, the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -24,52 +31,77 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """``ids(text)`` as ``tokenizers`` gives them, add_special_tokens=False.
+    """Ids as ``tokenizers`` gives them, add_special_tokens=False.
 
-    ``most_words`` bounds the cache; it is emptied when full.
+    ``most_pieces`` bounds the cache; it is emptied when full.
     """
 
-    def __init__(self, path: str, most_words: int = 200_000):
-        self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
+        self.tokenizer, self.most_pieces = Tokenizer.from_file(path), most_pieces
         self.forget()
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int64)
-        self.start, self.length, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def learn(self, words: set[str]) -> None:
-        fresh = [w for w in words if w not in self.code]
-        if not fresh:
-            return
-        for word, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            ids, k = coded.ids, len(self.code)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.start):
-                self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[k], self.length[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.code[word] = k
-
-    def ids(self, text: str) -> np.ndarray:
-        if _SEPARATORS.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int64)
-        if len(self.code) > self.most_words:
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.used = np.zeros(1 << 12, np.int64), 0  # start has one place more than there are pieces
+
+    def learn(self, pieces: list[str]) -> None:
+        """Codes for new pieces; plain ones are joined by blanks and coded as one text."""
+        plain = [p for p in pieces if PIECE.fullmatch(p) and not ODD.search(p)]
+        if plain:
+            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            words = np.array(coded.word_ids, np.int64)
+            counts = np.bincount(words, minlength=len(plain))
+            if len(counts) == len(plain):
+                self._store(plain, counts, np.array(coded.ids, np.uint32))
+        rest = [p for p in pieces if p not in self.code]
+        if rest:
+            own = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in rest]
+            self._store(rest, np.array([len(x) for x in own], np.int64), np.array(list(chain.from_iterable(own)), np.uint32))
+
+    def _store(self, pieces: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
+        k = len(self.code)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + len(pieces) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[k + 1 : k + 1 + len(pieces)] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+        self.code.update(zip(pieces, range(k, k + len(pieces)), strict=True))
+
+    def pieces(self, text: str) -> list[str]:
+        if not ODD.search(text):
+            return PIECE.findall(text.lower())
+        return [text] if SEPARATORS.search(text) else text.split()
+
+    def documents(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each document with the end id; null is empty."""
+        at, size = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= 1 << 20 or k + 1 == len(texts):
+                yield from self._together(texts[at : k + 1])
+                at, size = k + 1, 0
+
+    def _together(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        cut = [self.pieces(t) if t else [] for t in texts]
+        if len(self.code) > self.most_pieces:
             self.forget()
-        self.learn(set(words))
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(ends[-1])]
-
-    def document(self, text: str | None) -> np.ndarray:
-        """The ids of a document with the end id."""
-        return np.append(self.ids(text or ""), END_ID)
+        pieces = list(chain.from_iterable(cut))
+        codes = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(codes < 0)):
+            new = new.tolist()
+            self.learn(sorted({pieces[i] for i in new}))
+            codes[new] = [self.code[pieces[i]] for i in new]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        starts = self.start[codes]
+        lengths = self.start[codes + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield np.append(ids[a:b], np.uint32(END_ID))
 
 
 @lru_cache(maxsize=2)
