@@ -22,7 +22,7 @@ from talentloom.llm.webp import OPAQUE, decode_many, encode_best
 
 ROW_BYTES, WIDTH, MOST_ROWS = 192, 64, 64
 #: Bytes of payload that are worked on together.
-TOGETHER = 6 << 20
+TOGETHER = 16 << 20
 
 
 def payload_of(raw: bytes) -> bytes:

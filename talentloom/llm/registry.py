@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, langid, licenses, packing, quality, simhash, token_files, unigram, url_filter
+from talentloom.llm import decontaminate, langid, licenses, media, packing, quality, simhash, token_files, unigram, url_filter
 from talentloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digest(media.encode_documents(table(spark, sf_dir, "documents")))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"))
 
@@ -49,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash)}
 SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL}

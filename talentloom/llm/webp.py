@@ -21,6 +21,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_CODES, DISTANCE_CODES, NEAR = 24, 40, 120
 HASH = 0x1E35A7BD
 OPAQUE = 0xFF000000
+#: Pixels of an image that is always looked at for a palette.
+FEW_PIXELS = 128
 
 
 @cache
@@ -410,9 +412,14 @@ class BitsOut:
         self.size += n
 
     def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        place = np.arange(int(sizes.max()) if len(sizes) else 0)
-        bits = ((values[:, None] >> place) & 1).astype(np.uint8)[place < sizes[:, None]]
-        self.put(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
+        """Values of at most 63 bits each: every one falls into one or two 64-bit words."""
+        ends = sizes.cumsum()
+        n = int(ends[-1]) if len(ends) else 0
+        word, shift = ends - sizes >> 6, (ends - sizes & 63).astype(np.uint64)
+        values, words = values.astype(np.uint64), np.zeros((n >> 6) + 2, np.uint64)
+        np.add.at(words, word, values << shift)
+        np.add.at(words, word + 1, values >> np.uint64(1) >> (np.uint64(63) - shift))
+        self.put(int.from_bytes(words.tobytes(), "little"), n)
 
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.size + 7) // 8, "little")
@@ -425,10 +432,13 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    exact = np.log2(counts.sum() / counts[used])
-    own = np.clip(np.ceil(exact), 1, 13).astype(np.int64)
+    own = counts[used]
+    own = np.maximum(own, own.sum() >> 12)  # so that no code takes over 13 bits
+    exact = np.log2(own.sum() / own)
+    up = np.ceil(exact)
+    own = np.maximum(up, 1).astype(np.int64)
     room = (1 << 13) - int((1 << (13 - own)).sum())
-    order = np.argsort(exact - own, kind="stable").tolist()
+    order = (exact - up).argsort(kind="stable").tolist()
     own = own.tolist()
     while room:
         before = room
@@ -571,7 +581,7 @@ def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hit, slot
 
 
-def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, references: bool) -> None:
+def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, references: bool, hits: tuple | None = None) -> None:
     n = len(pixels)
     refs = back_references(pixels) if references else []
     free = np.ones(n, bool)
@@ -579,8 +589,8 @@ def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, r
         free[s : s + length] = False
     hit = slot = None
     if cache_bits:
-        hit, slot = cache_hits(pixels, cache_bits)
-        hit &= free
+        hit, slot = hits or cache_hits(pixels, cache_bits)
+        hit = hit & free
     out.put(int(bool(cache_bits)), 1)
     if cache_bits:
         out.put(cache_bits, 4)
@@ -623,7 +633,7 @@ def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, r
     out.put_all(np.concatenate(values)[order], np.concatenate(sizes)[order])
 
 
-def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, transforms: tuple = ()) -> bytes:
+def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, transforms: tuple = (), hits: tuple | None = None) -> bytes:
     """A file of rows of ARGB numbers.
 
     ``transforms`` lists, in the order of writing, (PREDICTOR, size, modes by block),
@@ -676,7 +686,7 @@ def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, tra
             packed = (index.reshape(height, -1, per) << (np.arange(per, dtype=np.uint32) * each)).sum(axis=2, dtype=np.uint32)
             px = OPAQUE | packed << 8
     out.put(0, 1)
-    _put_pixels(out, px.ravel(), True, cache_bits, references)
+    _put_pixels(out, px.ravel(), True, cache_bits, references, hits)
     body = out.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + bytes(len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
@@ -685,7 +695,10 @@ def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, tra
 def encode_best(pixels: np.ndarray) -> bytes:
     """A palette where there are few colours, a colour cache where pixels recur, back-references always."""
     flat = pixels.ravel()
-    n = len(np.unique(flat))
-    if n <= 16 or n <= 256 and 4 * n <= len(flat):
-        return encode(pixels, transforms=((PALETTE,),))
-    return encode(pixels, cache_bits=9 if 4 * int(cache_hits(flat, 9)[0].sum()) >= len(flat) else 0)
+    hits = cache_hits(flat, 9)
+    recurring = int(hits[0].sum())
+    if 2 * recurring >= len(flat) or len(flat) <= FEW_PIXELS:
+        n = len(np.unique(flat))
+        if n <= 16 or n <= 256 and 4 * n <= len(flat):
+            return encode(pixels, transforms=((PALETTE,),))
+    return encode(pixels, 9, hits=hits) if 4 * recurring >= len(flat) else encode(pixels)
