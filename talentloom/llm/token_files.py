@@ -5,7 +5,7 @@ Each task of a range partitioning by doc_id writes one shard: ``NNNNNN.bin`` (id
 positions within the shard). A prefix sum over the shards' totals gives each shard's base, kept in
 ``manifest.json``; position + base is a document's start in the whole.
 
-Null text counts as empty (the end id alone). Null ids sort first, equal ids by their text.
+Null text counts as empty (the end id alone). Null ids sort first, equal ids by a hash of their text.
 Extra columns are left out. An empty table gives no shard and an empty result.
 """
 
@@ -92,8 +92,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             ids.close()
             offsets.close()
 
-    # by id and text: documents that share one id are dealt out too
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # documents that share one id are dealt out too, by a hash: the bounds that Spark samples stay small
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    dealt = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     index = materialize(dealt.mapInArrow(run, f"{field_sql(docs, 'doc_id')}, shard int, place long, n_tokens long"), "token-index")
     # one row for each shard
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("docs")).orderBy("shard").collect()
