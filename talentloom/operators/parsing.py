@@ -1,0 +1,319 @@
+"""Résumé texts to structured records.
+
+A text becomes rows of lines; headings are filled forward over a window, and the entries of a
+section are numbered by running sums over the lines that open one. Only the repair of wrapped
+lines, a fold in which each decision depends on the last, is a small Arrow-backed function.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+
+from talentloom.functions import text as T
+from talentloom.functions import vocab
+
+PARSER_VERSION = "2.8"
+LEAST_LENGTH = 40
+MOST = {"education": 10, "experience": 20, "projects": 30}
+
+# Words by which lines are told apart.
+NOT_HEADING = ("built", "developed", "implemented", "designed", "created", "used", "worked", "learned", "regularly", "passionate", "self-driven", "with", "experience", "building", "using", "improved", "strengthened", "responsible", "managed")
+NOT_TITLE = ("built", "developed", "implemented", "designed", "created", "used", "worked", "integrated", "configured", "deployed", "maintained", "tested", "optimized", "improved", "strengthened", "learned", "managed", "responsible", "automated", "validated", "secured", "added", "performed", "handled", "supported", "regularly", "passionate", "self-driven", "with", "experience", "using")
+JOB_WORDS = ("intern", "internship", "developer", "engineer", "analyst", "associate", "consultant", "trainee", "manager", "administrator", "specialist", "assistant")
+ROLE_WORDS = ("developer", "engineer", "analyst", "intern", "student", "software", "backend", "frontend", "full", "stack", "data", "python", "java", "sql", "fastapi", "database", "professional", "aspiring")
+ROLE_MARKERS = ("aspiring", "backend", "frontend", "full stack", "software", "developer", "engineer", "analyst", "student", "intern", "professional", "data", "python", "java", "javascript", "sql", "fastapi")
+NOT_NAMES = ("resume", "curriculum vitae", "cv", "professional summary", "summary", "technical skills", "skills", "projects", "experience", "internship", "internships", "education", "certifications", "certification", "languages")
+PROSE = "with|using|building|developed|passionate|experience|graduate|learning|worked|implemented|designed|created"
+TITLE_VERBS = "is|are|was|were|has|have|use|uses|using|developed|building|learning|improving|passionate"
+JOINERS = "and|or|but|with|using|for|to|of|in|on|the|a|an|as|by|from|that|which|while|into|through|during|under"
+DEGREES = (
+    r"\bBachelor of [A-Za-z]+(?:\s+\([^)]+\))?", r"\bMaster of [A-Za-z]+(?:\s+\([^)]+\))?", r"\bB\.?\s*Tech\.?\b", r"\bM\.?\s*Tech\.?\b", r"\bB\.?\s*Sc\.?\b", r"\bM\.?\s*Sc\.?\b",
+    r"\bB\.?\s*Com\.?\b", r"\bM\.?\s*Com\.?\b", r"\bBCA\b", r"\bMCA\b", r"\bMBA\b", r"\bPh\.?\s*D\.?\b",
+)
+TECH_LABEL = r"^(?:technologies\s+used|technologies|technology|tech\s+stack(?:\s+used)?|tech)\s*[:\-]\s*"
+
+_SKILLS: dict[str, list[str]] = {}
+for _term, _name in vocab.PARSER_SKILLS.items():
+    if _term not in vocab.AI_TOOLS:
+        _SKILLS.setdefault(_name, []).append(_term)
+_TOOLS: dict[str, list[str]] = {}
+for _term, _name in vocab.AI_TOOLS.items():
+    _TOOLS.setdefault(_name, []).append(_term)
+
+
+def vocabulary(c: Column, names: dict[str, list[str]]) -> Column:
+    """Names whose terms stand between non-word characters, sorted without regard to case."""
+    low = F.lower(c)
+    found = F.array(*(F.when(low.rlike(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)"), F.lit(name)) for name, terms in sorted(names.items(), key=lambda x: x[0].casefold())))
+    return F.array_compact(found)
+
+
+# ---------------------------------------------------------------- lines
+
+
+_HEADINGS = {a for aliases in vocab.SECTIONS.values() for a in aliases}
+_BULLET, _LABEL, _CONTACT = re.compile(r"\s*[•*-]"), re.compile(TECH_LABEL, re.I), re.compile(r"@|https?://|www\.|linkedin|github|portfolio|\+91|^\s*(?:phone|email|tel)\b", re.I)
+
+
+def _is_section(line: str) -> bool:
+    head = " ".join(re.sub("[^a-z ]", "", re.sub(r"[_\-/&:|]+", " ", line.lower())).split())
+    words = [w for w in line.split() if re.search("[A-Za-z]", w)]
+    return head in _HEADINGS and bool(words) and (line.upper() == line or all(re.match("[^A-Za-z]*[A-Z]", w) for w in words))
+
+
+def _is_heading(line: str) -> bool:
+    low = line.lower()
+    if _BULLET.match(line) or line.endswith((".", ",", ";", ":")) or len(line.split()) > 12 or low.startswith(tuple(w + " " for w in NOT_HEADING)):
+        return False
+    return "|" in line or bool(re.search(r"\b(?:19|20)\d{2}\b", line)) or any(w in low for w in JOB_WORDS)
+
+
+def joins(line: str, after: str) -> bool:
+    """Whether ``after`` goes on where ``line`` was wrapped."""
+    parts = [p.strip().lower() for p in after.split("•")]
+    technology = len(parts) > 1 and any(p in vocab.PARSER_SKILLS for p in parts[1:])
+    if _BULLET.match(after) or _is_section(line) or _is_section(after) or _CONTACT.search(after) or re.match(r"[A-Z][\w /]{1,30}:", after) or _LABEL.match(after) or technology:
+        return False
+    if line.endswith((",", "-", "/", "(")):
+        return True
+    if line.endswith((".", "!", "?", ":")):
+        return False
+    if len(line.split()) <= 3 or len(after.split()) <= 3 and not _is_heading(after):
+        return True
+    if re.search(rf"\b(?:{JOINERS})$", line, re.I):
+        return True
+    first = re.search("[A-Za-z]", after)
+    return bool(first and first[0].islower())
+
+
+def repair(text: str) -> str:
+    """Wrapped lines put together; empty lines end a paragraph."""
+    out: list[str] = []
+    gap = True
+    for line in (" ".join(x.split()) for x in text.split("\n")):
+        if not line:
+            gap = True
+        elif not gap and joins(out[-1], line):
+            out[-1] = f"{out[-1]} {line}"
+        else:
+            out.append(line)
+            gap = False
+    return "\n".join(out)
+
+
+@F.pandas_udf(T_.StringType())
+def repaired(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: repair(t) if t else t)
+
+
+def clean_text(c: Column) -> Column:
+    """Marks as ASCII, torn words and wrapped lines repaired; line ends stay."""
+    per_line = F.array_join(F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n"), lambda x: T.pdf_artifacts(T.bullets(x))), "\n")
+    return F.trim(repaired(per_line))
+
+
+def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, pos, line of the lines that aren't empty."""
+    cut = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+    return cut.withColumn("line", F.trim("line")).filter("line != ''")
+
+
+def split_sections(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``section``: that of the last heading, ``header`` before any; heading lines go."""
+    rows = rows.withColumn("opens", T.section_of(F.col("line")))
+    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("section", F.coalesce(F.last("opens", ignorenulls=True).over(so_far), F.lit("header"))).filter("opens IS NULL").drop("opens")
+
+
+# ---------------------------------------------------------------- parts
+
+
+def _words(c: Column) -> Column:
+    return F.size(F.split(F.trim(c), r"\s+"))
+
+
+def _starts(c: Column, words: tuple[str, ...]) -> Column:
+    return F.lower(c).rlike("^(?:" + "|".join(map(re.escape, words)) + r")\s")
+
+
+def experience_heading(c: Column) -> Column:
+    no = T.is_bullet(c) | c.rlike("[.,;:]$") | (_words(c) > 12) | _starts(c, NOT_HEADING)
+    return ~no & (c.contains("|") | c.rlike(r"\b(?:19|20)\d{2}\b") | F.lower(c).rlike("|".join(JOB_WORDS)))
+
+
+def is_tech_line(c: Column) -> Column:
+    parts = F.transform(F.split(F.lower(c), r"\s*•\s*"), lambda x: F.trim(x))
+    known = F.array(*map(F.lit, vocab.PARSER_SKILLS))
+    return c.rlike("(?i)" + TECH_LABEL) | ((F.size(parts) > 1) & F.arrays_overlap(F.slice(parts, 2, 1000), known))
+
+
+def project_title(c: Column) -> Column:
+    no = T.is_bullet(c) | c.rlike("(?i)" + TECH_LABEL) | (_words(c) > 10) | c.rlike(r"[.,;:]$|@|(?i:https?://|www\.)") | _starts(c, NOT_TITLE) | F.lower(c).rlike(rf"\b(?:{TITLE_VERBS})\b")
+    return ~no
+
+
+def name_score(c: Column) -> Column:
+    """How much a header part looks like a name; -100 if it can't be one."""
+    words = F.split(F.trim(c), r"\s+")
+    n = F.size(words)
+    veto = (n > 5) | c.rlike(r"@|\d|(?i:https?://|www\.|linkedin|github|\+91|phone|email|portfolio)") | T.header(c).isin(*NOT_NAMES) | ~F.forall(words, lambda w: w.rlike(r"^[A-Za-z.'-]+$"))
+    title = F.forall(words, lambda w: w.rlike(r"^(?:[A-Z][a-z]*[.'-]*)+$"))
+    value = (
+        F.coalesce(F.element_at(F.create_map(*map(F.lit, (2, 40, 3, 35, 4, 25, 5, 15))), n), F.lit(0))
+        + 35
+        + F.when(F.upper(c) == c, 30).when(title, 15).otherwise(0)
+        - F.when(F.exists(words, lambda w: F.lower(w).isin(*ROLE_WORDS)), 60).otherwise(0)
+        - F.when(c.rlike(rf"(?i)\b(?:{PROSE})\b"), 50).otherwise(0)
+    )
+    return F.when(veto, -100).otherwise(value)
+
+
+def header_names(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, name: the best-scoring part of the first six header lines, the earliest of equals."""
+    numbered = rows.filter("section = 'header'").withColumn("at", F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1).filter("at < 6")
+    first = F.split("line", r"\s*[|•]\s*")
+    marker = r"(?i)^(.+?)\s*((?:" + "|".join(ROLE_MARKERS) + r")\s.*)$"
+    lead = F.element_at(first, 1)
+    parts = F.when(lead.rlike(marker), F.concat(F.array(F.regexp_extract(lead, marker, 1), F.regexp_extract(lead, marker, 2)), F.slice(first, 2, 1000))).otherwise(first)
+    cut = numbered.select(key, "at", F.posexplode(parts).alias("part", "value")).withColumn("value", F.trim("value")).filter("value != ''")
+    scored = cut.withColumn("score", name_score(F.col("value"))).filter("score >= 40")
+    total = F.col("score") + F.greatest(F.lit(0), 15 - F.col("at") * 3) + F.when(F.col("part") == 0, 10).otherwise(0)
+    return scored.groupBy(key).agg(F.max_by("value", F.struct(total, -F.col("at"), -F.col("part"))).alias("name"))
+
+
+def section_texts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and one array of lines for each section."""
+    kept = rows.groupBy(key).pivot("section", ["header", *vocab.SECTIONS]).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))))
+    return kept.select(key, *(F.coalesce(F.col(f"`{s}`.line"), F.array().cast("array<string>")).alias(s) for s in ("header", *vocab.SECTIONS)))
+
+
+def _clean_items(c: Column) -> Column:
+    """Trimmed, without empty ones, the first of those that differ in case only."""
+    items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return F.aggregate(items, F.array().cast("array<string>"), lambda got, x: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(x)), got).otherwise(F.array_append(got, x)))
+
+
+def _first_part(parts: Column, words: str, other: str | None = None) -> Column:
+    fits = lambda p: F.lower(p).rlike(words) & (~F.lower(p).rlike(other) if other else F.lit(True))
+    return F.element_at(F.filter(parts, fits), 1)
+
+
+def education(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, education: an entry for each line that names a degree, with the lines after it."""
+    own = rows.filter("section = 'education'")
+    # equal lines count once over the whole section
+    own = own.withColumn("nth", F.row_number().over(W.partitionBy(key, F.lower("line")).orderBy("pos"))).filter("nth = 1")
+    degree = F.col("line").rlike("(?i)" + "|".join(DEGREES))
+    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = own.withColumn("entry", F.sum(degree.cast("int")).over(so_far))
+    entries = own.groupBy(key, "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"].alias("details"), F.min("pos").alias("pos"))
+    joined = F.array_join("details", " ")
+    bare = F.transform("details", lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*\d+(?:\.\d+)?(?:\s*/\s*\d+(?:\.\d+)?)?", ""), r"\b(?:19|20)\d{2}\s*[-–—]\s*(?:19|20)\d{2}\b", ""))
+    parts = F.transform(F.flatten(F.transform(bare, lambda x: F.split(x, ","))), lambda p: F.trim(F.regexp_replace(p, r"^[ ,|-]+|[ ,|-]+$", "")))
+    found = lambda pattern, group: F.nullif(F.regexp_extract(joined, pattern, group), F.lit(""))
+    years = r"\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2})\b"
+    entry = F.struct(
+        "details",
+        F.coalesce(*(found("(?i)" + p, 0) for p in DEGREES)).alias("degree"),
+        _first_part(parts, "college|institute", "university").alias("institution"),
+        _first_part(parts, "university").alias("university"),
+        found(r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*(\d+(?:\.\d+)?)", 1).cast("double").alias("cgpa"),
+        found(years, 1).cast("int").alias("start_year"),
+        found(years, 2).cast("int").alias("end_year"),
+    )
+    return _collected(entries.select(key, "pos", entry.alias("item")), key, "education")
+
+
+def _collected(entries: DataFrame, key: str, name: str) -> DataFrame:
+    items = F.array_sort(F.collect_list(F.struct("pos", "item")))
+    return entries.groupBy(key).agg(F.slice(items, 1, MOST[name])["item"].alias(name))
+
+
+def _descriptions(own: DataFrame, key: str) -> DataFrame:
+    """key, entry, description: one text for each bullet, lines without one going on the last."""
+    so_far = W.partitionBy(key, "entry").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    body = own.withColumn("item", F.sum(T.is_bullet(F.col("line")).cast("int")).over(so_far))
+    told = body.groupBy(key, "entry", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], " ").alias("told"))
+    pieces = F.split(F.regexp_replace("told", r"^\s*[•*-]+\s*", ""), r"\s*•\s*")
+    return told.groupBy(key, "entry").agg(_clean_items(F.flatten(F.array_sort(F.collect_list(F.struct("item", pieces.alias("pieces"))))["pieces"])).alias("description"))
+
+
+def experience(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, experience: an entry for each heading line, with what is told below it."""
+    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = rows.filter("section = 'experience'").withColumn("opens", experience_heading(F.col("line")))
+    own = own.withColumn("entry", F.sum(F.col("opens").cast("int")).over(so_far)).filter("entry > 0")
+    span = r"(?i)\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2}|Present|Current)\b"
+    single = r"\b(19\d{2}|20\d{2})\b"
+    ranged = F.col("line").rlike(span)
+    bare = F.when(ranged, F.regexp_replace("line", span, "")).otherwise(F.regexp_replace("line", single, ""))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(bare, r"\(\s*\)", ""), r"^[ |()\-,]+|[ |()\-,]+$", ""), r"\|"), lambda x: F.trim(x)), lambda p: p != "")
+    year = lambda pattern, group: F.expr(f"try_cast(nullif(regexp_extract(line, r'{pattern}', {group}), '') AS int)")
+    heads = own.filter("opens").select(
+        key,
+        "entry",
+        "pos",
+        F.get(parts, F.lit(0)).alias("title"),
+        F.get(parts, F.lit(1)).alias("company"),
+        F.get(parts, F.lit(2)).alias("organization"),
+        F.when(ranged, year(span, 1)).alias("start_year"),
+        F.when(ranged, year(span, 2)).otherwise(year(single, 1)).alias("end_year"),
+    )
+    told = _descriptions(own.filter(~F.col("opens")), key)
+    entry = F.struct("title", "company", "organization", "start_year", "end_year", F.coalesce("description", F.array().cast("array<string>")).alias("description"))
+    return _collected(heads.join(told, [key, "entry"], "left").filter("title IS NOT NULL").select(key, "pos", entry.alias("item")), key, "experience")
+
+
+def projects(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, projects: a title is a line before a technology line or a bullet."""
+    order = W.partitionBy(key).orderBy("pos")
+    own = rows.filter("section = 'projects'").withColumn("next", F.lead("line").over(order))
+    line, after = F.col("line"), F.col("next")
+    own = own.withColumn("tech", is_tech_line(line)).withColumn("opens", project_title(line) & ~F.col("tech") & F.coalesce(is_tech_line(after) | T.is_bullet(after), F.lit(False)))
+    own = own.withColumn("entry", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("entry > 0")
+    heads = own.filter("opens").select(key, "entry", "pos", line.alias("name"))
+    values = F.split(F.regexp_replace("line", "(?i)" + TECH_LABEL, ""), r"\s*[•|,;]\s*")
+    used = own.filter("tech").groupBy(key, "entry").agg(_clean_items(F.flatten(F.array_sort(F.collect_list(F.struct("pos", values.alias("values"))))["values"])).alias("technologies"))
+    told = _descriptions(own.filter(~F.col("opens") & ~F.col("tech")), key)
+    none = F.array().cast("array<string>")
+    entry = F.struct("name", F.coalesce("description", none).alias("description"), F.coalesce("technologies", none).alias("technologies"))
+    return _collected(heads.join(told, [key, "entry"], "left").join(used, [key, "entry"], "left").select(key, "pos", entry.alias("item")), key, "projects")
+
+
+def parse_resumes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row a résumé: status, error, and the parsed record."""
+    cleaned = docs.select(key, clean_text(F.coalesce(F.col(text), F.lit(""))).alias("clean"))
+    rows = split_sections(lines(cleaned, "clean", key), key)
+    out = cleaned
+    for part in (section_texts(rows, key), header_names(rows, key), education(rows, key), experience(rows, key), projects(rows, key)):
+        renamed = part if "header" not in part.columns else part.select(key, *(F.col(c).alias(f"lines_{c}") for c in part.columns if c != key))
+        out = out.join(renamed, key, "left")
+    none = F.array().cast("array<string>")
+    of = lambda s: F.coalesce(F.col(f"lines_{s}"), none)
+    searched = F.concat_ws(" ", of("skills"), of("projects"), of("experience"), of("header"), of("summary"))
+    named = F.when(T.header(F.col("name")).isin(*NOT_NAMES), None).otherwise(F.col("name"))
+    record = {
+        "personal": F.struct(named.alias("name"), T.email(F.col("clean")).alias("email"), T.phone(F.col("clean")).alias("phone"), *(T.link(F.col("clean"), s).alias(s) for s in ("linkedin", "github", "portfolio"))),
+        "skills": vocabulary(searched, _SKILLS),
+        "ai_tools": vocabulary(F.col("clean"), _TOOLS),
+        "summary": F.nullif(F.array_join(of("summary"), " "), F.lit("")),
+        "projects": F.col("projects"),
+        "education": F.col("education"),
+        "experience": F.col("experience"),
+        "certifications": _clean_items(F.flatten(F.transform(of("certifications"), lambda x: F.split(F.regexp_replace(x, r"^\s*[•*-]+\s*", ""), r"\s*•\s*")))),
+        "languages": _clean_items(F.flatten(F.transform(of("languages"), lambda x: F.split(x, r"\s*[•,|]\s*")))),
+    }
+    bad = F.when(F.col("clean") == "", "no text").when(F.length("clean") < LEAST_LENGTH, "text too short")
+    out = out.select(key, "clean", bad.alias("error"), F.struct(*(v.alias(k) for k, v in record.items())).alias("r"))
+    filled = lambda k: F.coalesce(F.size(F.col(f"r.{k}")) > 0, F.lit(False))
+    warnings = F.array_compact(F.array(*(F.when(~c, F.lit(w)) for c, w in ((F.col("r.personal.name").isNotNull(), "no name"), (F.col("r.personal.email").isNotNull(), "no email"), *((filled(k), f"no {k}") for k in ("skills", "education", "experience", "projects"))))))
+    found = F.array_compact(F.array(F.when(F.col("r.summary").isNotNull(), "summary"), *(F.when(filled(k), k) for k in ("skills", "experience", "projects", "education", "certifications", "languages"))))
+    diagnostics = F.struct(F.lit(PARSER_VERSION).alias("parser_version"), F.length("clean").alias("text_length"), found.alias("sections_detected"), warnings.alias("warnings"))
+    status = F.when(F.col("error").isNull(), "Completed").otherwise("Failed")
+    return out.select(key, status.alias("status"), "error", F.when(F.col("error").isNull(), F.struct("r.*", diagnostics.alias("diagnostics"))).alias("parsed_data"))
