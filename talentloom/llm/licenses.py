@@ -79,7 +79,7 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
     out = []
     for name, notices in TEMPLATES.items():
         for notice in notices:
-            held = zstandard.ZstdCompressionDict(notice.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             out.append((name, words_of(notice), zstandard.ZstdCompressor(dict_data=held, **options)))
     return zstandard.ZstdCompressor(**options), out
 
@@ -87,7 +87,7 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
 def reductions(block: str) -> list[tuple[float, int]]:
     """(share of bytes saved, template number), the largest first."""
     plain, templates = _compressors()
-    raw = block.encode("utf-8", "surrogatepass")
+    raw = block.lower().encode("utf-8", "surrogatepass")
     alone = len(plain.compress(raw))
     saved = [((alone - len(c.compress(raw))) / alone, k) for k, (_, _, c) in enumerate(templates)]
     return sorted(saved, key=lambda x: (-x[0], x[1]))
