@@ -43,6 +43,11 @@ def _double(c: str):
     return F.col(c).cast("double").alias(c)
 
 
+def _key(c: str):
+    """A key that may be missing, as -1 then."""
+    return F.coalesce(F.col(c), F.lit(-1).cast("long")).alias(c)
+
+
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
@@ -97,9 +102,9 @@ def company_name_taken(m):
     return relational.same_name(m.companies, "supplier#00000000_", other_than=3).select("id", "name")
 
 
-@query("SELECT j.id, j.title, c.name AS company_name, c.owner_id FROM jobs j LEFT JOIN companies c ON j.company_id = c.id")
+@query("SELECT j.id, j.title, c.name AS company_name, coalesce(c.owner_id, -1) AS owner_id FROM jobs j LEFT JOIN companies c ON j.company_id = c.id")
 def jobs_with_company(m):
-    return relational.with_company(m.jobs, m.companies).select("id", "title", "company_name", "owner_id")
+    return relational.with_company(m.jobs, m.companies).select("id", "title", "company_name", _key("owner_id"))
 
 
 @query("SELECT j.id, j.title, c.name AS company_name FROM jobs j JOIN companies c ON j.company_id = c.id WHERE c.owner_id = 5")
@@ -158,10 +163,10 @@ def candidate_recent_top5(m):
 
 @query(
     f", c AS (SELECT user_id, count(*) AS total, {_FOUR_SQL} FROM applications GROUP BY user_id), s AS (SELECT user_id, count(*) AS saved_jobs FROM saved_jobs GROUP BY 1), r AS (SELECT user_id, count(*) AS resumes, min(id) FILTER (is_primary) AS primary_resume_id FROM resumes GROUP BY 1) "
-    "SELECT u.id AS user_id, coalesce(total, 0) AS total, coalesce(applied, 0) AS applied, coalesce(shortlisted, 0) AS shortlisted, coalesce(rejected, 0) AS rejected, coalesce(selected, 0) AS selected, coalesce(saved_jobs, 0) AS saved_jobs, coalesce(resumes, 0) AS resumes, primary_resume_id FROM users u LEFT JOIN c ON u.id = c.user_id LEFT JOIN s ON u.id = s.user_id LEFT JOIN r ON u.id = r.user_id"
+    "SELECT u.id AS user_id, coalesce(total, 0) AS total, coalesce(applied, 0) AS applied, coalesce(shortlisted, 0) AS shortlisted, coalesce(rejected, 0) AS rejected, coalesce(selected, 0) AS selected, coalesce(saved_jobs, 0) AS saved_jobs, coalesce(resumes, 0) AS resumes, coalesce(primary_resume_id, -1) AS primary_resume_id FROM users u LEFT JOIN c ON u.id = c.user_id LEFT JOIN s ON u.id = s.user_id LEFT JOIN r ON u.id = r.user_id"
 )
 def candidate_dashboard(m):
-    return relational.candidate_dashboard(m.users, m.applications, m.saved_jobs, m.resumes)
+    return relational.candidate_dashboard(m.users, m.applications, m.saved_jobs, m.resumes).withColumn("primary_resume_id", _key("primary_resume_id"))
 
 
 @query("SELECT s.id, s.job_id, j.title, c.name AS company_name FROM saved_jobs s LEFT JOIN jobs j ON s.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id WHERE s.user_id < 40 ORDER BY s.saved_at DESC, s.id DESC LIMIT 100 OFFSET 100")
@@ -171,9 +176,9 @@ def saved_jobs_page(m):
     return relational.page(relational.sort(rows, "saved_at", "desc", ("saved_at",)), 2, 100).select("id", "job_id", "title", "company_name")
 
 
-@query("SELECT a.id, a.user_id, c.owner_id FROM applications a LEFT JOIN jobs j ON a.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id WHERE a.user_id = 7 OR c.owner_id = 7")
+@query("SELECT a.id, a.user_id, coalesce(c.owner_id, -1) AS owner_id FROM applications a LEFT JOIN jobs j ON a.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id WHERE a.user_id = 7 OR c.owner_id = 7")
 def visible_applications(m):
-    return relational.visible_applications(m.applications, m.jobs, m.companies, 7, "Employer").select("id", "user_id", "owner_id")
+    return relational.visible_applications(m.applications, m.jobs, m.companies, 7, "Employer").select("id", "user_id", _key("owner_id"))
 
 
 @query("SELECT id, role IN ('Employer', 'Admin') AS may_post, role = 'Admin' AS may_administer FROM users")
@@ -258,12 +263,12 @@ def save_job_insert(m):
 @query(
     ", req AS (SELECT o_custkey AS user_id, o_orderkey % 2500 AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS resume_id FROM orders), prim AS (SELECT user_id, min(id) AS pid FROM resumes WHERE is_primary GROUP BY 1) "
     "SELECT q.user_id, q.job_id, CASE WHEN j.id IS NULL THEN 'no such job' WHEN a.id IS NOT NULL THEN 'applied already' WHEN q.resume_id IS NULL AND p.pid IS NULL THEN 'no primary resume' ELSE 'accepted' END AS outcome, "
-    "CASE WHEN j.id IS NOT NULL AND a.id IS NULL THEN coalesce(q.resume_id, p.pid) END AS resume_id FROM req q LEFT JOIN jobs j ON q.job_id = j.id LEFT JOIN applications a ON a.user_id = q.user_id AND a.job_id = q.job_id LEFT JOIN prim p ON p.user_id = q.user_id"
+    "CASE WHEN j.id IS NOT NULL AND a.id IS NULL THEN coalesce(q.resume_id, p.pid, -1) ELSE -1 END AS resume_id FROM req q LEFT JOIN jobs j ON q.job_id = j.id LEFT JOIN applications a ON a.user_id = q.user_id AND a.job_id = q.job_id LEFT JOIN prim p ON p.user_id = q.user_id"
 )
 def create_applications(m):
     requests = m.raw("orders").select(F.col("o_custkey").alias("user_id"), F.pmod("o_orderkey", F.lit(2500)).alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("resume_id"))
     rows = writes.create_applications(requests, m.jobs, m.applications, m.resumes)
-    return rows.select("user_id", "job_id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), "resume_id")
+    return rows.select("user_id", "job_id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), _key("resume_id"))
 
 
 @query("SELECT id, title, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN CAST(salary + 100 AS DOUBLE) ELSE CAST(salary AS DOUBLE) END AS salary FROM jobs")
@@ -281,10 +286,10 @@ def delete_restricted(m):
     return gone.select("id", F.lit("gone").alias("outcome")).unionByName(used.select("id", F.lit("in use").alias("outcome")))
 
 
-@query("SELECT id, user_id, CASE WHEN job_id % 3 = 0 THEN NULL ELSE job_id END AS job_id FROM applications WHERE user_id % 2 = 1")
+@query("SELECT id, user_id, CASE WHEN job_id % 3 = 0 THEN -1 ELSE job_id END AS job_id FROM applications WHERE user_id % 2 = 1")
 def delete_cascades(m):
     after = writes.delete_cascade(m.applications, m.users.filter("id % 2 = 0"), "user_id")
-    return writes.delete_set_null(after, m.jobs.filter("id % 3 = 0"), "job_id").select("id", "user_id", "job_id")
+    return writes.delete_set_null(after, m.jobs.filter("id % 3 = 0"), "job_id").select("id", "user_id", _key("job_id"))
 
 
 @query("SELECT id, id % 3 AS caller_id, CASE WHEN id <> id % 3 AND id % 3 <> 0 THEN 'not allowed' WHEN id = id % 3 AND id = 0 THEN 'admins can''t delete themselves' WHEN id IN (SELECT owner_id FROM companies) THEN 'owns companies' END AS reason FROM users")
