@@ -130,6 +130,8 @@ def posting_keys(fp):
 
 def link_fingerprints(entries: DataFrame, long_posting: int = 5000) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within four bits; entries: fp, entry."""
+    # a small table, but each row becomes one for each choice: deal it to all cores first
+    entries = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     posted = entries.select(F.explode(posting_keys(F.col("fp"))).alias("key"), "fp", "entry")
     sampled = entries.filter(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0).select(F.explode(posting_keys(F.col("fp"))).alias("key"))
     hot = sampled.groupBy("key").agg((F.count("*") * 16).alias("members")).filter(F.col("members") > long_posting)
