@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,13 +55,19 @@ def term_forms(term: str) -> tuple[str, ...]:
 
 def contains_any(matching: Column, terms: Iterable[str]) -> Column:
     """Whether text (as of ``for_matching``) has one of the terms between non-alphanumerics."""
-    forms = list(dict.fromkeys(f for t in terms for f in term_forms(t)))
-    if not forms:
+    by_term = [f for f in map(term_forms, terms) if f]
+    if not by_term:
         return F.lit(False)
-    guard = os.path.commonprefix(forms)
     # java.util.regex and re escape alike what occurs here
-    found = matching.rlike("(?<![a-z0-9])(?:" + "|".join(map(re.escape, forms)) + ")(?![a-z0-9])")
-    return matching.contains(guard) & found if guard else found
+    forms = "|".join(map(re.escape, dict.fromkeys(f for forms in by_term for f in forms)))
+    return has_any(matching, map(os.path.commonprefix, by_term)) & matching.rlike(f"(?<![a-z0-9])(?:{forms})(?![a-z0-9])")
+
+
+def has_any(c: Column, parts: Iterable[str]) -> Column:
+    """Plain substring tests; a part that holds another is left out."""
+    parts = sorted(set(parts), key=len)
+    least = [p for i, p in enumerate(parts) if not any(q in p for q in parts[:i])]
+    return reduce(lambda a, b: a | b, (c.contains(p) for p in least))
 
 
 def scan(matching: Column, terms: Mapping[str, Iterable[str]]) -> Column:
@@ -184,10 +191,10 @@ def punctuation(c: Column) -> Column:
     return F.translate(c, "–—‒‑−‘’“”   ", "-----''\"\"   ")
 
 
-def whitespace(c: Column) -> Column:
-    """LF line ends; runs of blanks as one; no white space before closing or after opening marks."""
+def whitespace(c: Column, blank: str = r"\s") -> Column:
+    """LF line ends; runs of blanks as one; no ``blank`` before closing or after opening marks."""
     c = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+", " ")
-    for pattern, new in ((r"\s+([,.;:!?])", "$1"), (r"([(\[{])\s+", "$1"), (r"\s+([)\]}])", "$1")):
+    for pattern, new in ((rf"{blank}+([,.;:!?])", "$1"), (rf"([(\[{{]){blank}+", "$1"), (rf"{blank}+([)\]}}])", "$1")):
         c = F.regexp_replace(c, pattern, new)
     return F.trim(c)
 
@@ -201,11 +208,11 @@ PDF_ARTIFACTS: dict[str, str] = {
 BULLETS = "●▪◦‣➢➤"
 
 
-def pdf_artifacts(c: Column) -> Column:
+def pdf_artifacts(c: Column, blank: str = r"\s") -> Column:
     c = punctuation(c)
     for old, new in PDF_ARTIFACTS.items():
         c = F.replace(c, F.lit(old), F.lit(new))
-    return whitespace(c)
+    return whitespace(c, blank)
 
 
 def bullets(c: Column) -> Column:

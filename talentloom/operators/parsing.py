@@ -50,7 +50,7 @@ for _term, _name in vocab.AI_TOOLS.items():
 def vocabulary(c: Column, names: dict[str, list[str]]) -> Column:
     """Names whose terms stand between non-word characters, sorted without regard to case."""
     low = F.lower(c)
-    found = F.array(*(F.when(low.rlike(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)"), F.lit(name)) for name, terms in sorted(names.items(), key=lambda x: x[0].casefold())))
+    found = F.array(*(F.when(T.has_any(low, terms) & low.rlike(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)"), F.lit(name)) for name, terms in sorted(names.items(), key=lambda x: x[0].casefold())))
     return F.array_compact(found)
 
 
@@ -114,8 +114,7 @@ def repaired(text: pd.Series) -> pd.Series:
 
 def clean_text(c: Column) -> Column:
     """Marks as ASCII, torn words and wrapped lines repaired; line ends stay."""
-    per_line = F.array_join(F.transform(F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n"), lambda x: T.pdf_artifacts(T.bullets(x))), "\n")
-    return F.trim(repaired(per_line))
+    return F.trim(repaired(T.pdf_artifacts(T.bullets(c), blank=r"[^\S\n]")))
 
 
 def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
