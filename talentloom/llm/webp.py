@@ -91,8 +91,8 @@ def _read_code(bits: Bits, symbols: int) -> np.ndarray:
     # the coming bits as one number; lengths take at most 14 bits a symbol
     first, mask, found, before = bits.at >> 3, (1 << width) - 1, [], 8
     value = int.from_bytes(bits.data[first : first + 2 * symbols + 8], "little") >> (bits.at & 7)
-    taken = 0
-    while len(found) < symbols and left:
+    taken = n = 0
+    while n < symbols and left:
         left -= 1
         entry = table[value & mask]
         size, s = entry & 15, entry >> 4
@@ -100,19 +100,16 @@ def _read_code(bits: Bits, symbols: int) -> np.ndarray:
         taken += size
         if s < 16:
             found.append(s)
-            before = s or before
-        elif s == 17:
-            found += [0] * (3 + (value & 7))
-            value >>= 3
-            taken += 3
-        elif s == 18:
-            found += [0] * (11 + (value & 127))
-            value >>= 7
-            taken += 7
-        else:
-            found += [before] * (3 + (value & 3))
-            value >>= 2
-            taken += 2
+            n += 1
+            if s:
+                before = s
+            continue
+        again, bits_more, least = (0, 3, 3) if s == 17 else (0, 7, 11) if s == 18 else (before, 2, 3)
+        run = least + (value & ((1 << bits_more) - 1))
+        found += [again] * run
+        value >>= bits_more
+        taken += bits_more
+        n += run
     bits.at += taken
     lengths[: len(found)] = found[:symbols]
     return lengths
