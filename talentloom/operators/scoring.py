@@ -70,12 +70,13 @@ def job_features(jobs: DataFrame) -> DataFrame:
     spelled = F.transform(F.regexp_extract_all("text", F.lit("[a-z][a-z0-9+#./-]*"), F.lit(0)), T.clean_keyword)
     alone = F.array_intersect(spelled, F.array(*map(F.lit, WORDS)))
     found = F.array_distinct(F.concat(F.array_sort(listed), T.scan(F.col("m"), PHRASES), F.array_sort(alone)))
-    own = drop_redundant(found)
+    # columns of their own, so that each is worked out once a row
+    rows = rows.withColumn("found", found).withColumn("own", drop_redundant(F.col("found")))
     return rows.select(
         "job_id",
         "job_skills",
-        F.array_sort(F.filter(own, lambda k: ~F.array_contains("job_skills", T.canonical_skill(k)))).alias("job_keywords"),
-        F.array_sort(own).alias("project_keywords"),
+        F.array_sort(F.filter("own", lambda k: ~F.array_contains("job_skills", T.canonical_skill(k)))).alias("job_keywords"),
+        F.array_sort("own").alias("project_keywords"),
         R.required_experience_years("text").alias("required_years"),
         R.required_education_level("text").alias("required_level"),
         T.field_groups(F.col("m")).alias("job_fields"),
