@@ -36,7 +36,7 @@ class WordEncoder:
     ``most_pieces`` bounds the cache; it is emptied when full.
     """
 
-    def __init__(self, path: str, most_pieces: int = 1_000_000):
+    def __init__(self, path: str, most_pieces: int = 700_000):
         self.tokenizer, self.most_pieces = Tokenizer.from_file(path), most_pieces
         self.forget()
 
