@@ -134,6 +134,16 @@ def employer_applications(applications: DataFrame, jobs: DataFrame, companies: D
     return rows if status is None else rows.filter(F.col("status") == status)
 
 
+def owned(rows: DataFrame, caller_id: int, owner: str = "user_id") -> DataFrame:
+    """A caller's own rows; a row without an owner is nobody's."""
+    return rows.filter(F.coalesce(F.col(owner) == caller_id, F.lit(False)))
+
+
+def listed(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """All keys' lists at once: adds the place of each row in its key's list, latest first."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*(F.col(c).desc() for c in order))))
+
+
 def may(role: Column, *roles: str) -> Column:
     """Role gate as a predicate, letter case aside."""
     return F.lower(role).isin(*(r.lower() for r in roles))

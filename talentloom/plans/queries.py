@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import requirements, text
 from talentloom.operators import parsing, relational, scoring, writes
+from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +182,40 @@ def visible_applications(m):
     return relational.visible_applications(m.applications, m.jobs, m.companies, 7, "Employer").select("id", "user_id", _key("owner_id"))
 
 
+@query("SELECT user_id, id, is_primary, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at DESC, id DESC) AS place FROM resumes")
+def resume_lists(m):
+    return relational.listed(m.resumes, "user_id", "uploaded_at", "id").select("user_id", "id", "is_primary", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT a.job_id, a.id, u.username, row_number() OVER (PARTITION BY a.job_id ORDER BY a.id DESC) AS place FROM applications a LEFT JOIN users u ON a.user_id = u.id")
+def job_application_lists(m):
+    people = m.users.select(F.col("id").alias("user_id"), "username")
+    rows = relational.listed(m.applications, "job_id", "id").join(people, "user_id", "left")
+    return rows.select("job_id", "id", "username", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT id, user_id, job_id FROM saved_jobs WHERE user_id = 11")
+def own_saved_jobs(m):
+    return relational.owned(m.saved_jobs, 11).select("id", "user_id", "job_id")
+
+
+@query(
+    "SELECT id, CASE WHEN id % 3 = 0 THEN 'not completed' WHEN id % 5 = 0 THEN 'other parser version' WHEN id % 7 = 0 THEN 'no parsed data' WHEN id % 11 = 0 THEN 'parsed data is no object' ELSE 'ready' END AS reason FROM resumes"
+)
+def readiness_reasons(m):
+    pick = lambda n, a, b: F.when(F.col("id") % n == 0, a).otherwise(b)
+    data = F.when(F.col("id") % 7 == 0, "{}").otherwise(pick(11, "[1]", '{"skills": []}'))
+    rows = scoring.readiness(m.resumes.select("id", pick(3, "Pending", " Completed").alias("status"), pick(5, "1.0", "2.8").alias("parser_version"), data.alias("parsed_data")))
+    return rows.select("id", F.coalesce("reason", F.lit("ready")).alias("reason"))
+
+
+@query("SELECT id, array_to_string(list_filter([CASE WHEN length(title) NOT BETWEEN 3 AND 9 THEN 'title' END, CASE WHEN salary <= 1000 THEN 'salary' END], lambda x: x IS NOT NULL), ',') AS broken FROM jobs WHERE length(title) NOT BETWEEN 3 AND 9 OR salary <= 1000")
+def job_rule_violations(m):
+    """The column checks, with tighter rules than the schema's so that some rows break them."""
+    rules = {"title": F.length("title").between(3, 9), "salary": F.col("salary") > 1000}
+    return schemas.broken_rules(m.jobs, rules).select("id", F.array_join("broken", ",").alias("broken"))
+
+
 @query("SELECT id, role IN ('Employer', 'Admin') AS may_post, role = 'Admin' AS may_administer FROM users")
 def role_gates(m):
     return m.users.select("id", relational.may(F.col("role"), "employer", "ADMIN").alias("may_post"), relational.may(F.col("role"), "admin").alias("may_administer"))

@@ -69,6 +69,10 @@ def checks(table: str) -> dict[str, Column]:
 
 
 def violations(df: DataFrame, table: str) -> DataFrame:
-    """The rows that break a rule, with the names of those they break."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks(table).items())))
+    """The rows that break a rule of their table, with the names of those they break."""
+    return broken_rules(df, checks(table))
+
+
+def broken_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items())))
     return df.withColumn("broken", broken).filter(F.size("broken") > 0)
