@@ -23,6 +23,8 @@ HASH = 0x1E35A7BD
 OPAQUE = 0xFF000000
 #: Pixels of an image that is always looked at for a palette.
 FEW_PIXELS = 128
+#: Zero lengths in a row that are written at once.
+MOST_ZEROS = 600
 
 
 @cache
@@ -40,6 +42,11 @@ class Bits:
 
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
+        self.code: tuple | None = None  # the last prefix code: symbols, bits, their value, table
+
+    def peek(self, n: int) -> int:
+        first = self.at >> 3
+        return int.from_bytes(self.data[first : first + (n + 14) // 8 + 1], "little") >> (self.at & 7) & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         first = self.at >> 3
@@ -88,29 +95,28 @@ def _read_code(bits: Bits, symbols: int) -> np.ndarray:
     meta[list(CODE_LENGTH_ORDER[:n])] = [packed >> 3 * k & 7 for k in range(n)]
     table, width = _length_table(meta.tobytes())
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else symbols
-    # the coming bits as one number; lengths take at most 14 bits a symbol
-    first, mask, found, before = bits.at >> 3, (1 << width) - 1, [], 8
-    value = int.from_bytes(bits.data[first : first + 2 * symbols + 8], "little") >> (bits.at & 7)
-    taken = n = 0
+    mask, found, before, n, at, data = (1 << width) - 1, [], 8, 0, bits.at, bits.data
     while n < symbols and left:
-        left -= 1
-        entry = table[value & mask]
-        size, s = entry & 15, entry >> 4
-        value >>= size
-        taken += size
-        if s < 16:
-            found.append(s)
-            n += 1
-            if s:
-                before = s
-            continue
-        again, bits_more, least = (0, 3, 3) if s == 17 else (0, 7, 11) if s == 18 else (before, 2, 3)
-        run = least + (value & ((1 << bits_more) - 1))
-        found += [again] * run
-        value >>= bits_more
-        taken += bits_more
-        n += run
-    bits.at += taken
+        # at least 57 bits; a length takes at most 14
+        window, used = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 0
+        while used <= 42 and n < symbols and left:
+            left -= 1
+            entry = table[window >> used & mask]
+            used += entry & 15
+            s = entry >> 4
+            if s < 16:
+                found.append(s)
+                n += 1
+                if s:
+                    before = s
+                continue
+            again, more, least = (0, 3, 3) if s == 17 else (0, 7, 11) if s == 18 else (before, 2, 3)
+            run = least + (window >> used & ((1 << more) - 1))
+            used += more
+            found += [again] * run
+            n += run
+        at += used
+    bits.at = at
     lengths[: len(found)] = found[:symbols]
     return lengths
 
@@ -121,6 +127,19 @@ def _length_table(meta: bytes) -> tuple[list[int], int]:
     return table.tolist(), width
 
 
+def _read_table(bits: Bits, symbols: int) -> tuple[np.ndarray, int]:
+    """The lookup table of the next prefix code; one like the code before it is taken over."""
+    if bits.code and bits.code[0] == symbols and bits.peek(bits.code[1]) == bits.code[2]:
+        bits.at += bits.code[1]
+        return bits.code[3]
+    start = bits.at
+    table = lookup(_read_code(bits, symbols))
+    n, bits.at = bits.at - start, start
+    bits.code = (symbols, n, bits.peek(n), table)
+    bits.at += n
+    return table
+
+
 @dataclass
 class Coded:
     """An entropy-coded image that is yet to be read."""
@@ -143,7 +162,7 @@ def _coded(bits: Bits, width: int, height: int, main: bool) -> Generator:
         group_of = ((yield from _coded(bits, -(-width >> block_bits), -(-height >> block_bits), False)) >> 8 & 0xFFFF).astype(np.int64)
         n = int(group_of.max()) + 1
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
-    groups = [[lookup(_read_code(bits, s)) for s in sizes] for _ in range(n)]
+    groups = [[_read_table(bits, s) for s in sizes] for _ in range(n)]
     return (yield Coded(bits, width, height, cache_bits, groups, group_of, block_bits))
 
 
@@ -308,6 +327,9 @@ def read_pixels(parts: list[Coded]) -> list[np.ndarray]:
     live = n
     base = base[:-1]
     everyone = np.arange(n)
+    # images of one alpha value have no bits for it
+    one_alpha = not masks[3].any()
+    alphas = (table[table_at[3]] >> 4).astype(np.uint32) << 24 if one_alpha else None
 
     def symbol(which: int, lanes_, window, used):
         entry = table[table_at[which, group[lanes_]] + (window & masks[which, group[lanes_]]).astype(np.int64)]
@@ -343,8 +365,12 @@ def read_pixels(parts: list[Coded]) -> list[np.ndarray]:
                 # four codes may take 60 bits; a window has at least 57
                 win = words[(pos[lit] + use) >> 3] >> ((pos[lit] + use) & 7).astype(np.uint64)
                 blue, win, use = symbol(2, lit, win, use)
-                alpha, win, use = symbol(3, lit, win, use)
-                out[base[lit] + step] = (alpha.astype(np.uint32) << 24) | (red << 16 | g << 8 | blue).astype(np.uint32)
+                if one_alpha:
+                    alpha = alphas[group[lit]]
+                else:
+                    alpha, win, use = symbol(3, lit, win, use)
+                    alpha = alpha.astype(np.uint32) << 24
+                out[base[lit] + step] = alpha | (red << 16 | g << 8 | blue).astype(np.uint32)
                 pos[lit] += use
             if not whole:
                 rest, s, use = who[~plain], green[~plain], used[~plain]
@@ -474,31 +500,52 @@ def _length_code() -> list[int]:
     return canonical(lengths).tolist()
 
 
-def _put_code(out: BitsOut, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _put_code(out: BitsOut, counts: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Writes a prefix code for the counts; gives codes and lengths (0 for a lone symbol)."""
+    bits, codes, lengths = _code(counts)
+    for _ in range(times):
+        out.put(*bits)
+    return codes, lengths
+
+
+def _code(counts: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
     used = np.flatnonzero(counts)
     if len(used) < 2 and (not len(used) or used[0] < 256):
         s = int(used[0]) if len(used) else 0
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(int(s > 1), 1)
-        out.put(s, 8 if s > 1 else 1)
-        return np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        none = np.zeros(len(counts), np.int64)
+        # simple, one symbol, whether it takes eight bits, the symbol
+        return (1 | (s > 1) << 2 | s << 3, 11 if s > 1 else 4), none, none
     if len(used) < 2:  # a lone symbol too large for the short form gets a neighbour
         counts = counts.copy()
         counts[0] = 1
         used = np.flatnonzero(counts)
-    lengths, code = code_lengths(counts), _length_code()
+    lengths, out = code_lengths(counts), BitsOut()
     out.put(*_length_header())
-    at, value, size = 0, 0, 0
-    for u, length in zip(used.tolist(), lengths[used].tolist(), strict=True):
-        zeros, n = _zeros(u - at)
-        value |= (zeros | code[length] << n) << size
-        size += n + 4
-        at = u + 1
-    zeros, n = _zeros(len(counts) - at)
-    out.put(value | zeros << size, size + n)
-    return canonical(lengths), lengths
+    gaps = np.diff(used, prepend=-1, append=len(counts)) - 1
+    if gaps.max() > MOST_ZEROS:
+        for gap, length in zip(gaps.tolist(), [*lengths[used].tolist(), None], strict=True):
+            out.put(*_zeros(gap))
+            if length:
+                out.put(_length_code()[length], 4)
+        return (out.value, out.size), canonical(lengths), lengths
+    zeros, sizes = _zero_runs()
+    values, sizes = zeros[gaps], sizes[gaps]
+    values[:-1] |= _length_codes()[lengths[used]] << sizes[:-1]
+    sizes[:-1] += 4
+    out.put_all(values, sizes)
+    return (out.value, out.size), canonical(lengths), lengths
+
+
+@cache
+def _length_codes() -> np.ndarray:
+    return np.array(_length_code(), np.int64)
+
+
+@cache
+def _zero_runs() -> tuple[np.ndarray, np.ndarray]:
+    """``_zeros`` of the numbers whose bits, with a length behind, fit one word."""
+    pairs = np.array([_zeros(n) for n in range(MOST_ZEROS + 1)], np.int64)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
 @cache
@@ -532,6 +579,18 @@ def _zeros(n: int) -> tuple[int, int]:
 
 
 def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, extra bits and their value for numbers from 1; small ones from a table."""
+    if int(value.max()) < len(_small_prefixes()[0]):
+        return tuple(t[value] for t in _small_prefixes())
+    return _prefixes(value)
+
+
+@cache
+def _small_prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _prefixes(np.maximum(np.arange(1 << 13), 1))
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol, extra bits and their value for numbers from 1."""
     v = value - 1
     high = np.frexp(np.maximum(v, 1).astype(float))[1] - 1  # place of the top bit
@@ -549,10 +608,12 @@ def back_references(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int,
     key = p[:n].copy()
     for k in range(1, least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + p[k : k + n]
-    order = np.argsort(key, kind="stable")
-    same = key[order[1:]] == key[order[:-1]]
+    # half of the key above the place: equal keys come in order of place
+    both = np.sort((key & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64))
+    same = both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32)
     if not same.any():
         return []
+    order = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
     i, j = order[1:][same], order[:-1][same]
     sort = np.argsort(i)
     i, d = i[sort], (i - j)[sort]
@@ -572,15 +633,17 @@ def back_references(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int,
 def cache_hits(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each pixel is in the colour cache when it comes, and its place there."""
     slot = ((pixels.astype(np.uint64) * HASH & 0xFFFFFFFF) >> np.uint64(32 - bits)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
     hit = np.zeros(len(pixels), bool)
     hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
     return hit, slot
 
 
-def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, references: bool, hits: tuple | None = None) -> None:
+def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, references: bool, hits: tuple | None = None, alike: bool = False) -> None:
     n = len(pixels)
     refs = back_references(pixels) if references else []
+    if 16 * sum(r[1] for r in refs) < n:
+        refs = []  # the code of distances would cost more than they save
     free = np.ones(n, bool)
     for s, length, _ in refs:
         free[s : s + length] = False
@@ -608,7 +671,12 @@ def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, r
         ds, de, dv = _prefix_of(ref[:, 2] + NEAR)
         np.add.at(counts[0], 256 + ls, 1)
         np.add.at(far_counts, ds, 1)
-    (gc, gl), (rc, rl), (bc, bl), (ac, al), (dc, dl) = (_put_code(out, c) for c in (*counts, far_counts))
+    gc, gl = _put_code(out, counts[0])
+    if alike:
+        (rc, rl) = (bc, bl) = _put_code(out, counts[1] + counts[2], 2)
+    else:
+        (rc, rl), (bc, bl) = _put_code(out, counts[1]), _put_code(out, counts[2])
+    (ac, al), (dc, dl) = _put_code(out, counts[3]), _put_code(out, far_counts)
     # one entry for each token: where it starts, its bits, how many
     value, size = gc[channels[0]], gl[channels[0]]
     for code, length, c in ((rc, rl, channels[1]), (bc, bl, channels[2]), (ac, al, channels[3])):
@@ -630,8 +698,8 @@ def _put_pixels(out: BitsOut, pixels: np.ndarray, main: bool, cache_bits: int, r
     out.put_all(np.concatenate(values)[order], np.concatenate(sizes)[order])
 
 
-def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, transforms: tuple = (), hits: tuple | None = None) -> bytes:
-    """A file of rows of ARGB numbers.
+def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, transforms: tuple = (), hits: tuple | None = None, alike: bool = False) -> bytes:
+    """A file of rows of ARGB numbers; ``alike``: red and blue have one code.
 
     ``transforms`` lists, in the order of writing, (PREDICTOR, size, modes by block),
     (CROSS_COLOUR, size, elements by block), (SUBTRACT_GREEN,) or (PALETTE,).
@@ -683,14 +751,15 @@ def encode(pixels: np.ndarray, cache_bits: int = 0, references: bool = True, tra
             packed = (index.reshape(height, -1, per) << (np.arange(per, dtype=np.uint32) * each)).sum(axis=2, dtype=np.uint32)
             px = OPAQUE | packed << 8
     out.put(0, 1)
-    _put_pixels(out, px.ravel(), True, cache_bits, references, hits)
+    _put_pixels(out, px.ravel(), True, cache_bits, references, hits, alike)
     body = out.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + bytes(len(body) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 
 
 def encode_best(pixels: np.ndarray) -> bytes:
-    """A palette where there are few colours, a colour cache where pixels recur, back-references always."""
+    """For text as samples, whose channels are alike: a palette where there are few colours, a colour
+    cache where pixels recur, back-references always."""
     flat = pixels.ravel()
     hits = cache_hits(flat, 9)
     recurring = int(hits[0].sum())
@@ -698,4 +767,6 @@ def encode_best(pixels: np.ndarray) -> bytes:
         n = len(np.unique(flat))
         if n <= 16 or n <= 256 and 4 * n <= len(flat):
             return encode(pixels, transforms=((PALETTE,),))
-    return encode(pixels, 9, hits=hits) if 4 * recurring >= len(flat) else encode(pixels)
+    if 2 * recurring >= len(flat):
+        return encode(pixels, 9, hits=hits, alike=True)
+    return encode(pixels, alike=True)
