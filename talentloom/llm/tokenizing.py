@@ -26,6 +26,13 @@ ODD = re.compile("['\xb2\xb3\xb9\xbc-\xbe\x1c-\x1fɐ-\U0010ffff]|<\\|")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+def is_odd(text: str) -> bool:
+    """``ODD.search``; for ASCII plain substring tests do."""
+    if text.isascii():
+        return any(x in text for x in ("'", "<|", "\x1c", "\x1d", "\x1e", "\x1f"))
+    return bool(ODD.search(text))
+
+
 def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -47,7 +54,7 @@ class WordEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Codes for new pieces; plain ones are joined by blanks and coded as one text."""
-        plain = [p for p in pieces if PIECE.fullmatch(p) and not ODD.search(p)]
+        plain = [p for p in pieces if (p.isascii() and p.isalpha()) or (PIECE.fullmatch(p) and not ODD.search(p))]
         if plain:
             coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
             words = np.array(coded.word_ids, np.int64)
@@ -71,7 +78,7 @@ class WordEncoder:
         self.code.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def pieces(self, text: str) -> list[str]:
-        if not ODD.search(text):
+        if not is_odd(text):
             return PIECE.findall(text.lower())
         return [text] if SEPARATORS.search(text) else text.split()
 
