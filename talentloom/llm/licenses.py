@@ -2,8 +2,10 @@
 
 A candidate block is compressed alone and once with each license template as a zstandard raw
 dictionary: the more a template says what the block says, the more bytes it saves. Templates are
-ranked by that reduction; the winners are confirmed by their exact wording, as the least number of
-word insertions, deletions and replacements that turn the template into some part of the block.
+looked at in the order of that reduction and confirmed by their exact wording, as the least number of
+word insertions, deletions and replacements that turn the template into some part of the block. The
+saving only ranks, as it says little in a block with much other text: a template is passed over only
+if so many of its words are missing from the block that it can't be confirmed or can't better its license.
 
 A block is a run of lines around a trigger word; lines of more than ``WIDE`` words are cut to
 windows around their triggers, so long texts cost no more than their triggers. Null and empty
@@ -38,8 +40,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission is hereby|free software|all rights reserved|creative commons|spdx", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.\-/'][^\W_]+)*")
 WIDE, BEFORE, AFTER = 240, 40, 80
-#: Bytes that a template must save, as a share of the block's own compressed size, to be looked at.
-LEAST_SAVED = 0.15
 #: Words that may differ, as a share of the template's, to be confirmed.
 MOST_DIFFERENT = 0.1
 LEVEL = 9
@@ -112,13 +112,16 @@ def scan(text: str | None) -> tuple[int, list[tuple[str, int]]]:
     _, templates = _compressors()
     for block in blocks:
         words = words_of(block)
-        for saved, k in reductions(block):
-            if saved < LEAST_SAVED:
-                break
+        held = set(words)
+        for _, k in reductions(block):
             name, wording, _ = templates[k]
+            most = min(MOST_DIFFERENT * len(wording), found.get(name, len(wording)) - 1)
+            # each word that the block lacks is one difference at least
+            if sum(w not in held for w in wording) > most:
+                continue
             different = wording_differences(wording, words)
-            if different <= MOST_DIFFERENT * len(wording):
-                found[name] = min(different, found.get(name, different))
+            if different <= most:
+                found[name] = different
     return len(blocks), sorted(found.items())
 
 

@@ -184,6 +184,15 @@ def test_license_scan_finds_what_each_template_would(spark):
         assert got[i].licenses == ",".join(k for k, _ in want), text[:200]
 
 
+def test_license_scan_finds_a_notice_whatever_shares_its_block():
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for n in (12, 30, 115, 240):
+                text = " ".join(f"prose{k * k}" for k in range(n))
+                for t in (f"{text} {notice}", f"{notice} {text}", f"{text}\nCopyright (c) 2024 Example Corporation. {notice}\n" + "\n".join(f"copyright line {k * k}" for k in range(n))):
+                    assert (name, 0) in licenses.scan(t)[1], (notice, n)
+
+
 def test_wording_differences_count_words():
     t = "a b c d".split()
     assert [licenses.wording_differences(t, x.split()) for x in ("z a b c d z", "a b x c d", "a c d", "a b c e", "")] == [0, 1, 1, 1, 4]
