@@ -7,15 +7,18 @@ word insertions, deletions and replacements that turn the template into some par
 saving only ranks, as it says little in a block with much other text: a template is passed over only
 if so many of its words are missing from the block that it can't be confirmed or can't better its license.
 
-A block is a run of lines around a trigger word; lines of more than ``WIDE`` words are cut to
-windows around their triggers, so long texts cost no more than their triggers. Null and empty
-texts have no block. Repeated rows are repeated rows of the result; an empty table gives an empty
-result. Extra columns are left out.
+A block is the words around a trigger word or around an anchor, across line ends, with as many before
+and after as the longest template may take; blocks that meet are joined. Anchors are the parts of a
+template cut into one more than the words that may differ: one of them stands whole in any wording
+that is confirmed, so the blocks hold every such wording of the text. Null and empty texts have no
+block. Repeated rows are repeated rows of the result; an empty table gives an empty result. Extra
+columns are left out.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import cache
 
 import numpy as np
@@ -39,7 +42,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission is hereby|free software|all rights reserved|creative commons|spdx", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.\-/'][^\W_]+)*")
-WIDE, BEFORE, AFTER = 240, 40, 80
 #: Words that may differ, as a share of the template's, to be confirmed.
 MOST_DIFFERENT = 0.1
 LEVEL = 9
@@ -49,28 +51,40 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+@cache
+def _anchors() -> tuple[int, list[tuple[list[str], re.Pattern]]]:
+    """Most words of a confirmed wording; each anchor's words and pattern."""
+    context, anchors = 0, {}
+    for notices in TEMPLATES.values():
+        for wording in map(words_of, notices):
+            most = int(MOST_DIFFERENT * len(wording))
+            context = max(context, len(wording) + most)
+            cuts = [len(wording) * k // (most + 1) for k in range(most + 2)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                anchors[tuple(wording[a:b])] = re.compile(r"[\W_]+".join(map(re.escape, wording[a:b])), re.I)
+    return context, [(list(words), pattern) for words, pattern in anchors.items()]
+
+
 def candidate_blocks(text: str | None) -> list[str]:
-    """Lines with a trigger word, neighbouring ones joined; windows of very long ones."""
-    if not text or not TRIGGER.search(text):
+    """The words around each trigger and anchor, joined where they meet."""
+    if not text:
         return []
-    blocks, run = [], []
-    for line in [*text.split("\n"), ""]:
-        if TRIGGER.search(line):
-            if len(line) <= 8 * WIDE:
-                run.append(line)
-                continue
-            spans: list[list[int]] = []
-            for m in TRIGGER.finditer(line):
-                a, b = max(0, m.start() - 8 * BEFORE), m.end() + 8 * AFTER
-                if spans and a <= spans[-1][1] and b - spans[-1][0] <= 8 * WIDE:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-            blocks += [line[a:b] for a, b in spans]
-        if run:
-            blocks.append("\n".join(run))
-            run = []
-    return blocks
+    context, anchors = _anchors()
+    low = text.lower()
+    patterns = [TRIGGER, *(pattern for words, pattern in anchors if all(w in low for w in words))]
+    hits = sorted(m.span() for p in patterns for m in p.finditer(text))
+    if not hits:
+        return []
+    starts, ends = zip(*(m.span() for m in WORD.finditer(text)), strict=True)
+    spans: list[list[int]] = []
+    for start, end in hits:
+        a = max(0, bisect_right(starts, start) - 1 - context)
+        b = min(len(starts), bisect_left(starts, end) + context)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return [text[starts[a] : ends[b - 1]] for a, b in spans]
 
 
 @cache

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -193,6 +194,36 @@ def test_license_scan_finds_a_notice_whatever_shares_its_block():
                     assert (name, 0) in licenses.scan(t)[1], (notice, n)
 
 
+def whole_text_licenses(text):
+    found, words = {}, licenses.words_of(text)
+    for name, notices in licenses.TEMPLATES.items():
+        for wording in map(licenses.words_of, notices):
+            different = licenses.wording_differences(wording, words)
+            if different <= licenses.MOST_DIFFERENT * len(wording):
+                found[name] = min(different, found.get(name, different))
+    return sorted(found.items())
+
+
+def test_license_scan_finds_what_the_whole_text_holds():
+    rng = random.Random(11)
+    notices = [n for ns in licenses.TEMPLATES.values() for n in ns]
+    texts = ["\n".join(["Some prose.", *textwrap.wrap(n, width), "More prose."]) for n in notices for width in (1, 20, 40, 60, 78)]
+    texts += [f"/*\n * " + "\n * ".join(textwrap.wrap(n, 60)) + "\n */" for n in notices]
+    for n in notices * 12:
+        # up to four words left out, put in or replaced, amid prose and wrapped
+        wording = n.split()
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(wording))
+            wording[at : at + rng.randrange(2)] = ["other"] * rng.randrange(2)
+            wording = wording or ["other"]
+        before, after = words(rng, rng.randrange(200)), words(rng, rng.randrange(200))
+        texts.append(rng.choice([" ", "\n", "  \n\t# "]).join([before, *wording, after]))
+    texts += ["reproduction" + notices[2][len("Redistribution") :], " ".join(notices), *filter(None, ODD)]
+    for text in texts:
+        assert licenses.scan(text)[1] == whole_text_licenses(text), text
+    assert sum(bool(whole_text_licenses(t)) for t in texts) > len(texts) // 2
+
+
 def test_wording_differences_count_words():
     t = "a b c d".split()
     assert [licenses.wording_differences(t, x.split()) for x in ("z a b c d z", "a b x c d", "a c d", "a b c e", "")] == [0, 1, 1, 1, 4]
