@@ -283,8 +283,14 @@ def status_change_rejects(m):
 
 @query("SELECT application_id, max_by(new_status, (changed_at, id)) AS status, max_by(id, (changed_at, id)) AS id FROM status_log GROUP BY application_id")
 def upsert_latest_wins(m):
+    from pyspark.sql import Window
+
     log = m.status_log.select("application_id", "id", F.col("new_status").alias("status"), F.struct("changed_at", "id").alias("updated_at"))
-    return writes.upsert(log.limit(0), log, ["application_id"], kept=(), order="updated_at").select("application_id", "status", "id")
+    # the first entry of each even application is there already, all others come in
+    nth = F.row_number().over(Window.partitionBy("application_id").orderBy("updated_at"))
+    there = (F.col("nth") == 1) & (F.col("application_id") % 2 == 0)
+    old, new = (log.withColumn("nth", nth).filter(c).drop("nth") for c in (there, ~there))
+    return writes.upsert(old, new, ["application_id"], kept=(), order="updated_at").select("application_id", "status", "id")
 
 
 @query("SELECT id, user_id, job_id, CASE WHEN job_id % 5 = 0 THEN 'exists already' WHEN nth > 1 THEN 'repeated in the batch' ELSE 'accepted' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY id) AS nth FROM (SELECT * FROM saved_jobs UNION ALL SELECT id + 1, user_id, job_id, saved_at FROM saved_jobs WHERE job_id % 7 = 0))")

@@ -96,6 +96,14 @@ def test_upsert_keeps_id_and_creation(spark):
     assert got == [(1, 5, 6, 30, 100, 300), (10, 5, 7, 40, 200, 200)]
 
 
+def test_upsert_query_replaces_rows(spark, monkeypatch):
+    given, upsert = [], writes.upsert
+    monkeypatch.setattr(writes, "upsert", lambda old, new, *a, **k: given.append((old, new)) or upsert(old, new, *a, **k))
+    queries.QUERIES["upsert_latest_wins"](spark, SF)
+    old, new = ({r[0] for r in df.select("application_id").collect()} for df in given[0])
+    assert old & new and new - old
+
+
 def test_insert_rejects_taken_and_repeated_keys(spark):
     old, new = spark.createDataFrame([(1, "a")], "id long, email string"), spark.createDataFrame([(2, "a"), (3, "b"), (4, "b")], "id long, email string")
     good, bad = writes.insert(old, new, ["email"])
