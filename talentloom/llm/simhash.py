@@ -1,10 +1,11 @@
-"""SimHash near-duplicates through an inverted index over byte positions.
+"""SimHash near-duplicates through an inverted index over combinations of byte positions.
 
 A 64-bit fingerprint has eight positional bytes. Fingerprints that differ in at most four bits
-differ in at most four bytes, so a pair that links shares at least four positional bytes: that is
-the guaranteed minimum of the count filter. Postings are keyed by each choice of four positions
-and their bytes; a pair that shares a posting has reached the minimum tally, and all others are
-never formed. Links are then verified by counting differing bits.
+differ in at most four bytes, so a pair that links shares at least four positional bytes. Postings
+are keyed by each choice of four positions and their bytes (pigeonhole blocking): the pairs that share
+one are just those that a count filter over single bytes would keep at a tally of four. Nothing is
+tallied, as postings of single bytes would form all pairs of a frequent byte. Links are then verified
+by counting differing bits.
 
 Equal fingerprints are one entry of the index. A posting is never expanded into all its pairs: it
 gives a spanning forest of its links, at most one link for each member. Postings longer than
