@@ -140,12 +140,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_arrow(marked, run, f"{field_sql(docs, 'doc_id')}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least_share: float = 0.4) -> DataFrame:
-    """The documents whose main language is known and has at least ``least_share`` of the text, with all their columns."""
+def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The documents whose main language is known, whatever its share of the text, with all their columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: list) -> list[bool]:
-        found = (judge(t, held.value) for t in texts)
-        return [pred != UNKNOWN and shares[0] >= least_share for pred, _, _, shares in found]
+        return [judge(t, held.value)[0] != UNKNOWN for t in texts]
 
     return keep_rows(docs, keep)

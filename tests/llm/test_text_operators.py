@@ -85,6 +85,16 @@ def test_language_without_labels_is_unknown(spark):
     assert langid.keep_known(docs, langid.fit(docs)).count() == 0
 
 
+def test_language_stage_keeps_mixed_documents(spark):
+    docs = registry.table(spark, SF, "documents").collect()
+    model = langid.fit(registry.table(spark, SF, "documents"))
+    parts = [next(d.text for d in docs if d.lang == lang and len(d.text) > 3000)[:3000] for lang in model.languages[:3]]
+    text = "\n".join(parts)
+    pred, _, _, shares = langid.judge(text, model)
+    assert pred in model.languages and shares[0] < 0.4
+    assert [r.doc_id for r in langid.keep_known(frame(spark, [text, "", None, parts[0]]), model).collect()] == [0, 3]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
