@@ -70,6 +70,12 @@ def in_sample(column: str, fraction: float, salt: int):
     return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1_000_000)) < int(fraction * 1_000_000)
 
 
+def copies_in_sample(n, fraction, *shared):
+    """How many of ``n`` equal rows are in a sample: n * fraction, rounded up or down by a hash of what they share."""
+    at = F.pmod(F.xxhash64(*shared), F.lit(1_000_000)) / 1_000_000
+    return F.ceil(n * fraction - at).cast("long")
+
+
 def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "text") -> DataFrame:
     """The rows whose texts ``keep`` accepts, with all their columns and no other."""
 

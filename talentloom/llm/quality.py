@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import crc_mod, field_sql, in_sample, keep_rows, map_arrow, sample_fraction
+from talentloom.llm.common import copies_in_sample, crc_mod, field_sql, keep_rows, map_arrow, materialize, sample_fraction
 
 THRESHOLD = 0.3
 
@@ -141,34 +141,46 @@ def feature_rows(docs: DataFrame, *kept: str) -> DataFrame:
     """The kept columns and x, the features as bytes of 32-bit floats."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [features(t).tobytes() for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        once = {t: features(t).tobytes() for t in set(texts)}
+        x = [once[t] for t in texts]
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(x, pa.binary())], [*kept, "x"])
 
     return map_arrow(docs.select(*kept, "text"), run, ", ".join([*(field_sql(docs, c) for c in kept), "x binary"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 16000, most_unlabelled: int = 16000) -> QualityModel:
-    """From documents that aren't held out: about ``most_labelled`` labels, ``most_unlabelled`` texts of the marginal."""
-    train = docs.select("doc_id", "text").filter(crc_mod("doc_id", 5) != 0)
+    """From documents that aren't held out: about ``most_labelled`` labelled rows, ``most_unlabelled`` of the marginal.
+
+    Rows are sampled, not ids: of rows with the same id and text each counts, but one goes to the driver.
+    """
+    train = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(crc_mod("doc_id", 5) != 0)
     known = labels.filter(F.col("quality").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg((F.avg("quality") > 0.5).alias("positive"))
-    counts = train.agg(F.count("*")).first()[0], known.count()
-    chosen = known.filter(in_sample("doc_id", sample_fraction(counts[1], most_labelled), 5))
-    marginal = in_sample("doc_id", sample_fraction(counts[0], most_unlabelled), 55)
-    # about most_labelled rows by the fraction above
-    both = train.join(F.broadcast(chosen), "doc_id", "left").withColumn("marginal", marginal).filter(F.col("marginal") | F.col("positive").isNotNull())
-    rows = feature_rows(both, "doc_id", "positive", "marginal").toPandas()
+    same = materialize(train.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "equal-rows")
+    labelled = same.groupBy("doc_id").agg(F.sum("n").alias("rows")).join(known, "doc_id")
+    counts = same.agg(F.sum("n")).first()[0] or 0, labelled.agg(F.sum("rows")).first()[0] or 0
+    # the rows to take of each labelled id, as a share of its rows
+    take = copies_in_sample(F.col("rows"), sample_fraction(counts[1], most_labelled), "doc_id", F.lit(5))
+    chosen = labelled.withColumn("take", take).filter("take > 0").select("doc_id", "positive", (F.col("take") / F.col("rows")).alias("share"))
+    of_label = F.coalesce(copies_in_sample(F.col("n"), F.col("share"), "doc_id", "text_hash", F.lit(5)), F.lit(0))
+    of_marginal = copies_in_sample(F.col("n"), sample_fraction(counts[0], most_unlabelled), "doc_id", "text_hash", F.lit(55))
+    picked = same.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text_hash", "positive", of_label.alias("labelled"), of_marginal.alias("marginal"))
+    picked = picked.filter("labelled > 0 OR marginal > 0").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
+    # about most_labelled + most_unlabelled rows by the fractions above
+    both = train.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    rows = feature_rows(both, "doc_id", "text_hash", "positive", "labelled", "marginal").dropDuplicates(["doc_id", "text_hash"]).toPandas()
     if not len(rows):
         return constant()
     rows = rows.sort_values(["doc_id", "x"], kind="stable")
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1).astype(np.float64)
-    labelled = rows["positive"].notna().to_numpy()
-    y = rows["positive"].to_numpy() == True  # noqa: E712
-    u = x[rows["marginal"].to_numpy(bool)]
+    times = rows["labelled"].to_numpy()
+    known_x, y = np.repeat(x, times, axis=0), np.repeat(rows["positive"].to_numpy() == True, times)  # noqa: E712
+    u = np.repeat(x, rows["marginal"].to_numpy(), axis=0)
     if not y.any():
         return constant()
-    prior = float(np.clip(y.sum() / labelled.sum(), 0.05, 0.95))
-    w, b, mean, scale = fit_nnpu(x[y], u if len(u) else x, prior)
-    slope, shift = _calibrate(((x[labelled] - mean) * scale) @ w + b, y[labelled])
+    prior = float(np.clip(y.sum() / len(y), 0.05, 0.95))
+    w, b, mean, scale = fit_nnpu(known_x[y], u if len(u) else known_x, prior)
+    slope, shift = _calibrate(((known_x - mean) * scale) @ w + b, y)
     return QualityModel(mean, scale, w, b, slope, shift, prior)
 
 

@@ -129,6 +129,27 @@ def test_quality_of_odd_texts_and_empty_tables(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("texts", ["equal", "different"])
+@pytest.mark.parametrize("hot", [None, 4])
+def test_quality_samples_rows_of_a_repeated_id(spark, monkeypatch, hot, texts):
+    rows = [(hot, "same words here" if texts == "equal" else f"words {k}") for k in range(1500)] + [(i, f"text {i}") for i in range(10, 3010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(4, 1)] + [(i, i % 2) for i in range(10, 3010)], "doc_id long, quality int")
+    train = docs.filter(quality.crc_mod("doc_id", 5) != 0)
+    held_out = train.filter(F.col("doc_id").eqNullSafe(F.lit(hot))).isEmpty()
+    given, fit = [], quality.fit_nnpu
+    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior: given.append((p, u)) or fit(p, u, prior, steps=2))
+    sent, plain = [], quality.np.frombuffer
+    monkeypatch.setattr(quality.np, "frombuffer", lambda raw, kind: sent.append(len(raw)) or plain(raw, kind))
+    quality.fit(docs, labels, most_labelled=300, most_unlabelled=300)
+    p, u = given[0]
+    one = lambda t: (u == quality.features(t).astype(np.float64)).all(axis=1).sum()
+    share = 0 if held_out else 1500 / train.count()
+    assert 230 < len(u) < 370 and len(p) < 300 and max(sent) <= 716 * 700
+    if texts == "equal":
+        assert abs(one("same words here") - 300 * share) <= 1
+
+
 def test_risk_is_held_non_negative():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))
