@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, long_posting: int = 5000) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest id), with all its columns.
 
-    If ids are missing or repeated, rows are numbered and the smallest number stays.
+    Of rows with the same id the first one counts; rows without an id come last.
     """
     ids = docs.select("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
     row = "row__number"
@@ -175,6 +175,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
         stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
         return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    stay = found.join(numbered.select("doc_id", row), row).groupBy("component_id").agg(F.min(order)[row].alias(row))
     return numbered.join(stay, row, "left_semi").select(docs.columns)

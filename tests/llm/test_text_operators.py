@@ -330,3 +330,13 @@ def test_one_document_of_each_group_stays(spark):
 def test_crc_mod_is_zlibs(spark):
     got = spark.range(50).select("id", registry.langid.crc_mod("id", 3).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 3 for r in got)
+
+
+def test_one_repeated_id_changes_no_other_group(spark):
+    rng = random.Random(5)
+    texts = [words(rng, 60, 4000) for _ in range(6)]
+    rows = [(i, texts[i % 5]) for i in reversed(range(20))]
+    odd = [(None, texts[5]), (None, texts[0]), (100, texts[5]), (100, "other words")]
+    kept = [{(r.doc_id, r.text) for r in simhash.keep_one_each(spark.createDataFrame(x, "doc_id long, text string")).collect()} for x in (rows, [odd[0], odd[1], *rows, *odd[2:]])]
+    assert kept[0] == {(i, texts[i]) for i in range(5)}
+    assert kept[1] == kept[0] | {(100, texts[5]), (100, "other words")}
