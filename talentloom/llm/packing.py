@@ -12,6 +12,7 @@ any others. Extra columns are left out. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -98,18 +99,18 @@ def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
         # in units of 1 / (k * capacity): exact in integers
         value = np.where(whole, x * k, (scaled // capacity) * capacity)
         best = max(best, -(-int((value * c).sum()) // (k * capacity)))
-    small = np.unique(x[x <= capacity // 2])
-    if len(small) > 64:
-        small = small[np.linspace(0, len(small) - 1, 64).astype(int)]
-    for e in [*small.tolist(), capacity // 2]:
-        value = np.where(x > capacity - e, capacity, np.where(x >= e, x, 0))
-        best = max(best, -(-int((value * c).sum()) // capacity))
-    return best
-
-
-def _pack_groups(items: DataFrame, per_group: int, capacity: int, round_: int, rows: int) -> DataFrame:
-    """Adds sequence_id, offset, and open: whether the bin is released for a further round."""
-    groups = max(1, -(-rows // per_group))
+    # every length up to half a bin as e, by sums over the sorted lengths
+    order = np.argsort(x, kind="stable")
+    x, c = x[order], c[order]
+    many, full = (np.concatenate([[0], np.cumsum(v)]) for v in (c, x * c))
+    e = np.append(x[x <= capacity // 2], capacity // 2)
+    low, high = np.searchsorted(x, e), np.searchsorted(x, capacity - e, side="right")
+    value = (many[-1] - many[high]) * capacity + full[high] - full[low]
+    return max(best, -(-int(value.max()) // capacity))
+
+
+def _pack_groups(items: DataFrame, groups: int, capacity: int, round_: int, before: int) -> DataFrame:
+    """Adds sequence_id, offset, and open: whether the bin is released for a further round; ``before``: groups of earlier rounds."""
     kept = items.columns
 
     def pack(group: pa.Table) -> pa.Table:
@@ -125,7 +126,7 @@ def _pack_groups(items: DataFrame, per_group: int, capacity: int, round_: int, r
         released[order[:n]] = filled[order[:n]] < capacity
         pid = group.column("pid")[0].as_py()
         out = group.select(kept)
-        for name, values, kind in (("sequence_id", (round_ << 54) + (pid << 24) + bins, pa.int64()), ("offset", offsets, pa.int64()), ("open", released[bins], pa.bool_())):
+        for name, values, kind in (("sequence_id", ((before + pid) << 24) + bins, pa.int64()), ("offset", offsets, pa.int64()), ("open", released[bins], pa.bool_())):
             out = out.append_column(name, pa.array(values, kind))
         return out
 
@@ -133,7 +134,7 @@ def _pack_groups(items: DataFrame, per_group: int, capacity: int, round_: int, r
     return items.withColumn("pid", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(groups))).groupBy("pid").applyInArrow(pack, schema)
 
 
-def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, per_group: int = 1000, rounds: int = 4) -> tuple[DataFrame, dict[str, int]]:
+def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, per_group: int = 1000) -> tuple[DataFrame, dict[str, int]]:
     """The placed pieces, and {"bins", "bound"}: bins used and the certified least number."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     pieces = materialize(token_pieces(docs, tokenizer or default_path(), capacity), "pieces")
@@ -145,10 +146,13 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     rest = pieces.filter(F.col("length") < capacity)
     rows = int(sizes["count"].sum()) - n_bins
     released_bins = None
-    for round_ in range(rounds):
+    before = 0
+    for round_ in itertools.count():
         if not rows:
             break
-        packed = materialize(_pack_groups(rest, per_group, capacity, round_, rows), f"packed{round_}")
+        groups = max(1, -(-rows // per_group))
+        packed = materialize(_pack_groups(rest, groups, capacity, round_, before), f"packed{round_}")
+        before += groups
         made = packed.groupBy("open").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("rows")).collect()
         count = {r["open"]: (r["bins"], r["rows"]) for r in made}
         total = sum(b for b, _ in count.values())

@@ -127,6 +127,31 @@ def best_bins(items, capacity):
     return best[0]
 
 
+def test_lower_bound_takes_every_length_as_threshold():
+    def plain(lengths, capacity):
+        return max(-(-sum(capacity if x > capacity - e else x if x >= e else 0 for x in lengths) // capacity) for e in {*(x for x in lengths if 2 * x <= capacity), capacity // 2})
+
+    rng = np.random.default_rng(3)
+    for capacity in (1, 7, 100, 4096):
+        for n in (1, 5, 400):
+            lengths = rng.integers(1, capacity + 1, n)
+            assert packing.lower_bound(*np.unique(lengths, return_counts=True), capacity) >= plain(lengths.tolist(), capacity)
+    # 300 lengths: only the threshold of one of them, 1001, tells that 3096 and 1001 share no bin
+    lengths = np.concatenate([np.arange(1, 151), np.arange(1001, 1151), [3096] * 1000])
+    assert packing.lower_bound(*np.unique(lengths, return_counts=True), 4096) >= plain(lengths.tolist(), 4096)
+
+
+def test_packing_goes_on_until_no_round_helps(spark, monkeypatch):
+    rounds, pack = [], packing._pack_groups
+    monkeypatch.setattr(packing, "_pack_groups", lambda *a: rounds.append(a) or pack(*a))
+    rng = np.random.default_rng(1)
+    docs = frame(spark, [" ".join("word" for _ in range(k)) for k in rng.integers(1, 40, 600).tolist()])
+    placed, figures = packing.best_fit_pack(docs, capacity=64, per_group=6)
+    assert len(rounds) > 4
+    bins = placed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert len(bins) == figures["bins"] and all(b.n == b.end <= 64 for b in bins) and sum(b.pieces for b in bins) == 600
+
+
 def test_packing_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     placed, figures = packing.best_fit_pack(docs)
