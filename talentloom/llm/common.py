@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, one of our own, but only if executors are threads of the driver (as in tests): on a
+    cluster a local folder would be another one on each machine.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        sc = spark.sparkContext
-        folder = sc.getCheckpointDir()
-        if not folder:
-            sc.setCheckpointDir("/tmp/talentloom-checkpoints")
-            folder = sc.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-talentloom-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -49,6 +54,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.
     return df.mapInArrow(run, schema)
 
 
+def task_number() -> int:
+    """The number of the partition that the running task works on."""
+    return TaskContext.get().partitionId()
+
+
 def field_sql(df: DataFrame, name: str) -> str:
     """``name type`` of a column, for a schema string."""
     return f"{name} {df.schema[name].dataType.simpleString()}"
@@ -85,3 +95,26 @@ def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "te
                 yield batch.filter(pa.array(keep(batch.column(text).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores put behind until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_names(rows: DataFrame, names: DataFrame, key: str, total: int, large: int = 5_000_000) -> DataFrame:
+    """Inner join of rows with names, which has one row a key and ``n``, a count of rows by key.
+
+    ``total`` is no less than the number of rows. Of more than ``large``, keys with over a thousandth of
+    them (so at most a thousand keys) are broadcast and their rows stay where they are; all other keys are
+    joined as Spark sees fit.
+    """
+    if total <= large:
+        return rows.join(names.drop("n"), key)
+    hot = names.filter(F.col("n") > total // 1000).drop("n")
+    rest = names.filter(F.col("n") <= total // 1000).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

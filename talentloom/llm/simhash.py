@@ -1,19 +1,20 @@
-"""SimHash near-duplicates through an inverted index over combinations of byte positions.
+"""SimHash near-duplicates through an inverted index over byte positions, with count filtering.
 
 A 64-bit fingerprint has eight positional bytes. Fingerprints that differ in at most four bits
-differ in at most four bytes, so a pair that links shares at least four positional bytes. Postings
-are keyed by each choice of four positions and their bytes (pigeonhole blocking): the pairs that share
-one are just those that a count filter over single bytes would keep at a tally of four. Nothing is
-tallied, as postings of single bytes would form all pairs of a frequent byte. Links are then verified
-by counting differing bits.
+differ in at most four bytes, so a pair that links shares at least four positional bytes. Postings hold
+the fingerprints that share the bytes of three positions. Of the 56 choices of three positions 20 do:
+any four positions hold one of them, so each pair that shares four bytes meets in a posting. There the pair's
+shared bytes are tallied; pairs with at least four are kept and verified by counting differing bits.
+(Postings of single bytes would hold 1/256 of all fingerprints each, and so form all pairs of them.)
 
 Equal fingerprints are one entry of the index. A posting is never expanded into all its pairs: it
 gives a spanning forest of its links, at most one link for each member. Postings longer than
 ``long_posting`` (found on a hashed sixteenth of the entries, for planning only) are dealt out as
-tiles of pairs of slices.
+tiles of pairs of slices. Fingerprints that hold more than a thousandth of the rows (at most a thousand
+of them) get their component by broadcast, so a fingerprint with a third of all rows is no hot key.
 
-Null or blank texts have fingerprint zero and link like any other. Repeated ids are repeated rows
-of the result. Rows without an id keep their fingerprint and never name a component unless no id
+Null or blank texts have fingerprint zero and link like any other; texts are taken whole. Repeated ids are
+repeated rows of the result. Rows without an id keep their fingerprint and never name a component unless no id
 is reachable. An empty table gives an empty result. Extra columns are left out.
 """
 
@@ -27,12 +28,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from talentloom.llm.common import field_sql, map_arrow, materialize
+from talentloom.llm.common import field_sql, fresh, join_names, map_arrow, materialize
 from talentloom.llm.components import connected_components
 
 SHINGLE, SEED, MOST_BITS, BYTES = 4, 42, 4, 8
 SHARED = BYTES - MOST_BITS
-CHOICES = list(combinations(range(BYTES), SHARED))
+#: Postings up to this size are searched for links side by side.
+FEW = 32
+
+
+def _position_choices() -> list[tuple[int, int, int]]:
+    """Choices of three positions such that any four positions hold one.
+
+    The positions stand in three parts in a ring: a choice has all three in one part, or two in one
+    and the third in the next. Of any four positions, three are so.
+    """
+    part = [p * 3 // BYTES for p in range(BYTES)]
+    fits = lambda c: len({part[p] for p in c}) == 1 or any(sorted(part[p] for p in c) == sorted((k, k, (k + 1) % 3)) for k in range(3))
+    return [c for c in combinations(range(BYTES), 3) if fits(c)]
+
+
+CHOICES = _position_choices()
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -63,6 +79,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, f"{field_sql(docs, 'doc_id')}, fp long")
 
 
+def linked(differences: np.ndarray) -> np.ndarray:
+    """Count filter, then verification, of pairs by the bits in which they differ."""
+    shared = (np.ascontiguousarray(differences).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+    out = shared >= SHARED
+    out[out] = np.bitwise_count(differences[out]) <= MOST_BITS
+    return out
+
+
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among fingerprints, as pairs of their places.
 
@@ -73,7 +97,7 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
         stack, left = [int(left[0])], left[1:]
         while stack and len(left):
             at = stack.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= MOST_BITS
+            near = linked(fps[left] ^ fps[at])
             if near.any():
                 got = left[near].tolist()
                 out += [(at, j) for j in got]
@@ -82,6 +106,34 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def posting_links(key: np.ndarray, tile: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Pairs of places that link, from rows sorted by key and tile."""
+    n = len(key)
+    same = (key[1:] == key[:-1]) & (tile[1:] == tile[:-1])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    sizes = np.bincount(group)
+    # postings in which each member is near the one before need no more
+    near = np.zeros(n - 1, bool)
+    near[same] = linked(fp[1:][same] ^ fp[:-1][same])
+    broken = np.bincount(group[1:][same & ~near], minlength=len(sizes)) > 0
+    chain = np.flatnonzero(near & ~broken[group[1:]])
+    out = [np.stack([chain + 1, chain], axis=1)]
+    # short postings: which hold a link at all
+    some = (sizes > FEW) & broken
+    rows = np.flatnonzero((broken & (sizes > 2) & ~some)[group])
+    for d in range(1, FEW):
+        a = rows[: len(rows) - d]
+        a = a[group[a] == group[np.minimum(a + d, n - 1)]]
+        if not len(a):
+            break
+        a = a[~some[group[a]]]
+        some[group[a[linked(fp[a] ^ fp[a + d])]]] = True
+    starts = np.cumsum(sizes) - sizes
+    for g in np.flatnonzero(some).tolist():
+        out.append(np.array(forest(fp[starts[g] : starts[g] + sizes[g]]), np.int64).reshape(-1, 2) + starts[g])
+    return np.concatenate(out)
+
+
 def _posting_links(postings: DataFrame) -> DataFrame:
     """Links (u, v) of entries from rows (key, tile, fp, entry) that come sorted by key and tile."""
 
@@ -93,8 +145,8 @@ def _posting_links(postings: DataFrame) -> DataFrame:
             now = [batch.column(i).to_numpy() for i in range(4)]
             if carry is not None:
                 now = [np.concatenate([c, x]) for c, x in zip(carry, now, strict=True)]
-            key, tile = now[0], now[1]
-            last = int(np.flatnonzero((key != key[-1]) | (tile != tile[-1]))[-1]) + 1 if ((key != key[-1]) | (tile != tile[-1])).any() else 0
+            other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             carry = [x[last:] for x in now]
             if last:
                 yield links([x[:last] for x in now])
@@ -103,30 +155,16 @@ def _posting_links(postings: DataFrame) -> DataFrame:
 
     def links(rows) -> pa.RecordBatch:
         key, tile, fp, entry = rows
-        fp = fp.view(np.uint64)
-        same = (key[1:] == key[:-1]) & (tile[1:] == tile[:-1])
-        # neighbours in a posting: whole chains need no more
-        near = same & (np.bitwise_count(fp[1:] ^ fp[:-1]) <= MOST_BITS)
-        u, v = [entry[1:][near]], [entry[:-1][near]]
-        starts = np.flatnonzero(np.concatenate([[True], ~same]))
-        ends = np.append(starts[1:], len(key))
-        broken = np.add.reduceat(np.concatenate([[0], (same & ~near).astype(np.int64)]), starts)
-        for a, b in zip(starts[(broken > 0) & (ends - starts > 2)].tolist(), ends[(broken > 0) & (ends - starts > 2)].tolist(), strict=True):
-            pairs = np.array(forest(fp[a:b]), np.int64).reshape(-1, 2)
-            u.append(entry[a:b][pairs[:, 0]])
-            v.append(entry[a:b][pairs[:, 1]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        pairs = posting_links(key, tile, fp.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(entry[pairs[:, k]]) for k in (0, 1)], ["u", "v"])
 
     return postings.mapInArrow(run, "u long, v long")
 
 
 def posting_keys(fp):
-    """A key for each choice of four positions: the choice's number above its four bytes."""
+    """A key for each choice of positions: the choice's number above its bytes."""
     byte = [F.shiftrightunsigned(fp, 8 * p).bitwiseAND(255) for p in range(BYTES)]
-    keys = []
-    for k, (a, b, c, d) in enumerate(CHOICES):
-        keys.append(F.lit(k << 32) + F.shiftleft(byte[a], 24) + F.shiftleft(byte[b], 16) + F.shiftleft(byte[c], 8) + byte[d])
-    return F.array(*keys)
+    return F.array(*(F.lit(k << 24) + F.shiftleft(byte[a], 16) + F.shiftleft(byte[b], 8) + byte[c] for k, (a, b, c) in enumerate(CHOICES)))
 
 
 def link_fingerprints(entries: DataFrame, long_posting: int = 5000) -> DataFrame:
@@ -152,16 +190,17 @@ def link_fingerprints(entries: DataFrame, long_posting: int = 5000) -> DataFrame
 def near_duplicates(docs: DataFrame, long_posting: int = 5000) -> DataFrame:
     """doc_id, fp (signed), fingerprint (hex), component_id for each document."""
     marked = materialize(fingerprints(docs), "fingerprints")
-    least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "entries")
+    least = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "entries")
     entries = least.select("fp", F.col("fp").alias("entry"))
-    found = connected_components(link_fingerprints(entries, long_posting))
+    found = materialize(connected_components(link_fingerprints(entries, long_posting)), "members")
     # a component is named by its smallest document, not by its smallest fingerprint
     classes = least.join(found.withColumnRenamed("node", "fp"), "fp")
-    named = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = classes.join(named, "component").select("fp", "component_id")
-    alone = least.join(linked, "fp", "left_anti").select("fp", F.col("doc_id").alias("component_id"))
-    names = materialize(linked.unionByName(alone), "components")
-    return marked.join(names, "fp", "left").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(classes.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "classes")
+    total = marked.count()
+    linked_ = join_names(classes.drop("n"), named, "component", total).select("fp", "component_id")
+    alone = least.join(linked_, "fp", "left_anti").select("fp", F.col("doc_id").alias("component_id"))
+    names = materialize(linked_.unionByName(alone).join(least.select("fp", "n"), "fp"), "components")
+    return join_names(marked, names, "fp", total).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
@@ -170,10 +209,10 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     Of rows with the same id the first one counts; rows without an id come last.
     """
     ids = docs.select("doc_id").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    row = "row__number"
     if ids["rows"] == ids["ids"]:
         stay = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
         return docs.join(stay, "doc_id", "left_semi").select(docs.columns)
+    row = fresh(docs, "row_number")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
