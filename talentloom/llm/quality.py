@@ -1,13 +1,20 @@
 """Quality classifier by positive-unlabelled learning.
 
 A linear model on features of the text minimises the non-negative unbiased risk: trusted
-positives and the marginal of unlabelled text stand for the missing negatives, with the class
-prior estimated from the labelled share. Where the estimated negative risk falls below zero,
-its gradient is followed upwards instead. A logistic map then calibrates the margin.
+positives and the marginal of unlabelled text stand for the missing negatives. With the squared
+loss the risk needs no more of the unlabelled rows than their count, sums and products, so these are summed
+over all rows in one pass and the minimum is exact. Where the estimated negative risk would fall
+below zero, its gradient is followed upwards instead. The class prior is the least ratio of
+the two tails, unlabelled over positive, above any margin; negative labels are never used. The minimum
+of this risk is twice the posterior less one, so the score is read off the margin.
+
+Bounded is only the sample of trusted positives (``most_labelled`` rows). Features are written once; each
+further pass reads them. Texts are taken whole, as features of fixed length.
 
 Texts that are null or empty have the features of an empty text and get a score. A document with
-several labels counts as positive if most are; labels without a document or a quality train
-nothing. Without any positive label all scores are 0.5. Extra columns are left out.
+several labels counts as positive if most are (half aren't); labels without a document or a quality train
+nothing. Rows with the same id or text each count. Without any positive label all scores are 0.5. An
+empty table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import copies_in_sample, crc_mod, field_sql, keep_rows, map_arrow, materialize, sample_fraction
+from talentloom.llm.common import copies_in_sample, crc_mod, field_sql, keep_rows, map_arrow, materialize, sample_fraction, task_number
 
 THRESHOLD = 0.3
 
@@ -35,6 +42,8 @@ def _byte_class(c: int) -> int:
 
 
 CLASSES = 13
+#: No shape or repetition feature is larger.
+LARGEST = 4.0
 _CLASS = bytes(map(_byte_class, range(256)))
 N_STATS = 10
 
@@ -53,7 +62,7 @@ def features(text: str | None) -> np.ndarray:
         lengths = np.fromiter(map(len, words), np.float32, n)
         lines = [x for x in raw.split(b"\n") if x.strip()]
         top = seen.most_common(5)
-        out[CLASSES * CLASSES :] = [
+        out[CLASSES * CLASSES :] = np.minimum(LARGEST, [
             np.log1p(n) / 10,
             len(seen) / n,
             len(seen) / n**0.8,
@@ -64,77 +73,90 @@ def features(text: str | None) -> np.ndarray:
             lengths.mean() / 10,
             lengths.std() / 10,
             np.log1p(len(raw) / len(lines)) / 10,
-        ]
+        ])
     return out
 
 
 @dataclass
 class QualityModel:
-    mean: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
     prior: float
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        f = ((x - self.mean) * self.scale) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * f + self.shift, -30, 30)))
+        return np.clip((self.margin(x.astype(np.float64)) + 1) / 2, 0, 1)
+
+
+WIDTH = CLASSES * CLASSES + N_STATS
+#: Margins are counted in cells of 1 / CELLS between -SPAN and SPAN.
+SPAN, CELLS = 8, 256
 
 
 def constant(score: float = 0.5) -> QualityModel:
-    n = CLASSES * CLASSES + N_STATS
-    return QualityModel(np.zeros(n), np.zeros(n), np.zeros(n), 0.0, 0.0, float(np.log(score / (1 - score))), score)
+    return QualityModel(np.zeros(WIDTH), 2 * score - 1, score)
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def products(x: np.ndarray) -> np.ndarray:
+    """Count, sums and products of rows: the products of the rows with a one put behind."""
+    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    return x.T @ x
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Adam on the non-negative risk with logistic loss; weights, bias, mean, scale.
+def fit_nnpu(unlabelled: np.ndarray, positive: np.ndarray, prior: float, ridge: float = 1e-3, steps: int = 2000) -> tuple[np.ndarray, float]:
+    """Weights and bias at the least non-negative risk with squared loss, from ``products`` of both sides.
 
-    risk = prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]), l(f) = log(1 + exp(-f)).
+    risk = prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]), l(f) = (1 - f)^2 / 4. Where the
+    second part isn't below zero at the least unbiased risk, that is the least of both.
+    """
+    n, m = unlabelled[-1, -1], positive[-1, -1]
+    mean = unlabelled[-1, :-1] / n
+    scale = 1 / np.sqrt(np.maximum(np.diag(unlabelled)[:-1] / n - mean**2, 1e-6))
+    # the moments of standardised rows
+    shift = np.diag(np.append(scale, 1.0))
+    shift[-1, :-1] = -mean * scale
+    u, p = shift.T @ (unlabelled / n) @ shift, shift.T @ (positive / m) @ shift
+    # few rows say little about each product
+    held = np.diag(np.append(np.full(len(mean), ridge + len(mean) / (10 * n)), 1e-9))
+    w = np.linalg.solve(u + held, 2 * prior * p[-1] - u[-1])
+
+    def negative(w: np.ndarray) -> float:
+        """E_U[l(-f)] - prior * E_P[l(-f)]."""
+        of = lambda k: 1 + 2 * k[-1] @ w + w @ k @ w
+        return (of(u) - prior * of(p)) / 4
+
+    def risk(w: np.ndarray) -> float:
+        return prior * (1 - 2 * p[-1] @ w + w @ p @ w) / 4 + max(0.0, negative(w)) + w @ held @ w / 4
+
+    if negative(w) < 0:
+        rate, w = 1 / (np.linalg.eigvalsh(u + prior * p + held)[-1] / 2), np.zeros(len(w))
+        best, least = w, risk(w)
+        for _ in range(steps):
+            up = (u[-1] + u @ w - prior * (p[-1] + p @ w)) / 2
+            w = w + rate * up if negative(w) < 0 else w - rate * (prior * (p @ w - p[-1]) / 2 + up + held @ w / 2)
+            if (now := risk(w)) < least:
+                best, least = w, now
+        w = best
+    back = shift @ w
+    return back[:-1], float(back[-1])
+
+
+def least_tail_ratio(unlabelled: np.ndarray, positive: np.ndarray, deepest: float = 0.1) -> float:
+    """The class prior, from counts of margins by cell: no more than this share can be positive.
+
+    Takes the thresholds that at least ``deepest`` of the positives are above; the ratio gets one standard
+    error of the unlabelled tail, lest the least of many noisy ones is taken.
     """
-    mean = unlabelled.mean(axis=0)
-    scale = 1 / np.maximum(unlabelled.std(axis=0), 1e-3)
-    p, u = np.clip((positive - mean) * scale, -8, 8), np.clip((unlabelled - mean) * scale, -8, 8)
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        sp, su = _sigmoid(fp), _sigmoid(fu)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        # d l(-f) / df = sigmoid(f), d l(f) / df = sigmoid(f) - 1
-        of_p, of_u = prior * sp / len(sp), su / len(su)
-        if negative < 0:
-            gp, gu = of_p, -of_u
-        else:
-            gp, gu = prior * (sp - 1) / len(sp) - of_p, of_u
-        g = np.append(gp @ p + gu @ u + ridge * w, gp.sum() + gu.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b), mean, scale
-
-
-def _calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the margin by Newton steps, with smoothed targets."""
-    pos, neg = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        s = _sigmoid(a * f + c)
-        g = np.array([((s - target) * f).sum() + 1e-3 * a, (s - target).sum()])
-        r = s * (1 - s) + 1e-9
-        h = np.array([[(r * f * f).sum() + 1e-3, (r * f).sum()], [(r * f).sum(), r.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        step *= min(1, 5 / max(1e-12, np.abs(step).max()))
-        a, c = a - step[0], c - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(a), float(c)
+    n = unlabelled.sum()
+    u, p = (np.cumsum(c[::-1]) / c.sum() for c in (unlabelled, positive))
+    far = p >= deepest
+    return float(np.clip(((u[far] + np.sqrt(u[far] / n)) / p[far]).min(), 0.01, 0.99))
+
+
+def cells(margins: np.ndarray) -> np.ndarray:
+    return np.clip((margins + SPAN) * CELLS, 0, 2 * SPAN * CELLS - 1).astype(np.int64)
 
 
 def feature_rows(docs: DataFrame, *kept: str) -> DataFrame:
@@ -149,39 +171,87 @@ def feature_rows(docs: DataFrame, *kept: str) -> DataFrame:
     return map_arrow(docs.select(*kept, "text"), run, ", ".join([*(field_sql(docs, c) for c in kept), "x binary"]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 16000, most_unlabelled: int = 16000) -> QualityModel:
-    """From documents that aren't held out: about ``most_labelled`` labelled rows, ``most_unlabelled`` of the marginal.
+def _summed(parts: DataFrame, together: int = 64) -> np.ndarray:
+    """The sum of matrices in rows (at, m), by a tree: at most ``together`` come to one task or the driver."""
+
+    def add(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        total = sum(np.frombuffer(m, np.float64) for m in group.column("m").to_pylist())
+        at = group.column("at")[0].as_py() // together
+        return pa.table({"at": pa.array([at], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    parts = materialize(parts, "products")
+    while parts.count() > together:
+        parts = materialize(parts.groupBy(F.floor(F.col("at") / together)).applyInArrow(add, "at long, m binary"), "products")
+    rows = sorted((r["at"], r["m"]) for r in parts.collect())
+    if not rows:
+        return np.zeros((WIDTH + 1, WIDTH + 1))
+    return sum(np.frombuffer(m, np.float64) for _, m in rows).reshape(WIDTH + 1, WIDTH + 1)
+
+
+def _matrix(x: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x), np.float32).reshape(len(x), WIDTH)
+
 
-    Rows are sampled, not ids: of rows with the same id and text each counts, but one goes to the driver.
+def all_products(rows: DataFrame, together: int = 64) -> np.ndarray:
+    """``products`` of all rows with features x: one matrix a task, summed by a tree."""
+
+    def run(batches):
+        total = np.zeros((WIDTH + 1, WIDTH + 1))
+        for batch in batches:
+            total += products(_matrix(batch.column("x").to_pylist()))
+        if total[-1, -1]:
+            yield pa.RecordBatch.from_arrays([pa.array([task_number()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "m"])
+
+    return _summed(rows.select("x").mapInArrow(run, "at long, m binary"), together)
+
+
+def margin_counts(rows: DataFrame, weights: np.ndarray, bias: float) -> np.ndarray:
+    """How many rows have their margin in each cell; a row for each cell comes to the driver."""
+
+    def run(batches):
+        total = np.zeros(2 * SPAN * CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(cells(_matrix(batch.column("x").to_pylist()) @ weights + bias), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["cell", "n"])
+
+    counted = rows.select("x").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(2 * SPAN * CELLS, np.int64)
+    for r in counted:
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def trusted_positives(rows: DataFrame, labels: DataFrame, most_labelled: int) -> np.ndarray:
+    """Features of about ``most_labelled`` rows with a positive label, repeated rows repeated.
+
+    Rows are sampled, not ids: of rows with the same id and features each counts, but one goes to the driver.
     """
-    train = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).filter(crc_mod("doc_id", 5) != 0)
-    known = labels.filter(F.col("quality").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg((F.avg("quality") > 0.5).alias("positive"))
-    same = materialize(train.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")), "equal-rows")
-    labelled = same.groupBy("doc_id").agg(F.sum("n").alias("rows")).join(known, "doc_id")
-    counts = same.agg(F.sum("n")).first()[0] or 0, labelled.agg(F.sum("rows")).first()[0] or 0
-    # the rows to take of each labelled id, as a share of its rows
-    take = copies_in_sample(F.col("rows"), sample_fraction(counts[1], most_labelled), "doc_id", F.lit(5))
-    chosen = labelled.withColumn("take", take).filter("take > 0").select("doc_id", "positive", (F.col("take") / F.col("rows")).alias("share"))
-    of_label = F.coalesce(copies_in_sample(F.col("n"), F.col("share"), "doc_id", "text_hash", F.lit(5)), F.lit(0))
-    of_marginal = copies_in_sample(F.col("n"), sample_fraction(counts[0], most_unlabelled), "doc_id", "text_hash", F.lit(55))
-    picked = same.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", "text_hash", "positive", of_label.alias("labelled"), of_marginal.alias("marginal"))
-    picked = picked.filter("labelled > 0 OR marginal > 0").withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-    # about most_labelled + most_unlabelled rows by the fractions above
-    both = train.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    rows = feature_rows(both, "doc_id", "text_hash", "positive", "labelled", "marginal").dropDuplicates(["doc_id", "text_hash"]).toPandas()
-    if not len(rows):
-        return constant()
-    rows = rows.sort_values(["doc_id", "x"], kind="stable")
-    x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1).astype(np.float64)
-    times = rows["labelled"].to_numpy()
-    known_x, y = np.repeat(x, times, axis=0), np.repeat(rows["positive"].to_numpy() == True, times)  # noqa: E712
-    u = np.repeat(x, rows["marginal"].to_numpy(), axis=0)
-    if not y.any():
+    positive = labels.filter(F.col("quality").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.avg("quality").alias("q")).filter("q > 0.5").select("doc_id")
+    labelled = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).join(positive, "doc_id"), "positives")
+    fraction = sample_fraction(labelled.agg(F.sum("rows")).first()[0] or 0, most_labelled)
+    # the rows to take of each id, as a share of its rows; about most_labelled ids at the most
+    take = copies_in_sample(F.col("rows"), fraction, "doc_id", F.lit(5))
+    chosen = labelled.withColumn("take", take).filter("take > 0").select("doc_id", (F.col("take") / F.col("rows")).alias("share"))
+    equal = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "x").agg(F.count("*").alias("n"), F.first("share").alias("share"))
+    times = F.when(F.col("share") >= 1, F.col("n")).otherwise(copies_in_sample(F.col("n"), F.col("share"), "doc_id", "x", F.lit(5)))
+    picked = equal.select("doc_id", "x", times.alias("times")).filter("times > 0").toPandas().sort_values(["doc_id", "x"], kind="stable")
+    return np.repeat(_matrix(picked["x"].map(bytes).tolist()), picked["times"].to_numpy(dtype=np.int64), axis=0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 16000) -> QualityModel:
+    """From documents that aren't held out: all of them as unlabelled, about ``most_labelled`` as positives."""
+    train = docs.filter(crc_mod("doc_id", 5) != 0)
+    rows = materialize(feature_rows(train, "doc_id"), "features")
+    p = trusted_positives(rows, labels, most_labelled)
+    if not len(p):
         return constant()
-    prior = float(np.clip(y.sum() / len(y), 0.05, 0.95))
-    w, b, mean, scale = fit_nnpu(known_x[y], u if len(u) else known_x, prior)
-    slope, shift = _calibrate(((known_x - mean) * scale) @ w + b, y)
-    return QualityModel(mean, scale, w, b, slope, shift, prior)
+    unlabelled, positive = all_products(rows), products(p)
+    # the order of margins hardly depends on the prior: any will do to find it
+    weights, bias = fit_nnpu(unlabelled, positive, 0.5)
+    prior = least_tail_ratio(margin_counts(rows, weights, bias), np.bincount(cells(p @ weights + bias), minlength=2 * SPAN * CELLS))
+    return QualityModel(*fit_nnpu(unlabelled, positive, prior), prior)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
