@@ -1,27 +1,34 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
-The patterns are the benchmark's windows. For each window length, a shift table keyed by blocks of
+The patterns are the benchmark's windows. For each window length, a hashed shift table over blocks of
 two words tells how far the search may jump; a block that no window holds skips nearly a whole
 window. Where the shift is zero, the bucket of that suffix block lists the windows that end in it,
-sorted into those with the same first words, and comparing all words confirms an occurrence.
+those with the same first words together, and comparing all words confirms an occurrence. Windows are
+places in the items' words, so the tables take some ten bytes a window beside the words themselves.
 
-Benchmark texts within ``most_bytes`` go to every task as one broadcast; a larger benchmark is
-searched for in blocks of that size, one after the other, and the documents' results are united.
+Benchmark texts within ``most_bytes`` go to every task as one broadcast, and each Python worker makes the tables
+once; a larger benchmark is searched for in blocks of that size, one after the other, and the documents'
+results are united.
 
-Null texts have no words and are clean. An item without an id marks words but is not listed. An
-item of no words has no window. Repeated items count once by their id. Empty documents give an
-empty result; an empty benchmark leaves all clean. Extra columns are left out.
+Texts are searched whole, one at a time. Null texts have no words and are clean. An item without an id marks
+words but is not listed. An item of no words has no window. Repeated items count once by their id; repeated
+documents are repeated rows. Empty documents give an empty result; an empty benchmark leaves all clean. Extra
+columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import field_sql, keep_rows, materialize
+from talentloom.llm.common import field_sql, fresh, keep_rows, materialize
 
 WINDOW = 13
 BLOCK = 2
@@ -34,35 +41,49 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length; ``search`` yields (end, pattern number)."""
-
-    def __init__(self, patterns: list[tuple[bytes, ...]]):
-        self.patterns, self.m = patterns, len(patterns[0])
-        self.b = min(BLOCK, self.m)
-        self.skip = self.m - self.b + 1
-        self.shift: dict = {}
-        self.buckets: dict = {}
-        for k, p in enumerate(patterns):
-            for end in range(self.b, self.m + 1):
-                block = self.block(p, end)
-                self.shift[block] = min(self.shift.get(block, self.skip), self.m - end)
-            self.buckets.setdefault(self.block(p, self.m), {}).setdefault(p[: self.b], []).append(k)
-
-    def block(self, words, end: int):
-        return (words[end - 2], words[end - 1]) if self.b == 2 else words[end - 1]
+    """Windows of ``m`` words, as places in ``words``; ``search`` yields (end, window number)."""
+
+    def __init__(self, words: list[bytes], places: array, m: int, bits: int = 20):
+        self.words, self.m = words, m
+        self.b = min(BLOCK, m)
+        self.skip = min(m - self.b + 1, 255)
+        self.mask = (1 << bits) - 1
+        shift = np.full(1 << bits, self.skip, np.uint8)
+        starts = np.array(places, np.int64)
+        hashes = self._hashes(words)
+        for end in range(self.b, m + 1):
+            np.minimum.at(shift, hashes[starts + end - self.b] & self.mask, min(m - end, 255))
+        self.shift = shift.tobytes()
+        key = self._bucket(hashes[starts + m - self.b], hashes[starts])
+        order = np.argsort(key, kind="stable")
+        self.keys, self.places = array("q", key[order].tobytes()), array("q", starts[order].tobytes())
+
+    def _hashes(self, words: list[bytes]) -> np.ndarray:
+        """The hash of the block that begins at each word."""
+        if self.b == 1:
+            return np.fromiter((hash((w,)) for w in words), np.int64, len(words))
+        return np.fromiter(map(hash, zip(words, words[1:])), np.int64, max(0, len(words) - 1))  # noqa: B905
+
+    @staticmethod
+    def _bucket(suffix, prefix):
+        """The bucket of a suffix block, by the first words."""
+        return suffix ^ (prefix >> 7)
 
     def search(self, words: list[bytes]):
-        end, n, skip, shift, m, b = self.m, len(words), self.skip, self.shift, self.m, self.b
+        end, n, shift, mask, m, b = self.m, len(words), self.shift, self.mask, self.m, self.b
         while end <= n:
-            block = (words[end - 2], words[end - 1]) if b == 2 else words[end - 1]
-            jump = shift.get(block, skip)
+            suffix = hash((words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],))
+            jump = shift[suffix & mask]
             if jump:
                 end += jump
                 continue
-            window = tuple(words[end - m : end])
-            for k in self.buckets[block].get(window[:b], ()):
-                if self.patterns[k] == window:
+            window = words[end - m : end]
+            key = self._bucket(suffix, hash(tuple(window[:b])))
+            k = bisect_left(self.keys, key)
+            while k < len(self.keys) and self.keys[k] == key:
+                if self.words[self.places[k] : self.places[k] + m] == window:
                     yield end, k
+                k += 1
             end += 1
 
 
@@ -70,24 +91,46 @@ class Windows:
     """The windows of some items, one searcher for each length, and whose each window is."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
-        owners: dict[tuple[bytes, ...], set] = {}
+        known: dict[bytes, bytes] = {}
+        words: list[bytes] = []
+        by_length: dict[int, array] = {}
+        self.first, self.names = array("q"), []
+        seen: set = set()
         for item, text in items:
-            words = tuple(words_of(text))
-            for i in range(max(1, len(words) - WINDOW + 1) if words else 0):
-                owners.setdefault(words[i : i + WINDOW], set()).update([] if item is None else [item])
-        by_length: dict[int, list] = {}
-        for window in sorted(owners):
-            by_length.setdefault(len(window), []).append(window)
-        self.searchers = [(WuManber(p), [owners[w] for w in p]) for p in by_length.values()]
+            own = words_of(text)
+            if not own or (item, text) in seen:
+                continue
+            seen.add((item, text))
+            self.first.append(len(words))
+            self.names.append(item)
+            m = min(len(own), WINDOW)
+            by_length.setdefault(m, array("q")).extend(range(len(words), len(words) + len(own) - m + 1))
+            words.extend(known.setdefault(w, w) for w in own)
+        self.searchers = [WuManber(words, places, m) for m, places in sorted(by_length.items())]
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """The spans of the occurrences, and the items they belong to."""
         spans, items = [], set()
-        for searcher, owners in self.searchers:
+        for searcher in self.searchers:
             for end, k in searcher.search(words):
-                spans.append((end - searcher.m, end))
-                items |= owners[k]
-        return spans, items
+                if not spans or spans[-1][1] != end or spans[-1][0] != end - searcher.m:
+                    spans.append((end - searcher.m, end))
+                items.add(self.names[bisect_left(self.first, searcher.places[k] + 1) - 1])
+        return spans, items - {None}
+
+
+class Benchmark:
+    """Items that go to the workers; each worker makes their windows once."""
+
+    def __init__(self, items: list[tuple[object, str | None]]):
+        self.items = items
+
+    def __getstate__(self):
+        return {"items": self.items}
+
+    @cached_property
+    def windows(self) -> Windows:
+        return Windows(self.items)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,10 +158,10 @@ def item_blocks(benchmark: DataFrame, most_bytes: int):
 
 
 def _search(docs: DataFrame, items: list) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
     def run(batches):
-        windows = Windows(held.value)
+        windows = held.value.windows
         for batch in batches:
             n_words, starts, ends, found = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -184,20 +227,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = 8
     blocks = item_blocks(benchmark, most_bytes)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        held = docs.sparkSession.sparkContext.broadcast(first)
-        windows: list[Windows] = []
+        held = docs.sparkSession.sparkContext.broadcast(Benchmark(first))
 
         def keep(texts: list) -> list[bool]:
-            if not windows:
-                windows.append(Windows(held.value))
             out = []
             for words in map(words_of, texts):
-                hit = sum(b - a for a, b in union(windows[0].find(words)[0]))
+                hit = sum(b - a for a, b in union(held.value.windows.find(words)[0]))
                 out.append(hit == 0 or 20 * hit < len(words))
             return out
 
         return keep_rows(docs, keep)
-    row = "row__number"
+    row = fresh(docs, "row_number")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     found = find_contamination(numbered.select(F.col(row).alias("doc_id"), "text"), benchmark, most_bytes)
     return numbered.join(found.filter("contaminated").select(F.col("doc_id").alias(row)), row, "left_anti").select(docs.columns)
