@@ -12,7 +12,7 @@ hot host is spread over tasks.
 
 A url that is null or has no ``://`` has empty host and path; no rule fits an empty host. Pages
 that no rule fits get ``default``. Equal rules: the first listed wins. Repeated pages are repeated
-rows. An empty table gives an empty result. Extra columns are left out.
+rows. Urls are read whole, however long. An empty table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -58,17 +58,17 @@ def url_path(url: Column) -> Column:
 class Sweep:
     """Walks keys in ascending order; ``best`` gives the longest open rule that fits a path.
 
-    One stack entry is one host: its key and its rules, longest path first.
+    One stack entry is one host: its key and its rules by path. A path is looked up once for each length
+    that the host's rules have, longest first, however many rules there are.
     """
 
     def __init__(self, rules: list[Rule]):
-        hosts: dict[str, list[Rule]] = {}
+        hosts: dict[str, dict[str, Rule]] = {}
         for r in rules:
-            own = hosts.setdefault(r.key, [])
-            if all(r.path != x.path for x in own):
-                own.append(r)
+            hosts.setdefault(r.key, {}).setdefault(r.path, r)
         self.keys = sorted(hosts)
-        self.rules = [sorted(hosts[k], key=lambda r: -len(r.path)) for k in self.keys]
+        self.rules = [hosts[k] for k in self.keys]
+        self.lengths = [sorted({len(p) for p in own}, reverse=True) for own in self.rules]
         self.stack: list[int] = []
         self.next = 0
         self.key: str | None = None
@@ -95,11 +95,9 @@ class Sweep:
             self.move(key)
         found = None
         for i in reversed(self.stack):
-            for r in self.rules[i]:
-                if path.startswith(r.path):
-                    if found is None or len(r.name) > len(found.name):
-                        found = r
-                    break
+            r = next((r for n in self.lengths[i] if n <= len(path) and (r := self.rules[i].get(path[:n]))), None)
+            if r and (found is None or len(r.name) > len(found.name)):
+                found = r
         return found
 
 
