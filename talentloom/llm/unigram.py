@@ -9,6 +9,7 @@ neighbouring unknowns are one piece. Scores are added in the same order, so they
 The text is split at white space and each word begins with the piece marker, so a document's
 count is the sum over its words, and each distinct word is worked out once.
 
+Texts are taken whole; a word without end takes no more memory than its longest piece reaches back.
 Null, empty and blank texts have no tokens. Extra columns are left out. Repeated rows are
 repeated rows of the result; an empty table gives an empty result.
 """
@@ -29,6 +30,8 @@ from talentloom.llm.common import field_sql, map_arrow
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Longer words are worked out each time, not kept.
+LONG_WORD = 256
 #: str.split() takes these as white space, Unicode doesn't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
@@ -64,48 +67,52 @@ class Counter:
         for k, (piece, score) in enumerate(vocabulary):
             self.matches.add_word(piece, (len(piece), score, k == unknown))
         self.matches.make_automaton()
+        self.longest = max(len(p) for p, _ in vocabulary)
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.cache: dict[str, tuple[int, int, float]] = {}
         self.most_words = most_words
 
     def solve(self, word: str) -> tuple[int, int, float]:
         n = len(word)
-        # at each end: score, pieces, unknown pieces, whether the last is unknown
-        best: list = [(0.0, 0, 0, False)] + [None] * n
-        own = [False] * n
-        at = 0
+        size = min(n, self.longest) + 1
+        # at each end: score, pieces, unknown pieces, whether the last is unknown; a ring, as matches reach back no further
+        best: list = [None] * size
+        best[0] = (0.0, 0, 0, False)
+        own, at = False, 0
         for end, (length, score, lost) in self.matches.iter(word):
-            while at < end:  # ends without a match
-                self._unknown(best, own, at)
-                at += 1
-            if length == 1:
-                own[end] = True
-            before = best[end + 1 - length]
+            while at < end:  # ends without a further match
+                self._close(best, own, at, size)
+                own, at = False, at + 1
+            own = own or length == 1
+            before = best[(end + 1 - length) % size]
             total = score + before[0]
-            if best[end + 1] is None or total > best[end + 1][0]:
+            place = (end + 1) % size
+            if best[place] is None or total > best[place][0]:
                 joined = lost and before[3]
-                best[end + 1] = (total, before[1] + (not joined), before[2] + (lost and not joined), lost)
+                best[place] = (total, before[1] + (not joined), before[2] + (lost and not joined), lost)
         while at < n:
-            self._unknown(best, own, at)
-            at += 1
-        score, pieces, unknown, _ = best[n]
+            self._close(best, own, at, size)
+            own, at = False, at + 1
+        score, pieces, unknown, _ = best[n % size]
         return pieces, unknown, score
 
-    def _unknown(self, best: list, own: list, at: int) -> None:
-        """The character at ``at`` as unknown, the last candidate of its end."""
-        if own[at]:
-            return
-        before = best[at]
-        total = self.unknown + before[0]
-        if best[at + 1] is None or total > best[at + 1][0]:
-            best[at + 1] = (total, before[1] + (not before[3]), before[2] + (not before[3]), True)
+    def _close(self, best: list, own: bool, at: int, size: int) -> None:
+        """The character at ``at`` as unknown, the last candidate of its end; then the next end's place is free."""
+        if not own:
+            before, place = best[at % size], (at + 1) % size
+            total = self.unknown + before[0]
+            if best[place] is None or total > best[place][0]:
+                best[place] = (total, before[1] + (not before[3]), before[2] + (not before[3]), True)
+        best[(at + 2) % size] = None
 
     def word(self, word: str) -> tuple[int, int, float]:
         found = self.cache.get(word)
         if found is None:
-            if len(self.cache) >= self.most_words:
-                self.cache.clear()
-            found = self.cache[word] = self.solve(MARK + word)
+            found = self.solve(MARK + word)
+            if len(word) <= LONG_WORD:
+                if len(self.cache) >= self.most_words:
+                    self.cache.clear()
+                self.cache[word] = found
         return found
 
     def text(self, text: str | None) -> tuple[int, int, float]:
