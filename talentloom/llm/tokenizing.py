@@ -2,9 +2,10 @@
 
 The tokenizer lower-cases, then cuts a text into runs of letters, single digits and runs of
 anything else but white space, and codes each piece on its own. The ids of a text are those of its
-pieces, one after the other. Each distinct piece goes to the tokenizers library once; a text is
-then a gather from the ids of its pieces. Texts with characters for which Python's classes might
-differ from the library's are cut at white space alone, which the library drops too.
+pieces, one after the other. As no piece goes over white space, each distinct word between white space
+goes to the tokenizers library once; a text is then a gather from the ids of its words. Long words are cut
+into pieces first. Texts with characters for which Python's classes might differ from the library's
+are cut at white space alone, which the library drops too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ PIECE = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 ODD = re.compile("['\xb2\xb3\xb9\xbc-\xbe\x1c-\x1fɐ-\U0010ffff]|<\\|")
 #: str.split() takes these as white space, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Longer words are cut into pieces before they are looked up.
+LONG_WORD = 48
 
 
 def is_odd(text: str) -> bool:
@@ -52,20 +55,35 @@ class WordEncoder:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start, self.used = np.zeros(1 << 12, np.int64), 0  # start has one place more than there are pieces
 
-    def learn(self, pieces: list[str]) -> None:
-        """Codes for new pieces; plain ones are joined by blanks and coded as one text."""
-        plain = [p for p in pieces if (p.isascii() and p.isalpha()) or (PIECE.fullmatch(p) and not ODD.search(p))]
-        if plain:
-            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            words = np.array(coded.word_ids, np.int64)
-            counts = np.bincount(words, minlength=len(plain))
-            if len(counts) == len(plain):
-                self._store(plain, counts, np.array(coded.ids, np.uint32))
-        rest = [p for p in pieces if p not in self.code]
+    def learn(self, words: list[str]) -> None:
+        """Codes for new words: new pieces of plain ones are joined by blanks and coded as one text."""
+        plain = words if not is_odd(" ".join(words)) else [w for w in words if not is_odd(w)]
+        cut = list(map(PIECE.findall, plain))
+        pieces = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.code]
+        if pieces:
+            coded = self.tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+            counts = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(pieces))
+            if len(counts) == len(pieces):
+                self._store(pieces, counts, np.array(coded.ids, np.uint32))
+        if all(map(self.code.__contains__, pieces)):
+            made = [(w, c) for w, c in zip(plain, cut, strict=True) if len(c) > 1 and w not in self.code]
+            if made:
+                codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(c for _, c in made)), np.int64)
+                ids, ends = self._gather(codes)
+                cuts = ends[np.cumsum([0, *(len(c) for _, c in made)])]
+                self._store([w for w, _ in made], np.diff(cuts), ids)
+        rest = [w for w in words if w not in self.code]
         if rest:
-            own = [self.tokenizer.encode(p, add_special_tokens=False).ids for p in rest]
+            own = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in rest]
             self._store(rest, np.array([len(x) for x in own], np.int64), np.array(list(chain.from_iterable(own)), np.uint32))
 
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of coded words one after the other, and where each begins."""
+        starts = self.start[codes]
+        lengths = self.start[codes + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
     def _store(self, pieces: list[str], counts: np.ndarray, ids: np.ndarray) -> None:
         k = len(self.code)
         while self.used + len(ids) > len(self.flat):
@@ -78,9 +96,12 @@ class WordEncoder:
         self.code.update(zip(pieces, range(k, k + len(pieces)), strict=True))
 
     def pieces(self, text: str) -> list[str]:
-        if not is_odd(text):
-            return PIECE.findall(text.lower())
-        return [text] if SEPARATORS.search(text) else text.split()
+        if is_odd(text):
+            return [text] if SEPARATORS.search(text) else text.split()
+        words = text.lower().split()
+        if max(map(len, words), default=0) > LONG_WORD:
+            words = list(chain.from_iterable([w] if len(w) <= LONG_WORD else PIECE.findall(w) for w in words))
+        return words
 
     def documents(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each document with the end id; null is empty."""
@@ -102,10 +123,7 @@ class WordEncoder:
             self.learn(sorted({pieces[i] for i in new}))
             codes[new] = [self.code[pieces[i]] for i in new]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        starts = self.start[codes]
-        lengths = self.start[codes + 1] - starts
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        ids, ends = self._gather(codes)
         cuts = ends[np.concatenate([[0], np.cumsum(counts)])]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield np.append(ids[a:b], np.uint32(END_ID))
