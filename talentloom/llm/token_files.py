@@ -1,12 +1,13 @@
 """Token-id files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
 
-Each task of a range partitioning by doc_id writes one shard: ``NNNNNN.bin`` (ids, little-endian,
+Texts are coded where they lie; ids, not texts, are then sorted by doc_id. Each task of that range
+partitioning writes one shard: ``NNNNNN.bin`` (ids, little-endian,
 16 bits if the vocabulary allows, else 32) and ``NNNNNN.off`` (documents + 1 unsigned 64-bit
 positions within the shard). A prefix sum over the shards' totals gives each shard's base, kept in
 ``manifest.json``; position + base is a document's start in the whole.
 
-Null text counts as empty (the end id alone). Null ids sort first, equal ids by a hash of their text.
-Extra columns are left out. An empty table gives no shard and an empty result.
+Null text counts as empty (the end id alone). Texts are taken whole: a document's ids are one value, of two bytes
+each. Null ids sort first, equal ids by a hash of their text. Extra columns are left out. An empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import field_sql, materialize, shared_dir
+from talentloom.llm.common import field_sql, map_arrow, materialize, shared_dir, task_number
 from talentloom.llm.tokenizing import default_path, encoder
 
 
@@ -51,12 +51,15 @@ class _Writer:
         self.store.move(self.temp, self.final)
 
 
-def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
+def _slice(folder: str, name: str, dtype: str, start: int, end: int) -> np.ndarray:
+    """Values ``start`` to ``end`` of a file: mapped into memory, or that range read where nothing can be mapped."""
     if path := _local(folder):
         path = f"{path}/{name}"
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.memmap(path, dtype, "r")[start:end] if os.path.getsize(path) else np.zeros(0, dtype)
     store, root = fs.FileSystem.from_uri(folder)
-    return np.frombuffer(store.open_input_file(f"{root}/{name}").read(), dtype)
+    size = np.dtype(dtype).itemsize
+    with store.open_input_file(f"{root}/{name}") as f:
+        return np.frombuffer(f.read_at((end - start) * size, start * size), dtype)
 
 
 def id_type(tokenizer: str) -> str:
@@ -67,8 +70,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     """Writes the shards and returns their index: doc_id, shard, place (in the shard), n_tokens."""
     tokenizer = tokenizer or default_path()
 
+    def code(batch: pa.RecordBatch) -> pa.RecordBatch:
+        dtype = id_type(tokenizer)
+        ids = [x.astype(dtype).tobytes() for x in encoder(tokenizer).documents(batch.column("text").to_pylist())]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(ids, pa.binary())], ["doc_id", "hash", "ids"])
+
     def run(batches):
-        shard, dtype, place, end = TaskContext.get().partitionId(), id_type(tokenizer), 0, 0
+        shard, size, place, end = task_number(), np.dtype(id_type(tokenizer)).itemsize, 0, 0
         ids = offsets = None
         for batch in batches:
             if not batch.num_rows:
@@ -77,9 +85,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 ids, offsets = _Writer(folder, f"{shard:06d}.bin"), _Writer(folder, f"{shard:06d}.off")
                 offsets.write(np.zeros(1, "<u8"))
             counts = []
-            for coded in encoder(tokenizer).documents(batch.column("text").to_pylist()):
-                ids.write(coded.astype(dtype))
-                counts.append(len(coded))
+            for coded in batch.column("ids"):
+                ids.file.write(coded.as_buffer())
+                counts.append(len(coded.as_buffer()) // size)
             ends = end + np.cumsum(counts)
             offsets.write(ends.astype("<u8"))
             end = int(ends[-1])
@@ -92,9 +100,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             ids.close()
             offsets.close()
 
-    # documents that share one id are dealt out too, by a hash: the bounds that Spark samples stay small
+    # written first: the bounds of the ranges are sampled from it, and no text is coded twice
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    dealt = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
+    coded = materialize(map_arrow(hashed, code, f"{field_sql(docs, 'doc_id')}, hash long, ids binary"), "coded")
+    # documents that share one id are dealt out too, by a hash
+    dealt = coded.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "ids")
     index = materialize(dealt.mapInArrow(run, f"{field_sql(docs, 'doc_id')}, shard int, place long, n_tokens long"), "token-index")
     # one row for each shard
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("docs")).orderBy("shard").collect()
@@ -126,10 +136,14 @@ def read_token_files(index: DataFrame, folder: str, with_ids: bool = False) -> D
             start, count, crc = (np.zeros(len(shards), np.int64) for _ in range(3))
             found: list = [None] * len(shards)
             for shard in np.unique(shards).tolist():
-                ids, offsets = _mapped(folder, f"{shard:06d}.bin", manifest["dtype"]), _mapped(folder, f"{shard:06d}.off", "<u8")
-                for i in np.flatnonzero(shards == shard).tolist():
-                    a, b = int(offsets[places[i]]), int(offsets[places[i] + 1])
-                    part = np.asarray(ids[a:b])
+                own = np.flatnonzero(shards == shard)
+                # the batch's documents stand together in their shard
+                low = int(places[own].min())
+                offsets = _slice(folder, f"{shard:06d}.off", "<u8", low, int(places[own].max()) + 2).astype(np.int64)
+                ids, first = _slice(folder, f"{shard:06d}.bin", manifest["dtype"], int(offsets[0]), int(offsets[-1])), int(offsets[0])
+                for i in own.tolist():
+                    a, b = offsets[places[i] - low : places[i] - low + 2].tolist()
+                    part = np.asarray(ids[a - first : b - first])
                     start[i], count[i], crc[i] = bases[shard] + a, b - a, zlib.crc32(part.astype("<u4").tobytes())
                     if with_ids:
                         found[i] = part.astype(np.int64)
