@@ -4,9 +4,11 @@ Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to grou
 size, each group is packed by best-fit decreasing, and dual feasible functions give a lower bound
 of the group's bins. Groups above their bound, and the emptiest bin of any group, release
 documents; those are dealt anew and packed again until the bound over all pieces is met or no
-round helps.
+round helps. There is no other end to the rounds. Each piece tells its group (``partition``), the bins that the
+group took and the group's bound: where the two are equal, no packing of that group takes fewer.
 
-Null text counts as empty (one token, the end id). Rows with the same or no id are packed like
+Null text counts as empty (one token, the end id). Texts are coded whole; a long one is several pieces.
+Equal lengths are packed in the order in which their rows come. Rows with the same or no id are packed like
 any others. Extra columns are left out. An empty table gives an empty result.
 """
 
@@ -110,14 +112,15 @@ def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
 
 
 def _pack_groups(items: DataFrame, groups: int, capacity: int, round_: int, before: int) -> DataFrame:
-    """Adds sequence_id, offset, and open: whether the bin is released for a further round; ``before``: groups of earlier rounds."""
+    """Adds sequence_id, offset, the group's figures, and open: whether the bin is released for a further round; ``before``: groups of earlier rounds."""
     kept = items.columns
 
     def pack(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets, filled = best_fit_decreasing(lengths, capacity)
         values, counts = np.unique(lengths, return_counts=True)
-        gap = len(filled) - lower_bound(values, counts, capacity)
+        bound = lower_bound(values, counts, capacity)
+        gap = len(filled) - bound
         order = np.argsort(filled, kind="stable")
         slack = np.cumsum(capacity - filled[order])
         # the emptiest bin, and for a gap as many as have gap + 1 bins of free room among them
@@ -126,23 +129,30 @@ def _pack_groups(items: DataFrame, groups: int, capacity: int, round_: int, befo
         released[order[:n]] = filled[order[:n]] < capacity
         pid = group.column("pid")[0].as_py()
         out = group.select(kept)
-        for name, values, kind in (("sequence_id", ((before + pid) << 24) + bins, pa.int64()), ("offset", offsets, pa.int64()), ("open", released[bins], pa.bool_())):
-            out = out.append_column(name, pa.array(values, kind))
-        return out
+        added = {"sequence_id": ((before + pid) << 24) + bins, "offset": offsets, "partition": np.full(len(bins), before + pid)}
+        added |= {"partition_bins": np.full(len(bins), len(filled)), "partition_bound": np.full(len(bins), bound)}
+        for name, values in added.items():
+            out = out.append_column(name, pa.array(values, pa.int64()))
+        return out.append_column("open", pa.array(released[bins], pa.bool_()))
 
-    schema = ", ".join([*(field_sql(items, c) for c in kept), "sequence_id long, offset long, open boolean"])
+    schema = ", ".join([*(field_sql(items, c) for c in kept), "sequence_id long, offset long, partition long, partition_bins long, partition_bound long, open boolean"])
     return items.withColumn("pid", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(groups))).groupBy("pid").applyInArrow(pack, schema)
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, per_group: int = 1000) -> tuple[DataFrame, dict[str, int]]:
-    """The placed pieces, and {"bins", "bound"}: bins used and the certified least number."""
+    """The placed pieces, and {"bins", "bound"}: bins used and the certified least number.
+
+    Pieces that fill a sequence are a partition of their own, -1, whose bound is their number.
+    """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    placed = [*columns, "sequence_id", "offset", "partition", "partition_bins", "partition_bound"]
     pieces = materialize(token_pieces(docs, tokenizer or default_path(), capacity), "pieces")
     sizes = pieces.groupBy("length").count().toPandas()  # at most `capacity` rows
     bound = lower_bound(sizes["length"].to_numpy(), sizes["count"].to_numpy(), capacity)
     whole = pieces.filter(F.col("length") == capacity)
-    done = [whole.select(*columns, (F.lit(1 << 62) + F.col("deal")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     n_bins = int(sizes.loc[sizes["length"] == capacity, "count"].sum())
+    fixed = {"offset": 0, "partition": -1, "partition_bins": n_bins, "partition_bound": n_bins}
+    done = [whole.select(*columns, (F.lit(1 << 62) + F.col("deal")).alias("sequence_id"), *(F.lit(v).cast("long").alias(k) for k, v in fixed.items()))]
     rest = pieces.filter(F.col("length") < capacity)
     rows = int(sizes["count"].sum()) - n_bins
     released_bins = None
@@ -161,12 +171,12 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         if released_bins is not None:
             done.pop()
         n_bins += count.get(False, (0, 0))[0]
-        done.append(packed.filter(~F.col("open")).select(*columns, "sequence_id", "offset"))
+        done.append(packed.filter(~F.col("open")).select(*placed))
         open_bins, rows = count.get(True, (0, 0))
         if not rows:
             released_bins = None
             break
-        done.append(packed.filter("open").select(*columns, "sequence_id", "offset"))
+        done.append(packed.filter("open").select(*placed))
         released_bins = (open_bins,)
         rest = packed.filter("open").select(*rest.columns)
         if n_bins + open_bins <= bound:
