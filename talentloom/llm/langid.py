@@ -5,9 +5,14 @@ distribution. A document's trigrams come from a mixture of languages; expectatio
 estimates the proportions, and a language joins the document's set only if the likelihood it adds
 exceeds a penalty for one more parameter.
 
+Bounded are the labelled rows that the model is fitted on: about ``most_per_language`` of each language, and
+the ``most_languages`` languages with most rows (equal ones by name), so that what is collected and broadcast
+has a size that doesn't depend on the data. Texts are taken whole.
+
 Null texts and texts without a letter are ``und`` with score 0, as is all text when no language
-could be learned. Rows without a lang train nothing. Extra columns are left out. An empty table
-gives an empty result.
+could be learned. Of equally likely languages the first by name is taken. Rows without a lang train nothing.
+Repeated rows are repeated rows of the result. Extra columns are left out. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -50,10 +55,11 @@ class LanguageModel:
     likelihood: np.ndarray  # a row for each language, a column for each bucket
 
 
-def fit(docs: DataFrame, most_per_language: int = 4000, smoothing: float = 0.5) -> LanguageModel:
+def fit(docs: DataFrame, most_per_language: int = 4000, smoothing: float = 0.5, most_languages: int = 200) -> LanguageModel:
     """From text and lang of the documents that aren't held out, at most about ``most_per_language`` each."""
     train = docs.filter((crc_mod("doc_id", 3) != 1) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row for each language
+    largest = train.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["count"] for r in largest.collect()}
     wanted = F.lit(False)
     for lang, n in sizes.items():
         wanted = wanted | ((F.col("lang") == lang) & in_sample("doc_id", sample_fraction(n, most_per_language), 2))
