@@ -1,11 +1,12 @@
 """Media columns: documents as lossless WebP images, and WebP columns as pixel arrays.
 
 A text's UTF-8 bytes, blanked to a multiple of 192, are the red, green and blue samples of images
-64 pixels wide and at most 64 high; a longer text is a sequence of images, one file after the
-other. Reading splits the files at their RIFF lengths.
+64 pixels wide and at most 64 high, small enough to decode many side by side in bounded memory; a longer
+text is a sequence of images, one file after the other. Reading splits the files at their RIFF lengths.
 
 Null text counts as empty: one row of blanks. Repeated rows are repeated rows of the result; an
-empty table gives an empty result. Extra columns are left out. A null image is a null array.
+empty table gives an empty result. Extra columns are left out by ``encode_documents`` and kept by
+``decode_images`` (where ``pixels`` gets an underscore if there is such a column). A null image is a null array.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from talentloom.llm.common import field_sql
+from talentloom.llm.common import field_sql, fresh
 from talentloom.llm.webp import OPAQUE, decode_many, encode_best
 
 ROW_BYTES, WIDTH, MOST_ROWS = 192, 64, 64
@@ -74,15 +75,16 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 def decode_images(media: DataFrame, column: str = "media") -> DataFrame:
     """The other columns and pixels: for each file its height, width and samples (red, green, blue)."""
     kept = [c for c in media.columns if c != column]
+    pixels = fresh(media.select(kept), "pixels")
 
     def run(batches):
         for batch in batches:
             for at, columns, pages in _decoded(batch, column):
                 rows = [None if p is None else [{"height": x.shape[0], "width": x.shape[1], "samples": samples(x).tobytes()} for x in p] for p in pages]
                 kind = pa.list_(pa.struct([("height", pa.int32()), ("width", pa.int32()), ("samples", pa.binary())]))
-                yield pa.RecordBatch.from_arrays([*(columns.column(c) for c in kept), pa.array(rows, kind)], [*kept, "pixels"])
+                yield pa.RecordBatch.from_arrays([*(columns.column(c) for c in kept), pa.array(rows, kind)], [*kept, pixels])
 
-    return media.mapInArrow(run, ", ".join([*(field_sql(media, c) for c in kept), "pixels array<struct<height:int,width:int,samples:binary>>"]))
+    return media.mapInArrow(run, ", ".join([*(field_sql(media, c) for c in kept), f"{pixels} array<struct<height:int,width:int,samples:binary>>"]))
 
 
 def _decoded(batch: pa.RecordBatch, column: str):
