@@ -4,12 +4,14 @@ import hashlib
 import random
 import textwrap
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from talentloom.llm import decontaminate, langid, licenses, quality, registry, simhash, unigram
+from talentloom.llm.common import join_names
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\t", "a", "word " * 5000, "Ünïcödé ÇA", "x\x1cy", "日本語 テキスト", "same text here now", "same text here now"]
@@ -56,7 +58,9 @@ def test_contaminated_documents_go_with_repeated_ids(spark, most_bytes):
     items = [(k, words(rng, 20, 500)) for k in range(8)]
     texts = [items[0][1], words(rng, 50, 500), items[5][1] + " " + words(rng, 30, 500)]
     docs = frame(spark, texts).withColumn("doc_id", F.lit(7).cast("long"))
+    docs = docs.withColumnRenamed("score", "row_number")
     kept = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), most_bytes)
+    assert {r["row_number"] for r in kept.collect()} == {"clash"}
     assert [r.text for r in kept.collect()] == [texts[1]]
     assert kept.columns == docs.columns
 
@@ -95,6 +99,31 @@ def test_language_stage_keeps_mixed_documents(spark):
     assert [r.doc_id for r in langid.keep_known(frame(spark, [text, "", None, parts[0]]), model).collect()] == [0, 3]
 
 
+def test_mixture_weights_are_plain_em():
+    rng = np.random.default_rng(3)
+    p = rng.random((3, 200)).astype(np.float32)
+    w = [1 / 3] * 3
+    for _ in range(400):
+        new = [0.0] * 3
+        for i in range(200):
+            total = sum(w[k] * float(p[k, i]) for k in range(3))
+            for k in range(3):
+                new[k] += w[k] * float(p[k, i]) / total / 200
+        w = new
+    got, value = langid.proportions(p, 400)
+    assert np.allclose(got, w, atol=0.02)
+    best = sum(np.log(sum(w[k] * float(p[k, i]) for k in range(3))) for i in range(200))
+    assert value <= best + 1e-2 and value > best - 0.1
+
+
+def test_language_of_empty_tables_and_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"text number {chr(97 + i % 26)} {chr(97 + i // 26)}", f"l{i % 50:02d}") for i in range(300)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, most_languages=10)
+    assert len(model.languages) == 10
+    assert langid.identify(docs.limit(0), model).count() == 0
+    assert langid.fit(docs.limit(0)).languages == []
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, langid.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -120,6 +149,12 @@ def test_quality_ignores_labels_of_held_out_rows(spark):
     assert np.array_equal(quality.fit(docs, labels).weights, quality.fit(docs, flipped).weights)
 
 
+def test_quality_never_uses_negative_labels(spark):
+    docs, labels = registry.table(spark, SF, "documents"), registry.table(spark, SF, "labels")
+    a, b = (quality.fit(docs, x) for x in (labels, labels.filter("quality = 1")))
+    assert np.array_equal(a.weights, b.weights) and (a.bias, a.prior) == (b.bias, b.prior)
+
+
 def test_quality_of_odd_texts_and_empty_tables(spark):
     docs, labels = frame(spark, ODD), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels)).collect()} == {0.5}
@@ -129,33 +164,80 @@ def test_quality_of_odd_texts_and_empty_tables(spark):
     assert quality.score(frame(spark, []), model).count() == 0
 
 
-@pytest.mark.parametrize("texts", ["equal", "different"])
-@pytest.mark.parametrize("hot", [None, 4])
-def test_quality_samples_rows_of_a_repeated_id(spark, monkeypatch, hot, texts):
-    rows = [(hot, "same words here" if texts == "equal" else f"words {k}") for k in range(1500)] + [(i, f"text {i}") for i in range(10, 3010)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(4, 1)] + [(i, i % 2) for i in range(10, 3010)], "doc_id long, quality int")
-    train = docs.filter(quality.crc_mod("doc_id", 5) != 0)
-    held_out = train.filter(F.col("doc_id").eqNullSafe(F.lit(hot))).isEmpty()
-    given, fit = [], quality.fit_nnpu
-    monkeypatch.setattr(quality, "fit_nnpu", lambda p, u, prior: given.append((p, u)) or fit(p, u, prior, steps=2))
-    sent, plain = [], quality.np.frombuffer
-    monkeypatch.setattr(quality.np, "frombuffer", lambda raw, kind: sent.append(len(raw)) or plain(raw, kind))
-    quality.fit(docs, labels, most_labelled=300, most_unlabelled=300)
-    p, u = given[0]
-    one = lambda t: (u == quality.features(t).astype(np.float64)).all(axis=1).sum()
-    share = 0 if held_out else 1500 / train.count()
-    assert 230 < len(u) < 370 and len(p) < 300 and max(sent) <= 716 * 700
-    if texts == "equal":
-        assert abs(one("same words here") - 300 * share) <= 1
+def rows_of(spark, x):
+    return spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x.astype(np.float32))], "doc_id long, x binary")
 
 
-def test_risk_is_held_non_negative():
+def test_quality_sums_over_all_rows(spark):
+    """The tree of sums against one matrix product; margins against a plain histogram."""
+    rng = np.random.default_rng(2)
+    x = rng.random((700, quality.WIDTH)).astype(np.float32)
+    rows = rows_of(spark, x).repartition(23)
+    got = quality.all_products(rows, together=3)
+    assert got[-1, -1] == 700 and np.allclose(got, quality.products(x), rtol=1e-9)
+    w = rng.normal(size=quality.WIDTH)
+    assert np.array_equal(quality.margin_counts(rows, w, -0.5), np.bincount(quality.cells(x @ w - 0.5), minlength=2 * quality.SPAN * quality.CELLS))
+
+
+@pytest.mark.parametrize("texts", ["equal", "different"])
+@pytest.mark.parametrize("hot", [None, 4])
+def test_quality_samples_positive_rows_of_a_repeated_id(spark, hot, texts):
+    same, other = np.full(quality.WIDTH, 1.0), [np.full(quality.WIDTH, 2.0 + k) for k in range(4500)]
+    x = [(hot, same if texts == "equal" else other[k]) for k in range(1500)] + [(i, other[i]) for i in range(1510, 4510 - 10)]
+    rows = spark.createDataFrame([(i, bytearray(v.astype(np.float32).tobytes())) for i, v in x], "doc_id long, x binary").repartition(3)
+    labels = spark.createDataFrame([(4, 1)] + [(i, i % 2) for i in range(1510, 4500)], "doc_id long, quality int")
+    kept = [r.doc_id for r in labels.filter(quality.crc_mod("doc_id", 5) != 0).filter("quality = 1").collect()]
+    total = sum(i in set(kept) for i, _ in x)
+    p = quality.trusted_positives(rows, labels, 300)
+    assert 230 < len(p) < 370
+    if hot == 4 and 4 in kept:
+        share = 1500 / total
+        mine = (p[:, 0] == 1).sum() if texts == "equal" else (p[:, 0] < 1502).sum()
+        assert abs(mine - 300 * share) < 60
+    assert len(quality.trusted_positives(rows, labels, 10**6)) == total
+
+
+def plain_risk(w, b, p, u, prior):
+    loss = lambda z: (1 - z) ** 2 / 4
+    fp, fu = p @ w + b, u @ w + b
+    return prior * loss(fp).mean() + max(0.0, loss(-fu).mean() - prior * loss(-fp).mean())
+
+
+def test_risk_is_least_at_the_fit():
     rng = np.random.default_rng(0)
     p, n = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))
-    w, b, mean, scale = quality.fit_nnpu(p[:200], np.vstack([p[200:], n]), 1 / 3)
-    right = [((x - mean) * scale @ w + b > 0).mean() for x in (p, n)]
+    u = np.vstack([p[200:], n])
+    w, b = quality.fit_nnpu(quality.products(u), quality.products(p[:200]), 1 / 3, ridge=0)
+    right = [(x @ w + b > 0).mean() for x in (p, n)]
     assert right[0] > 0.85 and right[1] < 0.15
+    # a plain descent on the risk itself, by differences, ends no lower
+    at, rate = np.zeros(4), 0.1
+    for _ in range(3000):
+        risk = lambda z: plain_risk(z[:3], z[3], p[:200], u, 1 / 3)
+        at = at - rate * np.array([(risk(at + d) - risk(at - d)) / 2e-5 for d in np.eye(4) * 1e-5])
+    assert plain_risk(w, b, p[:200], u, 1 / 3) <= risk(at) + 2e-3
+
+
+def test_risk_is_held_non_negative():
+    """With a prior far over the truth the unbiased risk of the negatives falls below zero."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(2, 0.2, (50, 3)), np.vstack([rng.normal(2, 0.2, (30, 3)), rng.normal(-2, 0.2, (70, 3))])
+    w, b = quality.fit_nnpu(quality.products(u), quality.products(p), 0.9, ridge=0)
+    # the least unbiased risk, by its normal equations
+    x = lambda a: np.hstack([a, np.ones((len(a), 1))])
+    z = np.linalg.solve(x(u).T @ x(u) / 100, 2 * 0.9 * x(p).mean(axis=0) - x(u).mean(axis=0))
+    loss = lambda z: (1 - z) ** 2 / 4
+    assert loss(-(x(u) @ z)).mean() - 0.9 * loss(-(x(p) @ z)).mean() < 0
+    assert plain_risk(w, b, p, u, 0.9) <= min(plain_risk(z[:3], z[3], p, u, 0.9), plain_risk(np.zeros(3), 0.0, p, u, 0.9))
+
+
+def test_prior_from_the_tails(spark):
+    rng = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8):
+        p = rng.normal(1, 0.3, 20000)
+        u = np.concatenate([rng.normal(1, 0.3, int(40000 * share)), rng.normal(-1, 0.3, int(40000 * (1 - share)))])
+        count = lambda f: np.bincount(quality.cells(f), minlength=2 * quality.SPAN * quality.CELLS)
+        assert abs(quality.least_tail_ratio(count(u), count(p)) - share) < 0.03
 
 
 # ---- unigram counts
@@ -191,9 +273,23 @@ def test_unigram_ties_go_as_in_the_tokenizer():
             assert own.text(w)[0] == len(t.encode(w).ids), (vocabulary, w)
 
 
+def test_unigram_of_long_words_and_empty_tables(spark):
+    vocabulary, unknown = unigram.read_vocabulary(unigram.default_path())
+    t, rng = reference_tokenizer(vocabulary, unknown), random.Random(9)
+    long = "".join(rng.choices("etaoins😀hr", k=20000))
+    own = unigram.Counter(vocabulary, unknown)
+    ids = t.encode(long).ids
+    assert own.text(long)[:2] == (len(ids), sum(x == unknown for x in ids)) and not own.cache
+    assert unigram.count_tokens(frame(spark, [])).count() == 0
+
+
 # ---- licenses
 
 
+def test_license_scan_of_empty_tables(spark):
+    assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
 def brute_licenses(text):
     found = {}
     for block in licenses.candidate_blocks(text):
@@ -284,6 +380,60 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_any_four_positions_hold_a_choice():
+    assert len(simhash.CHOICES) == 20
+    assert all(any(set(c) <= set(four) for c in simhash.CHOICES) for four in combinations(range(8), 4))
+
+
+def test_posting_links_span_what_all_pairs_span():
+    rng = random.Random(12)
+    for _ in range(60):
+        rows = []
+        for key in range(6):
+            hubs = [rng.getrandbits(64) for _ in range(rng.randint(1, 4))]
+            fps = {rng.choice(hubs) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(rng.choice([1, 2, 3, 20, 60]))}
+            rows += [(key, f - (1 << 64) if f >> 63 else f) for f in fps]
+        rows.sort()
+        key, fp = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]).view(np.uint64)
+        pairs = simhash.posting_links(key, np.zeros_like(key), fp)
+        assert len(pairs) < len(rows)
+        group, want = list(range(len(rows))), list(range(len(rows)))
+        merge = lambda g, i, j: [g[i] if x == g[j] else x for x in g]
+        for i, j in pairs.tolist():
+            group = merge(group, i, j)
+        for i in range(len(rows)):
+            for j in range(i):
+                # links of four bits or fewer always share four bytes
+                if key[i] == key[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= 4:
+                    want = merge(want, i, j)
+        same = lambda g: {frozenset(i for i in range(len(g)) if g[i] == x) for x in g}
+        assert same(group) == same(want)
+
+
+@pytest.mark.parametrize("large", [5_000_000, 10])
+def test_names_of_hot_keys(spark, large):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id AS v")
+    names = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    got = join_names(rows, names, "k", 3000, large).collect()
+    assert sorted((r.v, r.least) for r in got) == [(i, 0 if i % 3 == 0 else i) for i in range(3000)]
+
+
+def test_components_of_a_hub_and_a_chain(spark, monkeypatch):
+    from talentloom.llm import common, components
+
+    monkeypatch.setattr(components, "join_names", lambda rows, names, key, total: common.join_names(rows, names, key, total, 1000))
+    hub = spark.range(1, 20000).selectExpr("id AS u", "CAST(20000 AS long) AS v")
+    chain = spark.range(30000, 30300).selectExpr("id AS u", "id + 1 AS v")
+    got = components.connected_components(hub.unionByName(chain)).groupBy("component").count().collect()
+    assert {r.component: r["count"] for r in got} == {1: 20000, 30000: 301}
+
+
+def test_fingerprint_zero_of_many_rows(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 7 THEN concat('word ', id, ' and more words ', id) ELSE ' ' END AS text")
+    got = simhash.near_duplicates(docs).filter("fp = 0").agg(F.count("*"), F.min("component_id"), F.max("component_id")).first()
+    assert tuple(got) == (99_900, 0, 0)
+
+
 @pytest.mark.parametrize("long_posting", [5000, 8])
 def test_simhash_components_are_brute_force(spark, long_posting):
     rng = random.Random(4)
@@ -324,6 +474,8 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and "score" in kept.columns
     same = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.lit(5).cast("long")))
     assert simhash.keep_one_each(same).count() == 3
+    clash = same.withColumnRenamed("score", "row_number")
+    assert {r["row_number"] for r in simhash.keep_one_each(clash).collect()} == {"clash"}
     assert simhash.keep_one_each(frame(spark, [])).count() == 0
 
 

@@ -1,5 +1,6 @@
 """Exact round trips: tokens, packing, WebP, URL rules, and the pipeline."""
 
+import base64
 import hashlib
 import os
 import random
@@ -93,6 +94,10 @@ def test_packing_is_gapless_and_whole(spark, tokenizer, texts, capacity, per_gro
             assert offset == end
             end += length
         assert end <= capacity
+    group = {}
+    for r in rows:
+        n, bound = group.setdefault(r.partition, (r.partition_bins, r.partition_bound))
+        assert (n, bound) == (r.partition_bins, r.partition_bound) and n >= bound
     assert len(bins) == figures["bins"] and figures["bound"] <= figures["bins"] <= figures["bound"] * 1.05 + 2
 
 
@@ -152,6 +157,19 @@ def test_packing_goes_on_until_no_round_helps(spark, monkeypatch):
     assert len(bins) == figures["bins"] and all(b.n == b.end <= 64 for b in bins) and sum(b.pieces for b in bins) == 600
 
 
+def test_packing_tells_which_partitions_are_at_their_bound(spark):
+    """Each partition's bound is that of its own pieces, as packed; those over it are named by their figures."""
+    rng = np.random.default_rng(4)
+    docs = frame(spark, [" ".join("word" for _ in range(k)) for k in rng.integers(1, 60, 400).tolist()])
+    placed, _ = packing.best_fit_pack(docs, capacity=64, per_group=400)
+    rows = placed.filter("partition = 0").collect()
+    lengths = [r.length for r in placed.filter("length < 64").collect()]
+    assert rows[0].partition_bound == packing.lower_bound(*np.unique(lengths, return_counts=True), 64)
+    assert rows[0].partition_bins >= len({r.sequence_id for r in rows})
+    whole = placed.filter("partition = -1").collect()
+    assert all(r.partition_bins == r.partition_bound == len(whole) for r in whole)
+
+
 def test_packing_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     placed, figures = packing.best_fit_pack(docs)
@@ -215,6 +233,13 @@ def test_near_offsets_begin_and_end_as_specified():
     assert len(offsets) == 120 and offsets[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)] and offsets[-2:] == [(8, 6), (8, 7)]
 
 
+def test_webp_of_another_writer():
+    """A widely published file of one pixel, as browsers' support of lossless WebP is probed with."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    out = webp.decode_many([data])[0]
+    assert out.shape == (1, 1)
+
+
 def test_broken_files_are_refused():
     with pytest.raises(ValueError):
         webp.decode_many([b"RIFF" + bytes(30)])
@@ -233,6 +258,8 @@ def test_media_round_trip(spark, texts):
     pixels = media.decode_images(media.encode_documents(frame(spark, ["abc", None]))).orderBy("doc_id").collect()
     assert bytes(pixels[0].pixels[0].samples) == b"abc".ljust(192) and pixels[1].pixels[0].width == 64
     assert media.media_digest(media.encode_documents(frame(spark, []))).count() == 0
+    clash = media.encode_documents(frame(spark, ["abc"])).withColumn("pixels", F.lit(7))
+    assert media.decode_images(clash).columns == ["doc_id", "n_bytes", "pixels", "pixels_"]
 
 
 # ---- URL rules
