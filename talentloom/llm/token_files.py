@@ -1,7 +1,7 @@
 """Token-id files: flat unsigned integers plus 64-bit document offsets, memory-mapped.
 
-Texts are coded where they lie; ids, not texts, are then sorted by doc_id. Each task of that range
-partitioning writes one shard: ``NNNNNN.bin`` (ids, little-endian,
+Ids, not texts, are sorted by doc_id: the bounds of the ranges come from doc_id and a hash alone, then texts
+are coded where they lie and each task of the range partitioning writes one shard: ``NNNNNN.bin`` (ids, little-endian,
 16 bits if the vocabulary allows, else 32) and ``NNNNNN.off`` (documents + 1 unsigned 64-bit
 positions within the shard). A prefix sum over the shards' totals gives each shard's base, kept in
 ``manifest.json``; position + base is a document's start in the whole.
@@ -16,6 +16,7 @@ import json
 import os
 import uuid
 import zlib
+from bisect import bisect_left
 from urllib.parse import urlparse
 
 import numpy as np
@@ -66,14 +67,28 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
-    """Writes the shards and returns their index: doc_id, shard, place (in the shard), n_tokens."""
+def _key(doc_id, hash_: int) -> tuple:
+    """Sorts as the columns do, missing ids first."""
+    return (doc_id is not None, 0 if doc_id is None else doc_id, hash_)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Writes the shards (of about ``shard_bytes`` of text) and returns their index: doc_id, shard, place (in the shard), n_tokens."""
     tokenizer = tokenizer or default_path()
 
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    size = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(-(-size // shard_bytes), hashed.sparkSession.sparkContext.defaultParallelism)
+    # documents that share one id are dealt out too, by a hash; a row for each shard
+    ranged = hashed.select("doc_id", "hash").repartitionByRange(shards, "doc_id", "hash")
+    lasts = ranged.groupBy(F.spark_partition_id().alias("shard")).agg(F.max(F.struct("doc_id", "hash")).alias("last")).orderBy("shard").collect()
+    ends = docs.sparkSession.sparkContext.broadcast([_key(*r["last"]) for r in lasts][:-1])
+
     def code(batch: pa.RecordBatch) -> pa.RecordBatch:
         dtype = id_type(tokenizer)
         ids = [x.astype(dtype).tobytes() for x in encoder(tokenizer).documents(batch.column("text").to_pylist())]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(ids, pa.binary())], ["doc_id", "hash", "ids"])
+        shard = [bisect_left(ends.value, _key(i, h)) for i, h in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(ids, pa.binary()), pa.array(shard, pa.int32())], ["doc_id", "hash", "ids", "shard"])
 
     def run(batches):
         shard, size, place, end = task_number(), np.dtype(id_type(tokenizer)).itemsize, 0, 0
@@ -100,11 +115,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             ids.close()
             offsets.close()
 
-    # written first: the bounds of the ranges are sampled from it, and no text is coded twice
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    coded = materialize(map_arrow(hashed, code, f"{field_sql(docs, 'doc_id')}, hash long, ids binary"), "coded")
-    # documents that share one id are dealt out too, by a hash
-    dealt = coded.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "ids")
+    coded = map_arrow(hashed, code, f"{field_sql(docs, 'doc_id')}, hash long, ids binary, shard int")
+    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "ids")
     index = materialize(dealt.mapInArrow(run, f"{field_sql(docs, 'doc_id')}, shard int, place long, n_tokens long"), "token-index")
     # one row for each shard
     totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("docs")).orderBy("shard").collect()
