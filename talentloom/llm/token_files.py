@@ -78,7 +78,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     size = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(-(-size // shard_bytes), hashed.sparkSession.sparkContext.defaultParallelism)
+    shards = max(-(-size // shard_bytes), 3 * hashed.sparkSession.sparkContext.defaultParallelism)
     # documents that share one id are dealt out too, by a hash; a row for each shard
     ranged = hashed.select("doc_id", "hash").repartitionByRange(shards, "doc_id", "hash")
     lasts = ranged.groupBy(F.spark_partition_id().alias("shard")).agg(F.max(F.struct("doc_id", "hash")).alias("last")).orderBy("shard").collect()
