@@ -53,6 +53,27 @@ def term_forms(term: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(" ".join([*head, w]) for w in (last, one, many) if w))
 
 
+def forms_of(c: Column) -> Column:
+    """``term_forms`` of a column of terms as ``for_matching`` gives them."""
+    last = F.element_at(F.split(c, " "), -1)
+    head = F.left(c, F.length(c) - F.length(last))
+    cut = lambda n: F.left(last, F.length(last) - n)
+    more = lambda n: F.length(last) > n
+    one = (
+        F.when(last.endswith("ies") & more(3), F.concat(cut(3), F.lit("y")))
+        .when(last.endswith("ses") & more(3), F.when(last.endswith("ases"), cut(1)).otherwise(cut(2)))
+        .when(last.endswith("s") & ~last.endswith("ss"), cut(1))
+    )
+    many = F.when(last.endswith("y") & more(1), F.concat(cut(1), F.lit("ies"))).when(last.rlike("(?:s|x|z|ch|sh)$"), F.concat(last, F.lit("es"))).otherwise(F.concat(last, F.lit("s")))
+    forms = F.filter(F.array(last, one, many), lambda w: w.isNotNull() & (w != ""))
+    return F.array_distinct(F.transform(forms, lambda w: F.concat(head, w)))
+
+
+def stands_in(form: Column, matching: Column) -> Column:
+    """Whether a form stands between non-alphanumerics; a plain substring test comes first."""
+    return matching.contains(form) & F.rlike(matching, F.concat(F.lit(r"(?<![a-z0-9])\Q"), form, F.lit(r"\E(?![a-z0-9])")))
+
+
 def contains_any(matching: Column, terms: Iterable[str]) -> Column:
     """Whether text (as of ``for_matching``) has one of the terms between non-alphanumerics."""
     by_term = [f for f in map(term_forms, terms) if f]
@@ -199,7 +220,7 @@ def whitespace(c: Column, blank: str = r"\s") -> Column:
     return F.trim(c)
 
 
-# Words that PDF readers tear apart.
+# Words that PDF readers tear apart. (``CGP A`` covers the same with a colon.)
 PDF_ARTIFACTS: dict[str, str] = {
     "CGP A": "CGPA", "C G P A": "CGPA", "G P A": "GPA", "Object- Oriented": "Object-Oriented", "object- oriented": "object-oriented",
     "problem- solving": "problem-solving", "problem- Solving": "problem-Solving", "role- based": "role-based", "role- Based": "role-Based",
@@ -224,9 +245,8 @@ def is_bullet(c: Column) -> Column:
 
 
 def header(c: Column) -> Column:
-    """A heading's letters, lower-cased, separators as blanks."""
-    c = F.regexp_replace(F.lower(c), r"[_\-/&:|]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z ]", ""), " +", " "))
+    """A heading's letters, lower-cased, anything else as blanks."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " "))
 
 
 def heading_case(c: Column) -> Column:
@@ -250,20 +270,21 @@ def email(c: Column) -> Column:
 
 def phone(c: Column) -> Column:
     """The first Indian mobile number, as +91 and ten digits if it has the prefix, else ten digits."""
-    body = r"[6-9]\d{4}[\s-]?\d{5}"
-    digits = lambda x: F.regexp_replace(x, r"\D", "")
-    tail = lambda x: F.right(digits(x), F.lit(10))
-    prefixed = F.coalesce(*(F.nullif(F.regexp_extract(c, p, 0), F.lit("")) for p in (rf"(?<!\d)\+91[\s-]?{body}(?!\d)", rf"(?<!\d)91[\s-]?{body}(?!\d)")))
-    bare = F.nullif(F.regexp_extract(c, rf"(?<!\d){body}(?!\d)", 0), F.lit(""))
-    return F.when(prefixed.isNotNull(), F.concat(F.lit("+91 "), tail(prefixed))).otherwise(tail(bare))
+    body = r"[6-9]\d{9}(?!\d)"
+    found = lambda p: F.nullif(F.regexp_extract(c, p, 0), F.lit(""))
+    prefixed = F.coalesce(found(rf"(?<!\d)\+91[\s-]?{body}"), found(rf"(?<!\d)91[\s-]?{body}"))
+    return F.when(prefixed.isNotNull(), F.concat(F.lit("+91 "), F.right(prefixed, F.lit(10)))).otherwise(found(rf"(?<!\d){body}"))
+
+
+def normalize_url(c: Column) -> Column:
+    """An address out of its Markdown link and the marks around it, with https:// if it has no scheme."""
+    c = F.trim(c)
+    inner = F.regexp_extract(c, r"(?i)^\[.*?\]\((https?://[^)]+)\)$", 1)
+    bare = F.regexp_replace(F.when(inner != "", inner).otherwise(c), r"^[\s.,;:()\[\]{}<>]+|[\s.,;:()\[\]{}<>]+$", "")
+    return F.when(bare.rlike("(?i)^https?://"), bare).when(bare != "", F.concat(F.lit("https://"), bare))
 
 
 def link(c: Column, label: str) -> Column:
-    """The address after a label such as ``LinkedIn:``, or of that site."""
-    found = F.coalesce(
-        F.nullif(F.regexp_extract(c, rf"(?i){label}\s*:?\s*((?:https?://|www\.)[^\s|•,]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, rf"(?i){label}\s*:?\s*([a-z0-9.\-]+\.[a-z]{{2,}}/[^\s|•,]*)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(c, rf"(?i)((?:https?://)?(?:www\.)?[a-z0-9.\-]*{label}[a-z0-9.\-]*\.[a-z]{{2,}}(?:/[^\s|•,]*)?)", 1), F.lit("")),
-    )
-    found = F.regexp_replace(found, r"[).,;\]]+$", "")
-    return F.when(found.rlike("^https?://"), found).otherwise(F.concat(F.lit("https://"), found))
+    """The address right after a label such as ``LinkedIn:``."""
+    address = r"(https?://\S+|www\.\S+|[A-Za-z0-9.-]+\.[A-Za-z]{2,}/\S+)"
+    return normalize_url(F.nullif(F.regexp_extract(c, rf"(?i){label}\s*:?\s*{address}", 1), F.lit("")))

@@ -1,7 +1,7 @@
-"""Résumé texts to structured records.
+"""Résumé texts to structured records, one scan and no shuffle.
 
-A text becomes rows of lines; headings are filled forward over a window, and the entries of a
-section are numbered by running sums over the lines that open one. Only the repair of wrapped
+A résumé's lines stay in its row as an array. Headings cut it into blocks, the lines that open an entry cut a
+section into entries: slices between positions, by higher-order functions. Only the repair of wrapped
 lines, a fold in which each decision depends on the last, is a small Arrow-backed function.
 """
 
@@ -11,12 +11,12 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from talentloom.functions import text as T
 from talentloom.functions import vocab
+from talentloom.operators.writes import upsert
 
 PARSER_VERSION = "2.8"
 LEAST_LENGTH = 40
@@ -36,12 +36,27 @@ DEGREES = (
     r"\bBachelor of [A-Za-z]+(?:\s+\([^)]+\))?", r"\bMaster of [A-Za-z]+(?:\s+\([^)]+\))?", r"\bB\.?\s*Tech\.?\b", r"\bM\.?\s*Tech\.?\b", r"\bB\.?\s*Sc\.?\b", r"\bM\.?\s*Sc\.?\b",
     r"\bB\.?\s*Com\.?\b", r"\bM\.?\s*Com\.?\b", r"\bBCA\b", r"\bMCA\b", r"\bMBA\b", r"\bPh\.?\s*D\.?\b",
 )
+# Names that are headings, and what a record tells of itself.
+INVALID_NAMES = ("api", "skills", "summary", "projects", "experience", "education", "certifications", "languages", "technical skills")
+SECTION_ORDER = ("summary", "skills", "experience", "projects", "education", "certifications", "languages")
+WARNINGS = {
+    "name": "Name could not be confidently detected.", "email": "Email address was not detected.", "skills": "No technical skills were detected.",
+    "education": "Education section could not be extracted.", "experience": "No experience entries were detected.", "projects": "No project entries were detected.",
+}
+NO_TEXT = "No readable text found in resume"
+SHORT_TEXT = "Resume contains insufficient readable text. The file may be scanned or image-based."
 TECH_LABEL = r"^(?:technologies\s+used|technologies|technology|tech\s+stack(?:\s+used)?|tech)\s*[:\-]\s*"
 
+def skill_name(term: str) -> str:
+    """``normalize_skill`` at plan time."""
+    low = term.casefold()
+    return vocab.PARSER_SKILLS.get(low) or vocab.PARSER_SKILLS.get(" ".join(re.sub("[-_]+", " ", low).split())) or term
+
+
 _SKILLS: dict[str, list[str]] = {}
 for _term, _name in vocab.PARSER_SKILLS.items():
     if _term not in vocab.AI_TOOLS:
-        _SKILLS.setdefault(_name, []).append(_term)
+        _SKILLS.setdefault(skill_name(_name), []).append(_term)
 _TOOLS: dict[str, list[str]] = {}
 for _term, _name in vocab.AI_TOOLS.items():
     _TOOLS.setdefault(_name, []).append(_term)
@@ -54,15 +69,17 @@ def vocabulary(c: Column, names: dict[str, list[str]]) -> Column:
     return F.array_compact(found)
 
 
-# ---------------------------------------------------------------- lines
+# ---------------------------------------------------------------- clean-up
 
 
 _HEADINGS = {a for aliases in vocab.SECTIONS.values() for a in aliases}
-_BULLET, _LABEL, _CONTACT = re.compile(r"\s*[•*-]"), re.compile(TECH_LABEL, re.I), re.compile(r"@|https?://|www\.|linkedin|github|portfolio|\+91|^\s*(?:phone|email|tel)\b", re.I)
+_BULLET = re.compile(r"\s*[•*-]")
+# What contacts and labels look like.
+_CONTACT, _LABELLED = re.compile(r"@|https?://|www\.|linkedin|github|\+91", re.I), re.compile(r"[A-Za-z][A-Za-z /]{0,30}:\s*\S")
 
 
 def _is_section(line: str) -> bool:
-    head = " ".join(re.sub("[^a-z ]", "", re.sub(r"[_\-/&:|]+", " ", line.lower())).split())
+    head = " ".join(re.sub("[^a-z]+", " ", line.lower()).split())
     words = [w for w in line.split() if re.search("[A-Za-z]", w)]
     return head in _HEADINGS and bool(words) and (line.upper() == line or all(re.match("[^A-Za-z]*[A-Z]", w) for w in words))
 
@@ -76,9 +93,9 @@ def _is_heading(line: str) -> bool:
 
 def joins(line: str, after: str) -> bool:
     """Whether ``after`` goes on where ``line`` was wrapped."""
-    parts = [p.strip().lower() for p in after.split("•")]
-    technology = len(parts) > 1 and any(p in vocab.PARSER_SKILLS for p in parts[1:])
-    if _BULLET.match(after) or _is_section(line) or _is_section(after) or _CONTACT.search(after) or re.match(r"[A-Z][\w /]{1,30}:", after) or _LABEL.match(after) or technology:
+    parts = [x for p in after.split("•") if (x := p.strip().lower())]
+    technology = "•" in after and any(p in vocab.PARSER_SKILLS for p in parts[1:])
+    if _BULLET.match(after) or _is_section(line) or _is_section(after) or _CONTACT.search(after) or _LABELLED.match(after) or technology:
         return False
     if line.endswith((",", "-", "/", "(")):
         return True
@@ -92,42 +109,101 @@ def joins(line: str, after: str) -> bool:
     return bool(first and first[0].islower())
 
 
+_TIDY = ((re.compile(r"[ \t]+"), " "), (re.compile(r"\s+([,.;:!?])"), r"\1"), (re.compile(r"([(\[{])\s+"), r"\1"), (re.compile(r"\s+([)\]}])"), r"\1"))
+
+
+def tidy(text: str) -> str:
+    """``T.whitespace`` in Python, for the fold."""
+    for pattern, new in _TIDY:
+        text = pattern.sub(new, text)
+    return text.strip()
+
+
 def repair(text: str) -> str:
     """Wrapped lines put together; empty lines end a paragraph."""
     out: list[str] = []
     gap = True
-    for line in (" ".join(x.split()) for x in text.split("\n")):
+    for line in map(tidy, text.splitlines()):
         if not line:
             gap = True
         elif not gap and joins(out[-1], line):
-            out[-1] = f"{out[-1]} {line}"
+            out[-1] = tidy(f"{out[-1]} {line}")
         else:
             out.append(line)
             gap = False
     return "\n".join(out)
 
 
-@F.pandas_udf(T_.StringType())
-def repaired(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: repair(t) if t else t)
+def clean(text: str) -> str:
+    """Torn words mended and wrapped lines joined."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for old, new in T.PDF_ARTIFACTS.items():
+        text = text.replace(old, new)
+    return repair(tidy(text))
+
+
+_CLEANED = T_.StructType([T_.StructField(c, T_.StringType()) for c in ("once", "twice")])
+
+
+@F.pandas_udf(_CLEANED)
+def repaired(text: pd.Series) -> pd.DataFrame:
+    once = text.map(clean)
+    return pd.DataFrame({"once": once, "twice": once.map(clean)})
 
 
 def clean_text(c: Column) -> Column:
-    """Marks as ASCII, torn words and wrapped lines repaired; line ends stay."""
-    return F.trim(repaired(T.pdf_artifacts(T.bullets(c), blank=r"[^\S\n]")))
+    """Marks as ASCII, torn words and wrapped lines repaired; line ends stay.
+
+    ``once`` is the text that is kept. The record is made from ``twice``: there empty lines no longer part
+    paragraphs, and words that a join brought together are mended.
+    """
+    return repaired(T.punctuation(T.bullets(F.coalesce(c, F.lit("")))))
+
+
+# ---------------------------------------------------------------- lines and blocks
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def lines_of(c: Column) -> Column:
+    """The lines that aren't empty, trimmed."""
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, pos, line of the lines that aren't empty."""
+    """key, pos, line of the lines that aren't empty, as rows."""
     cut = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     return cut.withColumn("line", F.trim("line")).filter("line != ''")
 
 
-def split_sections(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds ``section``: that of the last heading, ``header`` before any; heading lines go."""
-    rows = rows.withColumn("opens", T.section_of(F.col("line")))
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("section", F.coalesce(F.last("opens", ignorenulls=True).over(so_far), F.lit("header"))).filter("opens IS NULL").drop("opens")
+def slices(rows: Column, starts: Column) -> Column:
+    """The array cut before each of the given places (from 0, ascending); what is before the first goes."""
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(rows))
+    return F.transform(starts, lambda at, k: F.slice(rows, at + 1, end(k) - at))
+
+
+def places(rows: Column, fits) -> Column:
+    """The places (from 0) at which ``fits(value, place)``."""
+    return F.filter(F.transform(rows, lambda x, i: F.when(fits(x, i), i)), lambda i: i.isNotNull())
+
+
+def section_blocks(rows: Column) -> Column:
+    """Structs of section and lines in order: each heading opens a block, ``header`` is before any."""
+    heads = places(rows, lambda x, i: T.section_of(x).isNotNull())
+    first = F.struct(F.lit("header").alias("section"), F.slice(rows, 1, F.coalesce(F.get(heads, F.lit(0)), F.size(rows))).alias("lines"))
+    later = F.transform(slices(rows, heads), lambda b: F.struct(T.section_of(F.get(b, F.lit(0))).alias("section"), F.slice(b, 2, F.size(b)).alias("lines")))
+    return F.concat(F.array(first), later)
+
+
+def section_lines(blocks: Column, section: Column) -> Column:
+    return F.flatten(F.transform(F.filter(blocks, lambda b: b["section"] == section), lambda b: b["lines"]))
+
+
+def all_lines(blocks: Column) -> Column:
+    """Every line but the headings, section by section as they first come."""
+    return F.flatten(F.transform(F.array_distinct(F.transform(blocks, lambda b: b["section"])), lambda s: section_lines(blocks, s)))
 
 
 # ---------------------------------------------------------------- parts
@@ -146,17 +222,60 @@ def experience_heading(c: Column) -> Column:
     return ~no & (c.contains("|") | c.rlike(r"\b(?:19|20)\d{2}\b") | F.lower(c).rlike("|".join(JOB_WORDS)))
 
 
+def parts_of(c: Column) -> Column:
+    """What stands between bullets."""
+    return clean_items(F.split(c, r"\s*•\s*"))
+
+
+def told(c: Column) -> Column:
+    """The parts of a bullet line."""
+    return parts_of(F.regexp_replace(F.trim(c), r"^[•*-]\s*", ""))
+
+
+def is_known(c: Column) -> Column:
+    return F.lower(F.trim(c)).isin(*vocab.PARSER_SKILLS)
+
+
+def has_label(c: Column) -> Column:
+    return c.rlike("(?i)" + TECH_LABEL)
+
+
 def is_tech_line(c: Column) -> Column:
-    parts = F.transform(F.split(F.lower(c), r"\s*•\s*"), lambda x: F.trim(x))
-    known = F.array(*map(F.lit, vocab.PARSER_SKILLS))
-    return c.rlike("(?i)" + TECH_LABEL) | ((F.size(parts) > 1) & F.arrays_overlap(F.slice(parts, 2, 1000), known))
+    """A labelled line of technologies, or one with a known one after a bullet."""
+    return has_label(c) | (c.contains("•") & F.exists(F.slice(F.filter(F.split(c, r"\s*•\s*"), lambda x: x != ""), 2, 1000), is_known))
 
 
 def project_title(c: Column) -> Column:
-    no = T.is_bullet(c) | c.rlike("(?i)" + TECH_LABEL) | (_words(c) > 10) | c.rlike(r"[.,;:]$|@|(?i:https?://|www\.)") | _starts(c, NOT_TITLE) | F.lower(c).rlike(rf"\b(?:{TITLE_VERBS})\b")
+    no = T.is_bullet(c) | has_label(c) | (_words(c) > 10) | c.rlike(r"[.,;:]$|@|(?i:https?://|www\.)") | _starts(c, NOT_TITLE) | F.lower(c).rlike(rf"\b(?:{TITLE_VERBS})\b")
     return ~no
 
 
+def normalize_skill(c: Column) -> Column:
+    """A known skill's name, also where dashes stand for blanks; others as they are."""
+    low = F.lower(c)
+    table = F.create_map(*(F.lit(x) for pair in vocab.PARSER_SKILLS.items() for x in pair))
+    return F.coalesce(F.element_at(table, low), F.element_at(table, T.whitespace(F.regexp_replace(low, "[-_]+", " "))), c)
+
+
+def clean_items(c: Column) -> Column:
+    """Trimmed, without empty ones, the first of those that differ in case only."""
+    items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    return F.aggregate(items, _none(), lambda got, x: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(x)), got).otherwise(F.array_append(got, x)))
+
+
+def continued(got: Column, line: Column) -> Column:
+    """Items with a line put behind the last, or as the first."""
+    longer = T.whitespace(F.concat_ws(" ", F.element_at(got, -1), line))
+    return F.when(F.size(got) == 0, F.array(line)).otherwise(F.concat(F.slice(got, 1, F.size(got) - 1), F.array(longer)))
+
+
+def repair_fragments(rows: Column) -> Column:
+    """A section's lines with torn ones put together: short ones, and those that go on in lower case."""
+    first = lambda x: F.regexp_extract(x, "[A-Za-z]", 0)
+    goes_on = lambda got, x: F.element_at(got, -1).rlike(r"[,\-/(]$") | (_words(x) <= 3) | (first(x) != F.upper(first(x)))
+    return F.aggregate(rows, _none(), lambda got, x: F.when((F.size(got) > 0) & ~T.is_bullet(x) & goes_on(got, x), continued(got, x)).otherwise(F.array_append(got, x)))
+
+
 def name_score(c: Column) -> Column:
     """How much a header part looks like a name; -100 if it can't be one."""
     words = F.split(F.trim(c), r"\s+")
@@ -173,146 +292,188 @@ def name_score(c: Column) -> Column:
     return F.when(veto, -100).otherwise(value)
 
 
-def header_names(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, name: the best-scoring part of the first six header lines, the earliest of equals."""
-    numbered = rows.filter("section = 'header'").withColumn("at", F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1).filter("at < 6")
-    first = F.split("line", r"\s*[|•]\s*")
-    marker = r"(?i)^(.+?)\s*((?:" + "|".join(ROLE_MARKERS) + r")\s.*)$"
-    lead = F.element_at(first, 1)
-    parts = F.when(lead.rlike(marker), F.concat(F.array(F.regexp_extract(lead, marker, 1), F.regexp_extract(lead, marker, 2)), F.slice(first, 2, 1000))).otherwise(first)
-    cut = numbered.select(key, "at", F.posexplode(parts).alias("part", "value")).withColumn("value", F.trim("value")).filter("value != ''")
-    scored = cut.withColumn("score", name_score(F.col("value"))).filter("score >= 40")
-    total = F.col("score") + F.greatest(F.lit(0), 15 - F.col("at") * 3) + F.when(F.col("part") == 0, 10).otherwise(0)
-    return scored.groupBy(key).agg(F.max_by("value", F.struct(total, -F.col("at"), -F.col("part"))).alias("name"))
+def header_parts(line: Column) -> Column:
+    """What stands between bars and bullets; the first is cut before its first role word that a blank follows."""
+    parts = clean_items(F.split(line, r"\s*[|•]\s*"))
+    lead = F.get(parts, F.lit(0))
+    marker = r"(?i)^(.+?)((?:" + "|".join(ROLE_MARKERS) + r") .*)$"
+    cut = F.concat(F.array(F.regexp_extract(lead, marker, 1), F.regexp_extract(lead, marker, 2)), F.slice(parts, 2, 1000))
+    return F.when(lead.rlike(marker), clean_items(cut)).otherwise(parts)
 
 
-def section_texts(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and one array of lines for each section."""
-    kept = rows.groupBy(key).pivot("section", ["header", *vocab.SECTIONS]).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))))
-    return kept.select(key, *(F.coalesce(F.col(f"`{s}`.line"), F.array().cast("array<string>")).alias(s) for s in ("header", *vocab.SECTIONS)))
+def header_name(rows: Column) -> Column:
+    """The best-scoring part of the first six header lines, the earliest of equals."""
 
+    def scored(line, at):
+        value = lambda c, k: name_score(c) + F.greatest(F.lit(0), 15 - at * 3) + F.when(k == 0, 10).otherwise(0)
+        return F.transform(header_parts(line), lambda c, k: F.when(name_score(c) >= 40, F.struct(value(c, k).alias("score"), (-at).alias("line"), (-k).alias("part"), c.alias("name"))))
 
-def _clean_items(c: Column) -> Column:
-    """Trimmed, without empty ones, the first of those that differ in case only."""
-    items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
-    return F.aggregate(items, F.array().cast("array<string>"), lambda got, x: F.when(F.exists(got, lambda g: F.lower(g) == F.lower(x)), got).otherwise(F.array_append(got, x)))
-
-
-def _first_part(parts: Column, words: str, other: str | None = None) -> Column:
-    fits = lambda p: F.lower(p).rlike(words) & (~F.lower(p).rlike(other) if other else F.lit(True))
-    return F.element_at(F.filter(parts, fits), 1)
-
-
-def education(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, education: an entry for each line that names a degree, with the lines after it."""
-    own = rows.filter("section = 'education'")
-    # equal lines count once over the whole section
-    own = own.withColumn("nth", F.row_number().over(W.partitionBy(key, F.lower("line")).orderBy("pos"))).filter("nth = 1")
-    degree = F.col("line").rlike("(?i)" + "|".join(DEGREES))
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = own.withColumn("entry", F.sum(degree.cast("int")).over(so_far))
-    entries = own.groupBy(key, "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"].alias("details"), F.min("pos").alias("pos"))
-    joined = F.array_join("details", " ")
-    bare = F.transform("details", lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*\d+(?:\.\d+)?(?:\s*/\s*\d+(?:\.\d+)?)?", ""), r"\b(?:19|20)\d{2}\s*[-–—]\s*(?:19|20)\d{2}\b", ""))
-    parts = F.transform(F.flatten(F.transform(bare, lambda x: F.split(x, ","))), lambda p: F.trim(F.regexp_replace(p, r"^[ ,|-]+|[ ,|-]+$", "")))
-    found = lambda pattern, group: F.nullif(F.regexp_extract(joined, pattern, group), F.lit(""))
+    return F.array_max(F.flatten(F.transform(F.slice(rows, 1, 6), scored)))["name"]
+
+
+def education(rows: Column) -> Column:
+    """An entry for each line that names a degree, with the lines after it; lines before any are one too."""
+    own = clean_items(rows)
+    degree = "(?i)" + "|".join(DEGREES)
+    entries = slices(own, places(own, lambda x, i: (i == 0) | x.rlike(degree)))
     years = r"\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2})\b"
-    entry = F.struct(
-        "details",
-        F.coalesce(*(found("(?i)" + p, 0) for p in DEGREES)).alias("degree"),
-        _first_part(parts, "college|institute", "university").alias("institution"),
-        _first_part(parts, "university").alias("university"),
-        found(r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*(\d+(?:\.\d+)?)", 1).cast("double").alias("cgpa"),
-        found(years, 1).cast("int").alias("start_year"),
-        found(years, 2).cast("int").alias("end_year"),
-    )
-    return _collected(entries.select(key, "pos", entry.alias("item")), key, "education")
-
-
-def _collected(entries: DataFrame, key: str, name: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("pos", "item")))
-    return entries.groupBy(key).agg(F.slice(items, 1, MOST[name])["item"].alias(name))
-
-
-def _descriptions(own: DataFrame, key: str) -> DataFrame:
-    """key, entry, description: one text for each bullet, lines without one going on the last."""
-    so_far = W.partitionBy(key, "entry").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    body = own.withColumn("item", F.sum(T.is_bullet(F.col("line")).cast("int")).over(so_far))
-    told = body.groupBy(key, "entry", "item").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], " ").alias("told"))
-    pieces = F.split(F.regexp_replace("told", r"^\s*[•*-]+\s*", ""), r"\s*•\s*")
-    return told.groupBy(key, "entry").agg(_clean_items(F.flatten(F.array_sort(F.collect_list(F.struct("item", pieces.alias("pieces"))))["pieces"])).alias("description"))
-
-
-def experience(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, experience: an entry for each heading line, with what is told below it."""
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    own = rows.filter("section = 'experience'").withColumn("opens", experience_heading(F.col("line")))
-    own = own.withColumn("entry", F.sum(F.col("opens").cast("int")).over(so_far)).filter("entry > 0")
-    span = r"(?i)\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2}|Present|Current)\b"
-    single = r"\b(19\d{2}|20\d{2})\b"
-    ranged = F.col("line").rlike(span)
-    bare = F.when(ranged, F.regexp_replace("line", span, "")).otherwise(F.regexp_replace("line", single, ""))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(bare, r"\(\s*\)", ""), r"^[ |()\-,]+|[ |()\-,]+$", ""), r"\|"), lambda x: F.trim(x)), lambda p: p != "")
-    year = lambda pattern, group: F.expr(f"try_cast(nullif(regexp_extract(line, r'{pattern}', {group}), '') AS int)")
-    heads = own.filter("opens").select(
-        key,
-        "entry",
-        "pos",
-        F.get(parts, F.lit(0)).alias("title"),
-        F.get(parts, F.lit(1)).alias("company"),
-        F.get(parts, F.lit(2)).alias("organization"),
-        F.when(ranged, year(span, 1)).alias("start_year"),
-        F.when(ranged, year(span, 2)).otherwise(year(single, 1)).alias("end_year"),
+
+    def entry(details):
+        text = T.whitespace(F.array_join(details, " "))
+        bare = F.transform(details, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*\d+(?:\.\d+)?(?:\s*/\s*\d+(?:\.\d+)?)?", ""), r"\b(?:19|20)\d{2}\s*[-–—]\s*(?:19|20)\d{2}\b", ""))
+        parts = F.flatten(F.transform(bare, lambda x: F.transform(F.split(F.regexp_replace(x, r"^[ ,|-]+|[ ,|-]+$", ""), ","), lambda p: F.trim(p))))
+        found = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+        first = lambda fits: F.get(F.filter(parts, fits), F.lit(0))
+        return F.struct(
+            details.alias("details"),
+            F.coalesce(*(found("(?i)" + p, 0) for p in DEGREES)).alias("degree"),
+            first(lambda p: F.lower(p).rlike("college|institute") & ~F.lower(p).contains("university")).alias("institution"),
+            first(lambda p: F.lower(p).contains("university")).alias("university"),
+            found(r"(?i)\b(?:CGPA|GPA)\s*[:\-]?\s*(\d+(?:\.\d+)?)", 1).cast("double").alias("cgpa"),
+            found(years, 1).cast("int").alias("start_year"),
+            found(years, 2).cast("int").alias("end_year"),
+        )
+
+    return F.transform(F.slice(entries, 1, MOST["education"]), entry)
+
+
+def experience(rows: Column) -> Column:
+    """An entry for each heading line, with what is told below it."""
+    span = r"(?i)^(.*?)\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2}|Present|Current)\b(.*)$"
+    single = r"^(.*?)\b(19\d{2}|20\d{2})\b(.*)$"
+
+    def entry(own):
+        line = F.get(own, F.lit(0))
+        ranged = line.rlike(span)
+        bare = F.when(ranged, F.regexp_replace(line, span, "$1$4")).otherwise(F.regexp_replace(line, single, "$1$3"))
+        bare = F.regexp_replace(F.regexp_replace(bare, r"\(\s*\)", ""), r"^[ |()\-,]+|[ |()\-,]+$", "")
+        parts = F.filter(F.transform(F.split(bare, r"\|"), lambda x: T.whitespace(x)), lambda p: p != "")
+        year = lambda pattern, group: F.nullif(F.regexp_extract(line, pattern, group), F.lit("")).try_cast("int")
+        description = F.aggregate(F.slice(own, 2, F.size(own)), _none(), lambda got, x: F.when(T.is_bullet(x), F.concat(got, told(x))).otherwise(continued(got, x)))
+        return F.struct(
+            F.get(parts, F.lit(0)).alias("title"),
+            F.get(parts, F.lit(1)).alias("company"),
+            F.get(parts, F.lit(2)).alias("organization"),
+            F.when(ranged, year(span, 2)).alias("start_year"),
+            F.when(ranged, year(span, 3)).otherwise(year(single, 2)).alias("end_year"),
+            clean_items(description).alias("description"),
+        )
+
+    entries = F.transform(slices(rows, places(rows, lambda x, i: experience_heading(x))), entry)
+    return F.slice(F.filter(entries, lambda e: e["title"].isNotNull()), 1, MOST["experience"])
+
+
+def with_projects(df: DataFrame, name: str) -> DataFrame:
+    """Puts the projects in place of their section's lines.
+
+    Titles open projects: a title-like line before technologies or a bullet. While none is open, a line
+    ``Title • Technology`` opens one too; later such a line lists technologies, and what isn't known as one is
+    told of the project. Steps are columns of their own, so that each is worked out once a line.
+    """
+    c = F.col(name)
+    # what each line is, taken alone
+    tags = lambda x: F.struct(x.alias("line"), T.is_bullet(x).alias("bullet"), has_label(x).alias("label"), is_tech_line(x).alias("tech"), project_title(x).alias("title"), F.when(x.contains("•"), parts_of(x)).otherwise(_none()).alias("parts"))
+    df = df.withColumn(name, F.transform(c, tags))
+    # the technologies among its parts, without and with the first
+    known = lambda parts: F.transform(F.filter(parts, is_known), normalize_skill)
+    after = lambda i: F.get(c, i + 1)
+    df = df.withColumn(
+        name,
+        F.transform(
+            c,
+            lambda x, i: F.struct(
+                x["line"].alias("line"),
+                x["bullet"].alias("bullet"),
+                x["label"].alias("label"),
+                (F.size(x["parts"]) >= 2).alias("many"),
+                x["parts"].alias("parts"),
+                known(x["parts"]).alias("known"),
+                (x["title"] & F.coalesce(after(i)["tech"] | after(i)["bullet"], F.lit(False))).alias("opens"),
+                project_title(F.get(x["parts"], F.lit(0))).alias("titled"),
+            ),
+        ),
     )
-    told = _descriptions(own.filter(~F.col("opens")), key)
-    entry = F.struct("title", "company", "organization", "start_year", "end_year", F.coalesce("description", F.array().cast("array<string>")).alias("description"))
-    return _collected(heads.join(told, [key, "entry"], "left").filter("title IS NOT NULL").select(key, "pos", entry.alias("item")), key, "experience")
-
-
-def projects(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, projects: a title is a line before a technology line or a bullet."""
-    order = W.partitionBy(key).orderBy("pos")
-    own = rows.filter("section = 'projects'").withColumn("next", F.lead("line").over(order))
-    line, after = F.col("line"), F.col("next")
-    own = own.withColumn("tech", is_tech_line(line)).withColumn("opens", project_title(line) & ~F.col("tech") & F.coalesce(is_tech_line(after) | T.is_bullet(after), F.lit(False)))
-    own = own.withColumn("entry", F.sum(F.col("opens").cast("int")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).filter("entry > 0")
-    heads = own.filter("opens").select(key, "entry", "pos", line.alias("name"))
-    values = F.split(F.regexp_replace("line", "(?i)" + TECH_LABEL, ""), r"\s*[•|,;]\s*")
-    used = own.filter("tech").groupBy(key, "entry").agg(_clean_items(F.flatten(F.array_sort(F.collect_list(F.struct("pos", values.alias("values"))))["values"])).alias("technologies"))
-    told = _descriptions(own.filter(~F.col("opens") & ~F.col("tech")), key)
-    none = F.array().cast("array<string>")
-    entry = F.struct("name", F.coalesce("description", none).alias("description"), F.coalesce("technologies", none).alias("technologies"))
-    return _collected(heads.join(told, [key, "entry"], "left").join(used, [key, "entry"], "left").select(key, "pos", entry.alias("item")), key, "projects")
+    plain = lambda x: ~x["label"] & ~x["bullet"]
+    inline = lambda x: x["many"] & x["titled"] & F.exists(F.slice(x["parts"], 2, 1000), is_known)
+    df = df.withColumn("first", F.get(places(c, lambda x, i: plain(x) & (inline(x) | x["opens"])), F.lit(0)))
+    df = df.withColumn(name, F.slice(slices(c, places(c, lambda x, i: (i == F.col("first")) | ((i > F.col("first")) & plain(x) & ~x["many"] & x["opens"]))), 1, MOST["projects"])).drop("first")
+    values = lambda x: F.transform(clean_items(F.split(F.regexp_replace(x["line"], "(?i)" + TECH_LABEL, ""), r"\s*[•|,;]\s*")), normalize_skill)
+    unknown = lambda x: F.filter(x["parts"], lambda p: ~is_known(p))
+    used = lambda x: F.when(x["label"], values(x)).when(x["many"] & ~x["bullet"], x["known"]).otherwise(_none())
+    body = lambda own: F.slice(own, 2, F.size(own))
+    tell = lambda got, x: F.when(x["label"], got).when(x["bullet"], F.concat(got, told(x["line"]))).when(x["many"], F.concat(got, unknown(x))).otherwise(continued(got, x["line"]))
+
+    def entry(own):
+        head = F.get(own, F.lit(0))
+        return F.struct(
+            F.when(inline(head), F.get(head["parts"], F.lit(0))).otherwise(head["line"]).alias("name"),
+            F.aggregate(body(own), _none(), tell).alias("description"),
+            F.concat(F.when(inline(head), known(F.slice(head["parts"], 2, 1000))).otherwise(_none()), F.flatten(F.transform(body(own), used))).alias("technologies"),
+        )
+
+    df = df.withColumn(name, F.transform(c, entry))
+    tidy_entry = lambda e: F.struct(e["name"].alias("name"), clean_items(e["description"]).alias("description"), clean_items(e["technologies"]).alias("technologies"))
+    return df.withColumn(name, F.transform(c, tidy_entry))
 
 
 def parse_resumes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a résumé: status, error, and the parsed record."""
-    cleaned = docs.select(key, clean_text(F.coalesce(F.col(text), F.lit(""))).alias("clean"))
-    rows = split_sections(lines(cleaned, "clean", key), key)
-    out = cleaned
-    for part in (section_texts(rows, key), header_names(rows, key), education(rows, key), experience(rows, key), projects(rows, key)):
-        renamed = part if "header" not in part.columns else part.select(key, *(F.col(c).alias(f"lines_{c}") for c in part.columns if c != key))
-        out = out.join(renamed, key, "left")
-    none = F.array().cast("array<string>")
-    of = lambda s: F.coalesce(F.col(f"lines_{s}"), none)
-    searched = F.concat_ws(" ", of("skills"), of("projects"), of("experience"), of("header"), of("summary"))
-    named = F.when(T.header(F.col("name")).isin(*NOT_NAMES), None).otherwise(F.col("name"))
-    record = {
-        "personal": F.struct(named.alias("name"), T.email(F.col("clean")).alias("email"), T.phone(F.col("clean")).alias("phone"), *(T.link(F.col("clean"), s).alias(s) for s in ("linkedin", "github", "portfolio"))),
-        "skills": vocabulary(searched, _SKILLS),
-        "ai_tools": vocabulary(F.col("clean"), _TOOLS),
-        "summary": F.nullif(F.array_join(of("summary"), " "), F.lit("")),
-        "projects": F.col("projects"),
-        "education": F.col("education"),
-        "experience": F.col("experience"),
-        "certifications": _clean_items(F.flatten(F.transform(of("certifications"), lambda x: F.split(F.regexp_replace(x, r"^\s*[•*-]+\s*", ""), r"\s*•\s*")))),
-        "languages": _clean_items(F.flatten(F.transform(of("languages"), lambda x: F.split(x, r"\s*[•,|]\s*")))),
-    }
-    bad = F.when(F.col("clean") == "", "no text").when(F.length("clean") < LEAST_LENGTH, "text too short")
-    out = out.select(key, "clean", bad.alias("error"), F.struct(*(v.alias(k) for k, v in record.items())).alias("r"))
-    filled = lambda k: F.coalesce(F.size(F.col(f"r.{k}")) > 0, F.lit(False))
-    warnings = F.array_compact(F.array(*(F.when(~c, F.lit(w)) for c, w in ((F.col("r.personal.name").isNotNull(), "no name"), (F.col("r.personal.email").isNotNull(), "no email"), *((filled(k), f"no {k}") for k in ("skills", "education", "experience", "projects"))))))
-    found = F.array_compact(F.array(F.when(F.col("r.summary").isNotNull(), "summary"), *(F.when(filled(k), k) for k in ("skills", "experience", "projects", "education", "certifications", "languages"))))
+    """One row a résumé: key, status, error, extracted_text, and the parsed record.
+
+    A null text counts as empty. Texts without enough to read have status Failed and the reason in ``error``.
+    Repeated keys are repeated rows; an empty table gives an empty result.
+    """
+    rows = docs.select(key, clean_text(F.col(text)).alias("c")).select(key, F.col("c.once").alias("once"), F.col("c.twice").alias("clean"))
+    rows = rows.withColumn("blocks", section_blocks(lines_of(F.col("clean"))))
+    rows = rows.select(key, "once", "clean", F.array_join(all_lines(F.col("blocks")), " ").alias("whole"), *(section_lines(F.col("blocks"), F.lit(s)).alias(f"in_{s}") for s in ("header", *vocab.SECTIONS)))
+    of = lambda s: F.col(f"in_{s}")
+    name = header_name(of("header"))
+    rows = rows.select(
+        key,
+        "once",
+        "clean",
+        F.when(~F.lower(name).isin(*INVALID_NAMES), name).alias("name"),
+        T.email(F.col("clean")).alias("email"),
+        T.phone(F.col("clean")).alias("phone"),
+        *(T.link(F.col("clean"), s).alias(s) for s in ("linkedin", "github", "portfolio")),
+        vocabulary(F.col("whole"), _SKILLS).alias("skills"),
+        vocabulary(F.col("whole"), _TOOLS).alias("ai_tools"),
+        F.nullif(T.whitespace(F.array_join(repair_fragments(of("summary")), " ")), F.lit("")).alias("summary"),
+        of("projects").alias("projects"),
+        education(of("education")).alias("education"),
+        experience(of("experience")).alias("experience"),
+        clean_items(F.flatten(F.transform(of("certifications"), lambda x: F.when(T.is_bullet(x), told(x)).otherwise(F.array(x))))).alias("certifications"),
+        clean_items(F.flatten(F.transform(of("languages"), lambda x: F.split(x, r"\s*[•,|]\s*")))).alias("languages"),
+    )
+    rows = with_projects(rows, "projects")
+    there = lambda k: F.col(k).isNotNull() if k in ("name", "email", "summary") else F.size(F.col(k)) > 0
+    warnings = F.array_compact(F.array(*(F.when(~there(k), F.lit(w)) for k, w in WARNINGS.items())))
+    found = F.array_compact(F.array(*(F.when(there(k), F.lit(k)) for k in SECTION_ORDER)))
     diagnostics = F.struct(F.lit(PARSER_VERSION).alias("parser_version"), F.length("clean").alias("text_length"), found.alias("sections_detected"), warnings.alias("warnings"))
-    status = F.when(F.col("error").isNull(), "Completed").otherwise("Failed")
-    return out.select(key, status.alias("status"), "error", F.when(F.col("error").isNull(), F.struct("r.*", diagnostics.alias("diagnostics"))).alias("parsed_data"))
+    personal = F.struct("name", "email", "phone", "linkedin", "github", "portfolio")
+    record = F.struct(personal.alias("personal"), "skills", "ai_tools", "summary", "projects", "education", "experience", "certifications", "languages", diagnostics.alias("diagnostics"))
+    error = F.when(F.col("once") == "", NO_TEXT).when(F.length("once") < LEAST_LENGTH, SHORT_TEXT)
+    status = F.when(error.isNull(), "Completed").otherwise("Failed")
+    return rows.select(key, status.alias("status"), error.alias("error"), F.when(error.isNull(), F.col("once")).alias("extracted_text"), F.when(error.isNull(), record).alias("parsed_data"))
+
+
+def parse_into(results: DataFrame, resumes: DataFrame, now: Column | None = None) -> DataFrame:
+    """Parsing results after ``resumes`` (resume_id, text, and id for new results) are parsed again.
+
+    One row a résumé: a result that there is keeps its id, its time of creation and, if the new parse failed,
+    its text and record; the error is cut at 1000 characters.
+    """
+    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+    parsed = parse_resumes(resumes, "text", "resume_id").join(resumes.select("resume_id", "id"), "resume_id")
+    before = results.select("resume_id", F.col("extracted_text").alias("old_text"), F.col("parsed_data").alias("old_data"))
+    fresh = parsed.join(before, "resume_id", "left").select(
+        "id",
+        "resume_id",
+        "status",
+        F.coalesce("extracted_text", "old_text").alias("extracted_text"),
+        F.coalesce(F.to_json("parsed_data"), "old_data").alias("parsed_data"),
+        F.lit(PARSER_VERSION).alias("parser_version"),
+        F.left(F.col("error"), F.lit(1000)).alias("error_message"),
+        now.alias("created_at"),
+        now.alias("updated_at"),
+    )
+    return upsert(results, fresh, ["resume_id"])
