@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from talentloom.functions import requirements as R
 from talentloom.functions import text as T
 from talentloom.functions import vocab
+from talentloom.operators.writes import upsert
 
 PARSER_VERSION = "2.8"
 WEIGHTS = {"skill_score": 40, "experience_score": 20, "education_score": 15, "keyword_score": 25}
@@ -48,16 +49,11 @@ def readiness(results: DataFrame, version: str = PARSER_VERSION) -> DataFrame:
     return results.withColumn("reason", reason)
 
 
-def _contained(short: Column, long: Column) -> Column:
-    """Whether a phrase stands in a longer one, its last word singular or plural."""
-    pattern = F.concat(F.lit(r"(?<![a-z0-9])\Q"), short, F.lit(r"\E(?:s|es)?(?![a-z0-9])"))
-    return F.rlike(long, pattern)
-
-
 def drop_redundant(keywords: Column) -> Column:
-    """Without phrases that a phrase of more words contains."""
+    """Without phrases that a phrase of more words contains, the last word singular or plural."""
     words = lambda c: F.size(F.split(c, " "))
-    return F.filter(keywords, lambda k: ~F.exists(keywords, lambda other: (words(other) > words(k)) & _contained(k, other)))
+    inside = lambda k, other: F.exists(T.forms_of(k), lambda f: T.stands_in(f, other))
+    return F.filter(keywords, lambda k: ~F.exists(keywords, lambda other: (words(other) > words(k)) & inside(k, other)))
 
 
 def job_features(jobs: DataFrame) -> DataFrame:
@@ -105,12 +101,27 @@ def resume_features(resumes: DataFrame) -> DataFrame:
     )
 
 
-def _matched(wanted: Column, known: Column, text: Column) -> Column:
-    """The wanted keywords that a text has: by the vocabulary scan, or for others by a search."""
+def rare_matches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """resume_id and, for each text column, the keywords outside the vocabulary that the text has.
+
+    The distinct such keywords of all jobs meet each text once, by the runs of letters and digits that both
+    have; what meets is verified in the text. Spark broadcasts the keywords only if they are few.
+    """
+    columns = [c for c in texts.columns if c != "resume_id"]
+    runs = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
     vocabulary = F.array(*map(F.lit, KEYWORDS))
-    listed = F.array_intersect(wanted, known)
-    others = F.filter(F.array_except(wanted, vocabulary), lambda k: text.contains(k) & _contained(T.for_matching(k), text))
-    return F.array_sort(F.array_union(listed, others))
+    rare = jobs.select(F.explode(F.array_except("project_keywords", vocabulary)).alias("keyword")).distinct()
+    forms = rare.select("keyword", F.explode(T.forms_of(T.for_matching(F.col("keyword")))).alias("form")).withColumn("runs", runs(F.col("form"))).filter("runs != ''")
+    longest = forms.agg(F.max(F.size(F.split("runs", " ")))).first()[0] or 0
+    if not longest:
+        return texts.select("resume_id", *(F.array().cast("array<string>").alias(c) for c in columns))
+    found = texts.select("resume_id")
+    for c in columns:
+        words = F.split(runs(F.col(c)), " ")
+        grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " "))))
+        met = texts.select("resume_id", c, words.alias("w")).select("resume_id", c, F.explode(F.array_distinct(grams)).alias("runs")).join(forms, "runs").filter(T.stands_in(F.col("form"), F.col(c)))
+        found = found.join(met.groupBy("resume_id").agg(F.array_sort(F.collect_set("keyword")).alias(c)), "resume_id", "left")
+    return found.select("resume_id", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in columns))
 
 
 def education_score() -> Column:
@@ -126,6 +137,13 @@ def experience_score(project_score: Column) -> Column:
     return F.when(needed.isNull() | (years >= needed) | (needed <= 0), F.lit(100).cast("decimal(5,2)")).otherwise(mixed)
 
 
+def project_relevance(projects: Column, keywords: Column) -> Column:
+    """The share of keywords, each once by its canonical form, that projects show (as of ``for_matching``); 0 of none."""
+    wanted = F.array_distinct(F.transform(keywords, T.keyword_alias))
+    shown = F.filter(wanted, lambda k: F.exists(T.forms_of(T.for_matching(k)), lambda f: T.stands_in(f, projects)))
+    return F.when(F.size(wanted) == 0, F.lit(0).cast("decimal(5,2)")).otherwise(T.share(F.size(shown), F.size(wanted)))
+
+
 def overall_score(rows: DataFrame) -> Column:
     total = reduce(lambda a, b: a + b, (F.col(c) * w for c, w in WEIGHTS.items()))
     return T.score(total / 100)
@@ -152,16 +170,20 @@ def recommendations() -> Column:
 def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
     """Scores, matched and missing terms and recommendations of each pair (resume_id, job_id).
 
-    Pairs whose résumé or job isn't there are left out. The joins are on the two keys; Spark
-    broadcasts a side only if it is small.
+    Pairs whose résumé or job isn't there are left out. The joins are on the two keys and carry arrays, no
+    texts; Spark broadcasts a side only if it is small. Résumés and jobs have one row a key.
     """
-    rows = pairs.select("resume_id", "job_id").join(resume_features(resumes), "resume_id").join(job_features(jobs), "job_id")
+    of_resumes, of_jobs = resume_features(resumes), job_features(jobs)
+    rare = rare_matches(of_resumes.select("resume_id", F.col("resume_text").alias("rare"), F.col("project_text").alias("rare_shown")), of_jobs)
+    of_resumes = of_resumes.drop("resume_text", "project_text").join(rare, "resume_id")
+    of_resumes = of_resumes.withColumns({"resume_keywords": F.array_union("resume_keywords", "rare"), "projects_show": F.array_union("projects_show", "rare_shown")}).drop("rare", "rare_shown")
+    rows = pairs.select("resume_id", "job_id").join(of_resumes, "resume_id").join(of_jobs, "job_id")
     rows = rows.withColumns(
         {
             "matched_skills": F.array_sort(F.array_intersect("job_skills", "resume_skills")),
             "missing_skills": F.array_sort(F.array_except("job_skills", "resume_skills")),
-            "matched_keywords": _matched(F.col("job_keywords"), F.col("resume_keywords"), F.col("resume_text")),
-            "shown": _matched(F.col("project_keywords"), F.col("projects_show"), F.col("project_text")),
+            "matched_keywords": F.array_sort(F.array_intersect("job_keywords", "resume_keywords")),
+            "shown": F.array_intersect("project_keywords", "projects_show"),
         }
     )
     project = F.when(F.size("project_keywords") == 0, F.lit(0).cast("decimal(5,2)")).otherwise(T.share(F.size("shown"), F.size("project_keywords")))
@@ -178,3 +200,21 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFr
     return rows.withColumn("recommendations", recommendations()).select(
         "resume_id", "job_id", "overall_score", *WEIGHTS, "matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "recommendations"
     )
+
+
+def analyses_after(existing: DataFrame, scored: DataFrame, now: Column) -> DataFrame:
+    """Stored analyses after scored pairs are written: one row a pair; a row that was there keeps id and creation.
+
+    New rows have no id yet: whatever stores them numbers them.
+    """
+    fresh = scored.select(F.lit(None).cast("long").alias("id"), "*", now.alias("created_at"), now.alias("updated_at"))
+    return upsert(existing, fresh.select(existing.columns), ["resume_id", "job_id"])
+
+
+def own_analyses(analyses: DataFrame, resumes: DataFrame, caller_id: int, analysis_id: int | None = None, resume_id: int | None = None, job_id: int | None = None) -> DataFrame:
+    """The caller's analyses: all, one by its id, or that of a résumé and a job. Those of others' résumés aren't seen."""
+    rows = analyses.join(resumes.filter(F.col("user_id") == caller_id).select(F.col("id").alias("resume_id")), "resume_id", "left_semi")
+    for column, value in (("id", analysis_id), ("resume_id", resume_id), ("job_id", job_id)):
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows.select(analyses.columns)
