@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talentloom.sources.schemas import ENUMS
+from talentloom.sources.schemas import ENUMS, PRIVATE
 
 STATUSES = ENUMS["status"]
 
@@ -84,6 +84,19 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, by: str, order: str, size: int, last: tuple | None = None) -> DataFrame:
+    """The page behind ``last``, the (value, id) of the row seen last; deep pages cost no more than the first.
+
+    For columns without nulls; sorted as ``sort`` does.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("page size from 1 to 100")
+    if last is not None:
+        here, seen = F.struct(F.col(by).alias("value"), F.col("id").alias("id")), F.struct(F.lit(last[0]).cast(df.schema[by].dataType).alias("value"), F.lit(last[1]).cast(df.schema["id"].dataType).alias("id"))
+        df = df.filter(here < seen if order == "desc" else here > seen)
+    return sort(df, by, order, (by,)).limit(size)
+
+
 def total_pages(total: int, size: int) -> int:
     return math.ceil(total / size)
 
@@ -107,12 +120,16 @@ def full_applications(applications: DataFrame, jobs: DataFrame, companies: DataF
     return applications.join(posts, "job_id", how).join(people, "user_id", how)
 
 
-def nested_applications(applications: DataFrame, jobs: DataFrame, companies: DataFrame, users: DataFrame) -> DataFrame:
-    """Applications with user and job{company} as structs, outer-joined."""
+def nested_applications(applications: DataFrame, jobs: DataFrame, companies: DataFrame, users: DataFrame, resumes: DataFrame | None = None) -> DataFrame:
+    """Applications with user, job{company} and, if given, résumé as structs, outer-joined."""
     company = companies.select(F.col("id").alias("company_id"), F.struct("id", "name", "location").alias("company"))
     job = jobs.join(company, "company_id", "left").select(F.col("id").alias("job_id"), F.struct("id", "title", "salary", "company").alias("job"))
     user = users.select(F.col("id").alias("user_id"), F.struct("id", "username").alias("user"))
-    return applications.join(job, "job_id", "left").join(user, "user_id", "left")
+    rows = applications.join(job, "job_id", "left").join(user, "user_id", "left")
+    if resumes is None:
+        return rows
+    fields = [c for c in resumes.columns if c not in ("user_id", *PRIVATE)]
+    return rows.join(resumes.select(F.col("id").alias("resume_id"), F.struct(*fields).alias("resume")), "resume_id", "left")
 
 
 def visible_applications(applications: DataFrame, jobs: DataFrame, companies: DataFrame, caller_id: int, role: str) -> DataFrame:
@@ -170,6 +187,38 @@ def recent(df: DataFrame, by: str, at: str, n: int = 5) -> DataFrame:
     return df.withColumn("place", place).filter(F.col("place") <= n)
 
 
+def recent_list(rows: DataFrame, by: str, *fields: str, n: int = 5) -> DataFrame:
+    """by and recent_applications: structs of the n latest applications of each key, latest first."""
+    latest = recent(rows, by, "applied_at", n)
+    items = F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("id").alias("application_id"), *fields, "status", "applied_at").alias("item"))))
+    return latest.groupBy(by).agg(items["item"].alias("recent_applications"))
+
+
+def candidate_dashboard_record(users: DataFrame, profiles: DataFrame, applications: DataFrame, saved: DataFrame, resumes: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """``candidate_dashboard`` with the profile (or null) and the five latest applications in the row."""
+    posts = with_company(jobs.select(F.col("id").alias("job_id"), F.col("title").alias("job_title"), "company_id"), companies).select("job_id", "job_title", "company_name")
+    latest = recent_list(recent(applications, "user_id", "applied_at").drop("place").join(posts, "job_id", "left"), "user_id", "job_id", "job_title", "company_name")
+    profile = profiles.select("user_id", F.struct(*(c for c in profiles.columns if c != "user_id")).alias("profile"))
+    rows = candidate_dashboard(users, applications, saved, resumes).join(profile, "user_id", "left").join(latest, "user_id", "left")
+    return rows.withColumn("recent_applications", F.coalesce("recent_applications", F.array()))
+
+
+def employer_dashboard_record(companies: DataFrame, jobs: DataFrame, applications: DataFrame, users: DataFrame) -> DataFrame:
+    """``employer_dashboard`` with the companies and the five latest applications in the row."""
+    full = full_applications(applications, jobs, companies, users)
+    latest = recent_list(full, "owner_id", "job_id", "job_title", "candidate_name")
+    firms = companies.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "location"))).alias("company_list"))
+    rows = employer_dashboard(companies, jobs, applications).join(firms, "owner_id").join(latest, "owner_id", "left")
+    return rows.withColumn("recent_applications", F.coalesce("recent_applications", F.array()))
+
+
+def employer_jobs(jobs: DataFrame, companies: DataFrame, owner_id: int | None = None) -> DataFrame:
+    """The jobs of an owner (or of all, with owner_id), latest posting first."""
+    rows = with_company(jobs, companies, "inner")
+    rows = rows if owner_id is None else rows.filter(F.col("owner_id") == owner_id)
+    return rows.orderBy(F.col("posted_at").desc(), F.col("id").desc())
+
+
 def candidate_dashboard(users: DataFrame, applications: DataFrame, saved: DataFrame, resumes: DataFrame) -> DataFrame:
     """One row a user: application, saved-job and résumé counts, and the primary résumé."""
     counts = candidate_counts(applications)

@@ -64,6 +64,11 @@ def file_problem(name: str, data: bytes) -> str | None:
     return None
 
 
+def stored_name(original: str):
+    """A file's name in the store: a random one with the original's ending."""
+    return F.concat(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit("."), F.lower(F.element_at(F.split(original, r"\."), -1)))
+
+
 def docx_text(data: bytes) -> str:
     """Non-empty paragraphs of the body, joined by line ends."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -118,6 +123,12 @@ class StarSchema:
     def users(self) -> DataFrame:
         return self.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.when(F.col("c_custkey") == 0, "Admin").when(F.col("c_custkey") < 25, "Employer").otherwise("Candidate").alias("role"))
 
+    @property
+    def profiles(self) -> DataFrame:
+        """A profile for each customer with a balance."""
+        rows = self.raw("customer").filter("c_acctbal > 0")
+        return rows.select(F.col("c_custkey").alias("user_id"), F.concat(F.initcap("c_mktsegment"), F.lit(" specialist")).alias("headline"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("location"))
+
     @property
     def companies(self) -> DataFrame:
         return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("location"), F.col("s_nationkey").cast("long").alias("owner_id"))
@@ -136,6 +147,7 @@ class StarSchema:
             pick(("Full-time", "Part-time", "Contract", "Internship"), F.col("p_size")).alias("employment_type"),
             pick(("Entry", "Junior", "Mid", "Senior"), F.floor(key / 5)).alias("experience_level"),
             pick(("Onsite", "Remote", "Hybrid"), key).alias("work_mode"),
+            F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(p_partkey % 365 AS INT))").alias("posted_at"),
             F.pmod(key, F.lit(100)).alias("company_id"),
         )
 
@@ -172,10 +184,11 @@ class StarSchema:
 #: The same views in SQL.
 STAR_SQL = """
 WITH users AS (SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey = 0 THEN 'Admin' WHEN c_custkey < 25 THEN 'Employer' ELSE 'Candidate' END AS role FROM customer),
+profiles AS (SELECT c_custkey AS user_id, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' specialist' AS headline, 'Nation ' || CAST(c_nationkey AS VARCHAR) AS location FROM customer WHERE c_acctbal > 0),
 companies AS (SELECT s_suppkey AS id, s_name AS name, 'Nation ' || CAST(s_nationkey AS VARCHAR) AS location, CAST(s_nationkey AS BIGINT) AS owner_id FROM supplier),
 jobs AS (SELECT p_partkey AS id, p_name AS title, p_type || ' ' || p_name || ' for ' || p_brand AS description, CAST(p_retailprice AS DECIMAL(10,2)) AS salary, p_brand AS location,
   list_sort(list_distinct([['python','sql','docker','aws','react','java','git','linux'][1 + p_partkey % 8], ['python','sql','docker','aws','react','java','git','linux'][1 + (p_partkey // 3) % 8], ['python','sql','docker','aws','react','java','git','linux'][1 + (p_partkey // 7) % 8]])) AS skills,
-  ['Full-time','Part-time','Contract','Internship'][1 + p_size % 4] AS employment_type, ['Entry','Junior','Mid','Senior'][1 + (p_partkey // 5) % 4] AS experience_level, ['Onsite','Remote','Hybrid'][1 + p_partkey % 3] AS work_mode, p_partkey % 100 AS company_id FROM part),
+  ['Full-time','Part-time','Contract','Internship'][1 + p_size % 4] AS employment_type, ['Entry','Junior','Mid','Senior'][1 + (p_partkey // 5) % 4] AS experience_level, ['Onsite','Remote','Hybrid'][1 + p_partkey % 3] AS work_mode, TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)) AS posted_at, p_partkey % 100 AS company_id FROM part),
 applications AS (SELECT o_custkey * 10000000 + l_partkey AS id, o_custkey AS user_id, l_partkey AS job_id,
   CASE WHEN max(l_returnflag) = 'A' THEN 'Applied' WHEN max(l_returnflag) = 'N' THEN 'Shortlisted' WHEN max(l_linestatus) = 'F' THEN 'Rejected' ELSE 'Withdrawn' END AS status, min(l_shipdate) AS applied_at
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey),
