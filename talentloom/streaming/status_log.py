@@ -15,21 +15,26 @@ _ALLOWED = frozenset(TRANSITIONS)
 
 
 def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Accepts an entry if it may follow the last accepted one; the first is always accepted."""
+    """Accepts an entry if it may follow the last accepted one; the first is always accepted.
+
+    All of the key's entries of a micro-batch are put in order first, however many chunks they come in.
+    """
     last = state.get[0] if state.exists else None
-    for rows in batches:
-        rows = rows.sort_values(["changed_at", "id"])
-        accepted = []
-        for new in rows["new_status"]:
-            ok = last is None or (last, new) in _ALLOWED
-            accepted.append(ok)
-            last = new if ok else last
-        yield rows.assign(accepted=accepted)[["application_id", "id", "new_status", "changed_at", "accepted"]]
+    rows = pd.concat(list(batches)).sort_values(["changed_at", "id"])
+    accepted = []
+    for new in rows["new_status"]:
+        ok = last is None or (last, new) in _ALLOWED
+        accepted.append(ok)
+        last = new if ok else last
+    yield rows.assign(accepted=accepted)[["application_id", "id", "new_status", "changed_at", "accepted"]]
     state.update((last,))
 
 
 def validated(log: DataFrame) -> DataFrame:
-    """A log stream (application_id, id, new_status, changed_at) with ``accepted``; state is one status an application."""
+    """A log stream (application_id, id, new_status, changed_at) with ``accepted``; state is one status an application.
+
+    It never expires: a status that ends an application refuses whatever comes after it, at any time.
+    """
     return log.select("application_id", "id", "new_status", "changed_at").groupBy("application_id").applyInPandasWithState(
         _judge, "application_id long, id long, new_status string, changed_at timestamp, accepted boolean", "last string", "append", GroupStateTimeout.NoTimeout
     )
