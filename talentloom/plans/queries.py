@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from talentloom.functions import requirements, text
 from talentloom.operators import parsing, relational, scoring, writes
 from talentloom.sources import schemas
-from talentloom.sources.marketplace import STAR_SQL, StarSchema
+from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
+from talentloom.sources.marketplace import health as check_health
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,6 +99,33 @@ def company_list_by_location(m):
     return relational.search_companies(m.companies, location="nation 1").select("id", "name", "location", "owner_id")
 
 
+@query("SELECT id, name FROM companies WHERE name ILIKE '%0007%' AND location ILIKE '%nation%'")
+def company_list_by_name(m):
+    return relational.search_companies(m.companies, " 0007 ", "Nation").select("id", "name")
+
+
+@query("SELECT id, title FROM jobs WHERE id = 17")
+def job_by_id(m):
+    return find(m.jobs, 17).select("id", "title")
+
+
+@query("SELECT id, '{\"id\":' || id || ',\"location\":\"' || location || '\"}' AS json FROM companies")
+def companies_as_json(m):
+    return to_json_rows(m.companies.select("id", "location")).select(F.get_json_object("json", "$.id").cast("long").alias("id"), "json")
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN employment_type ELSE 'Full-time' END AS employment_type, CASE WHEN id % 3 = 0 THEN work_mode ELSE 'Onsite' END AS work_mode FROM jobs")
+def jobs_with_defaults(m):
+    """Missing enum values as on insertion; the store's own columns never leave."""
+    jobs = m.jobs.select("id", F.when(F.col("id") % 2 == 0, F.col("employment_type")).alias("employment_type"), F.when(F.col("id") % 3 == 0, F.col("work_mode")).alias("work_mode"), F.lit("x").alias("file_path"))
+    return schemas.public(schemas.with_defaults(jobs))
+
+
+@query("SELECT 1 AS ok")
+def health(m):
+    return check_health(m.spark)
+
+
 @query("SELECT id, name FROM companies WHERE name ILIKE 'supplier#00000000_' AND id <> 3")
 def company_name_taken(m):
     return relational.same_name(m.companies, "supplier#00000000_", other_than=3).select("id", "name")
@@ -170,10 +198,73 @@ def candidate_dashboard(m):
     return relational.candidate_dashboard(m.users, m.applications, m.saved_jobs, m.resumes).withColumn("primary_resume_id", _key("primary_resume_id"))
 
 
-@query("SELECT s.id, s.job_id, j.title, c.name AS company_name FROM saved_jobs s LEFT JOIN jobs j ON s.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id WHERE s.user_id < 40 ORDER BY s.saved_at DESC, s.id DESC LIMIT 100 OFFSET 100")
+_RECENT = "string_agg(CAST(id AS VARCHAR) || ':' || job_title, ',' ORDER BY place) AS recent"
+
+
+def _recent_text():
+    return F.array_join(F.transform("recent_applications", lambda a: F.concat(a["application_id"].cast("string"), F.lit(":"), a["job_title"])), ",").alias("recent")
+
+
+@query(
+    f", ranked AS (SELECT a.id, a.user_id, j.title AS job_title, row_number() OVER (PARTITION BY a.user_id ORDER BY applied_at DESC, a.id DESC) AS place FROM applications a LEFT JOIN jobs j ON a.job_id = j.id), r AS (SELECT user_id, {_RECENT} FROM ranked WHERE place <= 5 GROUP BY 1), n AS (SELECT user_id, count(*) AS total FROM applications GROUP BY 1) "
+    "SELECT u.id AS user_id, p.headline, p.location, coalesce(total, 0) AS total, coalesce(recent, '') AS recent FROM users u LEFT JOIN profiles p ON u.id = p.user_id LEFT JOIN r ON u.id = r.user_id LEFT JOIN n ON u.id = n.user_id"
+)
+def candidate_dashboard_record(m):
+    rows = relational.candidate_dashboard_record(m.users, m.profiles, m.applications, m.saved_jobs, m.resumes, m.jobs, m.companies)
+    return rows.select("user_id", "profile.headline", "profile.location", "total", _recent_text())
+
+
+@query(
+    f", {_FULL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY applied_at DESC, id DESC) AS place FROM full_applications), r AS (SELECT owner_id, {_RECENT} FROM ranked WHERE place <= 5 GROUP BY 1), c AS (SELECT owner_id, string_agg(name, ',' ORDER BY id) AS names FROM companies GROUP BY 1), n AS (SELECT owner_id, count(*) FILTER (status IN ('Applied','Shortlisted','Rejected','Selected')) AS applications FROM full_applications GROUP BY 1) "
+    "SELECT c.owner_id, names, coalesce(applications, 0) AS applications, coalesce(recent, '') AS recent FROM c LEFT JOIN r ON c.owner_id = r.owner_id LEFT JOIN n ON c.owner_id = n.owner_id"
+)
+def employer_dashboard_record(m):
+    rows = relational.employer_dashboard_record(m.companies, m.jobs, m.applications, m.users)
+    return rows.select("owner_id", F.array_join(F.transform("company_list", lambda c: c["name"]), ",").alias("names"), "applications", _recent_text())
+
+
+@query("SELECT j.id, c.owner_id, strftime(j.posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at, row_number() OVER (PARTITION BY c.owner_id ORDER BY j.posted_at DESC, j.id DESC) AS place FROM jobs j JOIN companies c ON j.company_id = c.id")
+def employer_jobs_by_date(m):
+    rows = relational.listed(relational.with_company(m.jobs, m.companies, "inner"), "owner_id", "posted_at", "id")
+    return rows.select("id", "owner_id", _day("posted_at").alias("posted_at"), F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT j.id, strftime(j.posted_at, '%Y-%m-%d %H:%M:%S') AS posted_at FROM jobs j JOIN companies c ON j.company_id = c.id WHERE c.owner_id = 5")
+def employer_jobs_of_one(m):
+    return relational.employer_jobs(m.jobs, m.companies, 5).select("id", _day("posted_at").alias("posted_at"))
+
+
+@query("SELECT id, title, CAST(salary AS DOUBLE) AS salary FROM jobs WHERE (jobs.salary, id) < (1200, 500) ORDER BY jobs.salary DESC, id DESC LIMIT 50")
+def job_page_after_last_seen(m):
+    return relational.page_after(m.jobs, "salary", "desc", 50, (Decimal("1200.00"), 500)).select("id", "title", _double("salary"))
+
+
+_USED = "used AS (SELECT a.*, CASE WHEN a.job_id % 2 = 0 THEN p.pid END AS resume_id FROM applications a LEFT JOIN (SELECT user_id, min(id) AS pid FROM resumes WHERE is_primary GROUP BY 1) p ON a.user_id = p.user_id)"
+
+
+def _with_resume(m):
+    """Applications; those for even jobs used the user's primary résumé."""
+    primary = m.resumes.filter("is_primary").groupBy("user_id").agg(F.min("id").alias("pid"))
+    return m.applications.join(primary, "user_id", "left").withColumn("resume_id", F.when(F.col("job_id") % 2 == 0, F.col("pid"))).drop("pid")
+
+
+@query(f", {_USED} SELECT a.id, u.username AS user_name, c.name AS company_name, coalesce(r.id, -1) AS resume_id, strftime(r.uploaded_at, '%Y-%m-%d %H:%M:%S') AS uploaded_at FROM used a LEFT JOIN users u ON a.user_id = u.id LEFT JOIN jobs j ON a.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id LEFT JOIN resumes r ON a.resume_id = r.id")
+def applications_with_resume(m):
+    rows = relational.nested_applications(_with_resume(m), m.jobs, m.companies, m.users, m.resumes)
+    return rows.select("id", F.col("user.username").alias("user_name"), F.col("job.company.name").alias("company_name"), F.coalesce("resume.id", F.lit(-1).cast("long")).alias("resume_id"), F.date_format("resume.uploaded_at", "yyyy-MM-dd HH:mm:ss").alias("uploaded_at"))
+
+
+@query(f", {_USED} SELECT a.id, coalesce(CASE WHEN r.uploaded_at >= TIMESTAMP '2023-01-01' THEN a.resume_id END, -1) AS resume_id FROM used a LEFT JOIN resumes r ON a.resume_id = r.id")
+def resume_deletion_sets_null(m):
+    """Résumés from before 2023 are deleted; applications that used one stay."""
+    old = m.resumes.filter("uploaded_at < timestamp_ntz'2023-01-01 00:00:00'")
+    return writes.delete_set_null(_with_resume(m), old, "resume_id").select("id", _key("resume_id"))
+
+
+@query("SELECT s.id, s.job_id, j.title, c.name AS company_name FROM saved_jobs s LEFT JOIN jobs j ON s.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id ORDER BY s.saved_at DESC, s.id DESC LIMIT 100 OFFSET 100")
 def saved_jobs_page(m):
     posts = relational.with_company(m.jobs.select(F.col("id").alias("job_id"), "title", "company_id"), m.companies)
-    rows = m.saved_jobs.filter("user_id < 40").join(posts, "job_id", "left")
+    rows = m.saved_jobs.join(posts, "job_id", "left")
     return relational.page(relational.sort(rows, "saved_at", "desc", ("saved_at",)), 2, 100).select("id", "job_id", "title", "company_name")
 
 
@@ -182,6 +273,11 @@ def visible_applications(m):
     return relational.visible_applications(m.applications, m.jobs, m.companies, 7, "Employer").select("id", "user_id", _key("owner_id"))
 
 
+@query("SELECT id, user_id FROM applications")
+def visible_applications_of_an_admin(m):
+    return relational.visible_applications(m.applications, m.jobs, m.companies, 0, "ADMIN").select("id", "user_id")
+
+
 @query("SELECT user_id, id, is_primary, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at DESC, id DESC) AS place FROM resumes")
 def resume_lists(m):
     return relational.listed(m.resumes, "user_id", "uploaded_at", "id").select("user_id", "id", "is_primary", F.col("place").cast("long").alias("place"))
@@ -226,6 +322,11 @@ def deletable_companies(m):
     return relational.not_in_use(m.companies, m.jobs, "company_id").select("id", "name")
 
 
+@query("SELECT id, name FROM companies WHERE id NOT IN (SELECT company_id FROM jobs WHERE employment_type = 'Internship' AND experience_level = 'Senior')")
+def companies_without_senior_interns(m):
+    return relational.not_in_use(m.companies, relational.search_jobs(m.jobs, employment_type="Internship", experience_level="Senior"), "company_id").select("id", "name")
+
+
 @query("SELECT id, name FROM companies WHERE id IN (SELECT company_id FROM jobs)")
 def protected_companies(m):
     return relational.in_use(m.companies, m.jobs, "company_id").select("id", "name")
@@ -263,12 +364,12 @@ def status_transition_rejects(m):
 
 
 def _requests(m):
-    """One request a tenth application, by its key."""
-    status = F.element_at(F.array(*map(F.lit, relational.STATUSES)), (F.pmod("job_id", F.lit(4)) + 1).cast("int"))
-    return m.applications.filter("id % 10 = 0").select("id", status.alias("new_status"), F.lit(0).cast("long").alias("changed_by"), F.col("applied_at").alias("changed_at"))
+    """One request an application, by its keys."""
+    status = F.element_at(F.array(*map(F.lit, relational.STATUSES)), (F.pmod(F.col("job_id") + F.col("user_id"), F.lit(4)) + 1).cast("int"))
+    return m.applications.select("id", status.alias("new_status"), F.lit(0).cast("long").alias("changed_by"), F.col("applied_at").alias("changed_at"))
 
 
-_REQUESTS = "requests AS (SELECT id, ['Applied','Shortlisted','Rejected','Selected'][1 + job_id % 4] AS new_status, status AS old_status FROM applications WHERE id % 10 = 0)"
+_REQUESTS = "requests AS (SELECT id, ['Applied','Shortlisted','Rejected','Selected'][1 + (job_id + user_id) % 4] AS new_status, status AS old_status FROM applications)"
 
 
 @query(f", {_REQUESTS} SELECT a.id, CASE WHEN r.id IS NOT NULL AND ({_TRANSITION}) IS NULL THEN r.new_status ELSE a.status END AS status FROM applications a LEFT JOIN requests r ON a.id = r.id")
@@ -366,6 +467,13 @@ def skill_match_scores(m):
     return _joined(rows, "matched_skills", "missing_skills").select("id", _double("skill_score"), "matched_skills", "missing_skills")
 
 
+@query(f", {_PAIRS} SELECT p.id, array_to_string(list_sort(list_distinct(list_concat(p.skills, m.own))), ',') AS either, len(p.missing) = 0 AS covered FROM pairs p JOIN applications a USING (id) JOIN mine m USING (user_id)")
+def skill_sets(m):
+    """Skills of either side, and whether the user's cover the job's."""
+    rows = _pairs(m)
+    return rows.select("id", F.array_join(F.array_sort(F.array_union("skills", "own")), ",").alias("either"), (F.size(F.array_except("skills", "own")) == 0).alias("covered"))
+
+
 @query(
     f", {_PAIRS}, parts AS (SELECT id, {_SKILL_SCORE} AS s, CAST(id % 101 AS DECIMAL(5,2)) AS x, CAST([0, 60, 100][1 + id % 3] AS DECIMAL(5,2)) AS e, CAST(id % 97 AS DECIMAL(5,2)) AS k FROM pairs), scored AS (SELECT id, CAST(round((s * 40 + x * 20 + e * 15 + k * 25) / 100, 2) AS DECIMAL(5,2)) AS overall_score FROM parts) "
     "SELECT id, CAST(overall_score AS DOUBLE) AS overall_score, CASE WHEN overall_score >= 90 THEN 'Excellent match for this job.' WHEN overall_score >= 75 THEN 'Strong match with a few areas to improve.' WHEN overall_score >= 50 THEN 'Moderate match: address the gaps below first.' ELSE 'Low match: review the job''s requirements first.' END AS band FROM scored"
@@ -379,6 +487,13 @@ def overall_score_bands(m):
     return rows.select("id", _double("overall_score"), F.element_at(scoring.recommendations(), 1).alias("band"))
 
 
+@query(f", {_PAIRS} SELECT id, array_to_string(list_sort(missing)[:8], ',') AS listed, len(missing) AS missing FROM pairs")
+def missing_skills_top8(m):
+    """The missing skills that a hint lists, of all that are missing."""
+    rows = _pairs(m).withColumn("missing", F.array_sort(F.array_except("skills", "own")))
+    return rows.select("id", F.array_join(F.slice("missing", 1, scoring.MOST_LISTED), ",").alias("listed"), F.size("missing").cast("long").alias("missing"))
+
+
 _PHRASES = ("backend developer", "relational databases", "cloud deployments", "unit testing", "agile development", "problem-solving", "minimum 3 years of experience required", "bachelor's degree in computer science required")
 
 
@@ -392,24 +507,105 @@ def _score_inputs(m):
     return m.applications.select(F.col("user_id").alias("resume_id"), "job_id"), resumes, jobs
 
 
-@query()
+#: The keywords that each of the phrases calls for.
+_KEYWORDS = "[['backend developer'], ['relational database'], ['cloud deployment'], ['testing', 'unit'], ['agile development'], ['problem solving'], [], []]"
+_SHARE = "CASE WHEN len({1}) = 0 THEN {2} ELSE CAST(round(CAST(len({0}) * 100 AS DECIMAL(20,6)) / len({1}), 2) AS DECIMAL(5,2)) END"
+_HINTS = """CASE WHEN len(missing_skills) = 0 AND len(missing_keywords) = 0 AND e >= 100 AND x >= 90 AND k >= 90 AND o >= 90 THEN 'Excellent match: no major ATS improvements are needed.' ELSE array_to_string(list_sort(list_filter([
+  CASE WHEN o >= 90 THEN 'Excellent match for this job.' WHEN o >= 75 THEN 'Strong match with a few areas to improve.' WHEN o >= 50 THEN 'Moderate match: address the gaps below first.' ELSE 'Low match: review the job''s requirements first.' END,
+  CASE WHEN len(missing_skills) > 0 THEN 'Add these required skills if you have them: ' || array_to_string(missing_skills[:8], ', ') || '.' END,
+  CASE WHEN e = 0 THEN 'The required education level isn''t shown.' WHEN e < 100 THEN 'The education level fits but the field differs: make it clearer.' END,
+  CASE WHEN x < 50 THEN 'Little evidence of the required experience: state durations and outcomes.' WHEN x < 80 THEN 'Connect experience and projects to the role more clearly.' END,
+  CASE WHEN len(missing_keywords) > 0 THEN 'Work in these job terms where they apply: ' || array_to_string(missing_keywords[:8], ', ') || '.' WHEN k < 70 THEN 'Keyword alignment is weak.' WHEN k < 90 THEN 'Make role-specific terms more explicit.' END
+  ], lambda h: h IS NOT NULL)), ',') END"""
+_JOB_PHRASES = "list_distinct([id % 8, (id // 3) % 8, (id // 11) % 8])"
+_MATCH = (
+    f", mj AS (SELECT id AS job_id, list_sort(list_concat(skills, CASE WHEN list_contains(jp, 3) THEN ['unit testing'] ELSE [] END)) AS js, list_sort(flatten(list_transform(jp, lambda p: {_KEYWORDS}[1 + p]))) AS kw, list_contains(jp, 6) AS wants_years, list_contains(jp, 7) AS wants_degree FROM (SELECT *, {_JOB_PHRASES} AS jp FROM jobs)), "
+    f"mu AS (SELECT id AS user_id, list_concat(['python', 'sql'], CASE WHEN list_contains(up, 3) THEN ['unit testing'] ELSE [] END) AS us, flatten(list_transform(up, lambda p: {_KEYWORDS}[1 + p])) AS uk, {_KEYWORDS}[1 + (id // 7) % 8] AS told, id % 6 AS years, id % 2 = 0 AS has_degree FROM (SELECT *, list_distinct([id % 8, (id // 5) % 8, (id // 2) % 8, (id // 7) % 8]) AS up FROM users)), "
+    "met AS (SELECT user_id AS resume_id, job_id, js, kw, wants_years, wants_degree, years, has_degree, list_filter(js, lambda v: list_contains(us, v)) AS matched_skills, list_filter(js, lambda v: NOT list_contains(us, v)) AS missing_skills, list_filter(kw, lambda v: list_contains(uk, v)) AS matched_keywords, list_filter(kw, lambda v: NOT list_contains(uk, v)) AS missing_keywords, list_filter(kw, lambda v: list_contains(told, v)) AS shown FROM applications JOIN mu USING (user_id) JOIN mj USING (job_id)), "
+    f"parts AS (SELECT *, {_SHARE.format('matched_skills', 'js', 100)} AS s, {_SHARE.format('matched_keywords', 'kw', 100)} AS k, {_SHARE.format('shown', 'kw', 0)} AS p, CASE WHEN NOT wants_degree OR has_degree THEN 100 ELSE 0 END AS e FROM met), "
+    "more AS (SELECT *, CAST(CASE WHEN NOT wants_years OR years >= 3 THEN 100 ELSE round([0, 33.33, 66.67][1 + years] * 0.70 + CAST(p AS DECIMAL(5,2)) * 0.30, 2) END AS DECIMAL(5,2)) AS x FROM parts), "
+    "scored AS (SELECT *, CAST(round((CAST(s AS DECIMAL(5,2)) * 40 + x * 20 + e * 15 + CAST(k AS DECIMAL(5,2)) * 25) / 100, 2) AS DECIMAL(5,2)) AS o FROM more) "
+    "SELECT resume_id, job_id, CAST(o AS DOUBLE) AS overall_score, CAST(s AS DOUBLE) AS skill_score, CAST(x AS DOUBLE) AS experience_score, CAST(e AS DOUBLE) AS education_score, CAST(k AS DOUBLE) AS keyword_score, "
+    f"array_to_string(matched_skills, ',') AS matched_skills, array_to_string(missing_skills, ',') AS missing_skills, array_to_string(matched_keywords, ',') AS matched_keywords, array_to_string(missing_keywords, ',') AS missing_keywords, {_HINTS} AS recommendations FROM scored"
+)
+_SCORES = ("overall_score", *scoring.WEIGHTS)
+
+
+@query(_MATCH)
 def match_scores(m):
     """Every application scored as a pair of résumé and job."""
-    return _joined(scoring.score_pairs(*_score_inputs(m)), "matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "recommendations")
+    rows = _joined(scoring.score_pairs(*_score_inputs(m)), "matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "recommendations")
+    return rows.withColumns({c: F.col(c).cast("double") for c in _SCORES})
+
+
+@query(
+    "SELECT a.user_id AS resume_id, a.job_id, CASE WHEN (a.user_id + a.job_id) % 2 = 0 THEN a.id ELSE -1 END AS id, CASE WHEN (a.user_id + a.job_id) % 2 = 0 THEN '2024-01-01' ELSE '2025-01-01' END AS created, '2025-01-01' AS updated FROM applications a UNION ALL SELECT -1, -1, -1, '2024-01-01', '2024-01-01'"
+)
+def store_match_scores(m):
+    """Half of the analyses are there already, and one of another pair; scoring all keeps ids and creation."""
+    pairs, resumes, jobs = _score_inputs(m)
+    columns = ["id", "resume_id", "job_id", *_SCORES, "recommendations", "created_at", "updated_at"]
+    stamp = lambda y: F.expr(f"timestamp_ntz'{y}-01-01 00:00:00'")
+    score_ = lambda: [F.lit(0).cast("decimal(5,2)").alias(c) for c in _SCORES]
+    old = m.applications.filter("(user_id + job_id) % 2 = 0").select("id", F.col("user_id").alias("resume_id"), "job_id")
+    other = m.spark.range(1).selectExpr("-1L AS id", "-1L AS resume_id", "-1L AS job_id")
+    old = old.unionByName(other).select("*", *score_(), F.array().cast("array<string>").alias("recommendations"), stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
+    after = scoring.analyses_after(old.select(columns), scoring.score_pairs(pairs, resumes, jobs), stamp(2025))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return after.select("resume_id", "job_id", _key("id"), day("created_at").alias("created"), day("updated_at").alias("updated"))
+
+
+@query("SELECT r.id AS id, r.id AS resume_id, r.id % 50 AS job_id FROM resumes r WHERE r.user_id = 7")
+def own_analyses(m):
+    """Analyses of all résumés, as the user 7 sees them."""
+    analyses = m.resumes.select("id", F.col("id").alias("resume_id"), (F.col("id") % 50).alias("job_id"))
+    return scoring.own_analyses(analyses, m.resumes, 7)
+
+
+@query(
+    "SELECT id, CASE WHEN id % 2 = 0 THEN 'software development lifecycle' || CASE WHEN id % 3 = 0 THEN ',unit testing' ELSE '' END ELSE 'database,software development' || CASE WHEN id % 3 = 0 THEN ',unit testing' ELSE ',unit' END END AS kept FROM jobs"
+)
+def redundant_phrases(m):
+    """Phrases within longer ones go, also where only singular and plural tell them apart."""
+    key = F.col("id")
+    words = F.array(
+        F.when(key % 2 == 0, "software development lifecycle").otherwise("database"),
+        F.lit("software development"),
+        F.when(key % 2 == 0, "softwares").otherwise("development"),
+        F.when(key % 3 == 0, "unit testing").otherwise(F.when(key % 2 == 0, "lifecycles").otherwise("unit")),
+        F.when(key % 3 == 0, "units").otherwise("software"),
+    )
+    return m.jobs.select("id", F.array_join(F.array_sort(scoring.drop_redundant(words)), ",").alias("kept"))
+
+
+_LEVEL_CASES = (
+    ("Bachelor's or Master's degree required", 3), ("Bachelor's and Master's degrees required", 4), ("B/Tech required", 3), ("PhD preferred", -1), ("Bachelor's preferred or Master's required", 4),
+    ("Master's degree preferred, Bachelor's degree required", 3), ("Diploma mandatory", 2), ("no degree named", -1),
+)
+_YEAR_CASES = (
+    ("2.5 years of experience required", 2.5), ("At least 4+ years", 4.0), ("5 years preferred", -1.0), ("minimum 5 years preferred", -1.0), ("10 years in business", -1.0), ("minimum 3 years", 3.0),
+    ("5 yrs mandatory", 5.0), ("2 years of professional experience, 5 years of experience", 5.0),
+)
 
 
 # ---------------------------------------------------------------- texts
 
 
 
-@query()
+@query(f"SELECT id, CASE WHEN list_contains({_JOB_PHRASES}, 7) THEN 3 ELSE -1 END AS required_level, {[v for _, v in _LEVEL_CASES]}[1 + id % 8] AS said_level FROM jobs")
 def required_education_level(m):
-    return _score_inputs(m)[2].select("id", requirements.required_education_level("description").alias("required_level"))
+    """Of the job texts, and of known wordings."""
+    level = lambda c, name: F.coalesce(requirements.required_education_level(c), F.lit(-1)).alias(name)
+    said = F.element_at(F.array(*(F.lit(k) for k, _ in _LEVEL_CASES)), (F.pmod("id", F.lit(8)) + 1).cast("int"))
+    return _score_inputs(m)[2].select("id", level("description", "required_level"), level(said, "said_level"))
 
 
-@query()
+@query(f"SELECT id, CAST(CASE WHEN list_contains({_JOB_PHRASES}, 6) THEN 3 ELSE -1 END AS DOUBLE) AS required_years, CAST({[v for _, v in _YEAR_CASES]}[1 + id % 8] AS DOUBLE) AS said_years FROM jobs")
 def required_experience_years(m):
-    return _score_inputs(m)[2].select("id", requirements.required_experience_years("description").alias("required_years"))
+    """Of the job texts, and of known wordings."""
+    years = lambda c, name: F.coalesce(requirements.required_experience_years(c), F.lit(-1.0)).alias(name)
+    said = F.element_at(F.array(*(F.lit(k) for k, _ in _YEAR_CASES)), (F.pmod("id", F.lit(8)) + 1).cast("int"))
+    return _score_inputs(m)[2].select("id", years("description", "required_years"), years(said, "said_years"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[\s\x0B\x85\xA0]+', ' ', 'g')) AS normalized FROM documents")
@@ -432,6 +628,11 @@ def bullet_normalise(m):
     return m.raw("documents").select("doc_id", text.bullets(F.col("text")).alias("text"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'), '([(\[{])\s+', '\1', 'g'), '\s+([)\]}])', '\1', 'g')) AS text FROM documents")
+def whitespace_rules(m):
+    return m.raw("documents").select("doc_id", text.whitespace(F.col("text")).alias("text"))
+
+
 @query("SELECT doc_id, translate(text, '–—‒‑−‘’“”', '-----''''\"\"') AS text FROM documents")
 def punctuation_normalise(m):
     return m.raw("documents").select("doc_id", F.translate(text.punctuation(F.col("text")), " ", " ").alias("text"))
@@ -456,6 +657,12 @@ def section_fill_forward(m):
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce(F.last("opens", ignorenulls=True).over(so_far), F.lit("header")).alias("section"))
 
 
+@query(f", {_LINES} SELECT doc_id, pos, (line = upper(line) AND regexp_matches(line, '[A-Za-z]')) OR (regexp_matches(line, '[A-Za-z]') AND NOT regexp_matches(line, '(^|\\s)[^A-Za-z\\s]*[a-z]')) AS heading FROM lines")
+def heading_case_lines(m):
+    """Whether a line is written as headings are."""
+    return parsing.lines(m.raw("documents")).select("doc_id", F.col("pos").cast("long").alias("pos"), text.heading_case(F.col("line")).alias("heading"))
+
+
 @query("SELECT id, CASE WHEN id % 2 = 0 THEN CAST(id % 7 AS DOUBLE) + 0.5 END AS years FROM jobs")
 def required_years_simple(m):
     said = F.when(F.col("id") % 2 == 0, F.concat(F.lit("At least "), (F.col("id") % 7).cast("string"), F.lit(".5+ Years of experience, or 0 yrs"))).otherwise("10 jobs")
@@ -472,10 +679,164 @@ def canonical_skills(m):
     return m.jobs.select("id", text.canonical_skill(spelled).alias("skill"))
 
 
-@query()
+_FIRST, _LAST = ("ANITA", "Ravi", "MEENA", "Kiran", "Latha"), ("RAO", "Kumar", "DEVI")
+_TECH = ("FastAPI", "Django", "PostgreSQL", "Docker")
+
+
+def _at(values, n):
+    """One of the values, by a number."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+
+
+def _resume_texts(m) -> DataFrame:
+    """A résumé for each user, put together from the key: wrapped lines, bullets, inline titles, missing parts."""
+    key = F.col("id")
+    tech, text_ = _at(_TECH, key), key.cast("string")
+    lines = [
+        F.concat(_at(_FIRST, key), F.lit(" "), _at(_LAST, key), F.when(key % 6 == 0, " Backend Developer").otherwise("")),
+        F.when(key % 5 != 0, F.concat(F.lit("Email: User"), text_, F.lit("@Example.com | +91 98"), F.lpad(text_, 8, "0"))),
+        F.concat(F.lit("LinkedIn: linkedin.com/in/user"), text_, F.lit(",")),
+        F.lit("PROFESSIONAL SUMMARY"),
+        F.concat(F.lit("Backend engineer number "), text_, F.lit(" who builds clean data pipelines with")),
+        F.lit("care , tests and reviews ."),
+        F.lit("TECHNICAL SKILLS"),
+        F.concat(F.lit("Python, "), tech, F.lit(", Git")),
+        F.lit("PROJECTS"),
+        F.when(key % 4 == 1, F.concat(F.lit("Shop Portal "), text_, F.lit(" • Python • "), tech)).otherwise(F.concat(F.lit("Shop Portal "), text_)),
+        F.when(key % 4 != 1, F.concat(F.lit("Tech Stack: Python, "), F.lower(tech), F.lit("; Excel"))),
+        F.concat(F.lit("● Took orders of "), text_, F.lit(" customers and shipped them with")),
+        F.lit("care • Sent invoices to all"),
+        F.lit("Queue Monitor for the Shop"),
+        F.lit("- Watched the queues of the shop and told of delays"),
+        F.lit("EXPERIENCE"),
+        F.concat(F.lit("Backend Developer | Company "), text_, F.lit(" | Hyderabad | "), (F.lit(2000) + key % 20).cast("string"), F.lit(" – "), F.when(key % 3 == 0, "Present").otherwise((F.lit(2001) + key % 20).cast("string"))),
+        F.lit("* Wrote services for the warehouse"),
+        F.lit("EDUCATION"),
+        F.concat(F.lit("Bachelor of Technology, Sunrise College, State University "), (key % 9).cast("string")),
+        F.concat(F.lit("2015 - 2019, CGP A: 8."), (key % 10).cast("string")),
+        F.lit("CERTIFICATIONS"),
+        F.lit("• Cloud Basics • Data Basics"),
+        F.lit("LANGUAGES"),
+        F.lit("English, Hindi | english"),
+    ]
+    return m.users.select(key.alias("resume_id"), F.when(key % 17 == 3, F.lit("Too short ")).otherwise(F.concat_ws("\n", *lines)).alias("text"))
+
+
+_RESUMES = (
+    f", r AS (SELECT id, CAST(id AS VARCHAR) AS t, {list(_FIRST)}[1 + id % 5] AS given, {list(_LAST)}[1 + id % 3] AS family, {list(_TECH)}[1 + id % 4] AS tech, id % 17 <> 3 AS ok FROM users) "
+    "SELECT id AS resume_id, CASE WHEN ok THEN 'Completed' ELSE 'Failed' END AS status, "
+    "CASE WHEN NOT ok THEN 'Resume contains insufficient readable text. The file may be scanned or image-based.' END AS error, "
+)
+
+
+@query(
+    _RESUMES + "CASE WHEN ok AND id % 5 <> 0 THEN 'user' || t || '@example.com' END AS email, CASE WHEN ok AND id % 5 <> 0 THEN '+91 98' || lpad(t, 8, '0') END AS phone, CASE WHEN ok THEN 'https://linkedin.com/in/user' || t END AS linkedin, "
+    # upper or title case of both words: else only the two words' own score, which is high enough
+    "CASE WHEN ok THEN given || ' ' || family END AS name, CASE WHEN ok THEN 'Backend engineer number ' || t || ' who builds clean data pipelines with care, tests and reviews.' END AS summary, "
+    "CASE WHEN ok THEN array_to_string(list_sort(['Git', 'Python', tech]), ',') END AS skills, CASE WHEN ok THEN 'Cloud Basics,Data Basics' END AS certifications, CASE WHEN ok THEN 'English,Hindi' END AS languages, "
+    "CASE WHEN ok THEN 'summary,skills,experience,projects,education,certifications,languages' END AS sections, CASE WHEN ok AND id % 5 = 0 THEN 'Email address was not detected.' WHEN ok THEN '' END AS warnings FROM r"
+)
 def parse_resume_struct(m):
-    """Every document parsed as a résumé with a heading put in front."""
-    docs = m.raw("documents").select("doc_id", F.concat(F.lit("SUMMARY\n"), "text").alias("text"))
-    return parsing.parse_resumes(docs).select("doc_id", "status", "error", F.to_json("parsed_data").alias("parsed_data"))
+    """A résumé of every user parsed: contacts, lists and diagnostics."""
+    rows = parsing.parse_resumes(_resume_texts(m), "text", "resume_id")
+    listed = lambda c: F.array_join(F.col(f"parsed_data.{c}"), ",")
+    return rows.select(
+        "resume_id",
+        "status",
+        "error",
+        *(f"parsed_data.personal.{c}" for c in ("email", "phone", "linkedin", "name")),
+        "parsed_data.summary",
+        *(listed(c).alias(c) for c in ("skills", "certifications", "languages")),
+        listed("diagnostics.sections_detected").alias("sections"),
+        listed("diagnostics.warnings").alias("warnings"),
+    )
+
+
+@query(
+    _RESUMES + "CASE WHEN ok THEN 'Shop Portal ' || t || ',Queue Monitor for the Shop' END AS names, "
+    "CASE WHEN NOT ok THEN NULL WHEN id % 4 = 1 THEN 'Python,' || tech ELSE 'Python,' || tech || ',Excel' END AS technologies, "
+    "CASE WHEN ok THEN 'Took orders of ' || t || ' customers and shipped them with care' END AS first_told, CASE WHEN ok THEN 'Sent invoices to all' END AS second_told, CASE WHEN ok THEN 'Watched the queues of the shop and told of delays' END AS last_told FROM r"
+)
+def parse_resume_projects(m):
+    rows = parsing.parse_resumes(_resume_texts(m), "text", "resume_id")
+    p = F.col("parsed_data.projects")
+    told = lambda k, i: F.get(F.get(p, F.lit(k))["description"], F.lit(i))
+    names = F.array_join(F.transform(p, lambda x: x["name"]), ",")
+    return rows.select("resume_id", "status", "error", names.alias("names"), F.array_join(F.get(p, F.lit(0))["technologies"], ",").alias("technologies"), told(0, 0).alias("first_told"), told(0, 1).alias("second_told"), told(1, 0).alias("last_told"))
 
 
+@query(
+    _RESUMES + "CASE WHEN ok THEN 'Backend Developer' END AS title, CASE WHEN ok THEN 'Company ' || t END AS company, CASE WHEN ok THEN 'Hyderabad' END AS organization, CASE WHEN ok THEN CAST(2000 + id % 20 AS INTEGER) ELSE -1 END AS start_year, "
+    "CASE WHEN ok AND id % 3 <> 0 THEN CAST(2001 + id % 20 AS INTEGER) ELSE -1 END AS end_year, CASE WHEN ok THEN 'Wrote services for the warehouse' END AS told FROM r"
+)
+def parse_resume_experience(m):
+    rows = parsing.parse_resumes(_resume_texts(m), "text", "resume_id")
+    e = F.get(F.col("parsed_data.experience"), F.lit(0))
+    year = lambda c: F.coalesce(e[c], F.lit(-1)).alias(c)
+    return rows.select("resume_id", "status", "error", e["title"].alias("title"), e["company"].alias("company"), e["organization"].alias("organization"), year("start_year"), year("end_year"), F.array_join(e["description"], ",").alias("told"))
+
+
+@query(
+    _RESUMES + "CASE WHEN ok THEN 'Bachelor of Technology' END AS degree, CASE WHEN ok THEN 'Sunrise College' END AS institution, CASE WHEN ok THEN 'State University ' || CAST(id % 9 AS VARCHAR) END AS university, "
+    "CASE WHEN ok THEN 8 + (id % 10) / 10.0 ELSE -1 END AS cgpa, CASE WHEN ok THEN 2015 ELSE -1 END AS start_year, CASE WHEN ok THEN 2019 ELSE -1 END AS end_year, CASE WHEN ok THEN 2 ELSE -1 END AS details FROM r"
+)
+def parse_resume_education(m):
+    rows = parsing.parse_resumes(_resume_texts(m), "text", "resume_id")
+    e = F.get(F.col("parsed_data.education"), F.lit(0))
+    number = lambda c: F.coalesce(e[c], F.lit(-1)).alias(c)
+    details = F.when(e.isNotNull(), F.size(e["details"])).otherwise(-1).alias("details")
+    return rows.select("resume_id", "status", "error", e["degree"].alias("degree"), e["institution"].alias("institution"), e["university"].alias("university"), number("cgpa"), number("start_year"), number("end_year"), details)
+
+
+@query(
+    "SELECT id AS resume_id, CASE WHEN id % 2 = 0 THEN id + 5000000 ELSE id END AS id, CASE WHEN id % 17 <> 3 THEN 'Completed' ELSE 'Failed' END AS status, id % 17 <> 3 OR id % 2 = 0 AS has_text, id % 17 = 3 AS has_error, CASE WHEN id % 2 = 0 THEN '2024-01-01' ELSE '2025-01-01' END AS created FROM users"
+)
+def parse_into_results(m):
+    """Every other résumé has a result: parsing all keeps their ids and, where it fails, their texts."""
+    stamp = lambda y: F.expr(f"timestamp_ntz'{y}-01-01 00:00:00'")
+    null = lambda: F.lit(None).cast("string")
+    old = m.users.filter("id % 2 = 0").select((F.col("id") + 5_000_000).alias("id"), F.col("id").alias("resume_id"), F.lit("Pending").alias("status"), F.lit("an earlier text").alias("extracted_text"), null().alias("parsed_data"), F.lit("2.7").alias("parser_version"), null().alias("error_message"), stamp(2024).alias("created_at"), stamp(2024).alias("updated_at"))
+    after = parsing.parse_into(old, _resume_texts(m).withColumn("id", F.col("resume_id")), stamp(2025))
+    return after.select("resume_id", "id", "status", F.col("extracted_text").isNotNull().alias("has_text"), F.col("error_message").isNotNull().alias("has_error"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+# ---------------------------------------------------------------- known answers
+
+
+def _education_part(c):
+    """The education part of a parsed résumé."""
+    return requirements.resume_sections(c, F.lit(""))["education"]
+
+def _cases(name: str, column: Callable, cases: tuple[tuple[str, object], ...], missing: object = "") -> None:
+    """A query that gives each job one of the inputs, and the answers as SQL; a missing answer is ``missing``."""
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    answers = ", ".join(literal(want) for _, want in cases)
+    kind = {bool: "BOOLEAN", int: "INTEGER", float: "DOUBLE", str: "VARCHAR"}[type(cases[0][1])]
+
+    def run(m: StarSchema) -> DataFrame:
+        said = F.element_at(F.array(*(F.lit(k) for k, _ in cases)), (F.pmod("id", F.lit(len(cases))) + 1).cast("int"))
+        rows = m.jobs.select("id", said.alias("said"))
+        return rows.select("id", F.coalesce(column(F.col("said")), F.lit(missing)).alias("answer"))
+
+    run.__name__ = name
+    query(f"SELECT id, CAST([{answers}][1 + id % {len(cases)}] AS {kind}) AS answer FROM jobs")(run)
+
+
+_cases("skills_named", lambda c: F.array_join(text.known_skills(text.for_matching(c)), ","), (("Uses Python 3 and Postgres DB.", "postgresql,python"), ("K8s and machine-learning", "kubernetes,machine learning"), ("JavaScript, not the other", "javascript"), ("nothing of note", ""), ("RESTful APIs with Spring Boot", "api,rest api,spring,spring boot")))
+_cases("keyword_names", text.keyword_alias, (("Relational Databases", "relational database"), ("problem-solving", "problem solving"), ("deploying to cloud", "cloud deployment"), ("Bachelors Degree", "bachelor's degree"), ("Team  Spirit.", "team spirit")))
+_cases("meaningful_terms", text.meaningful, (("services", False), ("backend developer", True), ("databases", False), ("cloud deployment", True), ("ab", False), ("experience", False), ("scrum", True)), False)
+_cases("years_named", text.years_of, (("2 years here, 3.5+ yrs there", 3.5), ("10 jobs", -1.0), ("1 Year", 1.0), ("7years", 7.0)), -1.0)
+_cases("levels_named", lambda c: text.education_level(text.for_matching(c)), (("Ph.D in physics", 5), ("B.Tech and M.Tech", 4), ("Bachelor’s degree", 3), ("Diploma", 2), ("12th pass", 1), ("secondary school", 0), ("none at all", -1)), -1)
+_cases("fields_named", lambda c: F.array_join(F.transform(text.field_groups(text.for_matching(c)), lambda k: k.cast("string")), ","), (("B.Tech Computer Science", "1"), ("MCA and B.Com", "0,6"), ("mechanical", "7"), ("poetry", "")))
+_cases("project_shares", lambda c: scoring.project_relevance(text.for_matching(c), F.array(*map(F.lit, ("relational databases", "relational database", "cloud deployment")))).cast("double"), (("many relational databases", 50.0), ("cloud deployments of a relational database", 100.0), ("none", 0.0), ("cloud-deployment", 50.0)), -1.0)
+_cases("name_scores", parsing.name_score, (("ANITA RAO", 105), ("Anita Rao", 90), ("Anita rao", 75), ("Ravi Kumar Rao", 85), ("Backend Developer", 30), ("anita@x.com", -100), ("Technical Skills", -100), ("Anita", 50), ("A B C D E F", -100)), -1)
+_cases("header_parts", lambda c: F.array_join(parsing.header_parts(c), "/"), (("ANITA RAO Aspiring Backend Developer", "ANITA RAO/Aspiring Backend Developer"), ("Anita Rao | anita rao • x@y.z", "Anita Rao/x@y.z"), ("ANITA RAO Developer", "ANITA RAO Developer")))
+_cases("addresses", text.normalize_url, (("[me](https://x.org/a)", "https://x.org/a"), ("(www.x.org).", "https://www.x.org"), (" . ", ""), ("x.org/a,", "https://x.org/a")))
+_cases("labelled_links", lambda c: text.link(c, "GitHub"), (("GitHub: github.com/a | x", "https://github.com/a"), ("github.com/a", ""), ("github https://github.com/b.", "https://github.com/b"), ("GITHUB:www.github.com/c", "https://www.github.com/c")))
+_cases("phone_numbers", text.phone, (("call 9876543210 now", "9876543210"), ("+91-9876543210", "+91 9876543210"), ("919876543210", "+91 9876543210"), ("98765 43210", ""), ("19876543210123", ""), ("1234567890", "")))
+_cases("skill_names", parsing.normalize_skill, (("rest-api", "REST API"), ("Node.js", "Node.js"), ("postgres", "PostgreSQL"), ("Excel", "Excel"), ("spring_boot", "Spring Boot")))
+_cases("sections_opened", text.section_of, (("TECHNICAL SKILLS", "skills"), ("Work Experience", "experience"), ("skills", ""), ("Projects:", "projects"), ("Education of the Many", "")))
+_cases("cleaned_texts", lambda c: parsing.clean_text(c)["once"], (("We like problem-\nsolving work  , much\n.", "We like problem- solving work, much."), ("a\r\n\r\n b ( c )", "a\nb (c)"), ("Worked on services for\nlarge clients.\nNext item here now\n\n● bullet", "Worked on services for large clients.\nNext item here now\n• bullet")))
+_cases("experience_headings", parsing.experience_heading, (("Intern | Acme", True), ("Built 2020 things", False), ("Since 2020 at Acme", True), ("a prose line.", False), ("Data Analyst", True), ("- Intern", False)), False)
+_cases("project_titles", parsing.project_title, (("Shop Portal", True), ("Built a shop", False), ("It is a shop", False), ("Shop.", False), ("Tech: Python", False), ("One two three four five six seven eight nine ten eleven", False)), False)
+_cases("education_parts", lambda c: _education_part(c), (('{"education": ["B.Tech", {"at": "X"}], "skills": "a"}', "B.Tech X"), ('{"qualifications": "MBA"}', "MBA"), ("{}", "")))
