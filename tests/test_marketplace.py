@@ -120,7 +120,7 @@ def test_checks_name_the_broken_rules(spark):
 # ---- parsing
 
 RESUME = """ANITA RAO Aspiring Backend Developer
-anita.r@example.com | +91 98765 43210 | LinkedIn: linkedin.com/in/anita | github.com/anita
+anita.r@example.com | +91 9876543210 | LinkedIn: linkedin.com/in/anita | GitHub: [code](https://github.com/anita) github.com/anita
 
 PROFESSIONAL SUMMARY
 Backend developer with experience in building services and
@@ -157,7 +157,8 @@ def test_resume(spark):
     rows = {r.doc_id: r for r in parsing.parse_resumes(docs).collect()}
     d = rows[1].parsed_data
     assert (d.personal.name, d.personal.email, d.personal.phone) == ("ANITA RAO", "anita.r@example.com", "+91 9876543210")
-    assert (d.personal.linkedin, d.personal.github) == ("https://linkedin.com/in/anita", "https://github.com/anita")
+    # an address counts only right behind its label
+    assert (d.personal.linkedin, d.personal.github) == ("https://linkedin.com/in/anita", None)
     assert {"Python", "FastAPI", "PostgreSQL", "Docker", "React", "JWT"} <= set(d.skills) and d.ai_tools == ["ChatGPT"]
     e = d.experience[0]
     assert (e.title, e.company, e.organization, e.start_year, e.end_year) == ("Software Intern", "Acme Labs", "Remote", 2022, None)
@@ -166,21 +167,23 @@ def test_resume(spark):
     s = d.education[0]
     assert (s.degree, s.institution, s.university, s.cgpa, s.start_year, s.end_year) == ("Bachelor of Technology (CSE)", "ABC College", "XYZ University", 8.5, 2019, 2023)
     assert d.languages == ["English", "Hindi"] and d.diagnostics.warnings == []
-    assert (rows[2].status, rows[2].error, rows[3].error) == ("Failed", "text too short", "no text")
-    assert rows[4].parsed_data == d
+    assert (rows[2].status, rows[2].error, rows[3].error) == ("Failed", parsing.SHORT_TEXT, parsing.NO_TEXT)
+    assert rows[4].parsed_data == d and rows[4].extracted_text == rows[1].extracted_text == parsing.clean(RESUME)
 
 
-def test_section_split_fills_forward(spark):
-    docs = spark.createDataFrame([(1, "Name\nSKILLS\nPython\nWork Experience\nDev\nskills\nTECHNICAL SKILLS:\nSQL")], "doc_id long, text string")
-    got = [(r.line, r.section) for r in parsing.split_sections(parsing.lines(docs)).orderBy("pos").collect()]
-    assert got == [("Name", "header"), ("Python", "skills"), ("Dev", "experience"), ("skills", "experience"), ("SQL", "skills")]
+def test_sections_go_on_to_the_next_heading(spark):
+    df = spark.createDataFrame([("Name\nSKILLS\nPython\nWork Experience\nDev\nskills\nTECHNICAL SKILLS:\n\n SQL\nEDUCATION",), ("",)], "t string")
+    rows = df.withColumn("b", parsing.section_blocks(parsing.lines_of(F.col("t")))).select("b", parsing.all_lines(F.col("b")).alias("all"), parsing.section_lines(F.col("b"), F.lit("skills")).alias("skills")).collect()
+    assert [(x.section, x.lines) for x in rows[0].b] == [("header", ["Name"]), ("skills", ["Python"]), ("experience", ["Dev", "skills"]), ("skills", ["SQL"]), ("education", [])]
+    assert rows[0]["all"] == ["Name", "Python", "SQL", "Dev", "skills"] and rows[0].skills == ["Python", "SQL"]
+    assert [(x.section, x.lines) for x in rows[1].b] == [("header", [])] and rows[1].skills == []
 
 
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "v string").select(column(F.col("v"))).first()[0]
 
 
-@pytest.mark.parametrize("said,number", [("call 9876543210 now", "9876543210"), ("+91-98765 43210", "+91 9876543210"), ("919876543210", "+91 9876543210"), ("12345", None), ("19876543210123", None)])
+@pytest.mark.parametrize("said,number", [("call 9876543210 now", "9876543210"), ("+91-9876543210", "+91 9876543210"), ("+91 9876543210", "+91 9876543210"), ("98765 43210", None), ("9198765432", "9198765432"), ("919876543210", "+91 9876543210"), ("12345", None), ("19876543210123", None)])
 def test_phones(spark, said, number):
     assert one(spark, text.phone, said) == number
 
@@ -200,9 +203,131 @@ def test_wrapped_lines():
     assert parsing.repair("Worked on services for\nlarge clients.\nNext item here now\n\n• bullet\n• other") == "Worked on services for large clients.\nNext item here now\n• bullet\n• other"
 
 
+@pytest.mark.parametrize("said,url", [("[me](https://x.org/a)", "https://x.org/a"), ("(www.x.org).", "https://www.x.org"), ("HTTP://x.org", "HTTP://x.org"), (" . ", None), ("x.org/a,", "https://x.org/a")])
+def test_urls(spark, said, url):
+    assert one(spark, text.normalize_url, said) == url
+
+
+@pytest.mark.parametrize("said,name", [("FAST_API", "FAST_API"), ("rest-api", "REST API"), ("REST_APIs", "REST API"), ("Node.js", "Node.js"), ("postgres", "PostgreSQL"), ("Excel", "Excel")])
+def test_skill_names(spark, said, name):
+    assert one(spark, parsing.normalize_skill, said) == name
+    assert parsing.skill_name(said) == name
+
+
+@pytest.mark.parametrize(
+    "line,parts",
+    [
+        ("ANITA RAO Aspiring Backend Developer", ["ANITA RAO", "Aspiring Backend Developer"]),
+        ("Metadata Engineer here", ["Meta", "data Engineer here"]),
+        # a role word counts only with a blank behind it
+        ("ANITA RAO Developer", ["ANITA RAO Developer"]),
+        ("Developer ANITA", ["Developer ANITA"]),
+        ("Anita Rao | anita rao • x@y.z", ["Anita Rao", "x@y.z"]),
+    ],
+)
+def test_header_parts(spark, line, parts):
+    assert one(spark, parsing.header_parts, line) == parts
+
+
+def test_header_name_takes_the_best_line(spark):
+    header = lambda *x: spark.createDataFrame([(list(x),)], "h array<string>").select(parsing.header_name(F.col("h"))).first()[0]
+    assert header("Curriculum Vitae", "Backend Developer | Anita Rao", "ANITA RAO") == "ANITA RAO"
+    assert header("Anita Rao", "Ravi Kumar") == "Anita Rao" and header("x@y.z", "12 Main Road") is None and header() is None
+    assert header("a1", "b2", "c3", "d4", "e5", "f6", "ANITA RAO") is None
+
+
+def parsed(spark, section, *lines):
+    head = "Anita Rao of Some Town here\nemail anita@example.com or so\n"
+    docs = spark.createDataFrame([(1, f"{head}{section}\n" + "\n".join(lines))], "doc_id long, text string")
+    return parsing.parse_resumes(docs).first().parsed_data
+
+
+def test_projects_with_inline_technologies(spark):
+    rows = parsed(
+        spark, "PROJECTS", "Shop Portal • Python • FastAPI • Excel", "• Took orders • Sent invoices", "Docker • rest-api • Something Else", "and a line that goes on with the last",
+        "Chat Tool for All of Us", "Tech Stack: React; node.js | Postgres", "We also wrote a manual for it here", "Another line of the same project there",
+    ).projects
+    assert [(p.name, p.technologies) for p in rows] == [("Shop Portal", ["Python", "FastAPI", "Docker"]), ("Chat Tool for All of Us", ["React", "Node.js", "PostgreSQL"])]
+    # "rest-api" is no known search name, so the line tells of it
+    assert rows[0].description == ["Took orders", "Sent invoices", "rest-api", "Something Else and a line that goes on with the last"]
+    assert rows[1].description == ["We also wrote a manual for it here Another line of the same project there"]
+
+
+def test_projects_need_a_title(spark):
+    assert parsed(spark, "PROJECTS", "• A bullet before any title here", "Technologies: Python", "Just prose that stands alone in here").projects == []
+    only = parsed(spark, "PROJECTS", "Shop Portal • Python").projects
+    assert [(p.name, p.technologies, p.description) for p in only] == [("Shop Portal", ["Python"], [])]
+
+
+def test_experience_entries(spark):
+    rows = parsed(spark, "EXPERIENCE", "prose before any heading is not kept at all", "Intern | Acme (2020) | Remote", "• Built things • Tested them", "with care and some more words here", "Senior Analyst of Data, 2019 - Present", "2018 | 2017").experience
+    assert [(e.title, e.company, e.organization, e.start_year, e.end_year) for e in rows[:2]] == [("Intern", "Acme", "Remote", None, 2020), ("Senior Analyst of Data", None, None, 2019, None)]
+    assert rows[0].description == ["Built things", "Tested them with care and some more words here"]
+    assert (rows[2].title, rows[2].end_year) == ("2017", 2018)
+
+
+def test_education_entries(spark):
+    rows = parsed(spark, "EDUCATION", "Sunrise College and its many halls", "Bachelor of Science (Physics), State University", "CGPA: 8.25 / 10, 2012 - 2015", "M.Tech from the Institute of Things, 2016 – 2018 GPA 3.9").education
+    assert [(e.degree, e.institution, e.university, e.cgpa, e.start_year, e.end_year) for e in rows] == [
+        (None, "Sunrise College and its many halls", None, None, None, None),
+        ("Bachelor of Science (Physics)", None, "State University", 8.25, 2012, 2015),
+        ("M.Tech", "M.Tech from the Institute of Things", None, 3.9, 2016, 2018),
+    ]
+
+
+def test_fragments(spark):
+    df = spark.createDataFrame([(["Builds services with hands-", "on care", "And then some more of it", "• bullet", "lower case goes on here too"],)], "x array<string>")
+    assert df.select(parsing.repair_fragments(F.col("x"))).first()[0] == ["Builds services with hands- on care", "And then some more of it", "• bullet lower case goes on here too"]
+
+
+def test_clean_up_is_done_twice():
+    once = parsing.clean("We like problem-\nsolving and object-\noriented work  , much\n.")
+    assert once == "We like problem- solving and object- oriented work, much." and parsing.clean(once) == "We like problem-solving and object-oriented work, much."
+    assert parsing.clean("a\r\n\r\n b ( c )") == "a\nb (c)" and parsing.clean("a\nb (c)") == "a b (c)"
+
+
+def test_parsing_of_odd_tables(spark):
+    docs = spark.createDataFrame([(None, RESUME, "x"), (1, "  ", "y"), (1, RESUME, "y")], "doc_id long, text string, name string")
+    rows = parsing.parse_resumes(docs).collect()
+    assert len(rows) == 3 and sum(r.status == "Completed" for r in rows) == 2
+    assert parsing.parse_resumes(docs.limit(0)).count() == 0
+    plan = parsing.parse_resumes(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
 # ---- sources and streams
 
 
+def test_stored_names(spark):
+    name = spark.createDataFrame([("My CV.PDF",)], "n string").select(marketplace.stored_name(F.col("n"))).first()[0]
+    assert len(name) == 36 and name.endswith(".pdf") and set(name[:32]) <= set("0123456789abcdef")
+
+
+def test_pages_after_the_last_row_seen(spark):
+    jobs = marketplace.StarSchema(spark, SF).jobs
+    for order in ("asc", "desc"):
+        last, seen = None, []
+        while rows := relational.page_after(jobs, "salary", order, 70, last).collect():
+            seen += [r.id for r in rows]
+            last = (rows[-1].salary, rows[-1].id)
+        assert seen == [r.id for r in relational.sort(jobs, "salary", order, ("salary",)).collect()]
+
+
+def test_status_log_over_several_chunks():
+    at = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame([(1, 1, "Applied", at), (1, 2, "Shortlisted", at + pd.Timedelta(1, "h")), (1, 3, "Selected", at + pd.Timedelta(2, "h"))], columns=["application_id", "id", "new_status", "changed_at"])
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    state = State()
+    got = pd.concat(status_log._judge((1,), iter([rows[2:], rows[:1], rows[1:2]]), state))
+    assert got["accepted"].all() and state.value == ("Selected",)
+
+
 def docx(paragraphs):
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
     out = io.BytesIO()
