@@ -1,6 +1,12 @@
 """From raw documents to packed training sequences: five stages, each a DataFrame to a DataFrame.
 
 The first four give rows of documents with its own columns; the last gives the placed pieces.
+
+All stages take whole texts of any length. Null and blank texts are scored as empty text (stage 1), are of unknown
+language and go (2); were they kept, they would share fingerprint zero (3), hold no passage (4) and be one token (5).
+Repeated rows and ids are judged row by row; of equal ones one stays (3), the first of those with the smallest id, rows
+without an id last. Other columns, also those that are called as a stage's own, pass through the first four
+stages unchanged; null in them decides nothing. An empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
