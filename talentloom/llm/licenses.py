@@ -11,8 +11,9 @@ A block is the words around a trigger word or around an anchor, across line ends
 and after as the longest template may take; blocks that meet are joined. Anchors are the parts of a
 template cut into one more than the words that may differ: one of them stands whole in any wording
 that is confirmed, so the blocks hold every such wording of the text. Null and empty texts have no
-block. Repeated rows are repeated rows of the result; an empty table gives an empty result. Extra
-columns are left out.
+block. Texts are scanned whole; only the blocks of a very long one are compressed. Templates that save alike are
+looked at in the order listed; of a license's templates the least number of differing words counts. Repeated rows are
+repeated rows of the result; an empty table gives an empty result. Extra columns are left out.
 """
 
 from __future__ import annotations
