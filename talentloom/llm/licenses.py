@@ -5,7 +5,8 @@ dictionary: the more a template says what the block says, the more bytes it save
 looked at in the order of that reduction and confirmed by their exact wording, as the least number of
 word insertions, deletions and replacements that turn the template into some part of the block. The
 saving only ranks, as it says little in a block with much other text: a template is passed over only
-if so many of its words are missing from the block that it can't be confirmed or can't better its license.
+if so many of its words are missing from the block that it can't be confirmed. Licenses share wording: where two
+are confirmed by the same words, the one with the smaller share of differing words stays (both, if equal).
 
 A block is the words around a trigger word or around an anchor, across line ends, with as many before
 and after as the longest template may take; blocks that meet are joined. Anchors are the parts of a
@@ -31,15 +32,35 @@ from talentloom.llm.common import field_sql, map_arrow
 
 #: Notices by SPDX identifier: fixed values, as publishers write them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License."),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",),
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Released under the BSD 3-Clause License.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
     "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
+    "MIT": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
 }
 TRIGGER = re.compile(r"licen[cs]e|copyright|redistribut|permission is hereby|free software|all rights reserved|creative commons|spdx", re.I)
 WORD = re.compile(r"[^\W_]+(?:[.\-/'][^\W_]+)*")
@@ -108,8 +129,8 @@ def reductions(block: str) -> list[tuple[float, int]]:
     return sorted(saved, key=lambda x: (-x[0], x[1]))
 
 
-def wording_differences(template: list[str], block: list[str]) -> int:
-    """Fewest word edits that turn the template into some run of the block's words."""
+def best_place(template: list[str], block: list[str]) -> tuple[int, int]:
+    """Fewest word edits that turn the template into some run of the block's words, and where the first such run ends."""
     code = {w: k for k, w in enumerate(dict.fromkeys(template))}
     b = np.array([code.get(w, -1) for w in block], np.int64)
     row, steps = np.zeros(len(b) + 1, np.int64), np.arange(len(b) + 1)
@@ -118,7 +139,22 @@ def wording_differences(template: list[str], block: list[str]) -> int:
         new[0] = i
         new[1:] = np.minimum(row[:-1] + (b != code[w]), row[1:] + 1)
         row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+    return int(row.min()), int(row.argmin())
+
+
+def wording_differences(template: list[str], block: list[str]) -> int:
+    return best_place(template, block)[0]
+
+
+def unrivalled(matches: list[tuple[str, int, int, int]]) -> list[tuple[str, int]]:
+    """(license, differing words) of the matches (license, words, differing, end) that no better one of another license stands in."""
+
+    def yields(a, b) -> bool:
+        (name, n, different, end), (other, m, fewer, end_b) = a, b
+        shared = min(end, end_b) - max(end - n, end_b - m)
+        return name != other and 2 * shared > n and fewer * n < different * m
+
+    return [(a[0], a[2]) for a in matches if not any(yields(a, b) for b in matches)]
 
 
 def scan(text: str | None) -> tuple[int, list[tuple[str, int]]]:
@@ -127,16 +163,17 @@ def scan(text: str | None) -> tuple[int, list[tuple[str, int]]]:
     _, templates = _compressors()
     for block in blocks:
         words = words_of(block)
-        held = set(words)
+        held, matches = set(words), []
         for _, k in reductions(block):
             name, wording, _ = templates[k]
-            most = min(MOST_DIFFERENT * len(wording), found.get(name, len(wording)) - 1)
+            most = int(MOST_DIFFERENT * len(wording))
             # each word that the block lacks is one difference at least
-            if sum(w not in held for w in wording) > most:
-                continue
-            different = wording_differences(wording, words)
-            if different <= most:
-                found[name] = different
+            if sum(w not in held for w in wording) <= most:
+                different, end = best_place(wording, words)
+                if different <= most:
+                    matches.append((name, len(wording), different, end))
+        for name, different in unrivalled(matches):
+            found[name] = min(different, found.get(name, different))
     return len(blocks), sorted(found.items())
 
 

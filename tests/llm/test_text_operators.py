@@ -290,15 +290,17 @@ def test_license_scan_of_empty_tables(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
-def brute_licenses(text):
+def whole_text_licenses(text):
+    """Every template slid over all words of the text, without blocks or compression."""
+    matches, words = [], licenses.words_of(text or "")
+    for name, notices in licenses.TEMPLATES.items():
+        for wording in map(licenses.words_of, notices):
+            different, end = licenses.best_place(wording, words)
+            if different <= licenses.MOST_DIFFERENT * len(wording):
+                matches.append((name, len(wording), different, end))
     found = {}
-    for block in licenses.candidate_blocks(text):
-        for name, notices in licenses.TEMPLATES.items():
-            for notice in notices:
-                wording = licenses.words_of(notice)
-                different = licenses.wording_differences(wording, licenses.words_of(block))
-                if different <= licenses.MOST_DIFFERENT * len(wording):
-                    found[name] = min(different, found.get(name, different))
+    for name, different in licenses.unrivalled(matches):
+        found[name] = min(different, found.get(name, different))
     return sorted(found.items())
 
 
@@ -308,7 +310,7 @@ def test_license_scan_finds_what_each_template_would(spark):
     texts += ["word " * 3000 + notices[0] + " word" * 3000, *ODD, "licensed to thrill", *(r.text for r in registry.table(spark, SF, "documents").collect())]
     got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
     for i, text in enumerate(texts):
-        want = brute_licenses(text)
+        want = whole_text_licenses(text)
         assert got[i].licenses == ",".join(k for k, _ in want), text[:200]
 
 
@@ -321,14 +323,28 @@ def test_license_scan_finds_a_notice_whatever_shares_its_block():
                     assert (name, 0) in licenses.scan(t)[1], (notice, n)
 
 
-def whole_text_licenses(text):
-    found, words = {}, licenses.words_of(text)
-    for name, notices in licenses.TEMPLATES.items():
-        for wording in map(licenses.words_of, notices):
-            different = licenses.wording_differences(wording, words)
-            if different <= licenses.MOST_DIFFERENT * len(wording):
-                found[name] = min(different, found.get(name, different))
-    return sorted(found.items())
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", ["LGPL-3.0"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", ["AGPL-3.0"]),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License and more", ["GPL-3.0"]),
+        ("Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.", ["CC-BY-4.0", "CC-BY-SA-4.0"]),
+    ],
+)
+def test_the_license_that_fits_best_stays(text, want):
+    assert [k for k, _ in licenses.scan(text)[1]] == want
+
+
+@pytest.mark.parametrize("n", [200, 2000, 20000])
+def test_license_notices_behind_long_prose(n):
+    prose = ("some prose that says nothing of note " * (n // 30))[:n]
+    mit = "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT"][1], 60))
+    apache = " * " + "\n * ".join(textwrap.wrap(" ".join(licenses.TEMPLATES["Apache-2.0"]), 50))
+    for notice, name in (("Released under the MIT License.", "MIT"), ("All rights reserved.", "LicenseRef-All-Rights-Reserved"), (mit, "MIT"), (apache, "Apache-2.0")):
+        assert (name, 0) in licenses.scan(f"{prose} {notice}")[1] and (name, 0) in licenses.scan(f"{prose} {notice} {prose}")[1]
 
 
 def test_license_scan_finds_what_the_whole_text_holds():
