@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentloom.sources.pdf import Pdf
 from talentloom.sources.schemas import SCHEMAS
 
 # Limits of uploaded files.
@@ -78,8 +79,11 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    from pypdf import PdfReader  # optional
-
+    """The pages' texts, joined by line ends: by pypdf where it is installed, else by our own reader."""
+    try:
+        from pypdf import PdfReader
+    except ModuleNotFoundError:
+        return Pdf(data).text()
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
@@ -96,7 +100,7 @@ def read_resume_files(spark: SparkSession, path: str) -> DataFrame:
                 if error is None:
                     try:
                         text = pdf_text(data) if kinds[-1] == "pdf" else docx_text(data)
-                    except (ImportError, ElementTree.ParseError, KeyError, ValueError) as e:
+                    except (ElementTree.ParseError, KeyError, ValueError) as e:
                         error = f"unreadable: {e}"[:1000]
                 texts.append(text)
                 errors.append(error)

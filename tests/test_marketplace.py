@@ -3,6 +3,7 @@
 import datetime
 import io
 import zipfile
+import zlib
 from decimal import Decimal
 
 import duckdb
@@ -15,6 +16,7 @@ from talentloom.functions import text
 from talentloom.operators import parsing, relational, writes
 from talentloom.plans import queries
 from talentloom.sources import marketplace, schemas
+from talentloom.sources.pdf import Pdf
 from talentloom.streaming import status_log
 
 SF = "/root/testdata/sf0.001"
@@ -347,6 +349,53 @@ def test_resume_files(spark, tmp_path):
     assert {k: r.error for k, r in rows.items() if r.error} == {"b.docx": "not a DOCX", "/c.txt": "unsupported type", "/d.pdf": "not a PDF"}
 
 
+def make_pdf(*pages, flate=False, packed=False, cmap=None):
+    """A PDF of content streams; ``packed`` puts the dictionaries into an object stream."""
+    plain, streams = {}, {}
+    kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages)))
+    plain[1], plain[2] = "<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /Resources << /Font << /F1 5 0 R >> >> >>"
+    plain[5] = "<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica" + (" /ToUnicode 6 0 R" if cmap else "") + " >>"
+    if cmap:
+        streams[6] = cmap.encode()
+    for k, content in enumerate(pages):
+        plain[10 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R >>"
+        streams[11 + 2 * k] = content.encode("latin-1")
+    out = b"%PDF-1.5\n"
+    if packed:
+        bodies = [v.encode() for v in plain.values()]
+        offsets = [sum(len(b) + 1 for b in bodies[:k]) for k in range(len(bodies))]
+        table = " ".join(f"{n} {o}" for n, o in zip(plain, offsets, strict=True)).encode() + b" "
+        body = zlib.compress(table + b" ".join(bodies))
+        out += b"90 0 obj << /Type /ObjStm /N %d /First %d /Filter /FlateDecode >> stream\n%s\nendstream endobj\n" % (len(plain), len(table), body)
+    else:
+        out += b"".join(b"%d 0 obj %s endobj\n" % (n, v.encode()) for n, v in plain.items())
+    for n, v in streams.items():
+        v = zlib.compress(v) if flate else v
+        out += b"%d 0 obj << /Length %d%s >> stream\r\n%s\nendstream\nendobj\n" % (n, len(v), b" /Filter /FlateDecode" if flate else b"", v)
+    return out + b"%%EOF"
+
+
+PAGE = r"BT /F1 12 Tf 72 700 Td (ANITA \(RAO\)) Tj 0 -14 Td [(Py) -20 (thon) -300 (Caf\351)] TJ T* (SKILLS) Tj ET BT 1 0 0 1 72 600 Tm (Git) Tj 1 0 0 1 99 600 Tm (Hub) Tj ET"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("flate", [False, True])
+def test_pdf_text(flate, packed):
+    assert Pdf(make_pdf(PAGE, "BT (second) ' ET", flate=flate, packed=packed)).text() == "ANITA (RAO)\nPython Caf\xe9\nSKILLS\nGitHub\nsecond"
+
+
+def test_pdf_text_by_unicode_map():
+    cmap = "1 beginbfchar <0001> <0041> endbfchar 2 beginbfrange <0002> <0004> <0062> <0005> <0006> [<00660069> <0939>] endbfrange"
+    assert Pdf(make_pdf("BT /F1 9 Tf <000100020003> Tj <0005 0006 0009> Tj ET", cmap=cmap)).text() == "Abcfi\u0939"
+    assert Pdf(b"%PDF-1.4 nothing").text() == "" and Pdf(make_pdf("")).text() == ""
+
+
+def test_pdf_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(make_pdf(PAGE, flate=True))
+    row = marketplace.read_resume_files(spark, str(tmp_path)).first()
+    assert row.error is None and row.extracted_text.startswith("ANITA (RAO)\n")
+
+
 def test_tables_round_trip(spark, tmp_path):
     users = spark.createDataFrame([(1, "ann", "a@x", "secret", datetime.date(2000, 1, 1), "Admin")], schemas.SCHEMAS["users"])
     users.write.parquet(f"{tmp_path}/users")
