@@ -265,7 +265,7 @@ def section_of(line: Column) -> Column:
 
 
 def email(c: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(c, r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", 0)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(c, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0)), F.lit(""))
 
 
 def phone(c: Column) -> Column:

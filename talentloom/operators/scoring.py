@@ -56,13 +56,18 @@ def drop_redundant(keywords: Column) -> Column:
     return F.filter(keywords, lambda k: ~F.exists(keywords, lambda other: (words(other) > words(k)) & inside(k, other)))
 
 
+def listed_keywords(skills: Column) -> Column:
+    """The keywords that canonical skills call for: those that say something and aren't technical."""
+    technical = F.array(*map(F.lit, sorted(T.TECHNICAL)))
+    return F.filter(F.transform(skills, T.keyword_alias), lambda k: T.meaningful(k) & ~F.array_contains(technical, T.canonical_skill(k)))
+
+
 def job_features(jobs: DataFrame) -> DataFrame:
     """job_id, job_skills, job_keywords, required_years, required_level, job_fields, names_degree."""
     text = F.concat_ws(" ", "title", "description", F.array_join("skills", " "))
     rows = jobs.select(F.col("id").alias("job_id"), T.normalize(text).alias("text"), T.for_matching(text).alias("m"), "skills")
     rows = rows.withColumn("job_skills", F.array_sort(F.array_union(T.canonical_skills(F.col("skills")), T.known_skills(F.col("m")))))
-    technical = F.array(*map(F.lit, sorted(T.TECHNICAL)))
-    listed = F.filter(F.transform("job_skills", T.keyword_alias), lambda k: T.meaningful(k) & ~F.array_contains(technical, T.canonical_skill(k)))
+    listed = listed_keywords(F.col("job_skills"))
     spelled = F.transform(F.regexp_extract_all("text", F.lit("[a-z][a-z0-9+#./-]*"), F.lit(0)), T.clean_keyword)
     alone = F.array_intersect(spelled, F.array(*map(F.lit, WORDS)))
     found = F.array_distinct(F.concat(F.array_sort(listed), T.scan(F.col("m"), PHRASES), F.array_sort(alone)))
@@ -104,13 +109,14 @@ def resume_features(resumes: DataFrame) -> DataFrame:
 def rare_matches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
     """resume_id and, for each text column, the keywords outside the vocabulary that the text has.
 
-    The distinct such keywords of all jobs meet each text once, by the runs of letters and digits that both
-    have; what meets is verified in the text. Spark broadcasts the keywords only if they are few.
+    Only skills that jobs list give such keywords. All distinct ones meet each text once, by the runs of letters
+    and digits that both have; what meets is verified in the text. Spark broadcasts the keywords only if they
+    are few.
     """
     columns = [c for c in texts.columns if c != "resume_id"]
     runs = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
     vocabulary = F.array(*map(F.lit, KEYWORDS))
-    rare = jobs.select(F.explode(F.array_except("project_keywords", vocabulary)).alias("keyword")).distinct()
+    rare = jobs.select(F.explode(F.array_except(listed_keywords(T.canonical_skills(F.col("skills"))), vocabulary)).alias("keyword")).distinct()
     forms = rare.select("keyword", F.explode(T.forms_of(T.for_matching(F.col("keyword")))).alias("form")).withColumn("runs", runs(F.col("form"))).filter("runs != ''")
     longest = forms.agg(F.max(F.size(F.split("runs", " ")))).first()[0] or 0
     if not longest:
@@ -174,7 +180,7 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFr
     texts; Spark broadcasts a side only if it is small. Résumés and jobs have one row a key.
     """
     of_resumes, of_jobs = resume_features(resumes), job_features(jobs)
-    rare = rare_matches(of_resumes.select("resume_id", F.col("resume_text").alias("rare"), F.col("project_text").alias("rare_shown")), of_jobs)
+    rare = rare_matches(of_resumes.select("resume_id", F.col("resume_text").alias("rare"), F.col("project_text").alias("rare_shown")), jobs)
     of_resumes = of_resumes.drop("resume_text", "project_text").join(rare, "resume_id")
     of_resumes = of_resumes.withColumns({"resume_keywords": F.array_union("resume_keywords", "rare"), "projects_show": F.array_union("projects_show", "rare_shown")}).drop("rare", "rare_shown")
     rows = pairs.select("resume_id", "job_id").join(of_resumes, "resume_id").join(of_jobs, "job_id")

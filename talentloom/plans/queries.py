@@ -618,7 +618,7 @@ def strip_punctuation(m):
     return m.raw("documents").select("doc_id", text.for_matching(F.col("text")).alias("normalized"))
 
 
-@query(r"SELECT doc_id, nullif(lower(regexp_extract(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', 0)), '') AS email FROM documents")
+@query(r"SELECT doc_id, nullif(lower(regexp_extract(text, '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b', 0)), '') AS email FROM documents")
 def email_extract(m):
     return m.raw("documents").select("doc_id", text.email(F.col("text")).alias("email"))
 
