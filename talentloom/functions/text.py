@@ -260,8 +260,10 @@ _SECTION_OF = {alias: section for section, aliases in vocab.SECTIONS.items() for
 
 def section_of(line: Column) -> Column:
     """The section that a heading line opens, or null."""
-    found = F.element_at(F.create_map(*(F.lit(x) for pair in _SECTION_OF.items() for x in pair)), header(line))
-    return F.when(heading_case(line), found)
+    head = header(line)
+    found = F.element_at(F.create_map(*(F.lit(x) for pair in _SECTION_OF.items() for x in pair)), head)
+    # a hashed test first: few lines are headings
+    return F.when(head.isin(*_SECTION_OF) & heading_case(line), found)
 
 
 def email(c: Column) -> Column:

@@ -62,9 +62,8 @@ for _term, _name in vocab.AI_TOOLS.items():
     _TOOLS.setdefault(_name, []).append(_term)
 
 
-def vocabulary(c: Column, names: dict[str, list[str]]) -> Column:
-    """Names whose terms stand between non-word characters, sorted without regard to case."""
-    low = F.lower(c)
+def vocabulary(low: Column, names: dict[str, list[str]]) -> Column:
+    """Names whose terms stand in a lower-cased text between non-word characters, sorted without regard to case."""
     found = F.array(*(F.when(T.has_any(low, terms) & low.rlike(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)"), F.lit(name)) for name, terms in sorted(names.items(), key=lambda x: x[0].casefold())))
     return F.array_compact(found)
 
@@ -73,37 +72,43 @@ def vocabulary(c: Column, names: dict[str, list[str]]) -> Column:
 
 
 _HEADINGS = {a for aliases in vocab.SECTIONS.values() for a in aliases}
-_BULLET = re.compile(r"\s*[•*-]")
 # What contacts and labels look like.
-_CONTACT, _LABELLED = re.compile(r"@|https?://|www\.|linkedin|github|\+91", re.I), re.compile(r"[A-Za-z][A-Za-z /]{0,30}:\s*\S")
+_CONTACTS, _LABELLED = ("@", "http://", "https://", "www.", "linkedin", "github", "+91"), re.compile(r"[A-Za-z][A-Za-z /]{0,30}:\s*\S")
+_LOWER_WORD, _YEAR = re.compile(r"(?:^|\s)[^A-Za-z\s]*[a-z]"), re.compile(r"\b(?:19|20)\d{2}\b")
+_JOINERS = frozenset(JOINERS.split("|"))
 
 
 def _is_section(line: str) -> bool:
-    head = " ".join(re.sub("[^a-z]+", " ", line.lower()).split())
-    words = [w for w in line.split() if re.search("[A-Za-z]", w)]
-    return head in _HEADINGS and bool(words) and (line.upper() == line or all(re.match("[^A-Za-z]*[A-Z]", w) for w in words))
+    if not any(map(str.isalpha, line)) or (_LOWER_WORD.search(line) and line.upper() != line):
+        return False
+    return " ".join(re.sub("[^a-z]+", " ", line.lower()).split()) in _HEADINGS
 
 
 def _is_heading(line: str) -> bool:
     low = line.lower()
-    if _BULLET.match(line) or line.endswith((".", ",", ";", ":")) or len(line.split()) > 12 or low.startswith(tuple(w + " " for w in NOT_HEADING)):
+    if line[0] in "•*-" or line.endswith((".", ",", ";", ":")) or len(line.split()) > 12 or low.startswith(tuple(w + " " for w in NOT_HEADING)):
         return False
-    return "|" in line or bool(re.search(r"\b(?:19|20)\d{2}\b", line)) or any(w in low for w in JOB_WORDS)
+    return "|" in line or bool(_YEAR.search(line)) or any(w in low for w in JOB_WORDS)
+
+
+def _lists_technology(line: str) -> bool:
+    parts = [x for p in line.split("•") if (x := p.strip().lower())]
+    return any(p in vocab.PARSER_SKILLS for p in parts[1:])
 
 
 def joins(line: str, after: str) -> bool:
-    """Whether ``after`` goes on where ``line`` was wrapped."""
-    parts = [x for p in after.split("•") if (x := p.strip().lower())]
-    technology = "•" in after and any(p in vocab.PARSER_SKILLS for p in parts[1:])
-    if _BULLET.match(after) or _is_section(line) or _is_section(after) or _CONTACT.search(after) or _LABELLED.match(after) or technology:
+    """Whether ``after`` goes on where ``line`` was wrapped; both are trimmed and not empty."""
+    low = after.lower()
+    if after[0] in "•*-" or any(c in low for c in _CONTACTS) or _LABELLED.match(after) or ("•" in after and _lists_technology(after)) or _is_section(line) or _is_section(after):
         return False
     if line.endswith((",", "-", "/", "(")):
         return True
     if line.endswith((".", "!", "?", ":")):
         return False
-    if len(line.split()) <= 3 or len(after.split()) <= 3 and not _is_heading(after):
+    words = line.split()
+    if len(words) <= 3 or len(after.split()) <= 3 and not _is_heading(after):
         return True
-    if re.search(rf"\b(?:{JOINERS})$", line, re.I):
+    if re.split(r"\W", words[-1])[-1].lower() in _JOINERS:
         return True
     first = re.search("[A-Za-z]", after)
     return bool(first and first[0].islower())
@@ -120,14 +125,15 @@ def tidy(text: str) -> str:
 
 
 def repair(text: str) -> str:
-    """Wrapped lines put together; empty lines end a paragraph."""
+    """Wrapped lines of a tidy text put together; empty lines end a paragraph."""
     out: list[str] = []
     gap = True
-    for line in map(tidy, text.splitlines()):
+    for line in map(str.strip, text.splitlines()):
         if not line:
             gap = True
         elif not gap and joins(out[-1], line):
-            out[-1] = tidy(f"{out[-1]} {line}")
+            # two tidy lines: a blank between them goes only next to a mark
+            out[-1] += line if out[-1][-1] in "([{" or line[0] in ",.;:!?)]}" else f" {line}"
         else:
             out.append(line)
             gap = False
@@ -178,10 +184,15 @@ def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return cut.withColumn("line", F.trim("line")).filter("line != ''")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slices(rows: Column, starts: Column) -> Column:
     """The array cut before each of the given places (from 0, ascending); what is before the first goes."""
-    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(rows))
-    return F.transform(starts, lambda at, k: F.slice(rows, at + 1, end(k) - at))
+    cut = lambda r, s: F.transform(s, lambda at, k: F.slice(r, at + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - at))
+    return let(rows, lambda r: let(starts, lambda s: cut(r, s)))
 
 
 def places(rows: Column, fits) -> Column:
@@ -191,10 +202,15 @@ def places(rows: Column, fits) -> Column:
 
 def section_blocks(rows: Column) -> Column:
     """Structs of section and lines in order: each heading opens a block, ``header`` is before any."""
-    heads = places(rows, lambda x, i: T.section_of(x).isNotNull())
-    first = F.struct(F.lit("header").alias("section"), F.slice(rows, 1, F.coalesce(F.get(heads, F.lit(0)), F.size(rows))).alias("lines"))
-    later = F.transform(slices(rows, heads), lambda b: F.struct(T.section_of(F.get(b, F.lit(0))).alias("section"), F.slice(b, 2, F.size(b)).alias("lines")))
-    return F.concat(F.array(first), later)
+    block = lambda section, own: F.struct(section.alias("section"), own.alias("lines"))
+
+    def cut(r, named, heads):
+        end = lambda k: F.coalesce(F.get(heads, k + 1), F.size(r))
+        later = F.transform(heads, lambda at, k: block(F.get(named, at), F.slice(r, at + 2, end(k) - at - 1)))
+        return F.concat(F.array(block(F.lit("header"), F.slice(r, 1, end(F.lit(-1))))), later)
+
+    heads = lambda named: places(named, lambda x, i: x.isNotNull())
+    return let(rows, lambda r: let(F.transform(r, T.section_of), lambda named: let(heads(named), lambda h: cut(r, named, h))))
 
 
 def section_lines(blocks: Column, section: Column) -> Column:
@@ -313,9 +329,8 @@ def header_name(rows: Column) -> Column:
 
 def education(rows: Column) -> Column:
     """An entry for each line that names a degree, with the lines after it; lines before any are one too."""
-    own = clean_items(rows)
     degree = "(?i)" + "|".join(DEGREES)
-    entries = slices(own, places(own, lambda x, i: (i == 0) | x.rlike(degree)))
+    entries = let(clean_items(rows), lambda own: slices(own, places(own, lambda x, i: (i == 0) | x.rlike(degree))))
     years = r"\b(19\d{2}|20\d{2})\s*[-–—]\s*(19\d{2}|20\d{2})\b"
 
     def entry(details):
@@ -423,8 +438,8 @@ def parse_resumes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     Repeated keys are repeated rows; an empty table gives an empty result.
     """
     rows = docs.select(key, clean_text(F.col(text)).alias("c")).select(key, F.col("c.once").alias("once"), F.col("c.twice").alias("clean"))
-    rows = rows.withColumn("blocks", section_blocks(lines_of(F.col("clean"))))
-    rows = rows.select(key, "once", "clean", F.array_join(all_lines(F.col("blocks")), " ").alias("whole"), *(section_lines(F.col("blocks"), F.lit(s)).alias(f"in_{s}") for s in ("header", *vocab.SECTIONS)))
+    rows = rows.withColumn("lines", lines_of(F.col("clean"))).withColumn("blocks", section_blocks(F.col("lines")))
+    rows = rows.select(key, "once", "clean", F.lower(F.array_join(all_lines(F.col("blocks")), " ")).alias("whole"), *(section_lines(F.col("blocks"), F.lit(s)).alias(f"in_{s}") for s in ("header", *vocab.SECTIONS)))
     of = lambda s: F.col(f"in_{s}")
     name = header_name(of("header"))
     rows = rows.select(

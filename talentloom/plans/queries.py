@@ -719,7 +719,9 @@ def _resume_texts(m) -> DataFrame:
         F.lit("LANGUAGES"),
         F.lit("English, Hindi | english"),
     ]
-    return m.users.select(key.alias("resume_id"), F.when(key % 17 == 3, F.lit("Too short ")).otherwise(F.concat_ws("\n", *lines)).alias("text"))
+    # the users' file is small, the texts made from it aren't: dealt to all cores
+    users = m.users.repartition(m.spark.sparkContext.defaultParallelism)
+    return users.select(key.alias("resume_id"), F.when(key % 17 == 3, F.lit("Too short ")).otherwise(F.concat_ws("\n", *lines)).alias("text"))
 
 
 _RESUMES = (
