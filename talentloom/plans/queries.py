@@ -54,6 +54,11 @@ def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows of a small file dealt to all cores, for work that takes long by row."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _full(m: StarSchema) -> DataFrame:
     return relational.full_applications(m.applications, m.jobs, m.companies, m.users)
 
@@ -501,9 +506,9 @@ def _score_inputs(m):
     """Job and résumé texts put together from phrases by key."""
     pick = lambda n, d: F.element_at(F.array(*map(F.lit, _PHRASES)), (F.pmod(F.floor(n / d), F.lit(8)) + 1).cast("int"))
     key = F.col("id")
-    jobs = m.jobs.select("id", "title", F.concat_ws(". ", "description", pick(key, 1), pick(key, 3), pick(key, 11)).alias("description"), "skills")
+    jobs = _dealt(m.jobs).select("id", "title", F.concat_ws(". ", "description", pick(key, 1), pick(key, 3), pick(key, 11)).alias("description"), "skills")
     parsed = F.to_json(F.struct(F.array(pick(key, 2)).alias("skills"), F.struct(F.when(key % 2 == 0, "B.Tech in computer science").otherwise("Diploma").alias("degree")).alias("education"), F.array(F.concat((key % 6).cast("string"), F.lit(" years of experience"))).alias("experience"), F.array(pick(key, 7)).alias("projects")))
-    resumes = m.users.select(F.col("id").alias("resume_id"), F.concat_ws(" ", F.lit("Python and SQL"), pick(key, 1), pick(key, 5)).alias("extracted_text"), parsed.alias("parsed_data"))
+    resumes = _dealt(m.users).select(F.col("id").alias("resume_id"), F.concat_ws(" ", F.lit("Python and SQL"), pick(key, 1), pick(key, 5)).alias("extracted_text"), parsed.alias("parsed_data"))
     return m.applications.select(F.col("user_id").alias("resume_id"), "job_id"), resumes, jobs
 
 
@@ -719,9 +724,7 @@ def _resume_texts(m) -> DataFrame:
         F.lit("LANGUAGES"),
         F.lit("English, Hindi | english"),
     ]
-    # the users' file is small, the texts made from it aren't: dealt to all cores
-    users = m.users.repartition(m.spark.sparkContext.defaultParallelism)
-    return users.select(key.alias("resume_id"), F.when(key % 17 == 3, F.lit("Too short ")).otherwise(F.concat_ws("\n", *lines)).alias("text"))
+    return _dealt(m.users).select(key.alias("resume_id"), F.when(key % 17 == 3, F.lit("Too short ")).otherwise(F.concat_ws("\n", *lines)).alias("text"))
 
 
 _RESUMES = (
