@@ -72,14 +72,17 @@ def _key(doc_id, hash_: int) -> tuple:
     return (doc_id is not None, 0 if doc_id is None else doc_id, hash_)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shard_bytes: int = 64 << 20) -> DataFrame:
-    """Writes the shards (of about ``shard_bytes`` of text) and returns their index: doc_id, shard, place (in the shard), n_tokens."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, shard_bytes: int = 16 << 20, most_shards: int = 200_000) -> DataFrame:
+    """Writes the shards and returns their index: doc_id, shard, place (in the shard), n_tokens.
+
+    A shard is of about ``shard_bytes`` of text, or of more where that would make over ``most_shards``.
+    """
     tokenizer = tokenizer or default_path()
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     size = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(-(-size // shard_bytes), hashed.sparkSession.sparkContext.defaultParallelism)
-    # documents that share one id are dealt out too, by a hash; a row for each shard
+    shards = max(1, min(-(-size // shard_bytes), most_shards))
+    # documents that share one id are dealt out too, by a hash; one row for each shard comes to the driver
     ranged = hashed.select("doc_id", "hash").repartitionByRange(shards, "doc_id", "hash")
     lasts = ranged.groupBy(F.spark_partition_id().alias("shard")).agg(F.max(F.struct("doc_id", "hash")).alias("last")).orderBy("shard").collect()
     ends = docs.sparkSession.sparkContext.broadcast([_key(*r["last"]) for r in lasts][:-1])

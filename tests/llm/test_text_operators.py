@@ -495,6 +495,20 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.keep_one_each(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[3,2,1024]"])
+def test_no_local_folder_on_a_cluster(master):
+    from types import SimpleNamespace
+
+    from talentloom.llm import common
+
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
+    session.conf.get = lambda k, d=None: "file:///shared/"
+    assert common.shared_dir(session) == "file:///shared"
+
+
 def test_crc_mod_is_zlibs(spark):
     got = spark.range(50).select("id", registry.langid.crc_mod("id", 3).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 3 for r in got)
