@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -13,6 +15,7 @@ from talentloom.operators import parsing, relational, scoring, writes
 from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
 from talentloom.sources.marketplace import health as check_health
+from talentloom.sources.marketplace import resume_file_texts as read_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -805,6 +808,36 @@ def parse_into_results(m):
     return after.select("resume_id", "id", "status", F.col("extracted_text").isNotNull().alias("has_text"), F.col("error_message").isNotNull().alias("has_error"), F.date_format("created_at", "yyyy-MM-dd").alias("created"))
 
 
+# ---------------------------------------------------------------- files
+
+
+def _docx(*paragraphs: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+_PDF = b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj 2 0 obj << /Type /Pages /Kids [3 0 R] >> endobj 3 0 obj << /Type /Page /Contents 4 0 R >> endobj 4 0 obj << >> stream\nBT (Anita Rao) Tj T* [(Py) -10 (thon)] TJ ET\nendstream endobj"
+#: Ending, content, text or the reason why there is none.
+_FILES = (
+    ("pdf", _PDF, "Anita Rao\nPython", None), ("docx", _docx("Anita Rao", " ", "Git"), "Anita Rao\nGit", None), ("txt", b"text", None, "unsupported type"),
+    ("pdf", b"no such file", None, "not a PDF"), ("DOCX", b"PK no archive", None, "not a DOCX"), ("docx", b"", None, "empty"),
+)
+_FILE_TEXTS = ", ".join("NULL" if t is None else "'" + t.replace("\n", "' || chr(10) || '") + "'" for _, _, t, _ in _FILES)
+_FILE_ERRORS = ", ".join("NULL" if e is None else f"'{e}'" for *_, e in _FILES)
+
+
+@query(f"SELECT id, {[e.lower() for e, *_ in _FILES]}[1 + id % 6] AS file_type, [{_FILE_TEXTS}][1 + id % 6] AS extracted_text, [{_FILE_ERRORS}][1 + id % 6] AS error FROM users")
+def resume_file_texts(m):
+    """An uploaded file for each user, read or refused."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod("id", F.lit(len(_FILES))) + 1).cast("int"))
+    files = m.users.select(F.concat_ws(".", F.col("id").cast("string"), pick([e for e, *_ in _FILES])).alias("path"), pick([bytearray(c) for _, c, *_ in _FILES]).alias("content"))
+    return read_texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("id"), "file_type", "extracted_text", "error")
+
+
 # ---------------------------------------------------------------- known answers
 
 

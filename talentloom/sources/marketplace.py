@@ -89,7 +89,11 @@ def pdf_text(data: bytes) -> str:
 
 def read_resume_files(spark: SparkSession, path: str) -> DataFrame:
     """path, file_type, extracted_text, error of each file below ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return resume_file_texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def resume_file_texts(files: DataFrame) -> DataFrame:
+    """path, file_type, extracted_text, error of files (path, content). What can't be read has the reason, not a text."""
 
     def run(batches):
         for batch in batches:
@@ -106,7 +110,7 @@ def read_resume_files(spark: SparkSession, path: str) -> DataFrame:
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "file_type", "extracted_text", "error"])
 
-    return files.mapInArrow(run, "path string, file_type string, extracted_text string, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, file_type string, extracted_text string, error string")
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
