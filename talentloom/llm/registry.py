@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, langid, licenses, media, packing, quality, simhash, token_files, unigram, url_filter
+from talentloom.llm import decontaminate, langid, licenses, media, packing, quality, simhash, token_files, unigram, url_filter, vector_codes
 from talentloom.llm.common import table
 
 
@@ -53,5 +53,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash)}
-SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash, op12_vector_codes)}
+SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL, "op12_vector_codes": vector_codes.SQL}

@@ -1,0 +1,85 @@
+"""Product codes against a brute force in Python's integers."""
+
+import random
+
+import numpy as np
+
+from talentloom.llm import registry, vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, error double"
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(i, x, label, "clash", 0.5) for i, x, label in rows], SCHEMA)
+
+
+def as_stored(rows):
+    return [(i, None if x is None else [None if v is None else float(np.float32(v)) for v in x], label) for i, x, label in rows]
+
+
+def coded(spark, rows, **how):
+    out = vector_codes.vector_codes(made(spark, rows), **how)
+    assert out.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    return sorted(map(tuple, out.collect()), key=repr)
+
+
+def expected(rows, **how):
+    return sorted(vector_codes.brute_force(as_stored(rows), **how), key=repr)
+
+
+def test_codes_are_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(24)], rng.choice([0, 1, 2, None])) for i in rng.sample(range(1000), 90)]
+    assert coded(spark, rows) == expected(rows)
+
+
+def test_ties_go_to_the_lower_entry(spark):
+    # few distinct values: many equal distances, repeated vectors, and entries of the codebook that are equal
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-0.25, 0.0, 0.25]) for _ in range(16)], i % 2) for i in range(120)]
+    rows += [(i, rows[0][1], 7) for i in range(200, 240)]
+    assert coded(spark, rows) == expected(rows)
+
+
+def test_partial_distances_are_whole_ones():
+    rng = np.random.default_rng(5)
+    for kind in (8, 3):
+        x = rng.integers(-kind, kind, (500, 6))
+        book = [tuple(map(int, rng.integers(-kind, kind, 6))) for _ in range(16)]
+        code, best = vector_codes.nearest(x, book)
+        whole = ((x[:, None, :] - np.array(book)[None]) ** 2).sum(2)
+        assert (code == whole.argmin(1)).all() and (best == whole.min(1)).all()
+
+
+def test_odd_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(11)], None) for i in range(30)]  # parts of one or two
+    rows += [(50, None, 1), (51, [], 1), (52, [0.1, None] + [0.0] * 9, 1), (53, [float("nan")] * 11, 1), (54, [float("inf")] * 11, 2), (55, [1.0, 2.0], 2)]
+    rows += [(None, [0.5] * 11, 3), (7, [0.5] * 11, 3), (7, [0.5] * 11, 3)]
+    got = coded(spark, rows)
+    assert got == expected(rows) and len(got) == 33
+
+
+def test_fewer_vectors_than_entries_and_none(spark):
+    rows = [(2, [0.5] * 8, 1), (1, [-0.5] * 8, None)]
+    assert coded(spark, rows) == expected(rows)
+    assert coded(spark, []) == []
+    assert coded(spark, [(1, None, 1)]) == []
+
+
+def test_large_components_stay_exact(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e6, -3e7, 0.25, 2e4]) * rng.random() for _ in range(8)], 0) for i in range(40)]
+    rows += [(99, [1e30] * 8, 1)]
+    assert coded(spark, rows) == expected(rows)
+
+
+def test_decoded_vectors_are_near(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    books = vector_codes.train(docs)
+    kept = {r.vec_id: r.embedding for r in docs.collect()}
+    rows = vector_codes.encode(docs, books).collect()
+    for r in rows[:50]:
+        gaps = [(int(np.floor(np.float64(v) * 4096)) - round(w * 4096)) ** 2 for v, w in zip(kept[r.vec_id], vector_codes.decode(r.codes, books), strict=True)]
+        assert sum(gaps) == r.error
+    assert len(rows) == len(kept) and registry.SQL["op12_vector_codes"]
