@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import decontaminate, langid, licenses, media, packing, quality, ranked_search, simhash, token_files, unigram, url_filter, vector_codes
+from talentloom.llm import decontaminate, langid, licenses, media, packing, quality, ranked_search, repeats, simhash, token_files, unigram, url_filter, vector_codes
 from talentloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -61,5 +65,5 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash, op12_vector_codes, op13_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash, op11_repeats, op12_vector_codes, op13_ranked_search)}
 SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL, "op12_vector_codes": vector_codes.SQL, "op13_ranked_search": ranked_search.SQL}
