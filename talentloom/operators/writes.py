@@ -1,7 +1,11 @@
 """State changes as functions from tables to tables: accepted rows, and rejects with a reason.
 
-Batches have a single writer. An update is a new table; where the reference locks rows, the
-latest row of a key wins here.
+A batch has a single writer and may hold any number of requests for one key. They take effect as if they came one by one,
+in the order of ``order``'s columns, each seeing what the ones before it left. What decides a key (its first valid request,
+its accepted transitions, the last value of a column) is a minimum or maximum, combined before the shuffle, so a key
+with a third of all requests costs its task a row of each other task and no array of requests is ever made. Requests that are
+alike in all columns come one behind the other. Keys of results are unique if those of the tables are; a request with a
+missing key is refused.
 """
 
 from __future__ import annotations
@@ -26,42 +30,70 @@ def insert(existing: DataFrame, new: DataFrame, unique: Sequence[str], order: Se
     return rows.filter("reason IS NULL").select(*new.columns), rows.filter("reason IS NOT NULL").select(*new.columns, "reason")
 
 
-def create_applications(requests: DataFrame, jobs: DataFrame, applications: DataFrame, resumes: DataFrame) -> DataFrame:
-    """Requests (user_id, job_id, resume_id or null) with the résumé used, or the reason of refusal.
+def _order(requests: DataFrame, order: Sequence[str]) -> Column:
+    """What requests are put in order by: the columns of ``order``, then all others."""
+    return F.struct(*order, *(c for c in sorted(requests.columns) if c not in order))
 
-    The job must exist and not be applied to; a given résumé must be the user's own; without
-    one the primary is used.
+
+def _alike(requests: DataFrame) -> DataFrame:
+    """One row for requests that are alike, with their number ``alike``."""
+    return requests.groupBy(*requests.columns).agg(F.count("*").alias("alike"))
+
+
+def _one_by_one(rows: DataFrame, accepted: Column, first: Column, then: Column) -> DataFrame:
+    """Rows of ``alike`` requests as that many; of an accepted one the others are refused because of ``then``."""
+    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))).alias("nth")
+    reason = F.when(accepted & (F.col("nth") > 1), then).otherwise(first)
+    return rows.select("*", nth).withColumn("reason", reason)
+
+
+def create_applications(requests: DataFrame, jobs: DataFrame, applications: DataFrame, resumes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Requests (user_id, job_id, resume_id or null, others) with the résumé used, or the reason of refusal.
+
+    The job must exist and not be applied to, nor by an earlier request of the batch that is accepted; a given résumé must be
+    the user's own; without one the primary is used. Reasons go in this order.
     """
     own = resumes.select(F.col("id").alias("resume_id"), F.col("user_id").alias("resume_owner"))
     primary = resumes.filter("is_primary").groupBy("user_id").agg(F.min("id").alias("primary_id"))
     rows = (
-        requests.join(jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there")), "job_id", "left")
+        _alike(requests).withColumn("turn", _order(requests, order))
+        .join(jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there")), "job_id", "left")
         .join(applications.select("user_id", "job_id", F.lit(True).alias("applied")).distinct(), ["user_id", "job_id"], "left")
         .join(own, "resume_id", "left")
         .join(primary, "user_id", "left")
-    )
+    )
     chosen = F.coalesce("resume_id", "primary_id")
-    reason = (
-        F.when(F.col("job_there").isNull(), "no such job")
-        .when(F.col("applied"), "applied already")
-        .when(F.col("resume_id").isNotNull() & ~F.coalesce(F.col("resume_owner") == F.col("user_id"), F.lit(False)), "no such resume")
-        .when(chosen.isNull(), "no primary resume")
-    )
-    return rows.select("user_id", "job_id", F.when(reason.isNull(), chosen).alias("resume_id"), reason.alias("reason"))
-
-
-def update(existing: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Partial updates: changes has the key, ``changed`` (names of supplied columns) and values.
-
-    A supplied null is a null; a column that isn't named keeps its value.
+    before = F.when(F.col("user_id").isNull(), "no such user").when(F.col("job_there").isNull(), "no such job").when(F.col("applied"), "applied already")
+    wrong = F.when(F.col("resume_id").isNotNull() & ~F.coalesce(F.col("resume_owner") == F.col("user_id"), F.lit(False)), "no such resume").when(chosen.isNull(), "no primary resume")
+    rows = rows.withColumns({"before": before, "wrong": wrong, "chosen": chosen})
+    winner = rows.filter("before IS NULL AND wrong IS NULL").groupBy("user_id", "job_id").agg(F.min("turn").alias("winner"))
+    rows = rows.join(winner, ["user_id", "job_id"], "left")
+    again = F.lit("repeated in the batch")
+    reason = F.coalesce("before", F.when(F.col("turn") > F.col("winner"), again), "wrong")
+    rows = _one_by_one(rows, F.coalesce(F.col("turn") == F.col("winner"), F.lit(False)), reason, again)
+    return rows.select("user_id", "job_id", F.when(F.col("reason").isNull(), F.col("chosen")).alias("resume_id"), "reason", *(c for c in requests.columns if c not in ("user_id", "job_id", "resume_id")))
+
+
+def update(existing: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
+    """Partial updates: changes has the key, ``changed`` (names of supplied columns), values, and the columns of ``order``.
+
+    A supplied null is a null; a column that isn't named keeps its value. Of several changes of a key each column takes the last
+    value that one of them supplies.
     """
-    fields = [c for c in changes.columns if c not in (key, "changed")]
-    new = changes.select(key, "changed", *(F.col(c).alias(f"new_{c}") for c in fields))
+    fields = [c for c in changes.columns if c in existing.columns and c != key and c not in order]
+    last = [F.max(F.when(F.array_contains("changed", c), F.struct(*order, F.col(c).alias("value")))).alias(f"new_{c}") for c in fields]
+    new = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(*last) if fields else changes.select(key).distinct()
     rows = existing.join(new, key, "left")
-    value = lambda c: F.when(F.array_contains("changed", c), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
+    value = lambda c: F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}.value")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c)
     return rows.select(*(value(c) for c in existing.columns))
 
 
+def update_rejects(existing: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """The changes of rows that aren't there, with ``reason``."""
+    reason = F.when(F.col(key).isNull(), "no key").otherwise("no such row").alias("reason")
+    return changes.join(existing.select(key), key, "left_anti").select(*changes.columns, reason)
+
+
 def transition_problem(old: Column, new: Column) -> Column:
     """Why a status may not follow another, or null."""
     allowed = F.lit(False)
@@ -70,14 +102,69 @@ def transition_problem(old: Column, new: Column) -> Column:
     return F.when(old == new, "same status").when(~F.coalesce(allowed, F.lit(False)), "not allowed")
 
 
-def change_status(applications: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Applications after requests (id, new_status, changed_by, changed_at), the history, and the rejects."""
-    rows = requests.join(applications.select("id", F.col("status").alias("old_status")), "id", "left")
-    rows = rows.withColumn("reason", F.when(F.col("old_status").isNull(), "no such application").otherwise(transition_problem(F.col("old_status"), F.col("new_status"))))
-    good = rows.filter("reason IS NULL").drop("reason")
-    after = applications.join(good.select("id", "new_status"), "id", "left").withColumn("status", F.coalesce("new_status", "status")).select(applications.columns)
+def longest_path(transitions: Sequence[tuple[str, str]] = TRANSITIONS) -> int:
+    """How often a status can change."""
+    after: dict[str, list[str]] = {}
+    for a, b in transitions:
+        after.setdefault(a, []).append(b)
+    steps = lambda s: max((1 + steps(t) for t in after.get(s, ())), default=0)
+    return max(map(steps, after), default=0)
+
+
+def managers(applications: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
+    """id of each application and owner_id, the owner of its job's company (null: the job or the company isn't there)."""
+    posts = jobs.select(F.col("id").alias("job_id"), "company_id").join(companies.select(F.col("id").alias("company_id"), "owner_id"), "company_id", "left")
+    return applications.select("id", "job_id").join(posts, "job_id", "left").select("id", "owner_id")
+
+
+def _admins(users: DataFrame, alias: str) -> DataFrame:
+    return users.filter(F.lower("role") == "admin").select(F.col("id").alias(alias), F.lit(True).alias("admin")).distinct()
+
+
+def change_status(applications: DataFrame, requests: DataFrame, owners: DataFrame | None = None, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Applications after requests (id, new_status, changed_by, changed_at), the history, and the rejects.
+
+    With ``owners`` (as of ``managers``) and ``users``, only an admin or the owner may ask. Requests for one application take their
+    turns by changed_at: one is judged against the status that the accepted ones before it left. A status can change only
+    ``longest_path`` times, so in as many rounds all accepted requests are found, each the first that fits the status of its round.
+    """
+    turn = F.struct("changed_at", "new_status", "changed_by")
+    rows = _alike(requests.select("id", "new_status", "changed_by", "changed_at")).withColumn("turn", turn)
+    rows = rows.join(applications.select("id", F.col("status").alias("status_0"), F.lit(True).alias("there")), "id", "left")
+    may = F.lit(True)
+    if owners is not None:
+        rows = rows.join(owners.select("id", "owner_id"), "id", "left").join(_admins(users, "changed_by"), "changed_by", "left")
+        may = F.coalesce("admin", F.lit(False)) | F.coalesce(F.col("owner_id") == F.col("changed_by"), F.lit(False))
+    rows = rows.withColumn("outside", F.when(F.col("there").isNull(), "no such application").when(~may, "no permission"))
+    fits = lambda old: F.col("outside").isNull() & transition_problem(old, F.col("new_status")).isNull()
+    rounds = longest_path()
+    accepted, old = F.lit(False), F.col("status_0")
+    for k in range(1, rounds + 1):
+        late = F.lit(True) if k == 1 else F.col("turn") > F.col(f"turn_{k - 1}")
+        status = F.col("status_0") if k == 1 else F.col(f"turn_{k - 1}.new_status")
+        step = rows.filter(fits(status) & late).groupBy("id").agg(F.min("turn").alias(f"turn_{k}"))
+        rows = rows.join(step, "id", "left")
+        accepted = accepted | F.coalesce(F.col("turn") == F.col(f"turn_{k}"), F.lit(False))
+        old = F.when(F.col("turn") > F.col(f"turn_{k}"), F.col(f"turn_{k}.new_status")).otherwise(old)
+    rows = rows.withColumns({"old_status": old, "accepted": accepted})
+    # a request that is like an accepted one asks for the status that is there then
+    problem = F.coalesce("outside", transition_problem(F.col("old_status"), F.col("new_status")))
+    rows = _one_by_one(rows, F.col("accepted"), problem, F.lit("same status"))
+    rows = rows.withColumn("old_status", F.when(F.col("accepted") & (F.col("nth") > 1), F.col("new_status")).otherwise(F.col("old_status")))
+    good = rows.filter("reason IS NULL")
+    last = good.groupBy("id").agg(F.max(F.struct("turn", "new_status"))["new_status"].alias("new_status"))
+    table = applications.join(last, "id", "left").withColumn("status", F.coalesce("new_status", "status")).select(applications.columns)
     history = good.select(F.col("id").alias("application_id"), "old_status", "new_status", "changed_by", "changed_at")
-    return after, history, rows.filter("reason IS NOT NULL")
+    return table, history, rows.filter("reason IS NOT NULL").select("id", "new_status", "changed_by", "changed_at", "old_status", "reason")
+
+
+def delete_applications(applications: DataFrame, requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The applications left, and requests (id, caller_id) with the reason of refusal, or null: applicants and admins may, owners of jobs not."""
+    rows = requests.join(applications.select("id", "user_id", F.lit(True).alias("there")), "id", "left").join(_admins(users, "caller_id"), "caller_id", "left")
+    own = F.coalesce(F.col("user_id") == F.col("caller_id"), F.lit(False))
+    reason = F.when(F.col("there").isNull(), "no such application").when(~own & F.col("admin").isNull(), "no permission")
+    rows = rows.select("id", "caller_id", reason.alias("reason"))
+    return applications.join(rows.filter("reason IS NULL").select("id"), "id", "left_anti").select(applications.columns), rows
 
 
 def log_rejects(log: DataFrame) -> DataFrame:
@@ -125,7 +212,19 @@ def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str], kept: Sequen
     return existing.join(fresh.select(*key), list(key), "left_anti").select(existing.columns).unionByName(merged)
 
 
-def set_primary(resumes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Makes the chosen résumé (user_id, resume_id) the only primary one of its user."""
-    rows = resumes.join(chosen.select("user_id", "resume_id"), "user_id", "left")
+def primary_requests(resumes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Requests (user_id, resume_id, others) with ``reason``: null if the résumé is the user's own."""
+    own = resumes.select(F.col("id").alias("resume_id"), "user_id", F.lit(True).alias("own"))
+    rows = chosen.join(own, ["resume_id", "user_id"], "left")
+    return rows.select(*chosen.columns, F.when(F.col("own").isNull(), "no such resume").alias("reason"))
+
+
+def set_primary(resumes: DataFrame, chosen: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Makes the résumé of the user's last valid request (user_id, resume_id, order) the only primary one of its user.
+
+    Requests for résumés that aren't the user's own change nothing; ``primary_requests`` has them with the reason.
+    """
+    valid = primary_requests(resumes, chosen).filter("reason IS NULL")
+    last = valid.groupBy("user_id").agg(F.max(F.struct(*order, F.col("resume_id")))["resume_id"].alias("resume_id"))
+    rows = resumes.join(last, "user_id", "left")
     return rows.withColumn("is_primary", F.when(F.col("resume_id").isNull(), F.col("is_primary")).otherwise(F.col("id") == F.col("resume_id"))).select(resumes.columns)

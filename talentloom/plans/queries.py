@@ -411,14 +411,90 @@ def save_job_insert(m):
 
 
 @query(
-    ", req AS (SELECT o_custkey AS user_id, o_orderkey % 2500 AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS resume_id FROM orders), prim AS (SELECT user_id, min(id) AS pid FROM resumes WHERE is_primary GROUP BY 1) "
-    "SELECT q.user_id, q.job_id, CASE WHEN j.id IS NULL THEN 'no such job' WHEN a.id IS NOT NULL THEN 'applied already' WHEN q.resume_id IS NULL AND p.pid IS NULL THEN 'no primary resume' ELSE 'accepted' END AS outcome, "
-    "CASE WHEN j.id IS NOT NULL AND a.id IS NULL THEN coalesce(q.resume_id, p.pid, -1) ELSE -1 END AS resume_id FROM req q LEFT JOIN jobs j ON q.job_id = j.id LEFT JOIN applications a ON a.user_id = q.user_id AND a.job_id = q.job_id LEFT JOIN prim p ON p.user_id = q.user_id"
+    ", req AS (SELECT o_custkey AS user_id, o_orderkey % 2500 AS job_id, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey WHEN o_orderkey % 6 = 3 THEN o_orderkey + 1 END AS resume_id, o_orderkey AS asked FROM orders UNION ALL SELECT o_custkey, o_orderkey % 2500, NULL, o_orderkey FROM orders WHERE o_orderkey % 7 = 0), "
+    "prim AS (SELECT user_id, min(id) AS pid FROM resumes WHERE is_primary GROUP BY 1), "
+    "judged AS (SELECT q.*, p.pid, CASE WHEN j.id IS NULL THEN 'no such job' WHEN a.id IS NOT NULL THEN 'applied already' END AS early, CASE WHEN q.resume_id IS NOT NULL AND r.id IS NULL THEN 'no such resume' WHEN q.resume_id IS NULL AND p.pid IS NULL THEN 'no primary resume' END AS wrong "
+    "FROM req q LEFT JOIN jobs j ON q.job_id = j.id LEFT JOIN applications a ON a.user_id = q.user_id AND a.job_id = q.job_id LEFT JOIN prim p ON p.user_id = q.user_id LEFT JOIN resumes r ON r.id = q.resume_id AND r.user_id = q.user_id), "
+    # one of a pair's requests is accepted: the first that nothing is wrong with
+    "turns AS (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY asked, resume_id NULLS FIRST) AS turn FROM judged), "
+    "won AS (SELECT user_id, job_id, min(turn) AS won FROM turns WHERE early IS NULL AND wrong IS NULL GROUP BY ALL), "
+    "told AS (SELECT t.*, CASE WHEN early IS NOT NULL THEN early WHEN turn > won THEN 'repeated in the batch' ELSE coalesce(wrong, 'accepted') END AS outcome FROM turns t LEFT JOIN won USING (user_id, job_id)) "
+    "SELECT user_id, job_id, asked, outcome, CASE WHEN outcome = 'accepted' THEN coalesce(resume_id, pid) ELSE -1 END AS resume_id FROM told"
 )
 def create_applications(m):
-    requests = m.raw("orders").select(F.col("o_custkey").alias("user_id"), F.pmod("o_orderkey", F.lit(2500)).alias("job_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).alias("resume_id"))
-    rows = writes.create_applications(requests, m.jobs, m.applications, m.resumes)
-    return rows.select("user_id", "job_id", F.coalesce("reason", F.lit("accepted")).alias("outcome"), _key("resume_id"))
+    """Requests by the keys of orders, some with an own or a foreign résumé, and some of them again without one."""
+    key = F.col("o_orderkey")
+    orders = m.raw("orders")
+    common = [F.col("o_custkey").alias("user_id"), F.pmod(key, F.lit(2500)).alias("job_id")]
+    requests = orders.select(*common, F.when(key % 6 == 0, key).when(key % 6 == 3, key + 1).alias("resume_id"), key.alias("asked"))
+    again = orders.filter(key % 7 == 0).select(*common, F.lit(None).cast("long").alias("resume_id"), key.alias("asked"))
+    rows = writes.create_applications(requests.unionByName(again), m.jobs, m.applications, m.resumes, ["asked"])
+    return rows.select("user_id", "job_id", "asked", F.coalesce("reason", F.lit("accepted")).alias("outcome"), _key("resume_id"))
+
+
+def _chain(m):
+    """Three requests an application, a day apart, by an admin, the job's owner or the applicant; every eleventh is asked twice."""
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
+    pick = lambda n: F.element_at(F.array(*map(F.lit, ("Shortlisted", "Selected", "Rejected", "Applied"))), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+    owners = writes.managers(m.applications, m.jobs, m.companies)
+    who = F.pmod(F.col("user_id") + F.col("k"), F.lit(4))
+    rows = m.applications.select("id", "user_id", "job_id", "applied_at", k).join(owners, "id")
+    rows = rows.select(
+        "id", pick(F.floor(F.col("job_id") / 3) + F.col("k")).alias("new_status"),
+        F.when(who == 0, F.lit(0).cast("long")).when(who == 3, F.col("user_id")).otherwise(F.col("owner_id")).alias("changed_by"),
+        (F.col("applied_at") + F.expr("make_dt_interval(k)")).alias("changed_at"),
+    )
+    return rows.unionByName(rows.filter("id % 11 = 0")), owners
+
+
+_CHAIN = """, own AS (SELECT a.id, c.owner_id FROM applications a LEFT JOIN jobs j ON a.job_id = j.id LEFT JOIN companies c ON j.company_id = c.id),
+asked AS (SELECT a.id, ['Shortlisted','Selected','Rejected','Applied'][1 + (a.job_id // 3 + k) % 4] AS new_status, CASE (a.user_id + k) % 4 WHEN 0 THEN 0 WHEN 3 THEN a.user_id ELSE o.owner_id END AS changed_by, applied_at + to_days(CAST(k AS INTEGER)) AS changed_at
+  FROM applications a JOIN own o USING (id), range(3) t(k)),
+every AS (SELECT *, 1 AS copy FROM asked UNION ALL SELECT *, 2 FROM asked WHERE id % 11 = 0),
+turns AS (SELECT e.*, row_number() OVER (PARTITION BY e.id ORDER BY changed_at, copy) AS turn, coalesce(u.role = 'Admin', FALSE) OR coalesce(o.owner_id = e.changed_by, FALSE) AS may
+  FROM every e JOIN own o USING (id) LEFT JOIN users u ON u.id = e.changed_by),
+folded AS (
+  SELECT id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS new_status, CAST(NULL AS BIGINT) AS changed_by, CAST(NULL AS TIMESTAMP) AS changed_at, CAST(NULL AS VARCHAR) AS old_status, status, CAST(NULL AS VARCHAR) AS reason FROM applications
+  UNION ALL
+  SELECT id, turn, new_status, changed_by, changed_at, before, CASE WHEN reason IS NULL THEN new_status ELSE before END, reason FROM (
+    SELECT t.id, t.turn, t.new_status, t.changed_by, t.changed_at, f.status AS before, CASE WHEN NOT t.may THEN 'no permission' WHEN f.status = t.new_status THEN 'same status'
+      WHEN NOT ((f.status = 'Applied' AND t.new_status IN ('Shortlisted', 'Rejected')) OR (f.status = 'Shortlisted' AND t.new_status IN ('Selected', 'Rejected'))) THEN 'not allowed' END AS reason
+    FROM folded f JOIN turns t ON t.id = f.id AND t.turn = f.turn + 1))"""
+
+
+def _recursive(sql: str) -> str:
+    """The SQL of a query with a recursive table."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{_CHAIN} SELECT id, max_by(status, turn) AS status FROM folded GROUP BY id")
+def status_chain_applied(m):
+    """Several requests for each application in one batch, each judged by what the ones before it left."""
+    requests, owners = _chain(m)
+    return writes.change_status(m.applications, requests, owners, m.users)[0].select("id", "status")
+
+
+@query(f"{_CHAIN} SELECT id, new_status, coalesce(changed_by, -1) AS changed_by, strftime(changed_at, '%Y-%m-%d %H:%M:%S') AS changed_at, old_status, coalesce(reason, 'accepted') AS outcome FROM folded WHERE turn > 0")
+def status_chain_outcomes(m):
+    """Each request of such a batch with the status that it met and what became of it."""
+    requests, owners = _chain(m)
+    _, history, rejects = writes.change_status(m.applications, requests, owners, m.users)
+    columns = ["id", "new_status", _key("changed_by"), _day("changed_at").alias("changed_at"), "old_status"]
+    good = history.withColumnRenamed("application_id", "id").select(*columns, F.lit("accepted").alias("outcome"))
+    return good.unionByName(rejects.select(*columns, F.col("reason").alias("outcome")))
+
+
+for _name in ("status_chain_applied", "status_chain_outcomes"):
+    SQL[_name] = _recursive(SQL[_name])
+
+
+@query("SELECT id, user_id, CASE WHEN user_id = caller_id OR caller_id = 0 THEN 'gone' ELSE 'no permission' END AS outcome FROM (SELECT *, CASE id % 3 WHEN 0 THEN user_id WHEN 1 THEN 0 ELSE job_id % 25 END AS caller_id FROM applications)")
+def delete_application_rules(m):
+    """Every application is to go: a third by the applicant, a third by an admin, a third by someone else."""
+    caller = F.when(F.col("id") % 3 == 0, F.col("user_id")).when(F.col("id") % 3 == 1, F.lit(0).cast("long")).otherwise(F.pmod("job_id", F.lit(25))).alias("caller_id")
+    left, rows = writes.delete_applications(m.applications, m.applications.select("id", caller), m.users)
+    gone = rows.join(left.select("id", F.lit(True).alias("left")), "id", "left").join(m.applications.select("id", "user_id"), "id")
+    return gone.select("id", "user_id", F.when(F.col("left").isNull(), "gone").otherwise(F.col("reason")).alias("outcome"))
 
 
 @query("SELECT id, title, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 2 = 0 THEN CAST(salary + 100 AS DOUBLE) ELSE CAST(salary AS DOUBLE) END AS salary FROM jobs")
@@ -428,6 +504,20 @@ def partial_update(m):
     return writes.update(jobs, changes).select("id", "title", _double("salary"))
 
 
+@query(
+    ", asked AS (SELECT job_id AS id, saved_at AS moment, s.id AS request, CASE WHEN s.user_id % 3 <> 0 THEN CASE WHEN s.user_id % 5 = 0 THEN NULL ELSE 'title ' || s.user_id END END AS title, s.user_id % 3 <> 0 AS sets_title, CASE WHEN s.user_id % 2 = 0 THEN 1000 + s.user_id END AS salary, s.user_id % 2 = 0 AS sets_salary FROM saved_jobs s), "
+    "t AS (SELECT id, max_by(coalesce(title, '-'), (moment, request)) AS title FROM asked WHERE sets_title GROUP BY 1), p AS (SELECT id, max_by(salary, (moment, request)) AS salary FROM asked WHERE sets_salary GROUP BY 1) "
+    "SELECT j.id, coalesce(t.title, j.title) AS title, CAST(coalesce(p.salary, j.salary) AS DOUBLE) AS salary FROM jobs j LEFT JOIN t ON j.id = t.id LEFT JOIN p ON j.id = p.id"
+)
+def partial_updates_in_turn(m):
+    """Every saved job is a change of that job, of its title or its salary or both: the last one that names a column wins."""
+    user = F.col("user_id")
+    changed = F.array_compact(F.array(F.when(user % 3 != 0, "title"), F.when(user % 2 == 0, "salary")))
+    title = F.when(user % 5 != 0, F.concat(F.lit("title "), user.cast("string")))
+    changes = m.saved_jobs.select(F.col("job_id").alias("id"), changed.alias("changed"), title.alias("title"), (user + 1000).cast("decimal(10,2)").alias("salary"), F.col("saved_at").alias("at"), F.col("id").alias("request"))
+    return writes.update(m.jobs.select("id", "title", "salary"), changes, order=["at", "request"]).select("id", F.coalesce("title", F.lit("-")).alias("title"), _double("salary"))
+
+
 @query("SELECT id, 'gone' AS outcome FROM companies WHERE id % 2 = 0 AND id NOT IN (SELECT company_id FROM jobs WHERE company_id % 4 = 0) UNION ALL SELECT id, 'in use' FROM companies WHERE id % 2 = 0 AND id IN (SELECT company_id FROM jobs WHERE company_id % 4 = 0)")
 def delete_restricted(m):
     wanted = m.companies.filter("id % 2 = 0").select("id")
@@ -453,6 +543,21 @@ def set_primary_resume(m):
     return writes.set_primary(m.resumes, chosen).select("id", "user_id", "is_primary")
 
 
+@query(
+    ", asked AS (SELECT id AS resume_id, CASE WHEN id % 4 = 0 THEN user_id + 1 ELSE user_id END AS user_id, uploaded_at AS moment FROM resumes WHERE id % 3 <> 0), "
+    "valid AS (SELECT a.*, r.id IS NOT NULL AS own FROM asked a LEFT JOIN resumes r ON r.id = a.resume_id AND r.user_id = a.user_id), "
+    "won AS (SELECT user_id, max_by(resume_id, (moment, resume_id)) AS cid FROM valid WHERE own GROUP BY 1) "
+    "SELECT r.id, r.user_id, CASE WHEN cid IS NULL THEN is_primary ELSE r.id = cid END AS is_primary, coalesce(v.outcome, 'not asked') AS outcome FROM resumes r LEFT JOIN won w ON r.user_id = w.user_id "
+    "LEFT JOIN (SELECT resume_id, CASE WHEN own THEN 'valid' ELSE 'no such resume' END AS outcome FROM valid) v ON r.id = v.resume_id"
+)
+def primary_requests_in_turn(m):
+    """Users ask for several of their résumés, and for some of others: the last own one becomes primary, foreign ones change nothing."""
+    rows = m.resumes.filter("id % 3 <> 0")
+    asked = rows.select(F.when(F.col("id") % 4 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"), F.col("id").alias("resume_id"), F.col("uploaded_at").alias("at"))
+    told = writes.primary_requests(m.resumes, asked).select(F.col("resume_id").alias("id"), F.coalesce("reason", F.lit("valid")).alias("outcome"))
+    return writes.set_primary(m.resumes, asked, ["at"]).join(told, "id", "left").select("id", "user_id", "is_primary", F.coalesce("outcome", F.lit("not asked")).alias("outcome"))
+
+
 # ---------------------------------------------------------------- scores
 
 
