@@ -54,7 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ LEAST = 100
 SEGMENT = 1 << 19
 #: Places of one gram in a batch of texts beyond which they needn't meet the gram's other places to be known as borders.
 MANY = 16
+#: Bytes of texts whose anchors are gathered at a time (or one text's).
+PIECE = 6 << 20
 #: Suffixes in a block.
 BLOCK = 1 << 17
 #: Rows without an id come behind all ids.
@@ -220,6 +222,16 @@ def _bodies(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[:-1], offsets[1:]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut after some PIECE bytes of body."""
+    for batch in batches:
+        if batch.num_rows:
+            offsets = np.append(*(lambda b: (b[1], b[2][-1:]))(_bodies(batch.column("body"))))
+            cuts = np.flatnonzero(_runs((offsets[:-1] - offsets[0]) // PIECE))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+                yield batch.slice(a, b - a)
+
+
 def anchored(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows (doc, tie, spot, left, more, border): places whose windows repeat earlier ones, and those at borders.
 
@@ -231,9 +243,7 @@ def anchored(docs: DataFrame, least: int = LEAST) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
+        for b, batch in enumerate(_pieces(batches)):
             data, starts, ends = _bodies(batch.column("body"))
             found = anchors(data, starts, ends, least)
             rows = np.empty(len(found["key"]), _KEYED)
@@ -445,8 +455,9 @@ def _surroundings(docs: DataFrame, borders: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, tie, body, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "body", "at")), strict=True):
+            rows, whole = [], zstandard.ZstdDecompressor().decompress
+            for doc, tie, packed, at in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "body", "at")), strict=True):
+                body = whole(packed)
                 for p in {(x["spot"], x["left"], x["more"]) for x in at}:
                     spot, left, more = p
                     gram_end, begin = spot + gram, spot - left
@@ -456,7 +467,7 @@ def _surroundings(docs: DataFrame, borders: DataFrame, least: int) -> DataFrame:
 
     listed = borders.groupBy("doc", "tie").agg(F.collect_list(F.struct("spot", "left", "more")).alias("at"))
     one = texts(docs).filter(F.length("body") >= least).withColumn("tie", F.col("tie").cast("long"))
-    return materialize(listed.join(_small(one), ["doc", "tie"]).transform(_whole).mapInArrow(run, "grp long, string binary, back binary, doc long, tie long, spot long"), "borders")
+    return materialize(listed.join(_small(one), ["doc", "tie"]).mapInArrow(run, "grp long, string binary, back binary, doc long, tie long, spot long"), "borders")
 
 
 def _small(docs: DataFrame) -> DataFrame:
@@ -470,15 +481,6 @@ def _small(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, docs.schema)
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        d = zstandard.ZstdDecompressor()
-        at = batch.schema.get_field_index("body")
-        return batch.set_column(at, "body", pa.array([d.decompress(b.as_buffer()) for b in batch.column("body")], pa.binary()))
-
-    return map_arrow(docs, run, docs.schema)
-
-
 def _right(blocks: DataFrame, least: int) -> DataFrame:
     """The members of each lcp-interval of suffixes that can reach ``least`` bytes: (grp, string, right, doc, tie, spot)."""
     width = least - least // 2
@@ -572,27 +574,29 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) for each row of ``docs``."""
+def without_repeats(docs: DataFrame, least: int = LEAST, with_bytes: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes) for each row of ``docs``."""
     spans = repeated(docs, least).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    whole = texts(docs).withColumns({"tie": F.col("tie").cast("long"), "n": F.lit(1).cast("long")})
+    packed = _small(texts(docs).withColumns({"tie": F.col("tie").cast("long"), "n": F.lit(1).cast("long")}))
     # copies of a row meet before the shuffle
-    rows = _small(whole).groupBy("doc", "tie", "body").agg(F.sum("n").alias("n")).join(spans, ["doc", "tie"], "left")
+    rows = packed.groupBy("doc", "tie", "body").agg(F.sum("n").alias("n")).join(spans, ["doc", "tie"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for body, found in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                cut = united([(s["start"], s["stop"]) for s in found or []])
+            for packed, found in zip(batch.column("body"), batch.column("spans"), strict=True):
+                body = whole(packed.as_py())
+                cut = united([(s["start"], s["stop"]) for s in found.as_py() or []])
                 kept, at = [], 0
                 for a, b in cut:
                     kept.append(body[at:a])
                     at = b
                 kept = b"".join([*kept, body[at:]])
-                out.append((len(body), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((len(body), len(body) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["doc", "n", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    judged = rows.transform(_whole).mapInArrow(run, "doc long, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    judged = rows.mapInArrow(run, "doc long, n long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     # the copies of a row: one stays as judged, each other is a repeat all over if it is long enough
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
     gone = (F.col("copy") > 1) & (F.col("n_bytes") >= least)
@@ -603,7 +607,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(gone, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(gone, F.sha2(nothing, 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(gone, nothing).otherwise(F.col("kept")).alias("kept"),
+        *([F.when(gone, nothing).otherwise(F.col("kept")).alias("kept")] if with_bytes else []),
     )
 
 
