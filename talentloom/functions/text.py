@@ -1,15 +1,16 @@
 """Text functions as Column expressions.
 
-Vocabulary terms become regular expressions when a plan is built; a plain substring test in front
-of each keeps the expression from running on texts that can't match.
+All terms of a vocabulary become one regular expression when a plan is built, with common beginnings written once, so one pass
+over a text finds the terms of all kinds that it holds.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Mapping
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ _SEPARATORS = "-_/\\.|,;:!?()[]{}"
 _TRANSLATED = str.maketrans({"’": "'", "–": " ", "—": " "} | dict.fromkeys(_SEPARATORS, " "))
 
 
+def table(of: Mapping[str, object], kind: str = "string") -> Column:
+    """A map as one constant, worked out when the plan is made."""
+    return F.from_json(F.lit(json.dumps(of)), f"map<string,{kind}>")
+
+
+def words_of(words: Iterable[str]) -> Column:
+    """An array of strings as one constant."""
+    return F.from_json(F.lit(json.dumps(list(words))), "array<string>")
+
+
 def normalize(c: Column) -> Column:
     """Lower case, white space runs as one blank, null as empty."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
@@ -91,14 +102,67 @@ def has_any(c: Column, parts: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(p) for p in least))
 
 
+def _alternatives(words: Iterable[str]) -> str:
+    """A regular expression of words that prefers longer ones, their common beginnings written once."""
+    rest: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        rest.setdefault(w[:1], []).append(w[1:])
+    ends = bool(rest.pop("", None))
+    parts = []
+    for c, tails in rest.items():
+        # letters that all go on alike need no group of their own
+        same = os.path.commonprefix(tails)
+        parts.append(re.escape(c + same).replace("\\ ", " ") + _alternatives(t[len(same) :] for t in tails))
+    body = "|".join(parts)
+    return f"(?:{body})?" if ends and body else f"(?:{body})" if len(parts) > 1 else body
+
+
+class Vocabulary:
+    """Terms of several kinds, ``{kind: {name: terms}}``, that one pass over a text finds.
+
+    At each place where a word may begin the longest form that stands there is taken. All others that stand there begin like it,
+    so what each longest form stands for is known beforehand.
+    """
+
+    def __init__(self, kinds: Mapping[str, Mapping[str, Iterable[str]]]):
+        self.names = [(kind, name) for kind, names in kinds.items() for name in sorted(names)]
+        forms: dict[str, set[int]] = {}
+        for tag, (kind, name) in enumerate(self.names):
+            for form in (f for term in kinds[kind][name] for f in term_forms(term)):
+                forms.setdefault(form, set()).add(tag)
+        alone = lambda form, n: not re.match("[a-z0-9]", form[n : n + 1])
+        self.tags = {f: sorted({t for n in range(1, len(f) + 1) if f[:n] in forms and alone(f, n) for t in forms[f[:n]]}) for f in forms}
+
+    @cached_property
+    def pattern(self) -> str:
+        return rf"(?<![a-z0-9])(?=({_alternatives(self.tags)})(?![a-z0-9]))"
+
+    def found(self, matching: Column) -> Column:
+        """Numbers of the names whose terms stand in a text (as of ``for_matching``), in order."""
+        if not self.tags:
+            return F.array().cast("array<int>")
+        tags = table(self.tags, "array<int>")
+        hits = F.array_distinct(F.regexp_extract_all(matching, F.lit(self.pattern), F.lit(1)))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda h: F.element_at(tags, h)))))
+
+    def named(self, found: Column, kind: str) -> Column:
+        """The names of one kind among ``found``, sorted."""
+        tags = [k for k, (of, _) in enumerate(self.names) if of == kind]
+        if not tags:
+            return F.array().cast("array<string>")
+        names = words_of(self.names[k][1] for k in tags)
+        return F.transform(F.filter(found, lambda t: t.between(tags[0], tags[-1])), lambda t: F.element_at(names, t - (tags[0] - 1)))
+
+
 def scan(matching: Column, terms: Mapping[str, Iterable[str]]) -> Column:
     """Sorted array of the names whose terms occur."""
-    return F.array_sort(F.array_compact(F.array(*(F.when(contains_any(matching, t), F.lit(name)) for name, t in terms.items()))))
+    one = Vocabulary({"": terms})
+    return one.named(one.found(matching), "")
 
 
-def mapped(c: Column, table: Mapping[str, str]) -> Column:
+def mapped(c: Column, values: Mapping[str, str]) -> Column:
     """Lookup with the value itself where it isn't listed."""
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), c), c)
+    return F.coalesce(F.element_at(table(values), c), c)
 
 
 _CANONICAL = {name: skill for skill, names in vocab.SKILL_SYNONYMS.items() for name in names}
@@ -122,15 +186,15 @@ def canonical_of(term: str) -> str:
 
 
 TECHNICAL = frozenset(canonical_of(s) for s in vocab.SKILL_ALIASES.values())
-_SCANNED: dict[str, list[str]] = {}
+SCANNED: dict[str, list[str]] = {}
 for _alias, _skill in vocab.SKILL_ALIASES.items():
     if re.sub(r"[-_/]+", " ", _alias) not in vocab.UNSAFE_ALIASES:
-        _SCANNED.setdefault(canonical_of(_skill), []).append(_alias)
+        SCANNED.setdefault(canonical_of(_skill), []).append(_alias)
 
 
 def known_skills(matching: Column) -> Column:
     """Canonical skills named anywhere in a text."""
-    return scan(matching, _SCANNED)
+    return scan(matching, SCANNED)
 
 
 def clean_keyword(c: Column) -> Column:
@@ -156,7 +220,7 @@ def keyword_of(term: str) -> str:
 
 def keyword_alias(c: Column) -> Column:
     cleaned = clean_keyword(c)
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in _ALIASES.items() for x in pair)), for_matching(cleaned)), cleaned)
+    return F.coalesce(F.element_at(table(_ALIASES), for_matching(cleaned)), cleaned)
 
 
 def is_meaningful_term(term: str) -> bool:
@@ -194,17 +258,23 @@ def years_of(c: Column) -> Column:
     return F.array_max(F.transform(found, lambda v: v.cast("double")))
 
 
+#: Names of levels and fields are their numbers.
+LEVELS = {str(k): [t for t, level in vocab.EDUCATION_LEVELS.items() if level == k] for k in set(vocab.EDUCATION_LEVELS.values())}
+FIELDS = {str(k): group for k, group in enumerate(vocab.FIELD_GROUPS)}
+
+
+def numbers(names: Column) -> Column:
+    return F.array_sort(F.transform(names, lambda n: n.cast("int")))
+
+
 def education_level(matching: Column) -> Column:
     """The highest level named, or null; text as of ``for_matching``."""
-    by_level: dict[int, list[str]] = {}
-    for term, level in vocab.EDUCATION_LEVELS.items():
-        by_level.setdefault(level, []).append(term)
-    return F.coalesce(*(F.when(contains_any(matching, by_level[k]), F.lit(k)) for k in sorted(by_level, reverse=True)))
+    return F.array_max(numbers(scan(matching, LEVELS)))
 
 
 def field_groups(matching: Column) -> Column:
     """Numbers of the education fields named."""
-    return F.array_compact(F.array(*(F.when(contains_any(matching, g), F.lit(k)) for k, g in enumerate(vocab.FIELD_GROUPS))))
+    return numbers(scan(matching, FIELDS))
 
 
 def punctuation(c: Column) -> Column:
@@ -261,7 +331,7 @@ _SECTION_OF = {alias: section for section, aliases in vocab.SECTIONS.items() for
 def section_of(line: Column) -> Column:
     """The section that a heading line opens, or null."""
     head = header(line)
-    found = F.element_at(F.create_map(*(F.lit(x) for pair in _SECTION_OF.items() for x in pair)), head)
+    found = F.element_at(table(_SECTION_OF), head)
     # a hashed test first: few lines are headings
     return F.when(head.isin(*_SECTION_OF) & heading_case(line), found)
 

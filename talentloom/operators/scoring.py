@@ -36,19 +36,50 @@ PHRASES = _vocabulary()
 WORDS = {k: k for w in vocab.STANDALONE_KEYWORDS if (k := T.keyword_of(w)) in vocab.STANDALONE_KEYWORDS and T.is_meaningful_term(k) and T.canonical_of(k) not in T.TECHNICAL}
 #: Every keyword that texts (not skill lists) can give.
 KEYWORDS = sorted({*PHRASES, *WORDS})
+#: All that texts are searched for, in one pass: skills, what calls for a keyword, keywords, levels, fields.
+TERMS = T.Vocabulary({"skill": T.SCANNED, "phrase": PHRASES, "keyword": {k: (k,) for k in KEYWORDS}, "level": T.LEVELS, "field": T.FIELDS})
 
 
 def readiness(results: DataFrame, version: str = PARSER_VERSION) -> DataFrame:
     """Adds ``reason``: why a parsing result can't be scored yet, or null."""
+    data = F.trim("parsed_data")
     reason = (
         F.when(F.coalesce(F.lower(F.trim("status")), F.lit("")) != "completed", "not completed")
         .when(F.coalesce(F.trim("parser_version"), F.lit("")) != version, "other parser version")
-        .when(F.col("parsed_data").isNull() | F.trim("parsed_data").isin("", "{}", "null"), "no parsed data")
-        .when(~F.trim("parsed_data").startswith("{"), "parsed data is no object")
+        .when(F.col("parsed_data").isNull() | data.isin("", "{}", "null", "[]", '""', "0", "false"), "no parsed data")
+        .when(F.try_parse_json(data).isNull(), "parsed data can't be read")
+        .when(~data.startswith("{"), "parsed data is no object")
     )
     return results.withColumn("reason", reason)
 
 
+def judge_requests(requests: DataFrame, resumes: DataFrame, results: DataFrame, jobs: DataFrame, trusted: bool = False) -> DataFrame:
+    """Requests (resume_id, job_id, caller_id, others) with ``reason``: why the pair isn't scored, or null.
+
+    In this order: the résumé must be there, and the job; the caller must own the résumé (without a caller, only a ``trusted``
+    call may go on); the résumé must be parsed, by this version, into an object that can be read. No request is lost.
+    """
+    owners = resumes.select(F.col("id").alias("resume_id"), F.col("user_id").alias("owner"), F.lit(True).alias("resume_there"))
+    posts = jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there"))
+    ready = readiness(results.select("resume_id", "status", "parser_version", "parsed_data")).select("resume_id", F.col("reason").alias("unready"), F.lit(True).alias("parsed"))
+    own = F.coalesce(F.col("owner") == F.col("caller_id"), F.lit(False))
+    may = own | F.col("caller_id").isNull() if trusted else own
+    reason = (
+        F.when(F.col("resume_there").isNull(), "no such resume").when(F.col("job_there").isNull(), "no such job").when(~may, "no permission")
+        .when(F.col("parsed").isNull(), "not parsed yet").otherwise(F.col("unready"))
+    )
+    rows = requests.join(owners, "resume_id", "left").join(posts, "job_id", "left").join(ready, "resume_id", "left")
+    return rows.select(*requests.columns, reason.alias("reason"))
+
+
+def analyze(requests: DataFrame, resumes: DataFrame, results: DataFrame, jobs: DataFrame, trusted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Scores of the pairs that requests may have (each once), and the other requests with their reason."""
+    judged = judge_requests(requests, resumes, results, jobs, trusted)
+    good = judged.filter("reason IS NULL").select("resume_id", "job_id").distinct()
+    ready = readiness(results).filter("reason IS NULL").select("resume_id", "extracted_text", "parsed_data")
+    return score_pairs(good, ready, jobs), judged.filter("reason IS NOT NULL")
+
+
 def drop_redundant(keywords: Column) -> Column:
     """Without phrases that a phrase of more words contains, the last word singular or plural."""
     words = lambda c: F.size(F.split(c, " "))
@@ -58,7 +89,7 @@ def drop_redundant(keywords: Column) -> Column:
 
 def listed_keywords(skills: Column) -> Column:
     """The keywords that canonical skills call for: those that say something and aren't technical."""
-    technical = F.array(*map(F.lit, sorted(T.TECHNICAL)))
+    technical = T.words_of(sorted(T.TECHNICAL))
     return F.filter(F.transform(skills, T.keyword_alias), lambda k: T.meaningful(k) & ~F.array_contains(technical, T.canonical_skill(k)))
 
 
@@ -66,11 +97,12 @@ def job_features(jobs: DataFrame) -> DataFrame:
     """job_id, job_skills, job_keywords, required_years, required_level, job_fields, names_degree."""
     text = F.concat_ws(" ", "title", "description", F.array_join("skills", " "))
     rows = jobs.select(F.col("id").alias("job_id"), T.normalize(text).alias("text"), T.for_matching(text).alias("m"), "skills")
-    rows = rows.withColumn("job_skills", F.array_sort(F.array_union(T.canonical_skills(F.col("skills")), T.known_skills(F.col("m")))))
+    rows = rows.withColumn("tags", TERMS.found(F.col("m")))
+    rows = rows.withColumn("job_skills", F.array_sort(F.array_union(T.canonical_skills(F.col("skills")), TERMS.named(F.col("tags"), "skill"))))
     listed = listed_keywords(F.col("job_skills"))
     spelled = F.transform(F.regexp_extract_all("text", F.lit("[a-z][a-z0-9+#./-]*"), F.lit(0)), T.clean_keyword)
-    alone = F.array_intersect(spelled, F.array(*map(F.lit, WORDS)))
-    found = F.array_distinct(F.concat(F.array_sort(listed), T.scan(F.col("m"), PHRASES), F.array_sort(alone)))
+    alone = F.array_intersect(spelled, T.words_of(WORDS))
+    found = F.array_distinct(F.concat(F.array_sort(listed), TERMS.named(F.col("tags"), "phrase"), F.array_sort(alone)))
     # columns of their own, so that each is worked out once a row
     rows = rows.withColumn("found", found).withColumn("own", drop_redundant(F.col("found")))
     return rows.select(
@@ -80,7 +112,7 @@ def job_features(jobs: DataFrame) -> DataFrame:
         F.array_sort("own").alias("project_keywords"),
         R.required_experience_years("text").alias("required_years"),
         R.required_education_level("text").alias("required_level"),
-        T.field_groups(F.col("m")).alias("job_fields"),
+        T.numbers(TERMS.named(F.col("tags"), "field")).alias("job_fields"),
         R.names_degree("m").alias("names_degree"),
     )
 
@@ -91,43 +123,57 @@ def resume_features(resumes: DataFrame) -> DataFrame:
     A missing text counts as the word ``none``.
     """
     rows = resumes.select("resume_id", F.coalesce("extracted_text", F.lit("none")).alias("raw"), R.resume_sections("parsed_data", F.coalesce("extracted_text", F.lit("none"))).alias("s"))
-    rows = rows.select("resume_id", "s.*", T.for_matching(F.concat_ws(" ", "raw", "s.everything")).alias("m"), T.for_matching(F.col("s.education")).alias("e"), T.for_matching(F.col("s.projects")).alias("p"))
-    terms = {k: (k,) for k in KEYWORDS}
+    rows = rows.select("resume_id", "s.*", F.array(T.for_matching(F.concat_ws(" ", "raw", "s.everything")), T.for_matching(F.col("s.education")), T.for_matching(F.col("s.projects"))).alias("texts"))
+    # one expression for all three texts
+    rows = rows.withColumn("tags", F.transform("texts", TERMS.found))
+    whole, education, projects = (F.col("tags")[k] for k in range(3))
     return rows.select(
         "resume_id",
-        F.array_sort(F.array_union(T.canonical_skills(F.col("skills")), T.known_skills(F.col("m")))).alias("resume_skills"),
-        T.scan(F.col("m"), terms).alias("resume_keywords"),
-        T.scan(F.col("p"), terms).alias("projects_show"),
-        F.col("m").alias("resume_text"),
-        F.col("p").alias("project_text"),
-        T.education_level(F.col("e")).alias("resume_level"),
-        T.field_groups(F.col("e")).alias("resume_fields"),
+        F.array_sort(F.array_union(T.canonical_skills(F.col("skills")), TERMS.named(whole, "skill"))).alias("resume_skills"),
+        TERMS.named(whole, "keyword").alias("resume_keywords"),
+        TERMS.named(projects, "keyword").alias("projects_show"),
+        F.col("texts")[0].alias("resume_text"),
+        F.col("texts")[2].alias("project_text"),
+        F.array_max(T.numbers(TERMS.named(education, "level"))).alias("resume_level"),
+        T.numbers(TERMS.named(education, "field")).alias("resume_fields"),
         F.coalesce(T.years_of(F.col("experience")), F.lit(0.0)).alias("resume_years"),
     )
 
 
+def _runs(c: Column) -> Column:
+    """The runs of letters and digits in a text, in order."""
+    return F.filter(F.split(F.regexp_replace(c, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def rare_forms(jobs: DataFrame) -> DataFrame:
+    """keyword, form, anchor: the keywords outside the vocabulary that listed skills give, each form by its first two runs."""
+    vocabulary = T.words_of(KEYWORDS)
+    rare = jobs.select(F.explode(F.array_except(listed_keywords(T.canonical_skills(F.col("skills"))), vocabulary)).alias("keyword")).distinct()
+    forms = rare.select("keyword", F.explode(T.forms_of(T.for_matching(F.col("keyword")))).alias("form"))
+    return forms.withColumn("anchor", F.array_join(F.slice(_runs(F.col("form")), 1, 2), " ")).filter("anchor != ''")
+
+
 def rare_matches(texts: DataFrame, jobs: DataFrame) -> DataFrame:
     """resume_id and, for each text column, the keywords outside the vocabulary that the text has.
 
-    Only skills that jobs list give such keywords. All distinct ones meet each text once, by the runs of letters
-    and digits that both have; what meets is verified in the text. Spark broadcasts the keywords only if they
-    are few.
+    All distinct ones meet each text once, by the run or two of letters and digits that they begin with; what meets is verified in
+    the text. A bitmap of 32,768 bits of all anchors drops most runs of a text where they are, so few rows are shuffled, and none
+    if no job lists such a skill.
     """
     columns = [c for c in texts.columns if c != "resume_id"]
-    runs = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
-    vocabulary = F.array(*map(F.lit, KEYWORDS))
-    rare = jobs.select(F.explode(F.array_except(listed_keywords(T.canonical_skills(F.col("skills"))), vocabulary)).alias("keyword")).distinct()
-    forms = rare.select("keyword", F.explode(T.forms_of(T.for_matching(F.col("keyword")))).alias("form")).withColumn("runs", runs(F.col("form"))).filter("runs != ''")
-    longest = forms.agg(F.max(F.size(F.split("runs", " ")))).first()[0] or 0
-    if not longest:
-        return texts.select("resume_id", *(F.array().cast("array<string>").alias(c) for c in columns))
-    found = texts.select("resume_id")
-    for c in columns:
-        words = F.split(runs(F.col(c)), " ")
-        grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " "))))
-        met = texts.select("resume_id", c, words.alias("w")).select("resume_id", c, F.explode(F.array_distinct(grams)).alias("runs")).join(forms, "runs").filter(T.stands_in(F.col("form"), F.col(c)))
-        found = found.join(met.groupBy("resume_id").agg(F.array_sort(F.collect_set("keyword")).alias(c)), "resume_id", "left")
-    return found.select("resume_id", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in columns))
+    forms = rare_forms(jobs)
+    bits = F.lit(32768).cast("bigint")
+    bitmap = forms.agg(F.bitmap_construct_agg(F.pmod(F.xxhash64("anchor"), bits)).alias("b")).scalar()
+    place = lambda w: F.pmod(F.xxhash64(w), bits)
+    byte = lambda w: F.conv(F.hex(F.substring("bits", (F.floor(place(w) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))
+    words = texts.select("resume_id", _runs(F.concat_ws(" ", *columns)).alias("w"), bitmap.alias("bits"))
+    grams = F.filter(F.array_distinct(F.concat("w", pairs)), lambda g: F.getbit(byte(g), F.pmod(place(g), F.lit(8)).cast("int")) == 1)
+    met = words.filter(F.size("w") > 0).select("resume_id", F.explode(grams).alias("anchor")).join(forms, "anchor")
+    told = met.groupBy("resume_id").agg(F.collect_set(F.struct("form", "keyword")).alias("told"))
+    rows = texts.join(told, "resume_id", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<form:string,keyword:string>>")))
+    stand = lambda c: F.filter("told", lambda t: T.stands_in(t["form"], F.col(c)))
+    return rows.select("resume_id", *(F.array_sort(F.array_distinct(F.transform(stand(c), lambda t: t["keyword"]))).alias(c) for c in columns))
 
 
 def education_score() -> Column:
@@ -173,17 +219,16 @@ def recommendations() -> Column:
     return F.when(perfect, F.array(F.lit("Excellent match: no major ATS improvements are needed."))).otherwise(F.slice(F.array_distinct(hints), 1, MOST_RECOMMENDATIONS))
 
 
-def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Scores, matched and missing terms and recommendations of each pair (resume_id, job_id).
-
-    Pairs whose résumé or job isn't there are left out. The joins are on the two keys and carry arrays, no
-    texts; Spark broadcasts a side only if it is small. Résumés and jobs have one row a key.
-    """
+def features(resumes: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All that scores need of each résumé and of each job; no texts are left."""
     of_resumes, of_jobs = resume_features(resumes), job_features(jobs)
     rare = rare_matches(of_resumes.select("resume_id", F.col("resume_text").alias("rare"), F.col("project_text").alias("rare_shown")), jobs)
     of_resumes = of_resumes.drop("resume_text", "project_text").join(rare, "resume_id")
-    of_resumes = of_resumes.withColumns({"resume_keywords": F.array_union("resume_keywords", "rare"), "projects_show": F.array_union("projects_show", "rare_shown")}).drop("rare", "rare_shown")
-    rows = pairs.select("resume_id", "job_id").join(of_resumes, "resume_id").join(of_jobs, "job_id")
+    return of_resumes.withColumns({"resume_keywords": F.array_union("resume_keywords", "rare"), "projects_show": F.array_union("projects_show", "rare_shown")}).drop("rare", "rare_shown"), of_jobs
+
+
+def score_features(rows: DataFrame) -> DataFrame:
+    """Pairs with the features of both sides, with what matches, what is missing, and the scores."""
     rows = rows.withColumns(
         {
             "matched_skills": F.array_sort(F.array_intersect("job_skills", "resume_skills")),
@@ -202,7 +247,17 @@ def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFr
             "experience_score": experience_score(project),
         }
     )
-    rows = rows.withColumn("overall_score", overall_score(rows))
+    return rows.withColumn("overall_score", overall_score(rows))
+
+
+def score_pairs(pairs: DataFrame, resumes: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Scores, matched and missing terms and recommendations of each pair (resume_id, job_id).
+
+    Pairs whose résumé or job isn't there are left out; ``analyze`` has their reasons. The joins are on the two keys and carry
+    arrays, no texts; Spark broadcasts a side only if it is small. Résumés and jobs have one row a key.
+    """
+    of_resumes, of_jobs = features(resumes, jobs)
+    rows = score_features(pairs.select("resume_id", "job_id").join(of_resumes, "resume_id").join(of_jobs, "job_id"))
     return rows.withColumn("recommendations", recommendations()).select(
         "resume_id", "job_id", "overall_score", *WEIGHTS, "matched_skills", "missing_skills", "matched_keywords", "missing_keywords", "recommendations"
     )

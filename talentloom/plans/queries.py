@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.functions import requirements, text
-from talentloom.operators import parsing, relational, scoring, writes
+from talentloom.operators import parsing, ranking, relational, scoring, writes
 from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
 from talentloom.sources.marketplace import health as check_health
@@ -651,6 +651,46 @@ def match_scores(m):
     return rows.withColumns({c: F.col(c).cast("double") for c in _SCORES})
 
 
+_ALL_PAIRS = _MATCH.split("SELECT resume_id, job_id, CAST(o AS DOUBLE)")[0].rstrip().replace("FROM applications JOIN mu USING (user_id) JOIN mj USING (job_id)", "FROM mu, mj")
+
+
+@query(f"{_ALL_PAIRS} SELECT resume_id, rank, job_id, CAST(o AS DOUBLE) AS overall_score FROM (SELECT resume_id, job_id, o, row_number() OVER (PARTITION BY resume_id ORDER BY o DESC, job_id) AS rank FROM scored) WHERE rank <= 10")
+def best_jobs(m):
+    """The ten best jobs of every résumé, of all jobs."""
+    _, resumes, jobs = _score_inputs(m)
+    return ranking.best_jobs(resumes, jobs).select("resume_id", F.col("rank").cast("long").alias("rank"), "job_id", _double("overall_score"))
+
+
+def _analysis_inputs(m):
+    """Requests for every application, some for résumés or jobs that aren't there or by others; results that aren't ready or can't be read."""
+    pairs, texts, jobs = _score_inputs(m)
+    user, job = F.col("resume_id"), F.col("job_id")
+    requests = pairs.select(F.when(job % 17 == 0, -user - 1).otherwise(user).alias("resume_id"), F.when(job % 13 == 0, -job - 1).otherwise(job).alias("job_id"), F.when(job % 11 == 0, F.lit(None)).when(job % 7 == 0, user + 1).otherwise(user).alias("caller_id"))
+    key = F.col("resume_id")
+    data = F.when(key % 19 == 0, "{}").when(key % 23 == 0, "[broken").when(key % 29 == 0, '["a"]').otherwise(F.col("parsed_data"))
+    results = texts.filter(key % 31 != 0).select("resume_id", F.when(key % 37 == 0, "Failed").otherwise("Completed").alias("status"), F.when(key % 41 == 0, "1.0").otherwise(scoring.PARSER_VERSION).alias("parser_version"), "extracted_text", data.alias("parsed_data"))
+    return requests, m.users.select("id", F.col("id").alias("user_id")), results, jobs
+
+
+_ASKED = (
+    "asked AS (SELECT user_id AS u, job_id AS j, CASE WHEN job_id % 17 = 0 THEN 'no such resume' WHEN job_id % 13 = 0 THEN 'no such job' WHEN job_id % 11 = 0 OR job_id % 7 = 0 THEN 'no permission' WHEN user_id % 31 = 0 THEN 'not parsed yet' WHEN user_id % 37 = 0 THEN 'not completed' WHEN user_id % 41 = 0 THEN 'other parser version' "
+    "WHEN user_id % 19 = 0 THEN 'no parsed data' WHEN user_id % 23 = 0 THEN 'parsed data can''t be read' WHEN user_id % 29 = 0 THEN 'parsed data is no object' END AS reason FROM applications)"
+)
+
+
+@query(f", {_ASKED} SELECT CASE WHEN j % 17 = 0 THEN -u - 1 ELSE u END AS resume_id, CASE WHEN j % 13 = 0 THEN -j - 1 ELSE j END AS job_id, coalesce(reason, 'scored') AS outcome FROM asked")
+def analysis_outcomes(m):
+    """Each request for a score: scored, or why not."""
+    scored, refused = scoring.analyze(*_analysis_inputs(m))
+    return scored.select("resume_id", "job_id", F.lit("scored").alias("outcome")).unionByName(refused.select("resume_id", "job_id", F.col("reason").alias("outcome")))
+
+
+@query(f"{_MATCH.split('SELECT resume_id, job_id, CAST(o AS DOUBLE)')[0].rstrip()}, {_ASKED} SELECT resume_id, job_id, CAST(o AS DOUBLE) AS overall_score FROM scored JOIN asked ON u = resume_id AND j = job_id WHERE reason IS NULL")
+def analysis_scores(m):
+    """The scores of the requests that may have one."""
+    return scoring.analyze(*_analysis_inputs(m))[0].select("resume_id", "job_id", _double("overall_score"))
+
+
 @query(
     "SELECT a.user_id AS resume_id, a.job_id, CASE WHEN (a.user_id + a.job_id) % 2 = 0 THEN a.id ELSE -1 END AS id, CASE WHEN (a.user_id + a.job_id) % 2 = 0 THEN '2024-01-01' ELSE '2025-01-01' END AS created, '2025-01-01' AS updated FROM applications a UNION ALL SELECT -1, -1, -1, '2024-01-01', '2024-01-01'"
 )
