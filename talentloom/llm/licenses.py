@@ -2,11 +2,11 @@
 
 A candidate block is compressed alone and once with each license template as a zstandard raw
 dictionary: the more a template says what the block says, the more bytes it saves. Templates are
-looked at in the order of that reduction and confirmed by their exact wording, as the least number of
-word insertions, deletions and replacements that turn the template into some part of the block. The
-saving only ranks, as it says little in a block with much other text: a template is passed over only
-if so many of its words are missing from the block that it can't be confirmed. Licenses share wording: where two
-are confirmed by the same words, the one with the smaller share of differing words stays (both, if equal).
+taken in the order of that reduction and confirmed by their exact wording, as the least number of
+word insertions, deletions and replacements that turn the template into some part of the block.
+Licenses share wording, and the order decides between them: words that a license has won go to no license that saves less.
+One of those is looked for elsewhere in the block, as long as it can be confirmed, and so is a winner's next place. A template is
+passed over without alignment only if so many of its words are missing from the block that it can't be confirmed.
 
 A block is the words around a trigger word or around an anchor, across line ends, with as many before
 and after as the longest template may take; blocks that meet are joined. Anchors are the parts of a
@@ -32,14 +32,17 @@ from talentloom.llm.common import field_sql, map_arrow
 
 #: Notices by SPDX identifier: fixed values, as publishers write them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",),
+    "AGPL-3.0": ("GNU Affero General Public License Version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
     "Apache-2.0": (
+        "Apache License Version 2.0",
+        "Apache License Version 2.0, January 2004",
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Released under the BSD 2-Clause License."),
     "BSD-3-Clause": (
+        "BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Released under the BSD 3-Clause License.",
@@ -49,16 +52,18 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    "GPL-3.0": ("GNU General Public License Version 3", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "LGPL-3.0": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
     "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
     "MIT": (
+        "The MIT License (MIT)",
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Zlib": ("This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
 }
@@ -115,18 +120,26 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, list[str],
     out = []
     for name, notices in TEMPLATES.items():
         for notice in notices:
-            held = zstandard.ZstdCompressionDict(notice.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held = zstandard.ZstdCompressionDict(" ".join(words_of(notice)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             out.append((name, words_of(notice), zstandard.ZstdCompressor(dict_data=held, **options)))
     return zstandard.ZstdCompressor(**options), out
 
 
-def reductions(block: str) -> list[tuple[float, int]]:
-    """(share of bytes saved, template number), the largest first."""
+@cache
+def _vocabulary() -> frozenset[str]:
+    return frozenset(w for notices in TEMPLATES.values() for n in notices for w in words_of(n))
+
+
+def reductions(block: list[str]) -> list[tuple[float, int]]:
+    """(share of bytes saved, template number), the largest first; of equal ones the shorter template, which says less that isn't there.
+
+    Words that no template has stand as one blank each: no template saves on them, and what they cost would only add noise.
+    """
     plain, templates = _compressors()
-    raw = block.lower().encode("utf-8", "surrogatepass")
+    raw = " ".join(w if w in _vocabulary() else "" for w in block).encode("utf-8", "surrogatepass")
     alone = len(plain.compress(raw))
     saved = [((alone - len(c.compress(raw))) / alone, k) for k, (_, _, c) in enumerate(templates)]
-    return sorted(saved, key=lambda x: (-x[0], x[1]))
+    return sorted(saved, key=lambda x: (-x[0], len(templates[x[1]][1]), x[1]))
 
 
 def best_place(template: list[str], block: list[str]) -> tuple[int, int]:
@@ -146,33 +159,35 @@ def wording_differences(template: list[str], block: list[str]) -> int:
     return best_place(template, block)[0]
 
 
-def unrivalled(matches: list[tuple[str, int, int, int]]) -> list[tuple[str, int]]:
-    """(license, differing words) of the matches (license, words, differing, end) that no better one of another license stands in."""
-
-    def yields(a, b) -> bool:
-        (name, n, different, end), (other, m, fewer, end_b) = a, b
-        shared = min(end, end_b) - max(end - n, end_b - m)
-        return name != other and 2 * shared > n and fewer * n < different * m
-
-    return [(a[0], a[2]) for a in matches if not any(yields(a, b) for b in matches)]
+def winners(block: list[str], order: list[int]) -> list[tuple[str, int]]:
+    """(license, differing words) of the places that templates win when they are taken in this order."""
+    _, templates = _compressors()
+    held, won = set(block), []
+    for k in order:
+        name, wording, _ = templates[k]
+        most, n = int(MOST_DIFFERENT * len(wording)), len(wording)
+        # each word that the block lacks is one difference at least
+        if sum(w not in held for w in wording) > most:
+            continue
+        view = list(block)
+        while True:
+            different, end = best_place(wording, view)
+            if different > most:
+                break
+            rivals = [(a, b) for other, _, a, b in won if other != name and 2 * (min(b, end) - max(a, end - n)) > n]
+            if not rivals:
+                won.append((name, different, end - n, end))
+                rivals = [(end - n, end)]
+            for a, b in rivals:
+                view[max(a, 0) : b] = [""] * (b - max(a, 0))
+    return [(name, different) for name, different, _, _ in won]
 
 
 def scan(text: str | None) -> tuple[int, list[tuple[str, int]]]:
     """Candidate blocks, and (license, fewest differing words) of the confirmed ones."""
     blocks, found = candidate_blocks(text), {}
-    _, templates = _compressors()
-    for block in blocks:
-        words = words_of(block)
-        held, matches = set(words), []
-        for _, k in reductions(block):
-            name, wording, _ = templates[k]
-            most = int(MOST_DIFFERENT * len(wording))
-            # each word that the block lacks is one difference at least
-            if sum(w not in held for w in wording) <= most:
-                different, end = best_place(wording, words)
-                if different <= most:
-                    matches.append((name, len(wording), different, end))
-        for name, different in unrivalled(matches):
+    for words in map(words_of, blocks):
+        for name, different in winners(words, [k for _, k in reductions(words)]):
             found[name] = min(different, found.get(name, different))
     return len(blocks), sorted(found.items())
 

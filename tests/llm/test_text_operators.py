@@ -291,16 +291,23 @@ def test_license_scan_of_empty_tables(spark):
 
 
 def whole_text_licenses(text):
-    """Every template slid over all words of the text, without blocks or compression."""
-    matches, words = [], licenses.words_of(text or "")
-    for name, notices in licenses.TEMPLATES.items():
-        for wording in map(licenses.words_of, notices):
-            different, end = licenses.best_place(wording, words)
-            if different <= licenses.MOST_DIFFERENT * len(wording):
-                matches.append((name, len(wording), different, end))
-    found = {}
-    for name, different in licenses.unrivalled(matches):
-        found[name] = min(different, found.get(name, different))
+    """Every template slid over all words of the text, without blocks and without a look at which words are missing; what saves most goes first."""
+    words, won, found = licenses.words_of(text or ""), [], {}
+    templates = [(name, w) for name, notices in licenses.TEMPLATES.items() for w in map(licenses.words_of, notices)]
+    for _, k in licenses.reductions(words) if words else []:
+        name, wording = templates[k]
+        view = list(words)
+        while True:
+            different, end = licenses.best_place(wording, view)
+            if different > licenses.MOST_DIFFERENT * len(wording):
+                break
+            mine = {*range(end - len(wording), end)}
+            taken = [places for other, places in won if other != name and 2 * len(places & mine) > len(wording)]
+            if not taken:
+                won.append((name, mine))
+                found[name] = min(different, found.get(name, different))
+            for places in taken or [mine]:
+                view = [None if i in places else w for i, w in enumerate(view)]
     return sorted(found.items())
 
 
@@ -338,10 +345,38 @@ def test_the_license_that_fits_best_stays(text, want):
     assert [k for k, _ in licenses.scan(text)[1]] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("                                 Apache License\n                           Version 2.0, January 2004\n", "Apache-2.0"),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL-3.0"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2024, someone\n", "BSD-3-Clause"),
+        (
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\n'
+            "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n",
+            "MIT",
+        ),
+    ],
+)
+def test_titles_and_warranties_are_found(text, want):
+    for t in (text, f"some prose before\n{text}", f"{text} some prose behind"):
+        assert [k for k, _ in licenses.scan(t)[1]] == [want], t
+
+
+def test_the_saving_decides_between_licenses(monkeypatch):
+    """With the ranking turned round the license that says less of the text would win."""
+    texts = [n for name in ("AGPL-3.0", "GPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0") for n in licenses.TEMPLATES[name] if len(n.split()) > 8]
+    told = [licenses.scan(t)[1] for t in texts]
+    ranked = licenses.reductions
+    monkeypatch.setattr(licenses, "reductions", lambda words: ranked(words)[::-1])
+    assert sum(licenses.scan(t)[1] != x for t, x in zip(texts, told, strict=True)) > len(texts) // 2
+
+
 @pytest.mark.parametrize("n", [200, 2000, 20000])
 def test_license_notices_behind_long_prose(n):
     prose = ("some prose that says nothing of note " * (n // 30))[:n]
-    mit = "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT"][1], 60))
+    mit = "\n".join(textwrap.wrap(licenses.TEMPLATES["MIT"][2], 60))
     apache = " * " + "\n * ".join(textwrap.wrap(" ".join(licenses.TEMPLATES["Apache-2.0"]), 50))
     for notice, name in (("Released under the MIT License.", "MIT"), ("All rights reserved.", "LicenseRef-All-Rights-Reserved"), (mit, "MIT"), (apache, "Apache-2.0")):
         assert (name, 0) in licenses.scan(f"{prose} {notice}")[1] and (name, 0) in licenses.scan(f"{prose} {notice} {prose}")[1]
