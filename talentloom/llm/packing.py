@@ -111,52 +111,66 @@ def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     return max(best, -(-int(value.max()) // capacity))
 
 
+def _certificate(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, int]:
+    """How many bins hold these pieces, and how many any packing of them needs."""
+    return len(np.unique(bins)), lower_bound(*np.unique(lengths, return_counts=True), capacity)
+
+
 def _pack_groups(items: DataFrame, groups: int, capacity: int, round_: int, before: int) -> DataFrame:
-    """Adds sequence_id, offset, the group's figures, and open: whether the bin is released for a further round; ``before``: groups of earlier rounds."""
+    """Adds sequence_id, offset, open: whether the bin is released for a further round, and the group's bins and bound.
+
+    all_bins and all_bound are those of all its pieces, kept_bins and kept_bound of what stays if the released bins go.
+    ``before``: groups of earlier rounds.
+    """
     kept = items.columns
 
     def pack(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         bins, offsets, filled = best_fit_decreasing(lengths, capacity)
-        values, counts = np.unique(lengths, return_counts=True)
-        bound = lower_bound(values, counts, capacity)
-        gap = len(filled) - bound
+        every = _certificate(lengths, bins, capacity)
+        gap = every[0] - every[1]
         order = np.argsort(filled, kind="stable")
         slack = np.cumsum(capacity - filled[order])
         # the emptiest bin, and for a gap as many as have gap + 1 bins of free room among them
         n = 1 if gap == 0 else int(np.searchsorted(slack, (gap + 1) * capacity) + 1)
         released = np.zeros(len(filled), bool)
         released[order[:n]] = filled[order[:n]] < capacity
+        stays = ~released[bins]
+        left = _certificate(lengths[stays], bins[stays], capacity)
         pid = group.column("pid")[0].as_py()
         out = group.select(kept)
         added = {"sequence_id": ((before + pid) << 24) + bins, "offset": offsets, "partition": np.full(len(bins), before + pid)}
-        added |= {"partition_bins": np.full(len(bins), len(filled)), "partition_bound": np.full(len(bins), bound)}
+        added |= {k: np.full(len(bins), v) for k, v in zip(_FIGURES, (*every, *left), strict=True)}
         for name, values in added.items():
             out = out.append_column(name, pa.array(values, pa.int64()))
-        return out.append_column("open", pa.array(released[bins], pa.bool_()))
+        return out.append_column("open", pa.array(~stays, pa.bool_()))
 
-    schema = ", ".join([*(field_sql(items, c) for c in kept), "sequence_id long, offset long, partition long, partition_bins long, partition_bound long, open boolean"])
+    schema = ", ".join([*(field_sql(items, c) for c in kept), "sequence_id long, offset long, partition long", *(f"{c} long" for c in _FIGURES), "open boolean"])
     return items.withColumn("pid", F.pmod(F.xxhash64("deal", F.lit(round_)), F.lit(groups))).groupBy("pid").applyInArrow(pack, schema)
 
 
+_FIGURES = ("all_bins", "all_bound", "kept_bins", "kept_bound")
+
+
 def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, per_group: int = 1000) -> tuple[DataFrame, dict[str, int]]:
     """The placed pieces, and {"bins", "bound"}: bins used and the certified least number.
 
-    Pieces that fill a sequence are a partition of their own, -1, whose bound is their number.
+    Each piece tells its partition's bins and bound, of the pieces that stand in that partition in the end: bins that were
+    dealt anew count where they went. Pieces that fill a sequence are a partition of their own, -1, whose bound is their number.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    placed = [*columns, "sequence_id", "offset", "partition", "partition_bins", "partition_bound"]
     pieces = materialize(token_pieces(docs, tokenizer or default_path(), capacity), "pieces")
     sizes = pieces.groupBy("length").count().toPandas()  # at most `capacity` rows
     bound = lower_bound(sizes["length"].to_numpy(), sizes["count"].to_numpy(), capacity)
     whole = pieces.filter(F.col("length") == capacity)
-    n_bins = int(sizes.loc[sizes["length"] == capacity, "count"].sum())
-    fixed = {"offset": 0, "partition": -1, "partition_bins": n_bins, "partition_bound": n_bins}
+    n_whole = int(sizes.loc[sizes["length"] == capacity, "count"].sum())
+    fixed = {"offset": 0, "partition": -1, "partition_bins": n_whole, "partition_bound": n_whole}
     done = [whole.select(*columns, (F.lit(1 << 62) + F.col("deal")).alias("sequence_id"), *(F.lit(v).cast("long").alias(k) for k, v in fixed.items()))]
+    placed = lambda rows, of: rows.select(*columns, "sequence_id", "offset", "partition", F.col(f"{of}_bins").alias("partition_bins"), F.col(f"{of}_bound").alias("partition_bound"))
     rest = pieces.filter(F.col("length") < capacity)
-    rows = int(sizes["count"].sum()) - n_bins
-    released_bins = None
-    before = 0
+    rows = int(sizes["count"].sum()) - n_whole
+    n_bins, before = n_whole, 0  # bins for good, groups of earlier rounds
+    last, closed, released = None, 0, 0  # the round whose released bins may yet be dealt anew
     for round_ in itertools.count():
         if not rows:
             break
@@ -165,23 +179,19 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         before += groups
         made = packed.groupBy("open").agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("rows")).collect()
         count = {r["open"]: (r["bins"], r["rows"]) for r in made}
-        total = sum(b for b, _ in count.values())
-        if released_bins is not None and total >= released_bins[0]:
-            break  # no better than the bins that were released: those stay
-        if released_bins is not None:
-            done.pop()
-        n_bins += count.get(False, (0, 0))[0]
-        done.append(packed.filter(~F.col("open")).select(*placed))
-        open_bins, rows = count.get(True, (0, 0))
-        if not rows:
-            released_bins = None
-            break
-        done.append(packed.filter("open").select(*placed))
-        released_bins = (open_bins,)
+        if last is not None:
+            if sum(b for b, _ in count.values()) >= released:
+                break  # no better than the bins that were released: those stay
+            done.append(placed(last.filter(~F.col("open")), "kept"))
+            n_bins += closed
+        last, closed = packed, count.get(False, (0, 0))[0]
+        released, rows = count.get(True, (0, 0))
         rest = packed.filter("open").select(*rest.columns)
-        if n_bins + open_bins <= bound:
+        if n_bins + closed + released <= bound:
             break
+    if last is not None:
+        done.append(placed(last, "all"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out, {"bins": n_bins + (released_bins[0] if released_bins else 0), "bound": bound}
+    return out, {"bins": n_bins + closed + released, "bound": bound}

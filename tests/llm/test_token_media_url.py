@@ -157,6 +157,41 @@ def test_packing_goes_on_until_no_round_helps(spark, monkeypatch):
     assert len(bins) == figures["bins"] and all(b.n == b.end <= 64 for b in bins) and sum(b.pieces for b in bins) == 600
 
 
+@pytest.mark.parametrize("per_group", [6, 25, 400])
+def test_the_certificate_of_each_partition_is_that_of_its_pieces(spark, per_group):
+    """Bins counted by partition, and the bound of the lengths that stand there, after all rounds."""
+    rng = np.random.default_rng(per_group)
+    docs = frame(spark, [" ".join("word" for _ in range(k)) for k in rng.integers(1, 90, 600).tolist()])
+    placed, figures = packing.best_fit_pack(docs, capacity=64, per_group=per_group)
+    partitions = {}
+    for r in placed.collect():
+        partitions.setdefault(r.partition, []).append(r)
+    for rows in partitions.values():
+        assert {r.partition_bins for r in rows} == {len({r.sequence_id for r in rows})}
+        assert {r.partition_bound for r in rows} == {packing.lower_bound(*np.unique([r.length for r in rows], return_counts=True), 64)}
+    assert sum(rows[0].partition_bins for rows in partitions.values()) == figures["bins"]
+    assert figures["bound"] <= figures["bins"]
+
+
+def test_a_group_is_packed_as_a_plain_best_fit():
+    """Each item by a look at all open bins: the fullest that it fits, of equally full ones as the fast one takes them."""
+    rng = np.random.default_rng(9)
+    for capacity in (10, 64, 4096):
+        lengths = rng.integers(1, capacity, 300)
+        bins, offsets, filled = packing.best_fit_decreasing(lengths, capacity)
+        plain: list[int] = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            fits = [k for k, used in enumerate(plain) if used + n <= capacity]
+            if fits:
+                plain[max(fits, key=lambda k: plain[k])] += n
+            else:
+                plain.append(n)
+        assert sorted(filled.tolist()) == sorted(plain)
+        for b in range(len(filled)):
+            own = sorted((o, n) for o, n, x in zip(offsets.tolist(), lengths.tolist(), bins.tolist(), strict=True) if x == b)
+            assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+
+
 def test_packing_tells_which_partitions_are_at_their_bound(spark):
     """Each partition's bound is that of its own pieces, as packed; those over it are named by their figures."""
     rng = np.random.default_rng(4)
