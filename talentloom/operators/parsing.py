@@ -413,7 +413,9 @@ def with_projects(df: DataFrame, name: str) -> DataFrame:
     df = df.withColumn("first", F.get(places(c, lambda x, i: plain(x) & (inline(x) | x["opens"])), F.lit(0)))
     df = df.withColumn(name, F.slice(slices(c, places(c, lambda x, i: (i == F.col("first")) | ((i > F.col("first")) & plain(x) & ~x["many"] & x["opens"]))), 1, MOST["projects"])).drop("first")
     values = lambda x: F.transform(clean_items(F.split(F.regexp_replace(x["line"], "(?i)" + TECH_LABEL, ""), r"\s*[•|,;]\s*")), normalize_skill)
-    unknown = lambda x: F.filter(x["parts"], lambda p: ~is_known(p))
+    # parts are held against the names that the known ones have: another spelling of one is told as well
+    names = lambda x: F.transform(x["known"], F.lower)
+    unknown = lambda x: F.filter(x["parts"], lambda p: ~F.array_contains(names(x), F.lower(p)))
     used = lambda x: F.when(x["label"], values(x)).when(x["many"] & ~x["bullet"], x["known"]).otherwise(_none())
     body = lambda own: F.slice(own, 2, F.size(own))
     tell = lambda got, x: F.when(x["label"], got).when(x["bullet"], F.concat(got, told(x["line"]))).when(x["many"], F.concat(got, unknown(x))).otherwise(continued(got, x["line"]))

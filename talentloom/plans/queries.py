@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentloom.functions import requirements, text
-from talentloom.operators import parsing, ranking, relational, scoring, writes
+from talentloom.operators import deletion, parsing, ranking, relational, scoring, writes
 from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
 from talentloom.sources.marketplace import health as check_health
@@ -532,6 +532,58 @@ def delete_cascades(m):
     return writes.delete_set_null(after, m.jobs.filter("id % 3 = 0"), "job_id").select("id", "user_id", _key("job_id"))
 
 
+def _all_tables(m):
+    """Every table that refers to another; histories, parsing results and analyses by the keys of applications and résumés."""
+    key = F.col("id")
+    return {
+        "users": m.users.select("id"),
+        "profiles": m.profiles.select((F.col("user_id") + 1).alias("id"), "user_id"),
+        "companies": m.companies.select("id", "owner_id"),
+        "jobs": m.jobs.select("id", "company_id"),
+        "applications": _with_resume(m).select("id", "user_id", "job_id", "resume_id"),
+        "saved_jobs": m.saved_jobs.select("id", "user_id", "job_id"),
+        "resumes": m.resumes.select("id", "user_id"),
+        "parsing_results": m.resumes.filter(key % 2 == 0).select("id", key.alias("resume_id")),
+        "analyses": m.resumes.select("id", key.alias("resume_id"), (key % 50).alias("job_id")),
+        "status_history": m.applications.select("id", key.alias("application_id"), (F.col("job_id") % 40).alias("changed_by")),
+    }
+
+
+_WHOLE = f"""{_USED}, asked AS (SELECT CASE WHEN id % 30 = 0 THEN -id - 1 ELSE id END AS id FROM users WHERE id % 3 = 0),
+told AS (SELECT id, CASE WHEN id < 0 THEN 'no such row' WHEN id IN (SELECT owner_id FROM companies) THEN 'in use by companies' END AS reason FROM asked),
+gone AS (SELECT id FROM told WHERE reason IS NULL), old AS (SELECT id FROM resumes WHERE user_id IN (SELECT id FROM gone))"""
+
+
+@query(f", {_WHOLE} SELECT id, coalesce(reason, 'gone') AS outcome FROM told")
+def whole_deletion_outcomes(m):
+    """Every third user is to go, with all that hangs on them; some aren't there."""
+    asked = m.users.filter("id % 3 = 0").select(F.when(F.col("id") % 30 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"))
+    return deletion.delete_rows(_all_tables(m), "users", asked)[1].select("id", F.coalesce("reason", F.lit("gone")).alias("outcome"))
+
+
+@query(
+    f", {_WHOLE}, u AS (SELECT id, NULL AS a, NULL AS b, NULL AS c, 'users' AS tab FROM users WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT user_id + 1, user_id, NULL, NULL, 'profiles' FROM profiles WHERE user_id NOT IN (SELECT id FROM gone) "
+    "UNION ALL SELECT id, owner_id, NULL, NULL, 'companies' FROM companies UNION ALL SELECT id, company_id, NULL, NULL, 'jobs' FROM jobs "
+    "UNION ALL SELECT id, user_id, job_id, CASE WHEN resume_id NOT IN (SELECT id FROM old) THEN resume_id END, 'applications' FROM used WHERE user_id NOT IN (SELECT id FROM gone) "
+    "UNION ALL SELECT id, user_id, job_id, NULL, 'saved_jobs' FROM saved_jobs WHERE user_id NOT IN (SELECT id FROM gone) "
+    "UNION ALL SELECT id, user_id, NULL, NULL, 'resumes' FROM resumes WHERE user_id NOT IN (SELECT id FROM gone) "
+    "UNION ALL SELECT id, id, NULL, NULL, 'parsing_results' FROM resumes WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM old) "
+    "UNION ALL SELECT id, id, id % 50, NULL, 'analyses' FROM resumes WHERE id NOT IN (SELECT id FROM old) "
+    "UNION ALL SELECT id, id, CASE WHEN job_id % 40 NOT IN (SELECT id FROM gone) THEN job_id % 40 END, NULL, 'status_history' FROM applications WHERE user_id NOT IN (SELECT id FROM gone)) "
+    "SELECT tab, id, coalesce(a, -1) AS a, coalesce(b, -1) AS b, coalesce(c, -1) AS c FROM u"
+)
+def whole_deletions(m):
+    """All tables after that, in one: each row with its references."""
+    asked = m.users.filter("id % 3 = 0").select(F.when(F.col("id") % 30 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"))
+    out = None
+    for name, table in deletion.delete_rows(_all_tables(m), "users", asked)[0].items():
+        refers = [F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")) for c in table.columns if c != "id"]
+        refers += [F.lit(-1).cast("long")] * (3 - len(refers))
+        part = table.select(F.lit(name).alias("tab"), "id", *(r.alias(n) for r, n in zip(refers, "abc", strict=True)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT id, id % 3 AS caller_id, CASE WHEN id <> id % 3 AND id % 3 <> 0 THEN 'not allowed' WHEN id = id % 3 AND id = 0 THEN 'admins can''t delete themselves' WHEN id IN (SELECT owner_id FROM companies) THEN 'owns companies' END AS reason FROM users")
 def delete_user_rules(m):
     return writes.delete_users(m.users, m.users.select("id", (F.col("id") % 3).alias("caller_id")), m.companies)

@@ -55,7 +55,7 @@ def file_problem(name: str, data: bytes) -> str | None:
         return None if data.startswith(b"%PDF") else "not a PDF"
     try:
         members = zipfile.ZipFile(io.BytesIO(data)).infolist()
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, ValueError, OverflowError, EOFError, NotImplementedError):
         return "not a DOCX"
     if not {"[Content_Types].xml", "word/document.xml"} <= {m.filename for m in members}:
         return "not a DOCX"
@@ -99,13 +99,14 @@ def resume_file_texts(files: DataFrame) -> DataFrame:
         for batch in batches:
             kinds, texts, errors = [], [], []
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                name = name or ""
                 error, text = file_problem(name, data), None
                 kinds.append(name.rsplit(".", 1)[-1].lower())
                 if error is None:
                     try:
                         text = pdf_text(data) if kinds[-1] == "pdf" else docx_text(data)
-                    except (ElementTree.ParseError, KeyError, ValueError) as e:
-                        error = f"unreadable: {e}"[:1000]
+                    except Exception as e:  # whatever a broken file brings about stays in its row
+                        error = f"unreadable: {e or type(e).__name__}"[:1000]
                 texts.append(text)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "file_type", "extracted_text", "error"])

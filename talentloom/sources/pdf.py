@@ -1,7 +1,7 @@
 """Text of PDF files, for where no PDF library is installed: pages in order, lines as they are shown.
 
 Reads plain and Flate streams, object streams, and fonts with a ToUnicode map; other fonts count as Latin.
-Encrypted files and scanned pages give no text.
+Encrypted files and scanned pages give no text. A file whose streams unpack to more than ``most`` bytes is refused.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\
 _HEX = re.compile(rb"<([0-9A-Fa-f\s]*)>")
 
 
+MOST_UNPACKED = 20 << 20
+
+
 class Pdf:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, most: int = MOST_UNPACKED):
+        self.room = most
         self.heads: dict[int, bytes] = {}
         self.streams: dict[int, bytes] = {}
         for m in _OBJECT.finditer(data):
@@ -30,9 +34,12 @@ class Pdf:
         raw = rest[: rest.rfind(b"endstream")].lstrip(b"\r").removeprefix(b"\n")
         if b"/FlateDecode" in head:
             try:
-                raw = zlib.decompressobj().decompress(raw)
+                raw = zlib.decompressobj().decompress(raw, self.room + 1)
             except zlib.error:
                 raw = b""
+            self.room -= len(raw)
+            if self.room < 0:
+                raise ValueError("its streams unpack to too much")
         self.streams[number] = raw
         if b"/ObjStm" in head and (n := re.search(rb"/N\s+(\d+)", head)) and (first := re.search(rb"/First\s+(\d+)", head)):
             at = int(first[1])
