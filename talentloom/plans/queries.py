@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Callable
 from decimal import Decimal
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import requirements, text
 from talentloom.operators import deletion, parsing, ranking, relational, scoring, writes
+from talentloom.operators.stored import Buckets, SortedPages
 from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
 from talentloom.sources.marketplace import health as check_health
 from talentloom.sources.marketplace import resume_file_texts as read_texts
+from talentloom.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -402,6 +405,31 @@ def upsert_latest_wins(m):
     return writes.upsert(old, new, ["application_id"], kept=(), order="updated_at").select("application_id", "status", "id")
 
 
+def _new_path(m, name: str) -> str:
+    return f"{shared_folder(m.spark)}/marketplace/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    ", old AS (SELECT application_id, max_by(new_status, (changed_at, id)) AS status, min(id) AS id FROM status_log WHERE id % 3 <> 0 GROUP BY 1), new AS (SELECT application_id, max_by(new_status, (changed_at, id)) AS status, max_by(id, (changed_at, id)) AS id FROM status_log WHERE id % 3 = 0 AND application_id % 50 = 0 GROUP BY 1) "
+    "SELECT application_id, coalesce(n.status, o.status) AS status, coalesce(o.id, n.id) AS id FROM old o FULL JOIN new n USING (application_id)"
+)
+def bucketed_upsert(m):
+    """The last status of each application, kept in buckets by application; a batch for every fiftieth rewrites only its buckets."""
+    log = m.status_log.select("application_id", "id", F.col("new_status").alias("status"), F.struct("changed_at", "id").alias("updated_at"))
+    last = lambda rows: rows.groupBy("application_id").agg(F.max_by("status", "updated_at").alias("status"), F.min("id").alias("id"), F.max("updated_at").alias("updated_at"))
+    table = Buckets(m.spark, _new_path(m, "statuses"), ["application_id"], 64).create(last(log.filter("id % 3 <> 0")))
+    table.upsert(log.filter("id % 3 = 0 AND application_id % 50 = 0"), kept=["id"])
+    return table.rows().select("application_id", "status", "id")
+
+
+@query("SELECT id, strftime(applied_at, '%Y-%m-%d %H:%M:%S') AS applied_at, (SELECT count(*) FROM applications) AS total FROM applications a ORDER BY a.applied_at DESC, id DESC LIMIT 100 OFFSET 2000")
+def deep_page(m):
+    """The twenty-first hundred of all applications, the latest first, read from the one range that has it."""
+    rows = m.applications.select("id", "applied_at")
+    pages = SortedPages(m.spark, _new_path(m, "pages"), [("applied_at", "desc"), ("id", "desc")]).create(rows, 64)
+    return pages.page(21, 100).select("id", _day("applied_at").alias("applied_at"), F.lit(pages.total()).cast("long").alias("total"))
+
+
 @query("SELECT id, user_id, job_id, CASE WHEN job_id % 5 = 0 THEN 'exists already' WHEN nth > 1 THEN 'repeated in the batch' ELSE 'accepted' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY id) AS nth FROM (SELECT * FROM saved_jobs UNION ALL SELECT id + 1, user_id, job_id, saved_at FROM saved_jobs WHERE job_id % 7 = 0))")
 def save_job_insert(m):
     saved = m.saved_jobs
