@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +45,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that are worked on at a time.
+AT_ONCE = 4 << 20
+
+
+def small(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``at_once`` bytes or one row; empty ones are left out.
+
+    Spark makes batches of a number of rows. With long texts, what is made of a whole batch would outgrow a worker's memory.
+    """
+    for batch in batches:
+        n = batch.num_rows
+        parts = min(n, max(1, -(-batch.nbytes // at_once)))
+        if parts <= 1:
+            if n:
+                yield batch
+            continue
+        sizes = [pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_binary(c.type) or pa.types.is_large_string(c.type)]
+        ends = np.cumsum(sum(sizes, np.full(n, batch.nbytes // n if not sizes else 64, np.int64)))
+        cuts = np.flatnonzero(np.diff(np.append(-1, (ends - 1) // at_once)))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function on single batches; empty batches are skipped."""
+    """``mapInArrow`` of a function on single batches of bounded size; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        for batch in small(batches):
+            out = fn(batch)
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
 
@@ -91,9 +115,8 @@ def keep_rows(df: DataFrame, keep: Callable[[list], list[bool]], text: str = "te
     """The rows whose texts ``keep`` accepts, with all their columns and no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keep(batch.column(text).to_pylist()), pa.bool_()))
+        for batch in small(batches):
+            yield batch.filter(pa.array(keep(batch.column(text).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import field_sql, materialize
+from talentloom.llm.common import field_sql, materialize, small
 from talentloom.llm.tokenizing import default_path, encoder
 
 CAPACITY = 4096
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
 
     def run(batches):
         task, row = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
+        for batch in small(batches):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoder(tokenizer).documents(batch.column("text").to_pylist())):
                 ids = ids.astype("<u4", copy=False)

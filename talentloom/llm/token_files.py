@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from talentloom.llm.common import field_sql, map_arrow, materialize, shared_dir, task_number
 from talentloom.llm.tokenizing import default_path, encoder
 
+#: Bytes of text a core below which a table is small enough to be dealt out before it is coded.
+SPREAD = 64 << 20
+
 
 def _local(folder: str) -> str | None:
     """The path if the shared folder is mounted; None if only a file-system client reaches it."""
@@ -82,6 +85,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     size = hashed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, min(-(-size // shard_bytes), most_shards))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # a few files of a small table would be coded by as few tasks
+    rows = hashed.repartition(cores) if 0 < len(docs.inputFiles()) < cores and size < cores * SPREAD else hashed
     # documents that share one id are dealt out too, by a hash; one row for each shard comes to the driver
     ranged = hashed.select("doc_id", "hash").repartitionByRange(shards, "doc_id", "hash")
     lasts = ranged.groupBy(F.spark_partition_id().alias("shard")).agg(F.max(F.struct("doc_id", "hash")).alias("last")).orderBy("shard").collect()
@@ -118,7 +124,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             ids.close()
             offsets.close()
 
-    coded = map_arrow(hashed, code, f"{field_sql(docs, 'doc_id')}, hash long, ids binary, shard int")
+    coded = map_arrow(rows, code, f"{field_sql(docs, 'doc_id')}, hash long, ids binary, shard int")
     dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "hash", "ids").select("doc_id", "ids")
     index = materialize(dealt.mapInArrow(run, f"{field_sql(docs, 'doc_id')}, shard int, place long, n_tokens long"), "token-index")
     # one row for each shard

@@ -8,12 +8,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from talentloom.llm import media, packing, registry, token_files, tokenizing, url_filter, webp
+from talentloom.llm import common, media, packing, registry, token_files, tokenizing, url_filter, webp
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "  ", "don't WE'RE x's", "<|endoftext|>a b", "a\x1cb", "ΑΣ Σ x²y ½", "İstanbul ǅ ŉ", "日本語 12 34", "a_b __ c-d ... !!a", "😀😀a ª º", "tab\tnew\nline", "q" * 3000, "word " * 9000]
@@ -370,3 +371,13 @@ def test_queries_have_production_columns(spark):
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     total = out.agg(F.sum("n_tokens")).first()[0]
     assert total == registry.QUERIES["op8_best_fit_packing"](spark, SF).agg(F.sum("length")).first()[0]
+
+
+def test_batches_of_long_texts_are_cut():
+    texts = ["x" * n for n in (10, 0, 5000, 3, 900, 900, 900)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for at_once in (1, 1000, 2000, 1 << 20):
+        parts = list(common.small(iter([batch.slice(0, 0), batch]), at_once))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == texts and all(p.num_rows for p in parts)
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()[:-1]) <= at_once + 1000 for p in parts)
+    assert len(list(common.small(iter([batch]), 1 << 20))) == 1
