@@ -24,15 +24,43 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str = "id", bounds: tuple[int, int] | None = None, parts: int = 32) -> DataFrame:
-    """A table over JDBC, read in ``parts`` ranges of its key if bounds are given."""
-    url = re.sub(r"^(jdbc:)?(mysql)(\+\w+)?://", r"jdbc:\2://", url)
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+def jdbc_url(url: str) -> str:
+    """An application's database address as JDBC writes it: without the name of a Python driver."""
+    return re.sub(r"^(jdbc:)?(mysql|postgresql)(\+\w+)?://", r"jdbc:\2://", url)
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str = "id", bounds: tuple[int, int] | None = None, parts: int = 32, options: dict[str, str] | None = None) -> DataFrame:
+    """A table over JDBC, read in ``parts`` equal ranges of its key if bounds are given. Filters and columns are pushed down."""
+    reader = spark.read.format("jdbc").option("url", jdbc_url(url)).option("dbtable", name).options(**(options or {}))
     if bounds:
         reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
     return reader.load()
 
 
+def even_ranges(key: str, quantiles: list[float]) -> list[str]:
+    """Conditions that part a table at the quantiles of its key: each row, also one without a key, meets exactly one."""
+    at = sorted({int(q) for q in quantiles})
+    if not at:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [f"{key} < {at[0]} OR {key} IS NULL", *inner, f"{key} >= {at[-1]}"]
+
+
+def read_jdbc_evenly(spark: SparkSession, url: str, name: str, key: str = "id", parts: int = 32, error: float = 0.001, options: dict[str, str] | None = None) -> DataFrame:
+    """A table over JDBC in ``parts`` ranges of about as many rows each, however unevenly its keys lie.
+
+    Equal ranges of a key with gaps make one task read nearly all rows. A first pass reads the key column alone, in equal ranges,
+    and sketches its quantiles (to within ``error`` of the rows); the second reads the table between them.
+    """
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc_url(url)).quoteIdentifier(key)  # as the database quotes names
+    ends = spark.read.format("jdbc").option("url", jdbc_url(url)).option("query", f"SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {name}").options(**(options or {})).load().first()
+    if ends[0] is None:
+        return read_jdbc(spark, url, name, options=options)
+    keys = read_jdbc(spark, url, name, key, (int(ends[0]), int(ends[1]) + 1), parts, options).select(F.col(key).cast("double").alias(key))
+    quantiles = keys.approxQuantile(key, [k / parts for k in range(1, parts)], error)
+    return spark.read.jdbc(jdbc_url(url), name, predicates=even_ranges(quoted, quantiles), properties=dict(options or {}))
+
+
 def health(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 1 AS ok")
 
