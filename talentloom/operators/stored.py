@@ -1,7 +1,9 @@
-"""Tables on disk in an order that later reads and writes make use of: hashed buckets for upserts, sorted ranges for pages."""
+"""Tables on disk in an order that later reads and writes make use of: hashed buckets for upserts, sorted ranges for pages, blocks with
+an index of their trigrams for substring search."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Sequence
 from itertools import accumulate
@@ -111,3 +113,71 @@ class SortedPages:
             return rows.drop("range").limit(0)
         mine = rows.filter(F.col("range").isin([self._ranges[k][0] for k in range(first, last + 1)])).drop("range")
         return mine.orderBy(*self._columns()).offset(at - starts[first]).limit(size)
+
+
+# ---- substrings
+
+
+def literal_trigrams(needle: str) -> list[str]:
+    """Trigrams that any text must have that holds ``needle`` of an ILIKE, letter case aside; none if it is too short to tell.
+
+    % and _ stand for anything, and so may what is behind a backslash.
+    """
+    parts = re.split(r"\\.?|[%_]", needle, flags=re.S)
+    # letters whose lower case is of another length, or that two capitals share, are told by no trigram
+    plain = [x for p in parts for x in re.split(r"[^\x00-\x7f]+", p)]
+    return sorted({p[k : k + 3].lower() for p in plain for k in range(len(p) - 2)})
+
+
+def trigrams_of(text):
+    """The distinct trigrams of a text's lower case, as far as they are ASCII."""
+    low = F.lower(text)
+    at = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.array_distinct(F.transform(at, lambda k: F.substring(low, k, F.lit(3)))), lambda g: g.rlike(r"^[\x00-\x7f]{3}$"))
+
+
+class Searchable:
+    """A table in blocks of rows, with the blocks in which each trigram of its texts stands.
+
+    A search intersects the blocks of the needle's trigrams and reads those alone, where ILIKE decides. The index is dealt into folders by
+    trigram, so a search reads a few of them; it holds a block's number once a trigram, however often that stands there. Needles
+    without a trigram of their own read all blocks.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, columns: Sequence[str], folders: int = 64):
+        self.spark, self.path, self.columns, self.folders = spark, path, list(columns), folders
+
+    def _folder(self, gram):
+        return F.pmod(F.xxhash64(gram), F.lit(self.folders)).cast("int")
+
+    def create(self, rows: DataFrame, blocks: int, by: str = "id") -> Searchable:
+        """Blocks are ranges of ``by``: sorted by what texts that are alike share, fewer blocks match."""
+        dealt = rows.repartitionByRange(blocks, by).withColumn("block", F.spark_partition_id())
+        dealt.sortWithinPartitions("block", by).write.partitionBy("block").parquet(f"{self.path}/rows")
+        stored = self.spark.read.parquet(f"{self.path}/rows")
+        grams = stored.select("block", F.explode(F.array_distinct(F.flatten(F.array(*(F.coalesce(trigrams_of(F.col(c)), F.array().cast("array<string>")) for c in self.columns))))).alias("gram")).distinct()
+        index = grams.withColumn("folder", self._folder(F.col("gram"))).repartition("folder").sortWithinPartitions("folder", "gram", "block")
+        index.write.partitionBy("folder").parquet(f"{self.path}/index")
+        return self
+
+    def blocks(self, needle: str, column: str | None = None) -> list[int] | None:
+        """The blocks that may hold the needle, one number each; None: any."""
+        grams = literal_trigrams(needle)
+        if not grams:
+            return None
+        wanted = self.spark.createDataFrame([(g,) for g in grams], "gram string")
+        folders = sorted({r[0] for r in wanted.select(self._folder(F.col("gram"))).collect()})
+        index = self.spark.read.schema("gram string, block int, folder int").parquet(f"{self.path}/index")
+        found = index.filter(F.col("folder").isin(folders) & F.col("gram").isin(grams)).groupBy("block").count()
+        return sorted(r["block"] for r in found.filter(F.col("count") == len(grams)).collect())
+
+    def search(self, needle: str) -> DataFrame:
+        """The rows one of whose columns holds the needle, as ILIKE '%needle%' says."""
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        some = self.blocks(needle)
+        if some is not None:
+            rows = rows.filter(F.col("block").isin(some)) if some else rows.limit(0)
+        holds = F.lit(False)
+        for c in self.columns:
+            holds = holds | F.coalesce(F.col(c).ilike(f"%{needle}%"), F.lit(False))
+        return rows.filter(holds).drop("block")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import requirements, text
 from talentloom.operators import deletion, parsing, ranking, relational, scoring, writes
-from talentloom.operators.stored import Buckets, SortedPages
+from talentloom.operators.stored import Buckets, Searchable, SortedPages
 from talentloom.sources import schemas
 from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
 from talentloom.sources.marketplace import health as check_health
@@ -430,6 +430,13 @@ def deep_page(m):
     return pages.page(21, 100).select("id", _day("applied_at").alias("applied_at"), F.lit(pages.total()).cast("long").alias("total"))
 
 
+@query("SELECT id, title FROM jobs WHERE title ILIKE '%widget for brand#1%' OR description ILIKE '%widget for brand#1%' OR location ILIKE '%widget for brand#1%'")
+def indexed_job_search(m):
+    """Jobs with a substring in one of their texts, from the blocks that have all its trigrams."""
+    table = Searchable(m.spark, _new_path(m, "search"), ["title", "description", "location"]).create(m.jobs.select("id", "title", "description", "location"), 64)
+    return table.search("Widget for brand#1").select("id", "title")
+
+
 @query("SELECT id, user_id, job_id, CASE WHEN job_id % 5 = 0 THEN 'exists already' WHEN nth > 1 THEN 'repeated in the batch' ELSE 'accepted' END AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY user_id, job_id ORDER BY id) AS nth FROM (SELECT * FROM saved_jobs UNION ALL SELECT id + 1, user_id, job_id, saved_at FROM saved_jobs WHERE job_id % 7 = 0))")
 def save_job_insert(m):
     saved = m.saved_jobs

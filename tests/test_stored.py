@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talentloom.operators.stored import Buckets, SortedPages, bucket_of
+from talentloom.operators.stored import Buckets, Searchable, SortedPages, bucket_of, literal_trigrams
 from talentloom.operators.writes import upsert
 
 SCHEMA = "id long, resume_id long, job_id long, score int, created_at int, updated_at int"
@@ -65,3 +65,30 @@ def test_any_page_is_that_of_the_sorted_frame(spark, tmp_path, way):
 def test_pages_of_an_empty_frame(spark, tmp_path):
     pages = SortedPages(spark, str(tmp_path / "p"), [("id", "asc")]).create(spark.range(3), 4)
     assert pages.page(1, 10).count() == 3 and pages.page(2, 10).count() == 0
+
+
+def test_needles_tell_their_trigrams():
+    assert literal_trigrams("Data") == ["ata", "dat"] and literal_trigrams("ab") == [] and literal_trigrams("ab%cd_ef") == []
+    assert literal_trigrams("abc%de") == ["abc"] and literal_trigrams("ab\\%cde") == ["cde"] and literal_trigrams("İstanbul") == ["anb", "bul", "nbu", "sta", "tan"]
+
+
+@pytest.mark.parametrize("needle", ["python", "PYTH", "on dev", "zz", "th", "p_thon", "a%b", "Ünï", "50\\%", "absent word", "", "İst", "%", "k"])
+def test_search_is_ilike(spark, tmp_path_factory, needle):
+    rng = random.Random(3)
+    words = ["Python", "developer", "SQL", "Ünïcode", "50%", "İstanbul", "a", "b", "zz", "\u212a", "data", None]
+    rows = [(i, " ".join(w for w in rng.choices(words[:-1], k=rng.randrange(5))) if rng.random() < 0.9 else None, rng.choice(words)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, title string, location string")
+    table = Searchable(spark, str(tmp_path_factory.mktemp("s") / "t"), ["title", "location"]).create(df, 12)
+    like = f"%{needle}%"
+    want = {r.id for r in df.filter(F.coalesce(F.col("title").ilike(like), F.lit(False)) | F.coalesce(F.col("location").ilike(like), F.lit(False))).collect()}
+    got = table.search(needle)
+    assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_a_rare_word_reads_few_blocks(spark, tmp_path):
+    df = spark.range(2000).select("id", F.concat(F.lit("job of group "), (F.col("id") / 100).cast("int").cast("string"), F.when(F.col("id") == 777, " haskell").otherwise("")).alias("title"))
+    table = Searchable(spark, str(tmp_path / "t"), ["title"]).create(df, 20)
+    assert len(table.blocks("haskell")) == 1 and len(table.blocks("job of")) == 20 and table.blocks("jo") is None
+    plan = table.search("haskell")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and table.search("Haskell").first().id == 777
+    assert table.blocks("nothing like it") == [] and table.search("nothing like it").count() == 0
