@@ -46,7 +46,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Bytes of a batch that are worked on at a time.
-AT_ONCE = 4 << 20
+AT_ONCE = 12 << 20
 
 
 def small(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
