@@ -98,11 +98,11 @@ def sample_fraction(n: int, most: int) -> float:
     return 1.0 if n <= most else most / n
 
 
-def in_sample(column: str, fraction: float, salt: int):
-    """A row is in a sample by a hash of its id alone: the same rows at each evaluation."""
+def in_sample(fraction: float, salt: int, *columns: str):
+    """A row is in a sample by a hash of these columns alone: the same rows at each evaluation."""
     if fraction >= 1:
         return F.lit(True)
-    return F.pmod(F.xxhash64(F.col(column), F.lit(salt)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    return F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(1_000_000)) < int(fraction * 1_000_000)
 
 
 def copies_in_sample(n, fraction, *shared):

@@ -5,9 +5,10 @@ distribution. A document's trigrams come from a mixture of languages; expectatio
 estimates the proportions, and a language joins the document's set only if the likelihood it adds
 exceeds a penalty for one more parameter.
 
-Bounded are the labelled rows that the model is fitted on: about ``most_per_language`` of each language, and
-the ``most_languages`` languages with most rows (equal ones by name), so that what is collected and broadcast
-has a size that doesn't depend on the data. Texts are taken whole.
+Bounded are the labelled rows that the model is fitted on: about ``most_per_language`` of each language, taken by a hash of id and
+text (rows that are alike in both are taken or left together), and the ``most_languages`` languages with most rows (equal ones by
+name; others are never predicted), so that what is collected and broadcast has a size that doesn't depend on the data. Texts are
+taken whole.
 
 Null texts and texts without a letter are ``und`` with score 0, as is all text when no language
 could be learned. Of equally likely languages the first by name is taken. Rows without a lang train nothing.
@@ -62,7 +63,7 @@ def fit(docs: DataFrame, most_per_language: int = 4000, smoothing: float = 0.5,
     sizes = {r["lang"]: r["count"] for r in largest.collect()}
     wanted = F.lit(False)
     for lang, n in sizes.items():
-        wanted = wanted | ((F.col("lang") == lang) & in_sample("doc_id", sample_fraction(n, most_per_language), 2))
+        wanted = wanted | ((F.col("lang") == lang) & in_sample(sample_fraction(n, most_per_language), 2, "doc_id", "text"))
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talentloom.llm import decontaminate, langid, licenses, quality, registry, simhash, unigram
+from talentloom.llm import common, decontaminate, langid, licenses, quality, registry, simhash, unigram
 from talentloom.llm.common import join_names
 
 SF = "/root/testdata/sf0.001"
@@ -407,6 +407,58 @@ def test_wording_differences_count_words():
     assert [licenses.wording_differences(t, x.split()) for x in ("z a b c d z", "a b x c d", "a c d", "a b c e", "")] == [0, 1, 1, 1, 4]
 
 
+# ---- language sets
+
+
+def invented_languages(n):
+    """Likelihoods of ``n`` languages of invented words, and the words of each."""
+    rng, rows, words_of = random.Random(1), [], []
+    for _ in range(n):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 10)
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+        counts = np.bincount(langid.grams(" ".join(rng.choice(vocabulary) for _ in range(3000))), minlength=langid.BUCKETS) + 0.5
+        rows.append(counts / counts.sum())
+        words_of.append(vocabulary)
+    return np.array(rows, np.float32), words_of
+
+
+def test_language_sets_are_the_best_of_all_subsets():
+    """The set that grows by one language at a time against every subset of four languages, by the same penalised likelihood."""
+    likelihood, words_of = invented_languages(4)
+    rng = random.Random(5)
+    for _ in range(60):
+        languages = rng.sample(range(4), rng.choice([1, 1, 2, 2, 3, 4]))
+        idx = langid.grams(" ".join(rng.choice(words_of[k]) for k in languages for _ in range(rng.choice([3, 10, 40]))))
+
+        def value(chosen):
+            w, p = np.full(len(chosen), 1 / len(chosen)), likelihood[list(chosen)][:, idx].astype(float)
+            for _ in range(400):  # plain EM
+                of = w[:, None] * p
+                w = (of / of.sum(axis=0)).mean(axis=1)
+            return 2 * np.log(w @ p).sum() - 6.0 * np.log(max(len(idx), 2)) * len(chosen)
+
+        best = max((s for k in range(1, 5) for s in combinations(range(4), k)), key=value)
+        chosen, weights, _ = langid.mixture(idx, likelihood)
+        assert set(chosen) == set(best) and abs(float(weights.sum()) - 1) < 1e-4
+
+
+def test_a_prediction_is_that_of_plain_em():
+    likelihood, words_of = invented_languages(3)
+    model = langid.LanguageModel(["aa", "bb", "cc"], likelihood)
+    for k, lang in enumerate(model.languages):
+        text = " ".join(words_of[k][:50] + words_of[(k + 1) % 3][:10])
+        pred, score, names, shares = langid.judge(text, model)
+        assert pred == names[0] == lang and set(names) == {lang, model.languages[(k + 1) % 3]} and shares[0] > 0.7 and 0 <= score <= 1
+
+
+def test_rows_of_one_id_are_sampled_one_by_one(spark):
+    """A third of all rows with one id, each with its own text: about as many are taken as of other rows."""
+    texts = [f"word{k} und mehr" for k in range(3000)]
+    docs = spark.createDataFrame([(6 if k % 3 == 0 else k, t, "de") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    taken = [r[0] for r in docs.filter(common.in_sample(0.2, 2, "doc_id", "text")).select("doc_id").collect()]
+    assert 400 < len(taken) < 800 and 130 < taken.count(6) < 270
+
+
 # ---- simhash
 
 
