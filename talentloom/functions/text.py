@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from talentloom.functions import vocab
 
+# Fixed value: what stands for a blank between words.
 _SEPARATORS = "-_/\\.|,;:!?()[]{}"
 _TRANSLATED = str.maketrans({"’": "'", "–": " ", "—": " "} | dict.fromkeys(_SEPARATORS, " "))
 
@@ -336,6 +337,9 @@ def section_of(line: Column) -> Column:
     return F.when(head.isin(*_SECTION_OF) & heading_case(line), found)
 
 
+# The patterns of addresses, numbers and links below are fixed values: results depend on them.
+
+
 def email(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(c, r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", 0)), F.lit(""))
 

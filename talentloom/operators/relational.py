@@ -188,8 +188,8 @@ def recent(df: DataFrame, by: str, at: str, n: int = 5) -> DataFrame:
 
 
 def recent_list(rows: DataFrame, by: str, *fields: str, n: int = 5) -> DataFrame:
-    """by and recent_applications: structs of the n latest applications of each key, latest first."""
-    latest = recent(rows, by, "applied_at", n)
+    """by and recent_applications: structs of the n latest applications of each key, latest first; rows with a place are those already."""
+    latest = rows if "place" in rows.columns else recent(rows, by, "applied_at", n)
     items = F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("id").alias("application_id"), *fields, "status", "applied_at").alias("item"))))
     return latest.groupBy(by).agg(items["item"].alias("recent_applications"))
 
@@ -197,7 +197,7 @@ def recent_list(rows: DataFrame, by: str, *fields: str, n: int = 5) -> DataFrame
 def candidate_dashboard_record(users: DataFrame, profiles: DataFrame, applications: DataFrame, saved: DataFrame, resumes: DataFrame, jobs: DataFrame, companies: DataFrame) -> DataFrame:
     """``candidate_dashboard`` with the profile (or null) and the five latest applications in the row."""
     posts = with_company(jobs.select(F.col("id").alias("job_id"), F.col("title").alias("job_title"), "company_id"), companies).select("job_id", "job_title", "company_name")
-    latest = recent_list(recent(applications, "user_id", "applied_at").drop("place").join(posts, "job_id", "left"), "user_id", "job_id", "job_title", "company_name")
+    latest = recent_list(recent(applications, "user_id", "applied_at").join(posts, "job_id", "left"), "user_id", "job_id", "job_title", "company_name")
     profile = profiles.select("user_id", F.struct(*(c for c in profiles.columns if c != "user_id")).alias("profile"))
     rows = candidate_dashboard(users, applications, saved, resumes).join(profile, "user_id", "left").join(latest, "user_id", "left")
     return rows.withColumn("recent_applications", F.coalesce("recent_applications", F.array()))

@@ -15,7 +15,7 @@ from talentloom.functions import requirements, text
 from talentloom.operators import deletion, parsing, ranking, relational, scoring, writes
 from talentloom.operators.stored import Buckets, Searchable, SortedPages
 from talentloom.sources import schemas
-from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, to_json_rows
+from talentloom.sources.marketplace import STAR_SQL, StarSchema, find, stored_name, to_json_rows
 from talentloom.sources.marketplace import health as check_health
 from talentloom.sources.marketplace import resume_file_texts as read_texts
 from talentloom.sources.tables import shared_folder
@@ -1070,6 +1070,51 @@ def resume_file_texts(m):
     return read_texts(files).select(F.substring_index("path", ".", 1).cast("long").alias("id"), "file_type", "extracted_text", "error")
 
 
+@query("SELECT id, 36 AS letters, 'pdf' AS ending, TRUE AS hexadecimal FROM users")
+def stored_names(m):
+    """The name in the store of a file for each user: 32 hexadecimal digits and the ending in small letters."""
+    named = stored_name(F.concat(F.lit("CV of "), F.col("username"), F.lit(".final.PDF")))
+    rows = m.users.select("id", named.alias("name"))
+    return rows.select("id", F.length("name").alias("letters"), F.substring_index("name", ".", -1).alias("ending"), F.substring_index("name", ".", 1).rlike("^[0-9a-f]{32}$").alias("hexadecimal"))
+
+
+@query("SELECT id, lower(headline) || ' at ' || lower(location) AS education, CASE WHEN id % 2 = 0 THEN lower(headline) || ' at ' || lower(location) ELSE 'b.tech of ' || id END AS used FROM users JOIN profiles ON id = user_id")
+def education_of_raw_texts(m):
+    """The education part of a text between its headings; it counts where the parsed record has none."""
+    rows = m.users.join(m.profiles.withColumnRenamed("user_id", "id"), "id")
+    said = F.concat(F.lit("SKILLS\nPython\nEducation  "), "headline", F.lit("  at\n"), "location", F.lit("\nProjects\nShop"))
+    parsed = F.when(F.col("id") % 2 == 0, "{}").otherwise(F.concat(F.lit('{"education": ["b.tech of '), F.col("id").cast("string"), F.lit('"]}')))
+    part = lambda p: requirements.resume_sections(p, F.col("said"))["education"]
+    return rows.select("id", said.alias("said"), parsed.alias("parsed")).select("id", part(F.lit("{}")).alias("education"), part(F.col("parsed")).alias("used"))
+
+
+_DIGITS = "CAST(6000000000 + (id * 7919) % 3999999999 AS VARCHAR)"
+
+
+@query(
+    f"SELECT id, CASE WHEN id % 5 = 0 THEN '-' ELSE lower('User.' || id || '@Mail' || id % 7 || '.example.org') END AS email, CASE id % 4 WHEN 0 THEN '+91 ' || {_DIGITS} WHEN 1 THEN '+91 ' || {_DIGITS} WHEN 2 THEN {_DIGITS} ELSE '-' END AS phone, "
+    "CASE id % 3 WHEN 0 THEN 'https://github.com/user' || id WHEN 1 THEN 'https://www.github.com/user' || id ELSE '-' END AS github FROM users"
+)
+def contacts_of_texts(m):
+    """Addresses and numbers that are put into texts in several spellings by the user's key."""
+    key, text_of = F.col("id"), F.col("id").cast("string")
+    digits = (F.lit(6_000_000_000) + F.pmod(key * 7919, F.lit(3_999_999_999))).cast("string")
+    mail = F.when(key % 5 == 0, "no address at all").otherwise(F.concat(F.lit("write to User."), text_of, F.lit("@Mail"), (key % 7).cast("string"), F.lit(".example.org, please")))
+    call = F.when(key % 4 == 0, F.concat(F.lit("+91-"), digits)).when(key % 4 == 1, F.concat(F.lit("call 91"), digits)).when(key % 4 == 2, F.concat(F.lit("("), digits, F.lit(")"))).otherwise(F.concat(digits, F.lit("77")))
+    page = F.when(key % 3 == 0, F.concat(F.lit("GitHub: github.com/user"), text_of)).when(key % 3 == 1, F.concat(F.lit("GITHUB (code) | GitHub:www.github.com/user"), text_of, F.lit(";"))).otherwise(F.concat(F.lit("see github.com/user"), text_of))
+    said = F.concat_ws(" | ", mail, call, page)
+    none = lambda c, name: F.coalesce(c, F.lit("-")).alias(name)
+    return m.users.select("id", said.alias("said")).select("id", none(text.email(F.col("said")), "email"), none(text.phone(F.col("said")), "phone"), none(text.link(F.col("said"), "GitHub"), "github"))
+
+
+@query("SELECT id, CASE WHEN id % 6 = 0 THEN -1.0 ELSE greatest(CAST(id % 11 AS DOUBLE), id % 7 + 0.5) END AS years FROM jobs")
+def years_of_texts(m):
+    """The largest number of years that a text names, in several spellings by the job's key."""
+    n = lambda k: (F.col("id") % k).cast("string")
+    said = F.when(F.col("id") % 6 == 0, F.concat(F.lit("in "), F.col("id").cast("string"), F.lit(" jobs"))).otherwise(F.concat(n(11), F.when(F.col("id") % 2 == 0, " years of this, ").otherwise("+ YRS of this, "), n(7), F.lit(".5 year of that")))
+    return m.jobs.select("id", F.coalesce(text.years_of(said), F.lit(-1.0)).alias("years"))
+
+
 # ---------------------------------------------------------------- known answers
 
 
