@@ -66,4 +66,4 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_language_mixture, op3_webp_media, op4_url_rules, op5_quality, op6_unigram_counts, op7_license_scan, op8_best_fit_packing, op9_token_files, op10_simhash, op11_repeats, op12_vector_codes, op13_ranked_search)}
-SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL, "op12_vector_codes": vector_codes.SQL, "op13_ranked_search": ranked_search.SQL}
+SQL: dict[str, str] = {"op4_url_rules": url_filter.SQL, "op11_repeats": repeats.SQL, "op12_vector_codes": vector_codes.SQL, "op13_ranked_search": ranked_search.SQL}

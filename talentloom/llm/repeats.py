@@ -635,3 +635,21 @@ def brute_force(docs: list[tuple], least: int = LEAST) -> list[tuple]:
 def tie_of(doc: int | None, body: bytes) -> int:
     """The order of rows with one id, as in ``texts``."""
     return xxhash.xxh64_intdigest((doc is None).to_bytes(4, "little"), xxhash.xxh64_intdigest(body, 42)) & TIES
+
+
+#: The contract for DuckDB, read literally: the first place of each window by its md5; ids are unique in the given tables.
+SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n_bytes FROM docs),
+windows AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n_bytes - 99)) AS p FROM sized WHERE n_bytes >= 100)),
+firsts AS (SELECT s, min((doc_id, p)) AS f FROM windows GROUP BY s HAVING count(*) > 1),
+again AS (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE (doc_id, p) <> f),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM again),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM spans UNION ALL SELECT doc_id, max(b), NULL FROM spans GROUP BY doc_id),
+kept AS (SELECT s.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (coalesce(hi, n_bytes) - lo)), '' ORDER BY lo) AS k FROM gaps g JOIN sized s ON g.doc_id = s.doc_id GROUP BY s.doc_id),
+counted AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT s.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM sized s LEFT JOIN counted c ON s.doc_id = c.doc_id LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""
