@@ -232,9 +232,11 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch.slice(a, b - a)
 
 
-def anchored(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def anchored(docs: DataFrame, least: int = LEAST, every: bool = False) -> DataFrame:
     """Rows (doc, tie, spot, left, more, border): places whose windows repeat earlier ones, and those at borders.
 
+    With ``every``, all places whose gram is found elsewhere count as borders, also those whose windows are all alike.
+
     Within a batch of texts places with equal surroundings are reduced to their first, and of a gram with more than
     MANY different surroundings all are borders for certain; only two of them go on to meet the gram's others. So a gram has
     at most MANY + 2 rows a batch, wherever it is found.
@@ -255,6 +257,8 @@ def anchored(docs: DataFrame, least: int = LEAST) -> DataFrame:
             new = _runs(rows["key"])
             shared = ~(new & np.append(new[1:], True)) if len(rows) else new
             mine, first, again = _classes(rows[shared])
+            if every:
+                first, again = np.ones(len(mine), bool), np.zeros(len(mine), bool)
             firsts = mine[first]
             key = _runs(firsts["key"])
             size = np.diff(np.append(np.flatnonzero(key), len(firsts)))
@@ -285,8 +289,11 @@ def anchored(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     held.append(_unpack(body, _KEYED))
         if held:
             rows, first, again = _classes(np.concatenate(held))
-            yield batch_of(rows[again], False)
-            yield batch_of(_borders(rows, first), True)
+            if every:
+                yield batch_of(rows, True)
+            else:
+                yield batch_of(rows[again], False)
+                yield batch_of(_borders(rows, first), True)
 
     dealt = texts(docs).filter(F.length("body") >= least).mapInArrow(gather, "goes int, kind int, rows binary").repartitionById(n, F.col("goes"))
     return dealt.select("kind", "rows").mapInArrow(meet, "doc long, tie long, spot long, left long, more long, border boolean")
@@ -538,13 +545,13 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def maximal_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(repeat, length, doc, tie, start): the maximal repeats around borders with all their occurrences.
+    """(repeat, length, doc, tie, start): the maximal repeats with all their occurrences.
 
-    ``repeat`` is a hash of the string. Each is right-diverse and left-diverse among the places at borders; places with the same
-    surroundings as an earlier one stand behind it and aren't listed. Longer repeats than an anchor's windows are a chain of these.
+    ``repeat`` is a hash of the string. Each is right-diverse and left-diverse within the surroundings of an anchor, some
+    ``least`` bytes to either side: a longer repeat is a chain of these, each with all occurrences. The copies of a row are one place.
     """
     gram = least // 2
-    found = materialize(anchored(docs, least), "anchored")
+    found = materialize(anchored(docs, least, every=True), "anchored")
 
     def scan(rows: pa.RecordBatch, before: list, after: list) -> pa.RecordBatch:
         groups, right, spot = (rows.column(c).to_numpy() for c in ("grp", "right", "spot"))

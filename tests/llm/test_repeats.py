@@ -110,30 +110,28 @@ def test_packed_places_are_read_back():
     assert (repeats._unpack(repeats._pack(rows), repeats._KEYED) == rows).all()
 
 
-def test_maximal_repeats_have_all_occurrences(spark):
-    """Each listed repeat against the texts: all places at borders, and no common next byte on either side."""
+@pytest.mark.parametrize("block", [1 << 17, 7])
+def test_maximal_repeats_have_all_occurrences(spark, monkeypatch, block):
+    """Each listed repeat against the texts: all its places are listed; and what all repeats cover is what is removed."""
+    monkeypatch.setattr(repeats, "BLOCK", block)
     rng = random.Random(11)
     rows = list(enumerate(shared(rng, 50, passages=3)))
+    rows += [(100 + i, t) for i, t in rows[:4]]  # copies
     text = {i: t.encode() for i, t in rows}
     found = {}
     for r in repeats.maximal_repeats(frame(spark, rows)).collect():
         found.setdefault((r["repeat"], r["length"]), set()).add((r["doc"], r["start"]))
     assert found
+    covered = {i: bytearray(len(t)) for i, t in text.items()}
     for (_, n), places in found.items():
         strings = {text[d][p : p + n] for d, p in places}
         assert n >= 100 and len(strings) == 1
         (s,) = strings
-        every = {(d, p) for d, b in text.items() for p in range(len(b) - n + 1) if b.startswith(s, p)}
-        assert places <= every
-        if len(places) > 1 and places == every:
-            assert len({text[d][p - 1 : p] for d, p in places}) > 1 or len({text[d][p + n : p + n + 1] for d, p in places}) > 1 or n < 150
-    # what the repeats cover is what is removed, but for each repeat's first place
-    covered = {i: bytearray(len(t)) for i, t in text.items()}
-    for (_, n), places in found.items():
+        assert places == {(d, p) for d, b in text.items() for p in range(len(b) - n + 1) if b.startswith(s, p)} and len(places) > 1
         for d, p in sorted(places)[1:]:
             covered[d][p : p + n] = b"\x01" * n
     want = {r[0]: r[2] for r in repeats.brute_force(rows)}
-    assert all(sum(c) <= want[i] for i, c in covered.items())
+    assert {i: sum(c) for i, c in covered.items()} == want
 
 
 def test_scan_of_intervals_is_plain():
