@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talentloom.sources.tables import written
+
 # From status, to status.
 TRANSITIONS = (("Applied", "Shortlisted"), ("Applied", "Rejected"), ("Shortlisted", "Selected"), ("Shortlisted", "Rejected"))
 
@@ -74,6 +76,17 @@ def create_applications(requests: DataFrame, jobs: DataFrame, applications: Data
     return rows.select("user_id", "job_id", F.when(F.col("reason").isNull(), F.col("chosen")).alias("resume_id"), "reason", *(c for c in requests.columns if c not in ("user_id", "job_id", "resume_id")))
 
 
+def application_rows(judged: DataFrame, next_id: int, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The applications that ``create_applications`` accepted, with ids from ``next_id`` on, and the first entry of each one's history.
+
+    Ids are unique and have gaps: numbers without gaps would put all rows into one task. They are written once, so both tables have the same.
+    """
+    number = (F.lit(next_id) + F.monotonically_increasing_id()).alias("id")
+    rows = written(judged.filter("reason IS NULL").select(number, "user_id", "job_id", "resume_id", F.lit("Applied").alias("status"), at.alias("applied_at")), "applications")
+    history = rows.select(F.col("id").alias("application_id"), F.lit(None).cast("string").alias("old_status"), F.col("status").alias("new_status"), F.col("user_id").alias("changed_by"), F.col("applied_at").alias("changed_at"))
+    return rows, history
+
+
 def update(existing: DataFrame, changes: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
     """Partial updates: changes has the key, ``changed`` (names of supplied columns), values, and the columns of ``order``.
 

@@ -467,6 +467,16 @@ def create_applications(m):
     return rows.select("user_id", "job_id", "asked", F.coalesce("reason", F.lit("accepted")).alias("outcome"), _key("resume_id"))
 
 
+@query("SELECT user_id, job_id, 'Applied' AS status, '-' AS old_status, user_id AS changed_by, 1 AS entries FROM (SELECT DISTINCT user_id, job_id FROM saved_jobs s WHERE job_id % 3 = 0) s WHERE NOT EXISTS (SELECT 1 FROM applications a WHERE a.user_id = s.user_id AND a.job_id = s.job_id AND a.job_id % 2 = 0) AND EXISTS (SELECT 1 FROM resumes r WHERE r.user_id = s.user_id AND r.is_primary)")
+def saved_jobs_applied_for(m):
+    """Users apply for every third job that they saved, with their primary résumé; new rows and the first entries of their histories."""
+    requests = m.saved_jobs.filter("job_id % 3 = 0").select("user_id", "job_id", F.lit(None).cast("long").alias("resume_id"))
+    judged = writes.create_applications(requests, m.jobs, m.applications.filter("job_id % 2 = 0"), m.resumes)
+    rows, history = writes.application_rows(judged, 1 << 50, F.expr("timestamp_ntz'2025-01-01 00:00:00'"))
+    entries = history.groupBy(F.col("application_id").alias("id")).agg(F.count("*").alias("entries"), F.coalesce(F.first("old_status"), F.lit("-")).alias("old_status"), F.first("changed_by").alias("changed_by"))
+    return rows.join(entries, "id").select("user_id", "job_id", "status", "old_status", "changed_by", "entries")
+
+
 def _chain(m):
     """Three requests an application, a day apart, by an admin, the job's owner or the applicant; every eleventh is asked twice."""
     k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")

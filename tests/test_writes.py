@@ -4,6 +4,8 @@ import datetime
 import random
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from talentloom.operators import writes
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -96,6 +98,14 @@ def test_applications_are_a_loop(spark):
     assert len(good) == len(set(good)) and not set(good) & set(there)
 
 
+def test_accepted_applications_begin_their_history(spark):
+    judged = spark.createDataFrame([(1, 2, 3, None), (1, 3, 3, None), (4, 2, None, "no such job"), (5, 6, 7, None)], "user_id long, job_id long, resume_id long, reason string").repartition(3)
+    rows, history = writes.application_rows(judged, 1000, F.lit(DAY))
+    got = {r.id: (r.user_id, r.job_id, r.resume_id, r.status) for r in rows.collect()}
+    assert sorted(got.values()) == [(1, 2, 3, "Applied"), (1, 3, 3, "Applied"), (5, 6, 7, "Applied")] and min(got) >= 1000
+    assert {r.application_id: (r.old_status, r.new_status, r.changed_by) for r in history.collect()} == {i: (None, "Applied", v[0]) for i, v in got.items()}
+
+
 def test_changes_of_one_row_add_up(spark):
     jobs = spark.createDataFrame([(1, "a", Decimal("1.00")), (2, "b", None), (3, None, Decimal("3.00"))], "id long, title string, salary decimal(10,2)")
     changes = [(1, ["title"], "x", None, 2), (1, ["salary", "title"], "early", Decimal("5.00"), 1), (2, ["title"], "z", None, 1), (2, ["title"], None, None, 2), (9, ["title"], "q", None, 1), (None, ["title"], "q", None, 1), (3, [], "unused", None, 1)]
