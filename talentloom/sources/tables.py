@@ -24,3 +24,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/marketplace/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def not_broadcast(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is sorted and merged, never sent through the driver.
+
+    Spark guesses a size from compressed files and a default length of texts, so a million rows that are put together by row pass for
+    a few MB and would be broadcast.
+    """
+    return df.hint("merge")
