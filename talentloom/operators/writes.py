@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talentloom.sources.tables import written
+from talentloom.sources.tables import not_broadcast, written
 
 # From status, to status.
 TRANSITIONS = (("Applied", "Shortlisted"), ("Applied", "Rejected"), ("Shortlisted", "Selected"), ("Shortlisted", "Rejected"))
@@ -221,8 +221,8 @@ def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str], kept: Sequen
     latest = F.row_number().over(W.partitionBy(*key).orderBy(F.col(order).desc()))
     fresh = new.withColumn("nth", latest).filter("nth = 1").drop("nth")
     old = existing.select(*key, *(F.col(c).alias(f"old_{c}") for c in kept))
-    merged = fresh.join(old, list(key), "left").select(*(F.coalesce(f"old_{c}", c).alias(c) if c in kept else F.col(c) for c in existing.columns))
-    return existing.join(fresh.select(*key), list(key), "left_anti").select(existing.columns).unionByName(merged)
+    merged = fresh.join(not_broadcast(old), list(key), "left").select(*(F.coalesce(f"old_{c}", c).alias(c) if c in kept else F.col(c) for c in existing.columns))
+    return existing.join(not_broadcast(fresh.select(*key)), list(key), "left_anti").select(existing.columns).unionByName(merged)
 
 
 def primary_requests(resumes: DataFrame, chosen: DataFrame) -> DataFrame:
