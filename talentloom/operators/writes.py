@@ -2,8 +2,9 @@
 
 A batch has a single writer and may hold any number of requests for one key. They take effect as if they came one by one,
 in the order of ``order``'s columns, each seeing what the ones before it left. What decides a key (its first valid request,
-its accepted transitions, the last value of a column) is a minimum or maximum, combined before the shuffle, so a key
-with a third of all requests costs its task a row of each other task and no array of requests is ever made. Requests that are
+its accepted transitions, the last value of a column) is a minimum or maximum. The last value of a column is combined before the
+shuffle; transitions and applications are judged by windows over a key's requests, which one sort brings together and which spill:
+a key with a third of all requests is one task's work, but no array of them is ever made. Requests that are
 alike in all columns come one behind the other. Keys of results are unique if those of the tables are; a request with a
 missing key is refused.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talentloom.operators.joins import left_by
 from talentloom.sources.tables import not_broadcast, written
 
 # From status, to status.
@@ -37,18 +39,6 @@ def _order(requests: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*order, *(c for c in sorted(requests.columns) if c not in order))
 
 
-def _alike(requests: DataFrame) -> DataFrame:
-    """One row for requests that are alike, with their number ``alike``."""
-    return requests.groupBy(*requests.columns).agg(F.count("*").alias("alike"))
-
-
-def _one_by_one(rows: DataFrame, accepted: Column, first: Column, then: Column) -> DataFrame:
-    """Rows of ``alike`` requests as that many; of an accepted one the others are refused because of ``then``."""
-    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))).alias("nth")
-    reason = F.when(accepted & (F.col("nth") > 1), then).otherwise(first)
-    return rows.select("*", nth).withColumn("reason", reason)
-
-
 def create_applications(requests: DataFrame, jobs: DataFrame, applications: DataFrame, resumes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Requests (user_id, job_id, resume_id or null, others) with the résumé used, or the reason of refusal.
 
@@ -57,22 +47,24 @@ def create_applications(requests: DataFrame, jobs: DataFrame, applications: Data
     """
     own = resumes.select(F.col("id").alias("resume_id"), F.col("user_id").alias("resume_owner"))
     primary = resumes.filter("is_primary").groupBy("user_id").agg(F.min("id").alias("primary_id"))
+    rows = left_by(requests.withColumn("turn", _order(requests, order)), own, "resume_id")
     rows = (
-        _alike(requests).withColumn("turn", _order(requests, order))
-        .join(jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there")), "job_id", "left")
-        .join(applications.select("user_id", "job_id", F.lit(True).alias("applied")).distinct(), ["user_id", "job_id"], "left")
-        .join(own, "resume_id", "left")
-        .join(primary, "user_id", "left")
+        rows.join(not_broadcast(jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there"))), "job_id", "left")
+        .join(not_broadcast(primary), "user_id", "left")
+        .join(not_broadcast(applications.select("user_id", "job_id", F.lit(True).alias("applied")).distinct()), ["user_id", "job_id"], "left")
     )
     chosen = F.coalesce("resume_id", "primary_id")
     before = F.when(F.col("user_id").isNull(), "no such user").when(F.col("job_there").isNull(), "no such job").when(F.col("applied"), "applied already")
     wrong = F.when(F.col("resume_id").isNotNull() & ~F.coalesce(F.col("resume_owner") == F.col("user_id"), F.lit(False)), "no such resume").when(chosen.isNull(), "no primary resume")
     rows = rows.withColumns({"before": before, "wrong": wrong, "chosen": chosen})
-    winner = rows.filter("before IS NULL AND wrong IS NULL").groupBy("user_id", "job_id").agg(F.min("turn").alias("winner"))
-    rows = rows.join(winner, ["user_id", "job_id"], "left")
-    again = F.lit("repeated in the batch")
-    reason = F.coalesce("before", F.when(F.col("turn") > F.col("winner"), again), "wrong")
-    rows = _one_by_one(rows, F.coalesce(F.col("turn") == F.col("winner"), F.lit(False)), reason, again)
+    pair = W.partitionBy("user_id", "job_id")
+    winner = F.min(F.when(F.col("before").isNull() & F.col("wrong").isNull(), F.col("turn"))).over(pair)
+    rows = rows.withColumns({"winner": winner, "nth": F.row_number().over(pair.orderBy("turn"))})
+    wins = F.coalesce(F.col("turn") == F.col("winner"), F.lit(False))
+    # of requests alike in all columns the first wins
+    alike = F.min("nth").over(W.partitionBy("user_id", "job_id", "turn"))
+    again = F.when((F.col("turn") > F.col("winner")) | wins & (F.col("nth") > F.col("alike")), "repeated in the batch")
+    rows = rows.withColumn("alike", alike).withColumn("reason", F.coalesce("before", again, "wrong"))
     return rows.select("user_id", "job_id", F.when(F.col("reason").isNull(), F.col("chosen")).alias("resume_id"), "reason", *(c for c in requests.columns if c not in ("user_id", "job_id", "resume_id")))
 
 
@@ -134,39 +126,45 @@ def _admins(users: DataFrame, alias: str) -> DataFrame:
     return users.filter(F.lower("role") == "admin").select(F.col("id").alias(alias), F.lit(True).alias("admin")).distinct()
 
 
-def change_status(applications: DataFrame, requests: DataFrame, owners: DataFrame | None = None, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Applications after requests (id, new_status, changed_by, changed_at), the history, and the rejects.
+def judge_status(applications: DataFrame, requests: DataFrame, owners: DataFrame | None = None, users: DataFrame | None = None) -> DataFrame:
+    """Requests (id, new_status, changed_by, changed_at) with ``old_status``, the status that each met, and ``reason`` (null: accepted).
 
     With ``owners`` (as of ``managers``) and ``users``, only an admin or the owner may ask. Requests for one application take their
     turns by changed_at: one is judged against the status that the accepted ones before it left. A status can change only
     ``longest_path`` times, so in as many rounds all accepted requests are found, each the first that fits the status of its round.
+    A round is a minimum over the requests of an application where they stand: they are put together and sorted once, and nothing is
+    worked out again for the next round.
     """
     turn = F.struct("changed_at", "new_status", "changed_by")
-    rows = _alike(requests.select("id", "new_status", "changed_by", "changed_at")).withColumn("turn", turn)
-    rows = rows.join(applications.select("id", F.col("status").alias("status_0"), F.lit(True).alias("there")), "id", "left")
+    rows = requests.select("id", "new_status", "changed_by", "changed_at")
+    rows = rows.join(not_broadcast(applications.select("id", F.col("status").alias("status_0"), F.lit(True).alias("there"))), "id", "left")
     may = F.lit(True)
     if owners is not None:
-        rows = rows.join(owners.select("id", "owner_id"), "id", "left").join(_admins(users, "changed_by"), "changed_by", "left")
+        rows = rows.join(not_broadcast(owners.select("id", "owner_id")), "id", "left").join(_admins(users, "changed_by"), "changed_by", "left")
         may = F.coalesce("admin", F.lit(False)) | F.coalesce(F.col("owner_id") == F.col("changed_by"), F.lit(False))
-    rows = rows.withColumn("outside", F.when(F.col("there").isNull(), "no such application").when(~may, "no permission"))
+    rows = rows.select("id", "new_status", "changed_by", "changed_at", "status_0", F.when(F.col("there").isNull(), "no such application").when(~may, "no permission").alias("outside"))
+    rows = rows.withColumns({"turn": turn, "nth": F.row_number().over(W.partitionBy("id", "changed_at", "new_status", "changed_by").orderBy("changed_at"))})
     fits = lambda old: F.col("outside").isNull() & transition_problem(old, F.col("new_status")).isNull()
-    rounds = longest_path()
     accepted, old = F.lit(False), F.col("status_0")
-    for k in range(1, rounds + 1):
+    for k in range(1, longest_path() + 1):
         late = F.lit(True) if k == 1 else F.col("turn") > F.col(f"turn_{k - 1}")
         status = F.col("status_0") if k == 1 else F.col(f"turn_{k - 1}.new_status")
-        step = rows.filter(fits(status) & late).groupBy("id").agg(F.min("turn").alias(f"turn_{k}"))
-        rows = rows.join(step, "id", "left")
+        rows = rows.withColumn(f"turn_{k}", F.min(F.when(fits(status) & late, F.col("turn"))).over(W.partitionBy("id")))
         accepted = accepted | F.coalesce(F.col("turn") == F.col(f"turn_{k}"), F.lit(False))
         old = F.when(F.col("turn") > F.col(f"turn_{k}"), F.col(f"turn_{k}.new_status")).otherwise(old)
     rows = rows.withColumns({"old_status": old, "accepted": accepted})
     # a request that is like an accepted one asks for the status that is there then
-    problem = F.coalesce("outside", transition_problem(F.col("old_status"), F.col("new_status")))
-    rows = _one_by_one(rows, F.col("accepted"), problem, F.lit("same status"))
-    rows = rows.withColumn("old_status", F.when(F.col("accepted") & (F.col("nth") > 1), F.col("new_status")).otherwise(F.col("old_status")))
+    again = F.col("accepted") & (F.col("nth") > 1)
+    reason = F.when(again, "same status").when(~F.col("accepted"), F.coalesce("outside", transition_problem(F.col("old_status"), F.col("new_status"))))
+    return rows.select("id", "new_status", "changed_by", "changed_at", F.when(again, F.col("new_status")).otherwise(F.col("old_status")).alias("old_status"), reason.alias("reason"))
+
+
+def change_status(applications: DataFrame, requests: DataFrame, owners: DataFrame | None = None, users: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Applications after requests, the history, and the rejects, as ``judge_status`` tells them."""
+    rows = judge_status(applications, requests, owners, users)
     good = rows.filter("reason IS NULL")
-    last = good.groupBy("id").agg(F.max(F.struct("turn", "new_status"))["new_status"].alias("new_status"))
-    table = applications.join(last, "id", "left").withColumn("status", F.coalesce("new_status", "status")).select(applications.columns)
+    last = good.groupBy("id").agg(F.max(F.struct("changed_at", "new_status", "changed_by"))["new_status"].alias("new_status"))
+    table = applications.join(not_broadcast(last), "id", "left").withColumn("status", F.coalesce("new_status", "status")).select(applications.columns)
     history = good.select(F.col("id").alias("application_id"), "old_status", "new_status", "changed_by", "changed_at")
     return table, history, rows.filter("reason IS NOT NULL").select("id", "new_status", "changed_by", "changed_at", "old_status", "reason")
 
@@ -202,7 +200,7 @@ def delete_cascade(children: DataFrame, deleted: DataFrame, foreign_key: str) ->
 def delete_set_null(children: DataFrame, deleted: DataFrame, foreign_key: str) -> DataFrame:
     """Children, their key null where the parent is deleted."""
     gone = deleted.select(F.col("id").alias(foreign_key), F.lit(True).alias("gone"))
-    rows = children.join(gone, foreign_key, "left").withColumn(foreign_key, F.when(F.col("gone").isNull(), F.col(foreign_key)))
+    rows = left_by(children, gone, foreign_key).withColumn(foreign_key, F.when(F.col("gone").isNull(), F.col(foreign_key)))
     return rows.select(children.columns)
 
 

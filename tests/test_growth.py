@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from talentloom.operators import writes
+from talentloom.operators.joins import left_by
 
 
 def plan(df) -> str:
@@ -38,3 +40,27 @@ def test_a_number_and_two_digits_are_no_number_with_a_prefix(spark, small):
     """6,000,000,000 + key * 7919 begins with 91 from 392,000 on."""
     rows = queries()["contacts_of_texts"](spark, small).filter("id % 4 = 3 AND phone != '-'")
     assert rows.count() == 0
+
+
+def test_requests_are_worked_out_once(spark):
+    """Rounds and winners are windows: nothing that requests hang on is read again for them."""
+    requests = spark.range(0, 777).select("id", F.lit("Rejected").alias("new_status"), F.lit(0).cast("long").alias("changed_by"), F.current_timestamp().alias("changed_at"))
+    applications = spark.range(0, 555).select("id", F.lit("Applied").alias("status"), F.col("id").alias("job_id"), F.col("id").alias("user_id"))
+    assert plan(writes.judge_status(applications, requests)).count("Range (0, 777") == 1
+    asked = spark.range(0, 777).select(F.col("id").alias("user_id"), F.lit(1).cast("long").alias("job_id"), F.lit(None).cast("long").alias("resume_id"))
+    resumes = spark.range(0, 333).select("id", F.col("id").alias("user_id"), F.lit(True).alias("is_primary"))
+    assert plan(writes.create_applications(asked, spark.range(9), applications, resumes)).count("Range (0, 777") == 1
+
+
+def test_rows_without_a_key_are_dealt_out(spark):
+    rows = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("resume_id"))
+    other = spark.range(500).select(F.col("id").alias("resume_id"), F.lit("x").alias("found"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = left_by(rows, other, "resume_id").withColumn("part", F.spark_partition_id())
+        got = joined.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.id, r.resume_id, r.found) for r in got) == [(i, i if i % 10 == 0 else None, "x" if i % 10 == 0 and i < 500 else None) for i in range(1000)]
+    in_part = [sum(r.part == p for r in got) for p in range(4)]
+    assert max(in_part) < 500, in_part
