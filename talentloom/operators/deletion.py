@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talentloom.operators.joins import left_by
+
 
 class Key(NamedTuple):
     child: str
@@ -91,7 +93,7 @@ def delete_rows(tables: Mapping[str, DataFrame], root: str, ids: DataFrame, keys
         for k in keys:
             if k.child == name and k.rule == "set null" and k.parent in gone:
                 lost = gone[k.parent].select(F.col("id").alias(k.column), F.lit(True).alias("lost"))
-                rows = rows.join(lost, k.column, "left").withColumn(k.column, F.when(F.col("lost").isNull(), F.col(k.column))).drop("lost")
+                rows = left_by(rows, lost, k.column).withColumn(k.column, F.when(F.col("lost").isNull(), F.col(k.column))).drop("lost")
         after[name] = rows.select(table.columns)
     told = asked.join(known.withColumn("there", F.lit(True)), "id", "left").join(vetoed.withColumnRenamed("request", "id"), "id", "left")
     reason = F.when(F.col("there").isNull(), "no such row").when(F.col("by").isNotNull(), F.concat(F.lit("in use by "), F.col("by")))

@@ -47,7 +47,7 @@ def create_applications(requests: DataFrame, jobs: DataFrame, applications: Data
     """
     own = resumes.select(F.col("id").alias("resume_id"), F.col("user_id").alias("resume_owner"))
     primary = resumes.filter("is_primary").groupBy("user_id").agg(F.min("id").alias("primary_id"))
-    rows = left_by(requests.withColumn("turn", _order(requests, order)), own, "resume_id")
+    rows = left_by(requests.withColumn("turn", _order(requests, order)), own, "resume_id", ["user_id"])
     rows = (
         rows.join(not_broadcast(jobs.select(F.col("id").alias("job_id"), F.lit(True).alias("job_there"))), "job_id", "left")
         .join(not_broadcast(primary), "user_id", "left")
@@ -197,10 +197,10 @@ def delete_cascade(children: DataFrame, deleted: DataFrame, foreign_key: str) ->
     return children.join(deleted.select(F.col("id").alias(foreign_key)), foreign_key, "left_anti").select(children.columns)
 
 
-def delete_set_null(children: DataFrame, deleted: DataFrame, foreign_key: str) -> DataFrame:
-    """Children, their key null where the parent is deleted."""
+def delete_set_null(children: DataFrame, deleted: DataFrame, foreign_key: str, deal: Sequence[str] = ()) -> DataFrame:
+    """Children, their key null where the parent is deleted; ``deal`` as of ``left_by``."""
     gone = deleted.select(F.col("id").alias(foreign_key), F.lit(True).alias("gone"))
-    rows = left_by(children, gone, foreign_key).withColumn(foreign_key, F.when(F.col("gone").isNull(), F.col(foreign_key)))
+    rows = left_by(children, gone, foreign_key, deal).withColumn(foreign_key, F.when(F.col("gone").isNull(), F.col(foreign_key)))
     return rows.select(children.columns)
 
 

@@ -64,3 +64,19 @@ def test_rows_without_a_key_are_dealt_out(spark):
     assert sorted((r.id, r.resume_id, r.found) for r in got) == [(i, i if i % 10 == 0 else None, "x" if i % 10 == 0 and i < 500 else None) for i in range(1000)]
     in_part = [sum(r.part == p for r in got) for p in range(4)]
     assert max(in_part) < 500, in_part
+
+
+@pytest.mark.parametrize("name", ["employer_dashboard_record", "whole_deletions", "status_chain_applied", "status_chain_outcomes", "status_change_applied"])
+def test_applications_are_put_together_once(spark, small, name):
+    assert "lineitem" not in plan(queries()[name](spark, small))
+
+
+@pytest.mark.parametrize("name", ["project_shares", "resume_file_texts"])
+def test_rows_of_a_small_file_are_dealt_to_all_cores(spark, small, name):
+    assert "RoundRobinPartitioning" in plan(queries()[name](spark, small))
+
+
+def test_users_come_before_jobs(spark, small):
+    """The user's key has brought the rows together already for the primary résumé."""
+    text = plan(queries()["applications_with_resume"](spark, small))
+    assert text.index("customer.parquet") < text.index("part.parquet"), text
