@@ -1,10 +1,11 @@
 """What shows only on larger tables: plans that send rows through the driver, keys that most rows share, small files."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from talentloom.operators import writes
+from talentloom.operators import parsing, writes
 from talentloom.operators.joins import left_by
 
 
@@ -80,3 +81,11 @@ def test_users_come_before_jobs(spark, small):
     """The user's key has brought the rows together already for the primary résumé."""
     text = plan(queries()["applications_with_resume"](spark, small))
     assert text.index("customer.parquet") < text.index("part.parquet"), text
+
+
+def test_texts_are_cleaned_in_pieces(spark):
+    """Over several pieces of a batch nothing is lost or mixed up, nor in an empty one."""
+    texts = [f"a line {k} of text that\nwas wrapped , here" for k in range(2 * parsing._PIECE + 7)]
+    got = parsing.repaired.func(pa.array(texts, pa.string())).to_pylist()
+    assert got == [{"once": parsing.clean(t), "twice": parsing.clean(parsing.clean(t))} for t in texts]
+    assert len(parsing.repaired.func(pa.array([], pa.string()))) == 0
